@@ -1,7 +1,7 @@
 """The queries of this package by name, and the SQL of those that SQL can express."""
 
-from . import exact_dedup, sharding
+from . import exact_dedup, media, packing, sharding, warc
 
-_MODULES = (exact_dedup, sharding)
+_MODULES = (warc, exact_dedup, packing, sharding, media)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in _MODULES for name, text in m.SQL.items()}
