@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,3 +70,59 @@ def in_fold(column: str, modulus: int, remainder: int) -> Column:
     """Whether crc32 of the id as text leaves ``remainder``; a null id never does."""
     crc = F.crc32(F.col(column).cast("string").cast("binary"))
     return F.coalesce(F.pmod(crc, F.lit(modulus)) == remainder, F.lit(False))
+
+
+def labelled_sample(
+    docs: DataFrame,
+    labels: DataFrame,
+    label: str,
+    usable: Column,
+    per_class: int,
+    max_chars: int,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> tuple[list[tuple[int, str]], dict[int, int]]:
+    """(label, text) of at most ``per_class`` labelled documents a class, and the labelled rows by class.
+
+    ``usable`` is a condition on ``doc_id`` that says which labels may be learnt
+    from.  The sample is that of the least md5 of the id, so it is the same for
+    every layout of the tables.  Texts are cut at ``max_chars`` for fitting only.
+    The join's broadcast side is this sample of ids: 2 * per_class rows at most.
+    """
+    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label).alias("y")).filter(F.col("y").isin(0, 1) & usable)
+    counts = {int(r["y"]): int(r["n"]) for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    order = F.md5(F.col("doc_id").cast("string").cast("binary"))
+    chosen = [known.filter(F.col("y") == y).orderBy(order, "doc_id").limit(per_class) for y in (0, 1)]
+    picked = chosen[0].unionByName(chosen[1]).dropDuplicates(["doc_id"])
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.substring(F.col(text_col), 1, max_chars).alias("text"))
+    rows = texts.join(F.broadcast(picked), "doc_id").filter(F.col("text").isNotNull()).orderBy("doc_id").limit(2 * per_class).collect()
+    return [(int(r["y"]), r["text"]) for r in rows], counts
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, prior: dict[int, int], ridge: float = 1.0, steps: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ridge logistic regression by Newton steps: (mean, scale, weights with the constant last).
+
+    Rows are weighted so that the classes count as in ``prior``.
+    """
+    mean, scale = x.mean(0), x.std(0) + 1e-9
+    z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
+    n = {c: max(1, int((y == c).sum())) for c in (0, 1)}
+    share = {c: max(1, prior.get(c, 0)) / max(1, sum(prior.values())) for c in (0, 1)}
+    w = np.where(y == 1, share[1] / n[1], share[0] / n[0]) * len(y)
+    penalty = np.full(z.shape[1], ridge)
+    penalty[-1] = 1e-3
+    beta = np.zeros(z.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
+        gradient = z.T @ (w * (p - y)) + penalty * beta
+        hessian = (z * (w * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ z + np.diag(penalty)
+        move = np.linalg.solve(hessian, gradient)
+        beta -= move * min(1.0, 5.0 / (np.abs(move).max() + 1e-9))
+        if np.abs(move).max() < 1e-6:
+            break
+    return mean, scale, beta
+
+
+def logistic(x: np.ndarray, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    mean, scale, beta = model
+    return 1 / (1 + np.exp(-np.clip((x - mean) / scale @ beta[:-1] + beta[-1], -30, 30)))
