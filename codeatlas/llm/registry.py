@@ -1,7 +1,7 @@
 """The queries of this package by name, and the SQL of those that SQL can express."""
 
-from . import exact_dedup, media, packing, quality, sharding, toxicity, warc
+from . import exact_dedup, jaccard, media, packing, quality, sharding, toxicity, warc
 
-_MODULES = (toxicity, warc, exact_dedup, quality, packing, sharding, media)
+_MODULES = (toxicity, warc, exact_dedup, quality, packing, sharding, jaccard, media)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in _MODULES for name, text in m.SQL.items()}
