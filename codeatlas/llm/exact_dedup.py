@@ -180,15 +180,16 @@ class GraceTable:
                 self._own.cleanup()
 
 
-_REC = struct.Struct("<qqqq")  # best id, rows, block, position
+_FORM = "<qqqq"  # best id, rows, block, position
+_FORM_BYTES = struct.calcsize(_FORM)
 
 
 def _fold(a: bytes, b: bytes) -> bytes:
     """Counts add up; the larger id wins, then the earlier block and position."""
-    x, y = _REC.unpack_from(a), _REC.unpack_from(b)
+    x, y = struct.unpack_from(_FORM, a), struct.unpack_from(_FORM, b)
     n = x[1] + y[1]
     best, tail = (y, b) if (y[0], -y[2], -y[3]) > (x[0], -x[2], -x[3]) else (x, a)
-    return _REC.pack(best[0], n, best[2], best[3]) + tail[_REC.size :]
+    return struct.pack(_FORM, best[0], n, best[2], best[3]) + tail[_FORM_BYTES :]
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], id_col: str, text_col: str):
@@ -261,24 +262,24 @@ CLASS = T.StructType(
         T.StructField("keep_pos", T.LongType()),
     ]
 )
-_MEMBER_REP = struct.Struct("<qq")
+_REP_FORM = "<qq"
 
 
 def _fold_listing(a: bytes, b: bytes) -> bytes:
     """As _fold, and the (block, position) of every combined row is kept behind the record."""
-    return _fold(a, b)[: _REC.size] + a[_REC.size :] + b[_REC.size :]
+    return _fold(a, b)[: _FORM_BYTES] + a[_FORM_BYTES :] + b[_FORM_BYTES :]
 
 
 def _grace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema, grace = to_arrow_schema(CLASS), GraceTable(_fold_listing)
     for batch in batches:
         for block, pos, digest, rows, best, best_pos, content in zip(*(batch.column(c).to_pylist() for c in ("rep_block", "rep_pos", "sha256", "rows", "best_id", "best_pos", "content"))):
-            grace.add(digest, content, _REC.pack(best, rows, block, best_pos) + _MEMBER_REP.pack(block, pos))
+            grace.add(digest, content, struct.pack(_FORM, best, rows, block, best_pos) + struct.pack(_REP_FORM, block, pos))
     out = []
     for _, _, record in grace.groups():
-        best, rows, block, pos = _REC.unpack_from(record)
+        best, rows, block, pos = struct.unpack_from(_FORM, record)
         keep = None if best == _NULL_ID else best
-        for rep in _MEMBER_REP.iter_unpack(record[_REC.size :]):
+        for rep in struct.iter_unpack(_REP_FORM, record[_FORM_BYTES :]):
             out.append((*rep, keep, rows, block, pos))
         if len(out) >= 10_000:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
@@ -333,7 +334,7 @@ def dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     sums[e][1:] = [i, pos, row]
             picks: dict[int, tuple[pa.RecordBatch, list]] = {}
             for e, (n, i, pos, (batch, k)) in enumerate(sums):
-                picks.setdefault(id(batch), (batch, []))[1].append((k, seen.digests[e], _REC.pack(i, n, key, pos)))
+                picks.setdefault(id(batch), (batch, []))[1].append((k, seen.digests[e], struct.pack(_FORM, i, n, key, pos)))
             for batch, chosen in picks.values():
                 taken = batch.take(pa.array([k for k, _, _ in chosen]))
                 heads = [pa.array([d for _, d, _ in chosen], pa.binary()), pa.array([r for _, _, r in chosen], pa.binary())]
@@ -353,7 +354,7 @@ def dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 grace.add(digest, content, record + sink.getvalue().to_pybytes())
         rows, size = [], 0
         for _, _, record in grace.groups():
-            with pa.ipc.open_stream(record[_REC.size :]) as r:
+            with pa.ipc.open_stream(record[_FORM_BYTES :]) as r:
                 rows.append(r.read_next_batch())
             size += len(record)
             if len(rows) >= 1000 or size > 8 << 20:

@@ -27,7 +27,7 @@ from .common import table, tagged
 SEED = "atlas-1"
 SHARDS = 8
 #: Rows a window task sorts at a time.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 8_000
 
 
 def stratified_shards(
