@@ -36,8 +36,11 @@ from pyspark.sql import functions as F
 from .common import fit_logistic, in_fold, labelled_sample, logistic, table
 
 WINDOW, STRIDE = 16, 8
-HIDDEN, WORD_DIM, CHAR_DIM, BUCKETS, GRAM = 8, 8, 12, 1 << 13, 5
-PER_CLASS, FIT_CHARS, FIT_WINDOWS, EPOCHS, BATCH_DOCS = 1200, 16_000, 20, 6, 48
+HIDDEN, WORD_DIM, CHAR_DIM, BUCKETS, GRAM = 8, 6, 10, 1 << 16, 5
+PER_CLASS, FIT_CHARS, FIT_WINDOWS, STEPS, BATCH_DOCS = 1200, 16_000, 20, 240, 48
+RATE, EMBEDDING_RATE = 0.02, 0.003
+#: Standard errors beyond which a bucket's odds count, and texts below which a bucket is not learnt.
+SURE, SEEN = 3.0, 3
 THRESHOLD = 0.3
 #: Words whose input gates a worker keeps, and windows run at a time.
 CACHE_WORDS, RUN_WINDOWS = 300_000, 4096
@@ -83,7 +86,7 @@ class Network:
     def __init__(self, seed: int = 7, dtype=np.float32):
         rng, d, h = np.random.default_rng(seed), WORD_DIM + CHAR_DIM, HIDDEN
         draw = lambda *s, k=0.1: (rng.standard_normal(s) * k).astype(dtype)
-        self.p = {"words": draw(BUCKETS, WORD_DIM), "chars": draw(BUCKETS, CHAR_DIM, k=0.3)}
+        self.p = {"words": draw(BUCKETS, WORD_DIM, k=0.05), "chars": draw(BUCKETS, CHAR_DIM, k=0.05)}
         for way in "fb":
             self.p |= {f"W{way}": draw(d, 3 * h, k=0.3), f"U{way}": draw(h, 3 * h, k=0.3), f"b{way}": np.zeros(3 * h, dtype)}
         self.p |= {"attend": draw(2 * h, k=0.3), "out": draw(2 * h, k=0.5), "bias": np.full(1, -4, dtype)}
@@ -169,17 +172,42 @@ def text_loss(logits: np.ndarray, first: np.ndarray, y: np.ndarray) -> tuple[flo
     return float(loss), (np.repeat(by_text, sizes) * _sigmoid(logits)).astype(logits.dtype)
 
 
-def train(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Network:
-    """A network fitted by Adam on whole texts' labels."""
+def evidence(owners: np.ndarray, features: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By bucket: the smoothed log odds of occurring in class 1, 0 where chance explains them, and the number of texts."""
+    pairs = np.unique(features * len(y) + owners)
+    of, by = pairs // len(y), y[pairs % len(y)]
+    n1, n0 = max(1, int((y == 1).sum())), max(1, int((y == 0).sum()))
+    k1, k0 = np.bincount(of[by == 1], minlength=BUCKETS), np.bincount(of[by == 0], minlength=BUCKETS)
+    share = (k1 + k0) / (n1 + n0)
+    z = (k1 / n1 - k0 / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-6)
+    odds = np.log((k1 + 1) / (n1 + 2)) - np.log((k0 + 1) / (n0 + 2))
+    return np.where(np.abs(z) > SURE, np.clip(odds, -3, 3), 0.0), k1 + k0
+
+
+def train(texts: list[str], y: np.ndarray, steps: int = STEPS, seed: int = 7) -> Network:
+    """A network fitted on whole texts' labels by about so many Adam steps, however few texts there are.
+
+    The first dimension of the embeddings starts as the evidence of their bucket, and buckets seen in fewer than
+    ``SEEN`` texts stay at 0, since they could only teach the texts by heart.
+    """
     net, rng = Network(seed), np.random.default_rng(seed)
     vocabulary: dict[str, int] = {}
     coded = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words(t)], np.int64) for t in texts]
     buckets, grams, sizes = encode_words(list(vocabulary) or [""])
     ends = np.cumsum(sizes)
+    distinct = [np.unique(c) for c in coded]
+    owner, used = np.repeat(np.arange(len(texts)), [len(d) for d in distinct]), np.concatenate(distinct)
+    spread = lambda rows: grams[np.repeat(ends[rows] - np.cumsum(sizes[rows]), sizes[rows]) + np.arange(sizes[rows].sum())]
+    live = {}
+    for name, by, features in (("words", owner, buckets[used]), ("chars", np.repeat(owner, sizes[used]), spread(used))):
+        odds, seen = evidence(by, features, y)
+        live[name] = (seen >= SEEN).astype(np.float32)[:, None]
+        net.p[name] *= live[name]
+        net.p[name][:, 0] = odds
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
     batches = max(1, -(-len(texts) // BATCH_DOCS))
-    for _ in range(epochs):
+    for _ in range(max(1, round(steps / batches))):
         for part in np.array_split(rng.permutation(len(texts)), batches):
             rows, first = [], []
             for k in part:
@@ -196,8 +224,7 @@ def train(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = 7)
                 used, at = used[1:], at - 1
             if not len(used):
                 continue
-            own = sizes[used]
-            flat = grams[np.repeat(ends[used] - np.cumsum(own), own) + np.arange(own.sum())]
+            own, flat = sizes[used], spread(used)
             x, gates = net.gates(buckets[used], flat, own)
             logits, saved = net.run(gates, at, keep=True)
             _, d_logits = text_loss(logits, np.array(first), y[part])
@@ -208,18 +235,16 @@ def train(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = 7)
                 d = d_gates[:, base : base + 3 * HIDDEN]
                 g[f"W{way}"], g[f"b{way}"] = x.T @ d, d.sum(0)
                 d_x += d @ net.p[f"W{way}"].T
-            g["words"], g["chars"] = np.zeros_like(net.p["words"]), np.zeros_like(net.p["chars"])
             d_char = np.repeat(d_x[:, WORD_DIM:] / own[:, None].astype(d_x.dtype), own, axis=0)
-            for k in range(WORD_DIM):
-                g["words"][:, k] = np.bincount(buckets[used], d_x[:, k], BUCKETS)
-            for k in range(CHAR_DIM):
-                g["chars"][:, k] = np.bincount(flat, d_char[:, k], BUCKETS)
+            g["words"] = np.column_stack([np.bincount(buckets[used], d_x[:, k], BUCKETS) for k in range(WORD_DIM)]).astype(np.float32) * live["words"]
+            g["chars"] = np.column_stack([np.bincount(flat, d_char[:, k], BUCKETS) for k in range(CHAR_DIM)]).astype(np.float32) * live["chars"]
             step += 1
             for name, grad in g.items():
                 m, v = moments[name]
                 m += 0.1 * (grad - m)
                 v += 0.01 * (grad * grad - v)
-                net.p[name] -= 0.02 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
+                rate = EMBEDDING_RATE if name in live else RATE
+                net.p[name] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
     return net
 
 
