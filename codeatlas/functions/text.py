@@ -249,7 +249,7 @@ def resolve_link(link: Column, servers: list[str]) -> Column:
 
 def empty_array_allocations(c: Column) -> Column:
     """Allocations of arrays without elements that can be seen in the text alone."""
-    return F.regexp_extract_all(c, F.lit(r"(new\s+\w+\s*\[\s*0\s*\]|new\s+\w*\s*\[\s*\]\s*\{\s*\})"), F.lit(1))
+    return F.regexp_extract_all(c, F.lit(r"(new\s+\w+\s*\[\s*0\s*\]|new(?:\s+\w+)?\s*\[\s*\]\s*\{\s*\})"), F.lit(1))
 
 
 def declares_well(c: Column) -> Column:
