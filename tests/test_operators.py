@@ -143,3 +143,29 @@ def test_stream_pairs_as_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.sql("select * from pairs").collect())) == sorted(map(tuple, builds.pair_events(whole).collect()))
+
+
+def test_extraction(spark):
+    from codeatlas.operators import extract as X
+    from codeatlas.operators import spans as S
+
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert [one(X.style(F.lit(c))) for c in ("keyword", "punctuation", "string - verbatim", "new thing")] == ["k", None, "s", "unknownClassification"]
+    assert one(X.script_glyph(F.lit("enum"))) == 18 and one(X.script_glyph(F.lit("?"))) == 195 and one(X.xml_style(F.lit("text"))) is None
+    yes, no = F.lit(True), F.lit(False)
+    kind = lambda base, derived, target="type", w=no, inside=yes: one(X.reference_kind(inside, F.lit(base), F.lit(derived), yes, F.lit(target), w))
+    assert [kind("class", "class"), kind("interface", "interface"), kind("interface", "class"), kind("class", "class", inside=no), kind("class", "class", "field", yes, no)] == [0, 1, 2, 8, 6]
+    assert one(X.link(yes, no, F.lit("x"), yes, F.lit(None), F.lit(None).cast("string"), no)) == "declaration"
+    docs = spark.createDataFrame([(1, "int a;\n  b < c;\n" + "x" * 9000 + " y")], "d int, t string")
+    tokens = spark.createDataFrame([(1, 4, 1), (1, 9, 1), (1, 13, 1), (1, 16 + 9001, 1)], "d int, start int, len int")
+    rows = X.reference_rows(tokens, S.line_starts(docs, "d", "t"), "d").orderBy("start").collect()
+    assert [(r["line"], r["col_start"], r["col_end"]) for r in rows] == [(1, 4, 5), (2, 0, 1), (2, 7, 8), (3, 9001, 9002)]
+    parts = spark.createDataFrame([(1, 0, "a<", None, None), (1, 2, "b", "k", "u")], "d int, start int, text string, style string, href string")
+    assert X.document_html(parts, "d").first()["html"] == 'a&lt;<a href="u"><span class="k">b</span></a>'
+    members = lambda rows: spark.createDataFrame(rows, "type_id string, member_id string, signature string")
+    got = X.implementations(members([("I", "I.m", "m()")]), members([("T", "T.m", "m()"), ("T", "T.n", "n()")]), spark.createDataFrame([("T", "I")], "type_id string, interface_id string"))
+    assert [tuple(r) for r in got.collect()] == [("T", "I", "I.m", "T.m")]
+    named = X.named_references(spark.createDataFrame([("this", "type", "T"), (".ctor", "method", "T")], "to_name string, to_kind string, to_type string"))
+    assert [r["to_name"] for r in named.collect()] == ["T .ctor"]
+    assert one(X.eligible(F.lit("method"), F.lit("a"))) and not one(X.eligible(F.lit("local"), F.lit("a")))
+    assert one(X.reference_url(F.lit("A"), F.lit("B"), F.lit("p.html"), F.lit(3))) == "../../A/p.html#3"
