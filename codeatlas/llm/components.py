@@ -20,6 +20,11 @@ def _star(edges: DataFrame) -> DataFrame:
     return edges.join(least, "u")
 
 
+def _print(edges: DataFrame) -> tuple:
+    """Count and hash sum, which tell whether a table of distinct edges has changed."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges``; component is the least node reachable.
 
@@ -27,18 +32,19 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     """
     pair = edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     pair = written(pair, "edges")
-    # All edges point from a node to a smaller one; done when every target is nobody's source.
+    before = _print(pair)
     for _ in range(rounds):
-        sources = pair.select(F.col("u").alias("v")).distinct()
-        if pair.select("v").distinct().join(sources, "v", "left_semi").isEmpty():
-            if pair.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
-                return pair.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                    pair.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-                )
-        both = written(pair.unionByName(pair.select(F.col("v").alias("u"), F.col("u").alias("v"))), "edges-both")
-        large = _star(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
-        large = written(large.unionByName(_star(both).filter("m < u").select("u", F.col("m").alias("v"))).distinct(), "edges-large")
+        both = pair.unionByName(pair.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        star = _star(both)
+        ups = star.filter("v > u and m < v").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = written(ups.unionByName(star.filter("m < u").select("u", F.col("m").alias("v"))).distinct(), "edges-large")
         small = _star(large)
         moved = small.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         pair = written(moved.distinct(), "edges")
+        after = _print(pair)
+        if after == before:
+            return pair.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+                pair.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+            )
+        before = after
     raise RuntimeError("components did not settle")

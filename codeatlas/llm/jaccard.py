@@ -6,10 +6,13 @@ reaches a threshold, given in hundredths and compared in integers.
 1. A pass over all texts counts their n-grams in a fixed number of hashed counters.
    Any order of the n-grams gives the right pairs; ordering them by these counts,
    the rare ones first, keeps common passages out of the prefixes below.
-2. Documents of equal sets collapse to one class.  A pair that links shares an
-   n-gram among the first ``n - ceil(t n) + 1`` of either set.  Blocks of rows join
-   the classes that share one, and only one row per n-gram and block is shuffled to
-   join the blocks; what hangs together forms a cluster.
+2. Documents of equal sets collapse to one class.  A pair that links shares n-grams
+   among the first ``n - ceil(t n) + 1`` of either set: of the prefix that ends first,
+   all but the few that the pair's sizes let it miss.  Where up to ``PAIRED`` classes
+   share an n-gram, their pairs are counted, and pairs that share too few are out.
+   Where more do, all are tied to the least of them without a list of pairs (within
+   a block of rows before the shuffle), and each class's number of such n-grams counts
+   in favour of its pairs.  What hangs together forms a cluster.
 3. The texts of each cluster meet once.  Their sets, in the same order from its
    other end, so that copies share long paths, go into a path-compressed trie.  Each
    set traverses it; the overlap of a shared path is computed once for all sets
@@ -39,7 +42,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -47,8 +50,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import shuffle_width, table, written
 from .components import components
 
-COUNTER_BITS = 20
-SLICE_BITS = 14
+COUNTER_BITS = 22
+SLICE_BITS = 16
+#: Classes that may share an n-gram for their pairs to be counted; beyond it they are tied to the least of them.
+PAIRED = 16
 #: N-grams of one trie, and prefix n-grams of one block of rows.
 GROUP_TOKENS, BLOCK_TOKENS = 3_000_000, 2_000_000
 CACHE_WORDS = 250_000
@@ -149,6 +154,7 @@ SETS = T.StructType(
         T.StructField("n_shingles", T.LongType()),
         T.StructField("digest", T.BinaryType()),
         T.StructField("node", T.LongType()),
+        T.StructField("last", T.LongType()),
         T.StructField("prefix", T.BinaryType()),
     ]
 )
@@ -163,16 +169,21 @@ def _sets(texts: DataFrame, n: int, percent: int, classes: np.ndarray) -> DataFr
                 keys = ordered(shingles(text, n), classes)
                 digest = xxhash.xxh3_128_digest(keys.tobytes()) if len(keys) else None
                 node = int.from_bytes(digest[:8], "big", signed=True) if digest else None
-                out.append((doc, len(keys), digest, node, keys[: prefix_length(len(keys), percent)].tobytes()))
+                prefix = keys[: prefix_length(len(keys), percent)]
+                last = int(prefix[-1]) - (1 << 63) if len(prefix) else None  # signed numbers in the order of the keys
+                out.append((doc, len(keys), digest, node, last, prefix.tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     return texts.mapInArrow(make, SETS)
 
 
-def _meetings(sets: DataFrame, edges: bool) -> DataFrame:
-    """Per block of rows: its n-grams with their least node, or (edges) the other nodes tied to it."""
-    names = ("a", "b") if edges else ("key", "a")
+def _meetings(sets: DataFrame, ties: bool) -> DataFrame:
+    """Per block of rows: n-grams with the classes that have them, or (ties) the classes of crowded n-grams with the least.
+
+    An n-gram that more than ``PAIRED`` classes of the block have goes on with its least class only, and how many it stands for.
+    """
+    names = ("a", "b") if ties else ("key", "a", "n")
     out = T.StructType([T.StructField(c, T.LongType()) for c in names])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,13 +194,16 @@ def _meetings(sets: DataFrame, edges: bool) -> DataFrame:
             owner = np.repeat(np.array(nodes, np.int64), [len(p) // 8 for p in prefixes])
             order = np.lexsort((owner, keys))
             keys, owner = keys[order], owner[order]
-            first = np.r_[True, keys[1:] != keys[:-1]]
-            if edges:
-                lead = owner[np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))]
-                pairs = np.unique(np.column_stack([lead, owner])[lead != owner], axis=0)
-                columns = (pairs[:, 0], pairs[:, 1])
+            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            sizes = np.diff(np.r_[first, len(keys)])
+            crowded = np.repeat(sizes > PAIRED, sizes)
+            lead = np.repeat(owner[first], sizes)
+            if ties:
+                columns = (lead[crowded], owner[crowded])
             else:
-                columns = (keys[first], owner[first])
+                sole = ~crowded
+                sole[first] = True
+                columns = (keys[sole], owner[sole], np.where(crowded, np.repeat(sizes, sizes), 1)[sole])
             for k in range(0, len(columns[0]), 200_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 200_000], pa.int64()) for c in columns], schema=schema)
 
@@ -209,14 +223,30 @@ def _meetings(sets: DataFrame, edges: bool) -> DataFrame:
     return sets.filter("n_shingles > 0").select("node", "prefix").mapInArrow(meet, out)
 
 
-def _clusters(sets: DataFrame) -> DataFrame:
-    """(node, cluster): classes that hang together by shared prefix n-grams."""
-    from pyspark.sql import Window
-
-    keyed = _meetings(sets, False).withColumn("lead", F.min("a").over(Window.partitionBy("key")))
-    across = keyed.filter("a > lead").select(F.col("lead").alias("a"), F.col("a").alias("b"))
-    edges = _meetings(sets, True).unionByName(across)
-    return components(edges, "a", "b").select("node", F.col("component").alias("cluster"))
+def _clusters(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, cluster): classes that may link, directly or through others."""
+    by_key = Window.partitionBy("key")
+    keyed = _meetings(sets, False).withColumn("total", F.sum("n").over(by_key)).withColumn("lead", F.min("a").over(by_key)).filter("total > 1")
+    keyed = written(keyed, "jaccard-shared")
+    inside = written(_meetings(sets, True), "jaccard-crowded")
+    crowded = keyed.filter(F.col("total") > PAIRED)
+    ties = inside.unionByName(crowded.select(F.col("lead").alias("a"), F.col("a").alias("b")))
+    # A class alone in its block's row was not counted there.
+    often = inside.select("b").unionByName(crowded.filter("n = 1").select(F.col("a").alias("b"))).groupBy(F.col("b").alias("node")).agg(F.count(F.lit(1)).alias("often"))
+
+    few = keyed.filter(F.col("total") <= PAIRED).groupBy("key").agg(F.array_sort(F.collect_set("a")).alias("m")).filter("size(m) > 1")
+    pairs = few.select(F.explode("m").alias("x"), "m").select("x", F.explode(F.filter("m", lambda y: y > F.col("x"))).alias("y"))
+    shared = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"))
+    facts = sets.filter("n_shingles > 0").groupBy("node", "n_shingles", "last").agg(F.count(F.lit(1)).alias("_")).drop("_")
+    facts = written(facts.join(often, "node", "left").withColumn("often", F.coalesce("often", F.lit(0))), "jaccard-facts")
+    of = lambda s: facts.select(F.col("node").alias(s), F.col("n_shingles").alias(f"n{s}"), F.col("last").alias(f"last{s}"), F.col("often").alias(f"often{s}"))
+    known = shared.join(of("x"), "x").join(of("y"), "y")
+    overlap = F.expr(f"({percent} * (nx + ny) + {99 + percent}) div {100 + percent}")
+    prefix = lambda n: F.expr(f"{n} - (({percent} * {n} + 99) div 100) + 1")
+    need = F.when(F.col("lasty") <= F.col("lastx"), prefix("ny") - F.col("ny") + overlap).otherwise(prefix("nx") - F.col("nx") + overlap)
+    sized = F.expr(f"{percent} * greatest(nx, ny) <= 100 * least(nx, ny)")
+    likely = known.filter(sized & (F.col("c") + F.least("oftenx", "ofteny") >= need)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return components(ties.unionByName(likely), "a", "b").select("node", F.col("component").alias("cluster"))
 
 
 # ---------------------------------------------------------------- the trie
@@ -363,7 +393,7 @@ def join_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     reps = written(
         sets.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("node").alias("node")), "jaccard-classes"
     )
-    clusters = _clusters(sets)
+    clusters = _clusters(sets, percent)
     members = written(reps.filter(F.col("rep").isNotNull()).join(clusters, "node").select("digest", "rep", "n", "cluster"), "jaccard-members")
     # Groups of tries: a cluster, or the pairs of a large cluster's blocks.
     sizes = members.groupBy("cluster").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("docs")).filter("docs > 1")
