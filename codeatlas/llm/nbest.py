@@ -6,10 +6,11 @@ exact heuristics for an A-star search from the end backwards, which therefore ta
 out complete segmentations best first and follows no path that is not among the N
 best.
 
-White space marks begin pieces and never stand inside them, so the lattice of a text
-is a chain of the lattices of its words.  Words are searched once and kept in a
-bounded cache; the chain's N best combine the words' alternatives, of which only
-those with the N - 1 least losses can take part.  The work per word of text is a
+White space marks begin pieces and never stand inside them, and no piece reaches over
+two neighbouring characters that the vocabulary has nowhere side by side, so the
+lattice of a text is a chain of the lattices of such parts.  Parts are searched once
+and kept in a bounded cache; the chain's N best combine the parts' alternatives, of
+which only those with the N - 1 least losses can take part.  The work per word of text is a
 look-up, and nothing is held but the text itself.  It is a map without a shuffle.
 
 Scores: the vocabulary file is one of merges and carries ranks, not probabilities; a
@@ -28,7 +29,7 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
+import struct
 from bisect import insort
 from collections.abc import Iterator
 
@@ -43,7 +44,8 @@ from .common import table
 
 MODEL_FILE = "piece_bpe_32k.model"
 N_BEST = 4
-CACHE_WORDS = 200_000
+#: Words, and parts of words, that a worker keeps; and those of whose other segmentations.
+CACHE_WORDS, KNOWN_WORDS = 400_000, 20_000
 MARK = "▁"
 
 
@@ -57,8 +59,11 @@ class Lattice:
         model = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path(MODEL_FILE))
         size = model.get_piece_size()
         self.surface: list[bytes] = [b""] * size
-        self.pieces: dict[str, tuple[int, float]] = {}
+        #: What begins a piece, and (ids, score) where it is one.
+        self.pieces: dict[str, tuple[tuple[int], float] | None] = {}
         self.bytes: list[int] = [0] * 256
+        #: Neighbouring characters that some piece holds; a text can be cut between any others.
+        self.joined: set[str] = set()
         norm = math.log(math.log(size) + 0.5772)
         for i in range(size):
             piece = model.id_to_piece(i)
@@ -67,34 +72,54 @@ class Lattice:
                 self.surface[i] = bytes([value])
             elif not (model.is_control(i) or model.is_unknown(i)):
                 rank = min(-model.get_score(i), size)
-                self.pieces[piece] = (i, -math.log(rank + 2) - norm)
+                for k in range(1, len(piece)):
+                    self.pieces.setdefault(piece[:k], None)
+                    self.joined.add(piece[k - 1 : k + 1])
+                self.pieces[piece] = ((i,), -math.log(rank + 2) - norm)
                 self.surface[i] = piece.encode()
         self.byte_score = -math.log(4 * size) - norm
-        self.longest = max(map(len, self.pieces))
-
-    def arcs(self, word: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
-        """By end position: (start, ids, score)."""
-        ending: list[list[tuple[int, tuple[int, ...], float]]] = [[] for _ in range(len(word) + 1)]
-        for start in range(len(word)):
-            for end in range(start + 1, min(len(word), start + self.longest) + 1):
-                if found := self.pieces.get(word[start:end]):
-                    ending[end].append((start, found[:1], found[1]))
-            if word[start] not in self.pieces:
+
+    def cut(self, word: str) -> list[str]:
+        """Parts between which no piece reaches, so that their lattices are independent."""
+        at, out = 0, []
+        for k in range(1, len(word)):
+            if word[k - 1 : k + 1] not in self.joined:
+                out.append(word[at:k])
+                at = k
+        out.append(word[at:])
+        return out
+
+    def forward(self, word: str) -> tuple[list[list[tuple[int, tuple[int, ...], float]]], list[float]]:
+        """Arcs (start, ids, score) by their end, and the best score of reaching each position."""
+        n, pieces = len(word), self.pieces
+        ending: list[list[tuple[int, tuple[int, ...], float]]] = [[] for _ in range(n + 1)]
+        best = [0.0] + [-math.inf] * n
+        for start in range(n):
+            so_far = best[start]
+            for end in range(start + 1, n + 1):
+                piece = word[start:end]
+                if piece not in pieces:
+                    break
+                if found := pieces[piece]:
+                    score = found[1]
+                    ending[end].append((start, found[0], score))
+                    if so_far + score > best[end]:
+                        best[end] = so_far + score
+            if not pieces.get(word[start]):
                 raw = word[start].encode("utf-8", "surrogatepass")
-                ending[start + 1].append((start, tuple(self.bytes[b] for b in raw), self.byte_score * len(raw)))
-        return ending
+                score = self.byte_score * len(raw)
+                ending[start + 1].append((start, tuple([self.bytes[x] for x in raw]), score))
+                best[start + 1] = max(best[start + 1], so_far + score)
+        return ending, best
 
     def n_best(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """(score, ids) of the ``n`` best segmentations, best first; fewer if there are fewer."""
-        ending = self.arcs(word)
-        best = [0.0] + [-math.inf] * len(word)
-        for end in range(1, len(word) + 1):
-            best[end] = max(score + best[start] for start, _, score in ending[end])
+        ending, best = self.forward(word)
         # The agenda holds (estimate of the whole, number, position, score so far, ids behind as a chain).  Estimates are
         # exact and agenda entries stand for different segmentations, so entries beyond those still wanted can be dropped.
         agenda: list[tuple] = [(-best[-1], 0, len(word), 0.0, None)]
         number, out = 0, []
-        while agenda and len(out) < n:
+        while agenda:
             _, _, at, score, chain = agenda.pop(0)
             if at == 0:
                 ids: list[int] = []
@@ -102,14 +127,20 @@ class Lattice:
                     ids += chain[0]
                     chain = chain[1]
                 out.append((score, tuple(ids)))
+                if len(out) == n:
+                    break
                 continue
             wanted = n - len(out)
-            for start, ids, arc in ending[at]:
-                estimate = -(score + arc + best[start])
-                if len(agenda) < wanted or estimate < agenda[-1][0]:
+            for start, piece, arc in ending[at]:
+                total = score + arc
+                estimate = -(total + best[start])
+                if len(agenda) < wanted:
                     number += 1
-                    insort(agenda, (estimate, number, start, score + arc, (ids, chain)))
-                    del agenda[wanted:]
+                    insort(agenda, (estimate, number, start, total, (piece, chain)))
+                elif estimate < agenda[-1][0]:
+                    number += 1
+                    agenda.pop()
+                    insort(agenda, (estimate, number, start, total, (piece, chain)))
         return out
 
     def decode(self, ids) -> str:
@@ -118,6 +149,99 @@ class Lattice:
         return text[1:] if text.startswith(" ") else text
 
 
+#: What is kept of a part or word: the best's score, what the second best loses, pieces and ids of the best.
+Entry = tuple[float, float, int, bytes]
+#: Another segmentation: what it loses, its ids, and how many pieces more it has.
+Other = tuple[float, bytes, int]
+
+
+def pack(ids) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def ways(losses, others, n: int) -> list[tuple[float, tuple[tuple[int, Other], ...]]]:
+    """The ``n`` least losses of a chain of parts, each with its changes (part, other) against the best.
+
+    Only parts with the n - 1 least losses of their second best can change, and only for them ``others`` is asked.
+    """
+    few = min(n - 1, len(losses))
+    if not few:
+        return [(0.0, ())]
+    limit = sorted(losses)[few - 1] if len(losses) < 64 else float(np.partition(np.array(losses), few - 1)[few - 1])
+    where = [p for p, x in enumerate(losses) if x < limit]
+    if limit < math.inf:
+        at = -1
+        while len(where) < few:  # ties in text order
+            at = losses.index(limit, at + 1)
+            where.append(at)
+    found: list[tuple[float, tuple[tuple[int, Other], ...]]] = [(0.0, ())]
+    for p in sorted(where):
+        more = [(total + other[0], (*way, (p, other))) for total, way in found for other in others(p)]
+        found = sorted(found + more, key=lambda w: (w[0], [p for p, _ in w[1]]))[:n]
+    return found
+
+
+class Words(dict):
+    """Entries of words, put together from those of their parts; ``lead`` stands before each word."""
+
+    def __init__(self, lattice: Lattice, n: int, lead: str, parts: dict[str, Entry]):
+        super().__init__()
+        self.lattice, self.n, self.lead, self.parts = lattice, n, lead, parts
+        self.known: dict[str, list[Other]] = {}
+
+    def _part(self, part: str) -> Entry:
+        if (entry := self.parts.get(part)) is None:
+            if len(self.parts) > CACHE_WORDS:
+                self.parts.clear()
+            found = self.lattice.n_best(part, 2)
+            self._spells(part, found)
+            best, ids = found[0]
+            entry = self.parts[part] = (best, best - found[1][0] if len(found) > 1 else math.inf, len(ids), pack(ids))
+        return entry
+
+    def _spells(self, part: str, found) -> None:
+        """Every segmentation spells its part, so those of whole texts spell the text."""
+        raw, surface = part.encode("utf-8", "surrogatepass"), self.lattice.surface
+        for _, ids in found:
+            if b"".join([surface[x] for x in ids]) != raw:
+                raise ValueError(f"segmentation of {part!r} spells something else")
+
+    def __missing__(self, text: str) -> Entry:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        entries = [self._part(p) for p in self.lattice.cut(self.lead + text)]
+        if len(entries) == 1:
+            entry = entries[0]
+        else:
+            entry = (sum([e[0] for e in entries]), min([e[1] for e in entries]), sum([e[2] for e in entries]), b"".join([e[3] for e in entries]))
+        if len(text) <= 64:
+            self[text] = entry
+        return entry
+
+    def others(self, text: str) -> list[Other]:
+        """The second to n-th best segmentation of a word."""
+        if (out := self.known.get(text)) is None:
+            parts = self.lattice.cut(self.lead + text)
+            entries = [self._part(p) for p in parts]
+
+            def of(p: int) -> list[Other]:
+                found = self.lattice.n_best(parts[p], self.n)
+                self._spells(parts[p], found)
+                return [(found[0][0] - s, pack(ids), len(ids) - len(found[0][1])) for s, ids in found[1:]]
+
+            out = []
+            for total, way in ways([e[1] for e in entries], of, self.n)[1:]:
+                ids = [e[3] for e in entries]
+                for p, other in way:
+                    ids[p] = other[1]
+                out.append((total, b"".join(ids), sum(other[2] for _, other in way)))
+            if len(self.known) > KNOWN_WORDS:
+                self.known.clear()
+            if len(text) <= 64:
+                self.known[text] = out
+        return out
+
+
 class Encoder:
     """N-best segmentation of whole texts; keeps the words seen."""
 
@@ -125,57 +249,26 @@ class Encoder:
 
     def __init__(self, lattice: Lattice, n: int):
         self.lattice, self.n = lattice, n
-        self.index: dict[str, int] = {}
-        self.clear()
-
-    def clear(self) -> None:
-        self.index.clear()
-        self.score: list[float] = []
-        self.loss: list[float] = []  # of a word's second best
-        self.count: list[int] = []
-        self.ids: list[bytes] = []
-        self.others: list[list[tuple[float, bytes, int]]] = []
-
-    def _add(self, word: str) -> int:
-        found = self.lattice.n_best(word, self.n)
-        k = self.index[word] = len(self.ids)
-        pack = lambda ids: np.array(ids, "<u4").tobytes()
-        self.score.append(found[0][0])
-        self.ids.append(pack(found[0][1]))
-        self.count.append(len(found[0][1]))
-        self.others.append([(found[0][0] - s, pack(i), len(i) - len(found[0][1])) for s, i in found[1:]])
-        self.loss.append(self.others[-1][0][0] if len(found) > 1 else math.inf)
-        return k
+        parts: dict[str, Entry] = {}
+        self.plain, self.marked = Words(lattice, n, "", parts), Words(lattice, n, MARK, parts)
 
     def encode(self, text: str | None) -> list[tuple[float, bytes, int]]:
         """(score, little-endian 32-bit ids, pieces) of the N best segmentations, best first."""
         if not text:
             return [(0.0, b"", 0)]
-        if len(self.index) > CACHE_WORDS:
-            self.clear()
-        listed = self._words.findall(MARK + text.replace(" ", MARK))
-        get = self.index.get
-        at = [k if (k := get(w)) is not None else self._add(w) for w in listed]
-        ids = [self.ids[k] for k in at]
-        best, pieces = math.fsum([self.score[k] for k in at]), sum([self.count[k] for k in at])
-        # The words whose second best loses least, ties in text order.
-        loss = np.array([self.loss[k] for k in at])
-        few = min(self.n - 1, len(loss))
-        limit = np.partition(loss, few - 1)[few - 1] if few else 0.0
-        where = [int(p) for p in np.flatnonzero(loss < limit)]
-        where += [int(p) for p in np.flatnonzero(loss == limit)[: few - len(where)] if loss[p] < math.inf]
-        ways: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
-        for p in sorted(where):
-            more = [(total + other[0], (*way, (p, a))) for total, way in ways for a, other in enumerate(self.others[at[p]])]
-            ways = sorted(ways + more)[: self.n]
-        out = []
-        for total, way in ways:
+        if "  " in text or text[0] == " " or text[-1] == " " or MARK in text:
+            words, listed = self.plain, self._words.findall(MARK + text.replace(" ", MARK))
+        else:
+            words, listed = self.marked, text.split(" ")
+        scores, losses, counts, ids = zip(*map(words.__getitem__, listed))
+        best, pieces, out = math.fsum(scores), sum(counts), []
+        for total, way in ways(losses, lambda p: words.others(listed[p]), self.n):
             changed, extra = ids, 0
             if way:
-                changed = ids.copy()
-                for p, a in way:
-                    _, changed[p], d = self.others[at[p]][a]
-                    extra += d
+                changed = list(ids)
+                for p, other in way:
+                    changed[p] = other[1]
+                    extra += other[2]
             out.append((best - total, b"".join(changed), pieces + extra))
         return out
 
@@ -210,8 +303,8 @@ def segment(docs: DataFrame, n: int = N_BEST, id_col: str = "doc_id", text_col:
         for b in batches:
             out, held = [], 0
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                same = MARK not in (text or "")  # parts are held against their segmentations when they are searched
                 for rank, (score, ids, pieces) in enumerate(coder.encode(text), 1):
-                    same = coder.lattice.decode(np.frombuffer(ids, "<u4").tolist()) == (text or "")
                     out.append((doc, rank, score, ids, pieces, same))
                     held += len(ids)
                 if held > 8 << 20:
