@@ -172,12 +172,16 @@ def text_loss(logits: np.ndarray, first: np.ndarray, y: np.ndarray) -> tuple[flo
     return float(loss), (np.repeat(by_text, sizes) * _sigmoid(logits)).astype(logits.dtype)
 
 
-def evidence(owners: np.ndarray, features: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """By bucket: the smoothed log odds of occurring in class 1, 0 where chance explains them, and the number of texts."""
-    pairs = np.unique(features * len(y) + owners)
-    of, by = pairs // len(y), y[pairs % len(y)]
-    n1, n0 = max(1, int((y == 1).sum())), max(1, int((y == 0).sum()))
-    k1, k0 = np.bincount(of[by == 1], minlength=BUCKETS), np.bincount(of[by == 0], minlength=BUCKETS)
+def evidence(features: Iterator[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By bucket: the smoothed log odds of occurring in class 1, 0 where chance explains them, and the number of texts.
+
+    ``features`` has the buckets of one text after another.
+    """
+    k = np.zeros((2, BUCKETS), np.int64)
+    for buckets, label in zip(features, y):
+        k[label, np.unique(buckets)] += 1
+    n0, n1 = np.maximum(1, np.bincount(y, minlength=2))
+    k0, k1 = k
     share = (k1 + k0) / (n1 + n0)
     z = (k1 / n1 - k0 / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-6)
     odds = np.log((k1 + 1) / (n1 + 2)) - np.log((k0 + 1) / (n0 + 2))
@@ -193,14 +197,15 @@ def train(texts: list[str], y: np.ndarray, steps: int = STEPS, seed: int = 7) ->
     net, rng = Network(seed), np.random.default_rng(seed)
     vocabulary: dict[str, int] = {}
     coded = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words(t)], np.int64) for t in texts]
-    buckets, grams, sizes = encode_words(list(vocabulary) or [""])
+    listed = list(vocabulary) or [""]
+    encoded = [encode_words(listed[k : k + 20_000]) for k in range(0, len(listed), 20_000)]  # in parts, to hold less at a time
+    buckets, grams, sizes = (np.concatenate([e[k] for e in encoded]).astype(np.int32) for k in range(3))
+    del encoded
     ends = np.cumsum(sizes)
-    distinct = [np.unique(c) for c in coded]
-    owner, used = np.repeat(np.arange(len(texts)), [len(d) for d in distinct]), np.concatenate(distinct)
     spread = lambda rows: grams[np.repeat(ends[rows] - np.cumsum(sizes[rows]), sizes[rows]) + np.arange(sizes[rows].sum())]
     live = {}
-    for name, by, features in (("words", owner, buckets[used]), ("chars", np.repeat(owner, sizes[used]), spread(used))):
-        odds, seen = evidence(by, features, y)
+    for name, features in (("words", (buckets[c] for c in coded)), ("chars", (spread(np.unique(c)) for c in coded))):
+        odds, seen = evidence(features, y)
         live[name] = (seen >= SEEN).astype(np.float32)[:, None]
         net.p[name] *= live[name]
         net.p[name][:, 0] = odds
