@@ -59,8 +59,8 @@ class Lattice:
         model = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path(MODEL_FILE))
         size = model.get_piece_size()
         self.surface: list[bytes] = [b""] * size
-        #: What begins a piece, and (ids, score) where it is one.
-        self.pieces: dict[str, tuple[tuple[int], float] | None] = {}
+        #: The pieces as a trie by character; "" leads to the ids and score of the piece that ends there.
+        self.root: dict = {}
         self.bytes: list[int] = [0] * 256
         #: Neighbouring characters that some piece holds; a text can be cut between any others.
         self.joined: set[str] = set()
@@ -72,46 +72,83 @@ class Lattice:
                 self.surface[i] = bytes([value])
             elif not (model.is_control(i) or model.is_unknown(i)):
                 rank = min(-model.get_score(i), size)
-                for k in range(1, len(piece)):
-                    self.pieces.setdefault(piece[:k], None)
-                    self.joined.add(piece[k - 1 : k + 1])
-                self.pieces[piece] = ((i,), -math.log(rank + 2) - norm)
+                self.joined.update(piece[k : k + 2] for k in range(len(piece) - 1))
+                node = self.root
+                for ch in piece:
+                    node = node.setdefault(ch, {})
+                node[""] = ((i,), -math.log(rank + 2) - norm)
                 self.surface[i] = piece.encode()
+        self.single = {ch for ch, node in self.root.items() if "" in node}
         self.byte_score = -math.log(4 * size) - norm
 
     def cut(self, word: str) -> list[str]:
         """Parts between which no piece reaches, so that their lattices are independent."""
-        at, out = 0, []
-        for k in range(1, len(word)):
-            if word[k - 1 : k + 1] not in self.joined:
-                out.append(word[at:k])
-                at = k
-        out.append(word[at:])
-        return out
+        joined = self.joined
+        at = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in joined]
+        return [word[a:b] for a, b in zip([0, *at], [*at, len(word)])] if at else [word]
+
+    def _bytes(self, ch: str) -> tuple[tuple[int, ...], float] | None:
+        """Ids and score of a character that is not a piece."""
+        if ch in self.single:
+            return None
+        raw = ch.encode("utf-8", "surrogatepass")
+        return tuple([self.bytes[x] for x in raw]), self.byte_score * len(raw)
 
     def forward(self, word: str) -> tuple[list[list[tuple[int, tuple[int, ...], float]]], list[float]]:
         """Arcs (start, ids, score) by their end, and the best score of reaching each position."""
-        n, pieces = len(word), self.pieces
+        n = len(word)
         ending: list[list[tuple[int, tuple[int, ...], float]]] = [[] for _ in range(n + 1)]
         best = [0.0] + [-math.inf] * n
         for start in range(n):
-            so_far = best[start]
-            for end in range(start + 1, n + 1):
-                piece = word[start:end]
-                if piece not in pieces:
+            node, end = self.root, start
+            for ch in word[start:]:
+                node = node.get(ch)
+                if node is None:
                     break
-                if found := pieces[piece]:
-                    score = found[1]
-                    ending[end].append((start, found[0], score))
-                    if so_far + score > best[end]:
-                        best[end] = so_far + score
-            if not pieces.get(word[start]):
-                raw = word[start].encode("utf-8", "surrogatepass")
-                score = self.byte_score * len(raw)
-                ending[start + 1].append((start, tuple([self.bytes[x] for x in raw]), score))
-                best[start + 1] = max(best[start + 1], so_far + score)
+                end += 1
+                if "" in node:
+                    ids, score = node[""]
+                    ending[end].append((start, ids, score))
+                    best[end] = max(best[end], best[start] + score)
+            if rare := self._bytes(word[start]):
+                ending[start + 1].append((start, *rare))
+                best[start + 1] = max(best[start + 1], best[start] + rare[1])
         return ending, best
 
+    def two_best(self, word: str) -> tuple[float, float, list[int]]:
+        """The best score, the second best one, and the best's ids: the forward pass alone, before any search."""
+        n, root, single = len(word), self.root, self.single
+        first, second = [0.0] + [-math.inf] * n, [-math.inf] * (n + 1)
+        back: list[tuple[int, tuple[int, ...]] | None] = [None] * (n + 1)
+        for start in range(n):
+            one, two, node, end = first[start], second[start], root, start
+            for ch in word[start:]:
+                node = node.get(ch)
+                if node is None:
+                    break
+                end += 1
+                found = node.get("")
+                if found is not None:
+                    total = one + found[1]
+                    if total > first[end]:
+                        second[end] = max(first[end], two + found[1])
+                        first[end] = total
+                        back[end] = (start, found[0])
+                    elif total > second[end]:
+                        second[end] = total
+            if word[start] not in single:
+                rare = self._bytes(word[start])
+                total, end = one + rare[1], start + 1
+                if total > first[end]:
+                    second[end], first[end], back[end] = max(first[end], two + rare[1]), total, (start, rare[0])
+                elif total > second[end]:
+                    second[end] = total
+        path, at = [], n
+        while at:
+            at, ids = back[at]
+            path.append(ids)
+        return first[n], second[n], [i for ids in reversed(path) for i in ids]
+
     def n_best(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """(score, ids) of the ``n`` best segmentations, best first; fewer if there are fewer."""
         ending, best = self.forward(word)
@@ -193,18 +230,16 @@ class Words(dict):
         if (entry := self.parts.get(part)) is None:
             if len(self.parts) > CACHE_WORDS:
                 self.parts.clear()
-            found = self.lattice.n_best(part, 2)
-            self._spells(part, found)
-            best, ids = found[0]
-            entry = self.parts[part] = (best, best - found[1][0] if len(found) > 1 else math.inf, len(ids), pack(ids))
+            best, second, ids = self.lattice.two_best(part)
+            self._spells(part, ids)
+            entry = self.parts[part] = (best, best - second, len(ids), pack(ids))
         return entry
 
-    def _spells(self, part: str, found) -> None:
+    def _spells(self, part: str, ids) -> None:
         """Every segmentation spells its part, so those of whole texts spell the text."""
-        raw, surface = part.encode("utf-8", "surrogatepass"), self.lattice.surface
-        for _, ids in found:
-            if b"".join([surface[x] for x in ids]) != raw:
-                raise ValueError(f"segmentation of {part!r} spells something else")
+        surface = self.lattice.surface
+        if b"".join([surface[x] for x in ids]) != part.encode("utf-8", "surrogatepass"):
+            raise ValueError(f"segmentation of {part!r} spells something else")
 
     def __missing__(self, text: str) -> Entry:
         if len(self) > CACHE_WORDS:
@@ -225,9 +260,11 @@ class Words(dict):
             entries = [self._part(p) for p in parts]
 
             def of(p: int) -> list[Other]:
-                found = self.lattice.n_best(parts[p], self.n)
-                self._spells(parts[p], found)
-                return [(found[0][0] - s, pack(ids), len(ids) - len(found[0][1])) for s, ids in found[1:]]
+                best, _, count, packed = entries[p]
+                found = [(best - s, pack(ids), len(ids) - count) for s, ids in self.lattice.n_best(parts[p], self.n)]
+                for _, ids, _ in found:
+                    self._spells(parts[p], struct.unpack(f"<{len(ids) // 4}I", ids))
+                return [other for other in found if other[1] != packed][: self.n - 1]  # equals may come in another order
 
             out = []
             for total, way in ways([e[1] for e in entries], of, self.n)[1:]:
