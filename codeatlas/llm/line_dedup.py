@@ -1,6 +1,16 @@
-"""Removal of repeated content-defined chunks of lines.
-
-A rolling hash over the hashes of the last ``SPAN`` lines ends a chunk where its
+"""Removal of repeated passages of lines.
+
+``remove_passages``, which the query runs, needs no boundaries: a line goes if it lies
+in a run of two or more lines, or is a line of over ``LINE_WORDS`` words, that also
+stands earlier, in the order of (id, row, line), without overlapping.  Every such run
+is made of repeated pairs of lines, so pairs and long lines are the units.  A unit's
+key is the digests of its lines; Grace tables compare the complete bytes of all
+distinct lines first, and a digest that ever stood for two different lines takes part
+in no unit.  Every line removed has a copy that stays, but a run may stay in parts:
+where one of its lines goes with an earlier run, that line's copy is elsewhere.  Lines
+are compared without their line break, so a passage that ends a text is found too.
+
+``remove_repeated`` removes content-defined chunks only.  A rolling hash over the hashes of the last ``SPAN`` lines ends a chunk where its
 value is divisible by ``MEAN_LINES``, so that boundaries move with the content: an
 insertion shifts the chunks behind it but does not change them.  Chunks of at least
 ``MIN_LINES`` lines that occur more than once anywhere are removed but for the first
@@ -28,6 +38,7 @@ import hashlib
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -39,7 +50,10 @@ from .common import shuffle_width, table, written
 from .exact_dedup import GraceTable, OpenTable
 
 SPAN, MEAN_LINES, MIN_LINES = 3, 4, 2
-BLOCK_BYTES, BLOCK_CHUNKS = 24 << 20, 50_000
+#: A line of more words than these is a passage by itself.
+LINE_WORDS = 50
+DIGEST_BYTES = 16
+BLOCK_BYTES, BLOCK_CHUNKS, BLOCK_LINES, LINE_TABLE_BYTES = 24 << 20, 50_000, 200_000, 16 << 20
 _BASE, _MASK, _NULL_ID = 0x9E3779B97F4A7C15, (1 << 64) - 1, -(1 << 63)
 
 
@@ -172,9 +186,142 @@ def remove_repeated(docs: DataFrame, min_lines: int = MIN_LINES, span: int = SPA
     return rows.join(removals, "row", "left").select("doc_id", "text", "gone").mapInArrow(clean, schema)
 
 
+def text_lines(text: str | None) -> list[bytes]:
+    """The lines of a text without their line breaks; what follows the last break is a line unless empty."""
+    lines = (text or "").encode("utf-8", "surrogatepass").split(b"\n")
+    return lines if lines[-1] else lines[:-1]
+
+
+def _digest(line: bytes) -> bytes:
+    return hashlib.sha256(line).digest()[:DIGEST_BYTES]
+
+
+LINE = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("content", T.BinaryType())])
+UNIT = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("line", T.LongType()), T.StructField("key", T.BinaryType())])
+CLEAN = T.StructType(
+    [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("removed_chunks", T.LongType()), T.StructField("removed_lines", T.LongType()), T.StructField("clean_text", T.StringType())]
+)
+
+
+def _distinct_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct lines of each block of texts."""
+    schema = to_arrow_schema(LINE)
+
+    def flush(seen: dict[bytes, bytes]) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
+        for content, digest in seen.items():
+            out.append((digest, content))
+            size += len(content) + DIGEST_BYTES
+            if size > 4 << 20:
+                yield _batch(out, schema)
+                out, size = [], 0
+        if out:
+            yield _batch(out, schema)
+
+    seen, held = {}, 0
+    for b in batches:
+        for text in b.column(0).to_pylist():
+            for line in text_lines(text):
+                if line not in seen:
+                    seen[line] = _digest(line)
+                    held += len(line)
+            if held > BLOCK_BYTES or len(seen) > BLOCK_LINES:
+                yield from flush(seen)
+                seen, held = {}, 0
+    yield from flush(seen)
+
+
+def _clashes(batches: Iterator[pa.RecordBatch], table_bytes: int = LINE_TABLE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The digests that stand for more than one line, by complete bytes."""
+    grace, out, known, bucket = GraceTable(lambda old, new: old, table_bytes), [], set(), None
+    for b in batches:
+        for digest, content in zip(*(c.to_pylist() for c in b.columns)):
+            grace.add(digest + digest, content, b"")
+    spilled = grace.files is not None
+    for digest, _, _ in grace.groups():
+        if spilled and (now := grace._bucket(digest)) != bucket:  # a digest has all its lines in one bucket
+            known, bucket = set(), now
+        if digest in known:
+            out.append((digest[:DIGEST_BYTES],))
+        known.add(digest)
+    if out:
+        yield _batch(out, to_arrow_schema(T.StructType([LINE["digest"]])))
+
+
+def _units(batches: Iterator[pa.RecordBatch], clashes: frozenset[bytes], words: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of lines, and long lines, by the number of their first line; the key's size tells them apart."""
+    schema = to_arrow_schema(UNIT)
+
+    def batch() -> pa.RecordBatch:
+        columns = [np.repeat(np.array(c, "i8"), sizes) for c in (rows, docs)]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((*columns, at, keys), schema)], schema=schema)
+
+    rows, docs, sizes, at, keys = [], [], [], [], []
+    for b in batches:
+        for row, doc, text in zip(*(c.to_pylist() for c in b.columns)):
+            lines, before = text_lines(text), len(keys)
+            digests = list(map(_digest, lines))
+            pairs = list(map(bytes.__add__, digests, digests[1:]))
+            keys += pairs
+            at += range(len(pairs))
+            long = [k for k, line in enumerate(lines) if len(line) > 2 * words and len(line.split(None, words)) > words]
+            keys += [digests[k] for k in long]
+            at += long
+            if clashes and not clashes.isdisjoint(digests):
+                sound = [(k, key) for k, key in zip(at[before:], keys[before:]) if key[:DIGEST_BYTES] not in clashes and key[-DIGEST_BYTES:] not in clashes]
+                at[before:], keys[before:] = [k for k, _ in sound], [key for _, key in sound]
+            rows.append(row)
+            docs.append(_NULL_ID if doc is None else doc)
+            sizes.append(len(keys) - before)
+            if len(keys) >= 20_000:
+                yield batch()
+                rows, docs, sizes, at, keys = [], [], [], [], []
+    if keys:
+        yield batch()
+
+
+def _without(text: str | None, pairs: list[int] | None, longs: list[int] | None) -> tuple[int, int, int, str | None]:
+    """(lines, runs removed, lines removed, what stays) of a text whose units at these lines are repeated."""
+    lines = text_lines(text)
+    gone = {*(pairs or ()), *(k + 1 for k in pairs or ()), *(longs or ())}
+    if not gone:
+        return len(lines), 0, 0, text
+    ends = [b"\n"] * (len(lines) - 1) + [b"\n" if text.endswith("\n") else b""]
+    kept = b"".join([line + end for k, (line, end) in enumerate(zip(lines, ends)) if k not in gone])
+    return len(lines), sum(k - 1 not in gone for k in gone), len(gone), kept.decode("utf-8", "surrogatepass")
+
+
+def remove_passages(docs: DataFrame, words: int = LINE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``remove_repeated``, with repeated runs of lines and long lines in place of chunks; a chunk removed is a run."""
+    spark = docs.sparkSession
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    distinct = rows.select("text").mapInArrow(_distinct_lines, LINE).repartition(shuffle_width(spark), "digest")
+    # In practice none; what is left out for them is named in the module's text.
+    clashes = frozenset(bytes(r["digest"]) for r in distinct.mapInArrow(_clashes, T.StructType([LINE["digest"]])).collect())
+
+    units = written(rows.mapInArrow(lambda batches: _units(batches, clashes, words), UNIT), "line-units")
+    first = units.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "row", "line")).alias("first"))
+    first = written(first.filter("n > 1").select("key", F.col("first.row").alias("first_row"), F.col("first.line").alias("first_line")), "line-repeated")
+    pair = F.octet_length("key") == 2 * DIGEST_BYTES
+    met = units.select("row", "line", "key").join(first, "key")
+    later = met.filter((F.col("row") != F.col("first_row")) | (F.col("line") > F.col("first_line") + F.when(pair, 1).otherwise(0)))
+    lists = [F.collect_list(F.when(c, F.col("line"))).alias(name) for name, c in (("pairs", pair), ("longs", ~pair))]
+    removals = written(later.groupBy("row").agg(*lists), "line-removals")
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = to_arrow_schema(CLEAN)
+        for b in batches:
+            out = [(doc, text, *_without(text, pairs, longs)) for doc, text, pairs, longs in zip(*(c.to_pylist() for c in b.columns))]
+            if out:
+                yield _batch(out, schema)
+
+    # The same join at every size: removals grow with the documents.
+    return rows.join(removals.hint("merge"), "row", "left").select("doc_id", "text", "pairs", "longs").mapInArrow(clean, CLEAN)
+
+
 def op10_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without the repeated line chunks: one row per document."""
-    cleaned = remove_repeated(table(spark, sf_dir, "documents"))
+    """Documents without the repeated passages of lines: one row per document."""
+    cleaned = remove_passages(table(spark, sf_dir, "documents"))
     clean = F.coalesce(F.col("clean_text").cast("binary"), F.lit(b""))
     return cleaned.select(
         "doc_id",

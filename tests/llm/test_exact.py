@@ -1,8 +1,11 @@
 """Exact dedup and line chunks against brute force."""
 
 import hashlib
+import itertools
+import random
 from collections import defaultdict
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from codeatlas.llm import exact_dedup as E
@@ -78,3 +81,67 @@ def test_line_chunks(docs, pairs):
     key = lambda x: (x[0], x[1] is not None, x[1] or "")
     assert sorted(((str(r["doc_id"]), r["clean_text"]) for r in got), key=key) == sorted(want, key=key)
     assert sum(r["removed_chunks"] for r in got) > 0
+
+
+def repeated_runs(rows, words):
+    """What stays of each text, by a search of all runs of lines for an earlier copy that does not overlap."""
+    held = [(r["doc_id"], L.text_lines(r["text"]), r["text"]) for r in sorted(rows, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["at"]))]
+    out = []
+    for d, (doc, lines, text) in enumerate(held):
+        gone = set()
+        for e in range(d + 1):
+            for i in range(len(lines)):
+                for j in range(len(held[e][1]) if e < d else i):
+                    n = 0
+                    while i + n < len(lines) and j + n < (len(held[e][1]) if e < d else i) and lines[i + n] == held[e][1][j + n]:
+                        n += 1
+                    if n > 1:
+                        gone |= set(range(i, i + n))
+                    elif n and len(lines[i].split()) > words:
+                        gone.add(i)
+        whole = [x + b"\n" for x in lines]
+        if lines and not text.endswith("\n"):
+            whole[-1] = lines[-1]
+        out.append((str(doc), None if text is None else b"".join(x for k, x in enumerate(whole) if k not in gone).decode(), len(gone)))
+    return out
+
+
+def passages():
+    """Runs of 2 to 8 lines and long lines inside otherwise different texts, at their ends and next to each other."""
+    rng, fresh = random.Random(8), itertools.count()
+    line = lambda n=4: " ".join(f"w{next(fresh)}" for _ in range(n))
+    runs = [[line() for _ in range(n)] for n in range(2, 9)] + [[line(60)], ["common", line(51)], ["", ""], ["x"] * 5, ["\r", "a\rb"]]
+    texts = [None, "", "\n", "x\nx\nx\nx\nx", "only short", "only short", "short\n", "a\nb", "a\nb\n", "b\nc\na\nb"]
+    for _ in range(60):
+        parts = [rng.choice(runs) if rng.random() < 0.5 else [line() for _ in range(rng.randrange(1, 4))] for _ in range(rng.randrange(1, 5))]
+        texts.append("\n".join(x for p in parts for x in p) + rng.choice(["", "\n"]))
+    return [(None if k % 17 == 0 else 100 - k // 2, t) for k, t in enumerate(texts)]
+
+
+def test_repeated_passages(spark, docs, tmp_path):
+    path = str(tmp_path / "d")
+    spark.createDataFrame(passages(), "doc_id long, text string").repartition(4).write.parquet(path)
+    key = lambda x: (x[0], x[1] is not None, x[1] or "")
+    for source in (docs, spark.read.parquet(path)):
+        rows = source.select(F.monotonically_increasing_id().alias("at"), "doc_id", "text").collect()
+        got = [(str(r["doc_id"]), r["clean_text"], r["removed_lines"]) for r in L.remove_passages(source).collect()]
+        assert sorted(got, key=key) == sorted(repeated_runs(rows, L.LINE_WORDS), key=key)
+
+
+def test_query_finds_a_short_passage(spark, tmp_path):
+    """Three lines in the midst of two different texts, which share no chunk."""
+    middle = "one of three\ntwo of three\nthree of three\n"
+    texts = [(1, "\n".join(f"first {k}" for k in range(7)) + "\n" + middle + "end 1"), (2, "\n".join(f"second {k}" for k in range(9)) + "\n" + middle + "end 2")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["removed_lines"], r["removed_chunks"], r["clean_sha256"]) for r in L.op10_line_chunk_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: (3 * (i - 1), i - 1, hashlib.sha256((t if i == 1 else t.replace(middle, "")).encode()).hexdigest()) for i, t in texts}
+
+
+def test_lines_of_one_digest():
+    """Lines that share a digest are told apart by their bytes, and take part in no unit."""
+    same = L._digest(b"a")
+    lines = pa.RecordBatch.from_pydict({"digest": [same, same, same, L._digest(b"c")], "content": [b"a", b"b", b"a", b"c"]})
+    for limit in (1, 1 << 20):
+        assert [b.column(0).to_pylist() for b in L._clashes([lines], limit)] == [[same]]
+    texts = pa.RecordBatch.from_pydict({"row": [0], "doc_id": [None], "text": ["c\na\nc\nd\n"]}, schema=pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string())]))
+    assert [b.column(2).to_pylist() for b in L._units([texts], frozenset([same]), 50)] == [[2]]
