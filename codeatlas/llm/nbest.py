@@ -182,7 +182,7 @@ class Lattice:
 
     def decode(self, ids) -> str:
         """The text of a segmentation: surfaces in a row, marks as spaces, without the leading one."""
-        text = b"".join([self.surface[i] for i in ids]).decode("utf-8", "surrogatepass").replace(MARK, " ")
+        text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "surrogatepass").replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -332,6 +332,35 @@ SEGMENTED = T.StructType(
 )
 
 
+def ranked(coder: Encoder, text: str | None) -> Iterator[tuple[int, float, bytes, int, bool]]:
+    """(rank, score, ids, pieces, whether the ids decode to the text) of the segmentations of a text.
+
+    Ids that spell the bytes of others which decode to the text do so too; where two begin and end alike, what is between tells.
+    """
+    surface, good = coder.lattice.surface, None
+
+    def same(ids: np.ndarray) -> bool:
+        nonlocal good
+        if good is not None:
+            few = min(len(ids), len(good))
+            head = few if not (d := ids[:few] != good[:few]).any() else int(d.argmax())
+            back = (ids[len(ids) - few + head :] != good[len(good) - few + head :])[::-1]
+            tail = len(back) if not back.any() else int(back.argmax())
+            one, two = (b"".join([surface[i] for i in x[head : len(x) - tail].tolist()]) for x in (ids, good))
+            if one == two:
+                return True
+        try:
+            if coder.lattice.decode(ids.tolist()) != (text or ""):
+                return False
+        except UnicodeDecodeError:
+            return False
+        good = ids
+        return True
+
+    for rank, (score, ids, pieces) in enumerate(coder.encode(text), 1):
+        yield rank, score, ids, pieces, same(np.frombuffer(ids, "<u4"))
+
+
 def segment(docs: DataFrame, n: int = N_BEST, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """One row per document and rank (from 1): score, ids (little-endian 32-bit), pieces, and whether they decode to the text."""
 
@@ -340,10 +369,9 @@ def segment(docs: DataFrame, n: int = N_BEST, id_col: str = "doc_id", text_col:
         for b in batches:
             out, held = [], 0
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                same = MARK not in (text or "")  # parts are held against their segmentations when they are searched
-                for rank, (score, ids, pieces) in enumerate(coder.encode(text), 1):
-                    out.append((doc, rank, score, ids, pieces, same))
-                    held += len(ids)
+                for row in ranked(coder, text):
+                    out.append((doc, *row))
+                    held += len(row[2])
                 if held > 8 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
                     out, held = [], 0

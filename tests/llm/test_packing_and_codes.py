@@ -146,6 +146,22 @@ def test_segment(docs, pairs, empty):
     assert {r["n_pieces"] for r in best if r["doc_id"] in (1, 2, 3)} == {0}
 
 
+def test_round_trip_comes_from_the_ids(lattice):
+    """A fault in splicing shows in the rank that has it, and a mark in a text as a space."""
+
+    class Faulty(N.Encoder):
+        def encode(self, text):
+            out = super().encode(text)
+            score, ids, pieces = out[2]
+            return [*out[:2], (score, ids[4:], pieces), *out[3:]]
+
+    text = "the stone is ünder 日本"
+    for coder, want in ((N.Encoder(lattice, 4), [True] * 4), (Faulty(lattice, 4), [True, True, False, True])):
+        assert [r[-1] for r in N.ranked(coder, text)] == want
+    whole = N.Encoder(lattice, 4)
+    assert not any(r[-1] for r in N.ranked(whole, "a▁b")) and [r[-1] for t in (None, "") for r in N.ranked(whole, t)] == [True] * 2
+
+
 def test_shards(docs, empty, pairs):
     rows = sharding.stratified_shards(docs, bucket_rows=5).collect()
     assert len(rows) == len(pairs) and sharding.stratified_shards(empty).count() == 0
