@@ -14,8 +14,9 @@ order depend on the partition alone.  Sequence ids are (partition << 40) + numbe
 Ids are those of ``byte_bpe_50k.json``.  The merges run on the rank file of the same
 vocabulary, several times as fast, and ids of a word with its leading
 space are kept in a bounded cache: a space before a non-space always begins a new
-piece of the splitting pattern, so text cut there encodes part by part.  Special
-tokens inside texts are ordinary text.
+piece of the splitting pattern, so text cut there encodes part by part.  An added
+token of the vocabulary that stands in a text gets its one id, as in the tokenizer;
+``ByteBpe.encode`` alone takes it as ordinary text.
 
 A null text is empty and gives the one id 0.  A null id is carried as null.
 Repeated rows are packed as often as they occur.  Empty tables give no rows.
@@ -41,6 +42,8 @@ from .common import table
 WINDOW = 1024
 CLOSING_ID = 0
 RANK_FILE = "byte_bpe_50k.tiktoken"
+#: The vocabulary's added tokens.
+ADDED = {"<|endoftext|>": 50256}
 CACHE_ENTRIES = 250_000
 
 
@@ -76,6 +79,15 @@ class ByteBpe:
         encoding = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.plain, self.spaced = _Cache(encoding.encode_ordinary, ""), _Cache(encoding.encode_ordinary, " ")
 
+    _added = re.compile("(" + "|".join(map(re.escape, ADDED)) + ")")
+
+    def encode_added(self, text: str) -> bytes:
+        """The ids with those of added tokens, around which the text is encoded part by part."""
+        parts = self._added.split(text)
+        if len(parts) == 1:
+            return self.encode(text)
+        return b"".join([np.array([ADDED[x]], "<u4").tobytes() if k % 2 else self.encode(x) for k, x in enumerate(parts) if x])
+
     def encode(self, text: str) -> bytes:
         if self._odd_space.search(text):
             return b"".join([self.plain[u] for u in self._before_word.split(text) if u])
@@ -195,7 +207,7 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
         base = TaskContext.get().partitionId() << 40
         rows = (pair for b in batches for pair in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
         out: list[tuple] = []
-        for number, pieces in enumerate(pack_rows(rows, window, encoder(folder).encode)):
+        for number, pieces in enumerate(pack_rows(rows, window, encoder(folder).encode_added)):
             offset = 0
             for doc, start, ids, total in pieces:
                 n = len(ids) // 4

@@ -40,6 +40,17 @@ def test_ids_are_the_tokenizers(spark, hugging):
         assert np.frombuffer(coder.encode(t), "<u4").tolist() == hugging(t), repr(t[:50])
 
 
+def test_added_tokens_are_the_tokenizers(spark):
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert P.ADDED == {x.content: i for i, x in t.get_added_tokens_decoder().items()}
+    m = "<|endoftext|>"
+    texts = [*ODD, m, m + m, f" {m}\n", f"a  {m}  b", f"a {m} b", f"{m}{m[:-1]} x{m} \n{m}y"]
+    for x in texts:
+        assert np.frombuffer(P.encoder().encode_added(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, repr(x[:50])
+    [row] = P.pack_documents(spark.createDataFrame([(1, f"x{m}y")], "doc_id long, text string")).collect()
+    assert np.frombuffer(row["ids"], "<u4").tolist() == [87, 50256, 88, 0] and row["doc_tokens"] == 4
+
+
 def check_packing(rows, pairs, hugging, window=P.WINDOW):
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
