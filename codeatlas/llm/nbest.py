@@ -6,18 +6,18 @@ exact heuristics for an A-star search from the end backwards, which therefore ta
 out complete segmentations best first and follows no path that is not among the N
 best.
 
-White space marks begin pieces and never stand inside them, and no piece reaches over
-two neighbouring characters that the vocabulary has nowhere side by side, so the
-lattice of a text is a chain of the lattices of such parts.  Parts are searched once
-and kept in a bounded cache; the chain's N best combine the parts' alternatives, of
-which only those with the N - 1 least losses can take part.  The work per word of text is a
-look-up, and nothing is held but the text itself.  It is a map without a shuffle.
+No piece reaches over two neighbouring characters that the vocabulary has nowhere
+side by side, so the lattice of a text is a chain of the lattices of the parts between
+such pairs.  The forward pass runs over all new parts of a block of texts together, and
+its results are kept in a bounded table.  It gives each part the score of its second
+best path too, from which the chain tells the few parts whose alternatives can matter;
+only these are searched backwards.  It is a map without a shuffle.
 
 Scores: the vocabulary file is one of merges and carries ranks, not probabilities; a
 piece of rank r has the Zipf probability 1 / ((r + 2) H).  A character outside the
 vocabulary becomes its UTF-8 bytes, each less likely than any piece.  Ties are
 broken by the earlier, then the smaller change against the best segmentation, and
-within a word by the order of the search.
+within a part by the order of the search.
 
 A null text is empty: one segmentation with no pieces.  Texts with the white space
 mark U+2581 itself decode to spaces, as with any model of this kind, and say so in
@@ -28,7 +28,6 @@ Empty tables give no rows.  Columns other than the two named are ignored.
 from __future__ import annotations
 
 import math
-import re
 import struct
 from bisect import insort
 from collections.abc import Iterator
@@ -40,12 +39,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import table
+from .common import release, table
 
 MODEL_FILE = "piece_bpe_32k.model"
 N_BEST = 4
-#: Words, and parts of words, that a worker keeps; and those of whose other segmentations.
-CACHE_WORDS, KNOWN_WORDS = 400_000, 20_000
+#: Parts that a worker keeps, their piece ids in all, and parts of whose other segmentations.
+KEPT_PARTS, KEPT_IDS, KNOWN_PARTS = 250_000, 4_000_000, 20_000
+#: Characters of a block of texts, parts looked up at a time, and characters up to which a part is passed with others.
+BLOCK_CHARS, LOOK_UP, TOGETHER = 500_000, 200_000, 32
 MARK = "▁"
 
 
@@ -80,6 +81,35 @@ class Lattice:
                 self.surface[i] = piece.encode()
         self.single = {ch for ch, node in self.root.items() if "" in node}
         self.byte_score = -math.log(4 * size) - norm
+        self._arrays()
+
+    def _arrays(self) -> None:
+        """The trie and the pairs of neighbours as arrays, by classes of characters."""
+        plain, paired = sorted(self.single), sorted({ch for pair in self.joined for ch in pair})
+        of, self.char_class, self.pair_class = {}, np.zeros(0x110000, np.uint16), np.zeros(0x110000, np.uint16)
+        for k, ch in enumerate(plain, 1):
+            of[ch] = self.char_class[ord(ch)] = k
+        for k, ch in enumerate(paired, 1):
+            self.pair_class[ord(ch)] = k
+        self.pairs = np.zeros((len(paired) + 1, len(paired) + 1), bool)
+        for one, two in self.joined:
+            self.pairs[self.pair_class[ord(one)], self.pair_class[ord(two)]] = True
+        self.width = len(plain) + 1
+        nodes, steps, self.piece_score, self.piece_length = [(self.root, 0)], [], np.zeros(len(self.surface)), np.zeros(len(self.surface), np.int64)
+        ends = []
+        for number, (node, depth) in enumerate(nodes):  # grows while it is walked
+            end = node.get("")
+            ends.append(end[0][0] if end else -1)
+            if end:
+                self.piece_score[end[0][0]], self.piece_length[end[0][0]] = end[1], depth
+            for ch, child in node.items():
+                if ch in of:
+                    steps.append((number * self.width + of[ch], len(nodes)))
+                    nodes.append((child, depth + 1))
+        steps.sort()
+        self.node_piece = np.array(ends)
+        self.step_keys = np.array([k for k, _ in steps] + [1 << 62])
+        self.step_nodes = np.array([n for _, n in steps] + [0])
 
     def cut(self, word: str) -> list[str]:
         """Parts between which no piece reaches, so that their lattices are independent."""
@@ -149,6 +179,64 @@ class Lattice:
             path.append(ids)
         return first[n], second[n], [i for ids in reversed(path) for i in ids]
 
+    def two_best_many(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``two_best`` of many parts: best scores, losses of the second best, pieces, and the ids one part after another."""
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        classes = self.char_class[np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        begins = np.cumsum(lengths) - lengths
+        together = (lengths <= TOGETHER) & (np.add.reduceat((classes == 0).astype(np.int64), begins) == 0)
+        rows = np.flatnonzero(together)
+        rows = rows[np.argsort(-lengths[rows], kind="stable")]
+        best, loss, count = np.zeros(len(parts)), np.zeros(len(parts)), np.zeros(len(parts), np.int64)
+        best[rows], loss[rows], count[rows], packed = self._forward_many(classes.astype(np.int64), begins[rows], lengths[rows])
+        owner, ids = [np.repeat(rows, count[rows])], [packed]
+        for k in np.flatnonzero(~together).tolist():
+            best[k], second, found = self.two_best(parts[k])
+            loss[k], count[k] = best[k] - second, len(found)
+            owner.append(np.full(len(found), k))
+            ids.append(np.array(found, np.int64))
+        order = np.argsort(np.concatenate(owner), kind="stable")
+        return best, loss, count, np.concatenate(ids)[order].astype("<u4")
+
+    def _forward_many(self, classes: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The forward pass over many parts side by side, the longest first: one step for each start and each piece length."""
+        n, size = len(lengths), int(lengths[0]) if len(lengths) else 0
+        first, second, back = np.full((size + 1, n), -np.inf), np.full((size + 1, n), -np.inf), np.zeros((size + 1, n), np.int64)
+        first[0] = 0
+        reach = [int(np.count_nonzero(lengths >= k)) for k in range(size + 1)]  # the rows that have so many characters come first
+        for start in range(size):
+            at, node = np.arange(reach[start + 1]), np.zeros(reach[start + 1], np.int64)
+            for end in range(start + 1, size + 1):
+                few = int(np.searchsorted(at, reach[end]))
+                at, node = at[:few], node[:few]
+                key = node * self.width + classes[begins[at] + end - 1]
+                step = np.searchsorted(self.step_keys, key)
+                found = self.step_keys[step] == key
+                at, node = at[found], self.step_nodes[step[found]]
+                if not len(at):
+                    break
+                piece = self.node_piece[node]
+                ends = piece >= 0
+                row, piece = at[ends], piece[ends]
+                score = self.piece_score[piece]
+                total, was, other = first[start, row] + score, first[end, row], second[end, row]
+                better = total > was
+                second[end, row] = np.where(better, np.maximum(was, second[start, row] + score), np.maximum(other, total))
+                first[end, row] = np.where(better, total, was)
+                back[end, row[better]] = piece[better]
+        at, every = lengths.copy(), np.arange(n)
+        best, loss, row, steps = first[at, every], first[at, every] - second[at, every], every, []
+        while len(row):
+            piece = back[at, row]
+            steps.append((row, piece))
+            at = at - self.piece_length[piece]
+            row, at = row[at > 0], at[at > 0]
+        if not steps:
+            return best, loss, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        owner = np.concatenate([r for r, _ in reversed(steps)])
+        order = np.argsort(owner, kind="stable")
+        return best, loss, np.bincount(owner, minlength=n), np.concatenate([p for _, p in reversed(steps)])[order]
+
     def n_best(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """(score, ids) of the ``n`` best segmentations, best first; fewer if there are fewer."""
         ending, best = self.forward(word)
@@ -186,9 +274,7 @@ class Lattice:
         return text[1:] if text.startswith(" ") else text
 
 
-#: What is kept of a part or word: the best's score, what the second best loses, pieces and ids of the best.
-Entry = tuple[float, float, int, bytes]
-#: Another segmentation: what it loses, its ids, and how many pieces more it has.
+#: Another segmentation of a part: what it loses, its ids, and how many pieces more it has.
 Other = tuple[float, bytes, int]
 
 
@@ -196,21 +282,18 @@ def pack(ids) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-def ways(losses, others, n: int) -> list[tuple[float, tuple[tuple[int, Other], ...]]]:
-    """The ``n`` least losses of a chain of parts, each with its changes (part, other) against the best.
+def ways(losses: np.ndarray, others, n: int) -> list[tuple[float, tuple[tuple[int, Other], ...]]]:
+    """The ``n`` least losses of a chain of parts, each with its changes (part, other) against the best, in text order.
 
     Only parts with the n - 1 least losses of their second best can change, and only for them ``others`` is asked.
     """
     few = min(n - 1, len(losses))
     if not few:
         return [(0.0, ())]
-    limit = sorted(losses)[few - 1] if len(losses) < 64 else float(np.partition(np.array(losses), few - 1)[few - 1])
-    where = [p for p, x in enumerate(losses) if x < limit]
-    if limit < math.inf:
-        at = -1
-        while len(where) < few:  # ties in text order
-            at = losses.index(limit, at + 1)
-            where.append(at)
+    limit = np.partition(losses, few - 1)[few - 1]
+    where = np.flatnonzero(losses < limit).tolist()
+    if limit < math.inf:  # ties in text order
+        where += np.flatnonzero(losses == limit)[: few - len(where)].tolist()
     found: list[tuple[float, tuple[tuple[int, Other], ...]]] = [(0.0, ())]
     for p in sorted(where):
         more = [(total + other[0], (*way, (p, other))) for total, way in found for other in others(p)]
@@ -218,95 +301,83 @@ def ways(losses, others, n: int) -> list[tuple[float, tuple[tuple[int, Other], .
     return found
 
 
-class Words(dict):
-    """Entries of words, put together from those of their parts; ``lead`` stands before each word."""
+class Encoder:
+    """N-best segmentation of whole texts; keeps the parts seen."""
 
-    def __init__(self, lattice: Lattice, n: int, lead: str, parts: dict[str, Entry]):
-        super().__init__()
-        self.lattice, self.n, self.lead, self.parts = lattice, n, lead, parts
+    def __init__(self, lattice: Lattice, n: int):
+        self.lattice, self.n = lattice, n
         self.known: dict[str, list[Other]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop what is kept of parts."""
+        self.known.clear()
+        self.index: dict[str, int] = {}
+        self.best, self.loss, self.count, self.start, self.ids = np.zeros(0), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def _numbers(self, whole: str, bounds: np.ndarray) -> np.ndarray:
+        """The rows of the parts of ``whole`` in the table, new ones added."""
+        if len(self.index) > KEPT_PARTS or len(self.ids) > KEPT_IDS:
+            self.forget()
+        out = np.empty(len(bounds) - 1, np.int64)
+        for k in range(0, len(out), LOOK_UP):
+            at = bounds[k : k + LOOK_UP + 1].tolist()
+            parts = [whole[a:b] for a, b in zip(at, at[1:])]
+            if fresh := list(set(parts).difference(self.index)):
+                best, loss, count, ids = self.lattice.two_best_many(fresh)
+                self.index.update(zip(fresh, range(len(self.best), len(self.best) + len(fresh))))
+                self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(count) - count])
+                self.best, self.loss, self.count, self.ids = (np.concatenate(x) for x in ((self.best, best), (self.loss, loss), (self.count, count), (self.ids, ids)))
+            out[k : k + len(parts)] = np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts))
+        return out
 
-    def _part(self, part: str) -> Entry:
-        if (entry := self.parts.get(part)) is None:
-            if len(self.parts) > CACHE_WORDS:
-                self.parts.clear()
-            best, second, ids = self.lattice.two_best(part)
-            self._spells(part, ids)
-            entry = self.parts[part] = (best, best - second, len(ids), pack(ids))
-        return entry
-
-    def _spells(self, part: str, ids) -> None:
-        """Every segmentation spells its part, so those of whole texts spell the text."""
-        surface = self.lattice.surface
-        if b"".join([surface[x] for x in ids]) != part.encode("utf-8", "surrogatepass"):
-            raise ValueError(f"segmentation of {part!r} spells something else")
-
-    def __missing__(self, text: str) -> Entry:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        entries = [self._part(p) for p in self.lattice.cut(self.lead + text)]
-        if len(entries) == 1:
-            entry = entries[0]
-        else:
-            entry = (sum([e[0] for e in entries]), min([e[1] for e in entries]), sum([e[2] for e in entries]), b"".join([e[3] for e in entries]))
-        if len(text) <= 64:
-            self[text] = entry
-        return entry
-
-    def others(self, text: str) -> list[Other]:
-        """The second to n-th best segmentation of a word."""
-        if (out := self.known.get(text)) is None:
-            parts = self.lattice.cut(self.lead + text)
-            entries = [self._part(p) for p in parts]
-
-            def of(p: int) -> list[Other]:
-                best, _, count, packed = entries[p]
-                found = [(best - s, pack(ids), len(ids) - count) for s, ids in self.lattice.n_best(parts[p], self.n)]
-                for _, ids, _ in found:
-                    self._spells(parts[p], struct.unpack(f"<{len(ids) // 4}I", ids))
-                return [other for other in found if other[1] != packed][: self.n - 1]  # equals may come in another order
-
-            out = []
-            for total, way in ways([e[1] for e in entries], of, self.n)[1:]:
-                ids = [e[3] for e in entries]
-                for p, other in way:
-                    ids[p] = other[1]
-                out.append((total, b"".join(ids), sum(other[2] for _, other in way)))
-            if len(self.known) > KNOWN_WORDS:
+    def others(self, part: str) -> list[Other]:
+        """The second to n-th best segmentation of a part."""
+        if (out := self.known.get(part)) is None:
+            k = self.index[part]
+            best, ids = self.best[k], self.ids[self.start[k] : self.start[k] + self.count[k]].tobytes()
+            found = [(float(best - s), pack(other), len(other) - int(self.count[k])) for s, other in self.lattice.n_best(part, self.n)]
+            out = [other for other in found if other[1] != ids][: self.n - 1]  # equals may come in another order
+            if len(self.known) > KNOWN_PARTS:
                 self.known.clear()
-            if len(text) <= 64:
-                self.known[text] = out
+            if len(part) <= 64:
+                self.known[part] = out
         return out
 
-
-class Encoder:
-    """N-best segmentation of whole texts; keeps the words seen."""
-
-    _words = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-
-    def __init__(self, lattice: Lattice, n: int):
-        self.lattice, self.n = lattice, n
-        parts: dict[str, Entry] = {}
-        self.plain, self.marked = Words(lattice, n, "", parts), Words(lattice, n, MARK, parts)
-
     def encode(self, text: str | None) -> list[tuple[float, bytes, int]]:
         """(score, little-endian 32-bit ids, pieces) of the N best segmentations, best first."""
-        if not text:
-            return [(0.0, b"", 0)]
-        if "  " in text or text[0] == " " or text[-1] == " " or MARK in text:
-            words, listed = self.plain, self._words.findall(MARK + text.replace(" ", MARK))
-        else:
-            words, listed = self.marked, text.split(" ")
-        scores, losses, counts, ids = zip(*map(words.__getitem__, listed))
-        best, pieces, out = math.fsum(scores), sum(counts), []
-        for total, way in ways(losses, lambda p: words.others(listed[p]), self.n):
-            changed, extra = ids, 0
-            if way:
-                changed = list(ids)
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str | None]) -> list[list[tuple[float, bytes, int]]]:
+        """``encode`` of each text of a block."""
+        marked = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
+        whole, ends = "".join(marked), np.cumsum([len(m) for m in marked])
+        if not whole:
+            return [[(0.0, b"", 0)] for _ in texts]
+        c = self.lattice.pair_class[np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        apart = ~self.lattice.pairs[c[:-1], c[1:]]
+        apart[ends[(ends > 0) & (ends < len(whole))] - 1] = True
+        bounds = np.concatenate([[0], np.flatnonzero(apart) + 1, [len(whole)]])
+        rows = self._numbers(whole, bounds)
+        count, losses, scores = self.count[rows], self.loss[rows], self.best[rows]
+        stops = np.cumsum(count)
+        ids = self.ids[np.repeat(self.start[rows] - stops + count, count) + np.arange(stops[-1])].tobytes()
+        out, a = [], 0
+        for b in np.searchsorted(bounds, ends).tolist():
+            if a == b:
+                out.append([(0.0, b"", 0)])
+                continue
+            best, found = math.fsum(scores[a:b].tolist()), []
+            begin, end = int(stops[a] - count[a]), int(stops[b - 1])
+            for total, way in ways(losses[a:b], lambda p: self.others(whole[bounds[a + p] : bounds[a + p + 1]]), self.n):
+                spliced, at, extra = [], begin, 0
                 for p, other in way:
-                    changed[p] = other[1]
-                    extra += other[2]
-            out.append((best - total, b"".join(changed), pieces + extra))
+                    spliced += (ids[4 * at : 4 * int(stops[a + p] - count[a + p])], other[1])
+                    at, extra = int(stops[a + p]), extra + other[2]
+                spliced.append(ids[4 * at : 4 * end])
+                found.append((best - total, b"".join(spliced), end - begin + extra))
+            out.append(found)
+            a = b
         return out
 
 
@@ -332,8 +403,8 @@ SEGMENTED = T.StructType(
 )
 
 
-def ranked(coder: Encoder, text: str | None) -> Iterator[tuple[int, float, bytes, int, bool]]:
-    """(rank, score, ids, pieces, whether the ids decode to the text) of the segmentations of a text.
+def ranked(coder: Encoder, text: str | None, found: list[tuple[float, bytes, int]] | None = None) -> Iterator[tuple[int, float, bytes, int, bool]]:
+    """(rank, score, ids, pieces, whether the ids decode to the text) of the segmentations of a text (``found``, if they are known).
 
     Ids that spell the bytes of others which decode to the text do so too; where two begin and end alike, what is between tells.
     """
@@ -357,7 +428,7 @@ def ranked(coder: Encoder, text: str | None) -> Iterator[tuple[int, float, bytes
         good = ids
         return True
 
-    for rank, (score, ids, pieces) in enumerate(coder.encode(text), 1):
+    for rank, (score, ids, pieces) in enumerate(coder.encode(text) if found is None else found, 1):
         yield rank, score, ids, pieces, same(np.frombuffer(ids, "<u4"))
 
 
@@ -366,17 +437,23 @@ def segment(docs: DataFrame, n: int = N_BEST, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema, coder = to_arrow_schema(SEGMENTED), encoder(path, n)
+
+        def block(docs: list[tuple[int | None, str | None]]) -> pa.RecordBatch:
+            found = coder.encode_many([t for _, t in docs])
+            out = [(doc, *row) for (doc, text), f in zip(docs, found) for row in ranked(coder, text, f)]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+        held, chars = [], 0
         for b in batches:
-            out, held = [], 0
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for row in ranked(coder, text):
-                    out.append((doc, *row))
-                    held += len(row[2])
-                if held > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
-                    out, held = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                held.append((doc, text))
+                chars += len(text or "") + 20
+                if chars > BLOCK_CHARS:
+                    yield block(held)
+                    held, chars = [], 0
+        if held:
+            yield block(held)
+        release(coder.forget)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SEGMENTED)
 
