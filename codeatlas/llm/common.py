@@ -6,10 +6,11 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..runtime import ship
@@ -20,21 +21,48 @@ _LOCAL_BASE: str | None = None
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the setting is missing (local tests) a folder of this process is
-    used, since driver and executors are then the same machine.
+    Only where the setting is missing and the master is local (tests) a folder of this
+    process is used, since driver and executors are then the same machine.
     """
     global _LOCAL_BASE
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if _LOCAL_BASE is None:
             _LOCAL_BASE = tempfile.mkdtemp(prefix="codeatlas-")
         base = "file://" + _LOCAL_BASE
     return base.rstrip("/")
 
 
+#: The folders that each open ``scratch`` has seen made.
+_MADE: list[list[str]] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/codeatlas-{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_dir(spark)}/codeatlas-{uuid.uuid4().hex}"
+    for made in _MADE:
+        made.append(folder)
+    return f"{folder}/{name}"
+
+
+def discard(spark: SparkSession, folders: list[str]) -> None:
+    """Delete folders of intermediate tables, by the file system they are on."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch():
+    """Collects the folders that are made inside; whoever has written what was read from them can ``discard`` them."""
+    made: list[str] = []
+    _MADE.append(made)
+    try:
+        yield made
+    finally:
+        _MADE.remove(made)
 
 
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -96,25 +124,29 @@ def labelled_sample(
     label: str,
     usable: Column,
     per_class: int,
-    max_chars: int,
+    fit_bytes: int,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> tuple[list[tuple[int, str]], dict[int, int]]:
-    """(label, text) of at most ``per_class`` labelled documents a class, and the labelled rows by class.
+    """(label, whole text) of at most ``per_class`` labelled documents a class, and the labelled documents by class.
 
     ``usable`` is a condition on ``doc_id`` that says which labels may be learnt
     from.  The sample is that of the least md5 of the id, so it is the same for
-    every layout of the tables.  Texts are cut at ``max_chars`` for fitting only.
+    every layout of the tables; it ends with the row that takes it beyond
+    ``fit_bytes`` bytes of text.  An id with both labels counts for neither.
     The join's broadcast side is this sample of ids: 2 * per_class rows at most.
     """
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label).alias("y")).filter(F.col("y").isin(0, 1) & usable)
+    known = known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("most")).filter("y = most").drop("most")
     counts = {int(r["y"]): int(r["n"]) for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = F.md5(F.col("doc_id").cast("string").cast("binary"))
     chosen = [known.filter(F.col("y") == y).orderBy(order, "doc_id").limit(per_class) for y in (0, 1)]
-    picked = chosen[0].unionByName(chosen[1]).dropDuplicates(["doc_id"])
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.substring(F.col(text_col), 1, max_chars).alias("text"))
-    rows = texts.join(F.broadcast(picked), "doc_id").filter(F.col("text").isNotNull()).orderBy("doc_id").limit(2 * per_class).collect()
-    return [(int(r["y"]), r["text"]) for r in rows], counts
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
+    rows = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").orderBy(order, "doc_id", F.length("text"), F.md5(F.col("text").cast("binary"))).limit(2 * per_class)
+    size = F.octet_length("text").cast("long")
+    before = F.sum(size).over(Window.orderBy(order, "doc_id", F.length("text"), F.md5(F.col("text").cast("binary")))) - size
+    kept = rows.withColumn("before", before).filter(F.col("before") < fit_bytes).collect()
+    return [(int(r["y"]), r["text"]) for r in kept], counts
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, prior: dict[int, int], ridge: float = 1.0, steps: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

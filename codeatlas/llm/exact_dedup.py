@@ -29,6 +29,7 @@ import struct
 import tempfile
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -37,12 +38,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import shuffle_width, table, written
+from .common import release, shuffle_width, table, written
 
 #: Content bytes and rows of one block of the combining pass.
 BLOCK_BYTES, BLOCK_ROWS = 48 << 20, 50_000
-#: Content bytes that the table of one bucket may hold.
+#: Bytes of contents and records that the table of one bucket may hold.
 TABLE_BYTES = 64 << 20
+#: What an entry of a table takes besides content and record.
+ENTRY_BYTES = 200
 #: Hash bits, and so files, of one level of partitioning.
 LEVEL_BITS = 4
 _NULL_ID = -(1 << 63)
@@ -140,11 +143,14 @@ class GraceTable:
             self.files[self._bucket(digest)].put(digest + record, content, digest)
             return
         entry, new = self.table.add(digest, content)
-        if not new:
-            self.records[entry] = self.fold(self.records[entry], record)
-            return
-        self.records.append(record)
-        self.held += len(content)
+        if new:
+            self.records.append(record)
+            self.held += len(content) + len(record) + ENTRY_BYTES
+        else:
+            old = self.records[entry]
+            before = len(old)
+            self.records[entry] = folded = self.fold(old, record)
+            self.held += len(folded) - before
         # A bucket of a single digest cannot be split further; distinct contents of one digest do not occur in practice.
         if self.held > self.limit and len(self.table) > 1 and LEVEL_BITS * (self.level + 1) <= 128:
             self._spill()
@@ -263,11 +269,15 @@ CLASS = T.StructType(
     ]
 )
 _REP_FORM = "<qq"
+_PLACE = "<qq"  # batch and row in a scratch file
 
 
-def _fold_listing(a: bytes, b: bytes) -> bytes:
-    """As _fold, and the (block, position) of every combined row is kept behind the record."""
-    return _fold(a, b)[: _FORM_BYTES] + a[_FORM_BYTES :] + b[_FORM_BYTES :]
+def _fold_listing(a: bytes | bytearray, b: bytes) -> bytearray:
+    """As _fold, and the (block, position) of every combined row is kept behind the record, which grows in place."""
+    a = a if isinstance(a, bytearray) else bytearray(a)
+    a[:_FORM_BYTES] = _fold(bytes(a[:_FORM_BYTES]), b[:_FORM_BYTES])
+    a += b[_FORM_BYTES:]
+    return a
 
 
 def _grace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,6 +296,8 @@ def _grace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = []
     if out:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+    del grace
+    release()
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -311,11 +323,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns.
 
-    The row itself travels with its content, so the kept rows come straight from
-    the Grace tables and no join back to the input is needed.
+    The row itself travels with its digest, so the kept rows come from the task that
+    compares them and no join back to the input is needed.  There it waits in a
+    compressed scratch file, and the Grace table holds its place in that file.
     """
     spark, schema = docs.sparkSession, docs.schema
-    carried = T.StructType([T.StructField("_digest", T.BinaryType()), T.StructField("_record", T.BinaryType()), *schema.fields])
+    own = []
+    for name in ("digest", "record"):
+        while name in schema.fieldNames() or name in own:
+            name += "_"
+        own.append(name)
+    carried = T.StructType([*(T.StructField(name, T.BinaryType()) for name in own), *schema.fields])
     text_at, id_at = schema.fieldNames().index(text_col), schema.fieldNames().index(id_col)
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,29 +359,25 @@ def dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 yield pa.RecordBatch.from_arrays([*heads, *(c.cast(f.type) for c, f in zip(taken.columns, list(out)[2:]))], schema=out)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = to_arrow_schema(schema)
-        grace = GraceTable(_fold)
-        for batch in batches:
-            cols = pa.RecordBatch.from_arrays(batch.columns[2:], schema=out)
-            for k, (digest, record) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                one = cols.slice(k, 1)
-                content = normalise(one.column(text_at)[0].as_py())
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, out, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                    w.write_batch(one)
-                grace.add(digest, content, record + sink.getvalue().to_pybytes())
-        rows, size = [], 0
-        for _, _, record in grace.groups():
-            with pa.ipc.open_stream(record[_FORM_BYTES :]) as r:
-                rows.append(r.read_next_batch())
-            size += len(record)
-            if len(rows) >= 1000 or size > 8 << 20:
-                yield pa.Table.from_batches(rows, out).combine_chunks().to_batches()[0]
-                rows, size = [], 0
-        if rows:
-            yield pa.Table.from_batches(rows, out).combine_chunks().to_batches()[0]
-
-    return docs.mapInArrow(lead, carried).repartition(shuffle_width(spark), "_digest").mapInArrow(keep, schema)
+        out, grace = to_arrow_schema(schema), GraceTable(_fold)
+        with tempfile.TemporaryFile(prefix="grace-rows-") as file:
+            with pa.ipc.new_stream(file, out, options=pa.ipc.IpcWriteOptions(compression="zstd")) as spool:
+                for number, batch in enumerate(batches):
+                    spool.write_batch(pa.RecordBatch.from_arrays(batch.columns[2:], schema=out))
+                    texts = batch.column(2 + text_at)
+                    for k, (digest, record) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                        grace.add(digest, normalise(texts[k].as_py()), record + struct.pack(_PLACE, number, k))
+            places = np.sort(np.array([number << 32 | k for _, _, record in grace.groups() for number, k in [struct.unpack_from(_PLACE, record, _FORM_BYTES)]], np.int64))
+            file.seek(0)
+            with pa.ipc.open_stream(file) as rows:
+                for number, batch in enumerate(rows):
+                    a, b = np.searchsorted(places, [number << 32, number + 1 << 32])
+                    if a < b:
+                        yield batch.take(pa.array(places[a:b] & 0xFFFFFFFF))
+        del grace
+        release()
+
+    return docs.mapInArrow(lead, carried).repartition(shuffle_width(spark), own[0]).mapInArrow(keep, schema)
 
 
 def op3_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,12 +3,13 @@
 Each document becomes its token ids and the closing id 0.  Whole windows are cut
 off first; what is left is placed into the fill level that minimises the sum of
 squared counts of partially filled windows, kept in an array by level.  Levels
-then stay evenly used, so later documents find a gap of their size.  When a
-task's stream ends, the emptiest open windows are cut up to complete the fullest,
-so that a task pads one window at most.
+then stay evenly used, so later documents find a gap of their size.  When open
+windows hold more than ``OPEN_TOKENS`` (documents of little over half a window never
+fill any), and when a task's stream ends, the emptiest of them are cut up to complete
+the fullest, so that a task pads one window at most.
 
 Every task packs its own rows in one pass without a shuffle; at any time it holds
-only its open windows.  A retry of a task gives the same windows, since ids and
+``OPEN_TOKENS`` and one document.  A retry of a task gives the same windows, since ids and
 order depend on the partition alone.  Sequence ids are (partition << 40) + number.
 
 Ids are those of ``byte_bpe_50k.json``.  The merges run on the rank file of the same
@@ -37,14 +38,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import table
+from .common import release, table
 
 WINDOW = 1024
 CLOSING_ID = 0
 RANK_FILE = "byte_bpe_50k.tiktoken"
 #: The vocabulary's added tokens.
 ADDED = {"<|endoftext|>": 50256}
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 200_000
+#: Tokens that open windows may hold, where each piece counts as ``PIECE_TOKENS`` more.
+OPEN_TOKENS, PIECE_TOKENS = 2_000_000, 32
 
 
 class _Cache(dict):
@@ -88,6 +91,11 @@ class ByteBpe:
             return self.encode(text)
         return b"".join([np.array([ADDED[x]], "<u4").tobytes() if k % 2 else self.encode(x) for k, x in enumerate(parts) if x])
 
+    def forget(self) -> None:
+        """Drop what is kept of words."""
+        self.plain.clear()
+        self.spaced.clear()
+
     def encode(self, text: str) -> bytes:
         if self._odd_space.search(text):
             return b"".join([self.plain[u] for u in self._before_word.split(text) if u])
@@ -113,12 +121,18 @@ class SumOfSquares:
 
     def __init__(self, window: int = WINDOW):
         self.window = window
+        self._empty()
+
+    def _empty(self) -> None:
+        window = self.window
         #: Open windows by level.
         self.count = np.zeros(window + 1, np.int64)
         #: What one more open window at a level adds to the sum; a full one adds nothing.
         self.gain = np.ones(window + 1, np.int64)
         self.gain[window] = 0
         self.open: list[list[list]] = [[] for _ in range(window + 1)]
+        #: What open windows hold, as ``OPEN_TOKENS`` counts it.
+        self.held = 0
 
     def _shift(self, level: int, by: int) -> None:
         if 0 < level < self.window:
@@ -137,19 +151,26 @@ class SumOfSquares:
         """The window as a list of pieces if this one fills it."""
         level = self.level_for(size)
         window = self.open[level].pop() if level else []
-        window.append(piece)
         self._shift(level, -1)
         if level + size == self.window:
-            return window
-        self._shift(level + size, 1)
-        self.open[level + size].append(window)
+            self.held -= level + PIECE_TOKENS * len(window)
+            return [*window, piece]
+        window.append(piece)
+        self.held += size + PIECE_TOKENS
+        self._open(window, level + size)
         return None
 
-    def drain(self) -> Iterator[list]:
-        """The open windows, the emptiest cut up to complete the fullest."""
+    def _open(self, window: list[tuple], level: int) -> None:
+        self._shift(level, 1)
+        self.open[level].append(window)
+
+    def drain(self, last: bool = True) -> Iterator[list]:
+        """The open windows, the emptiest cut up to complete the fullest; one that is left over stays open but for the ``last`` time."""
         left = [(level, w) for level in range(self.window - 1, 0, -1) for w in self.open[level]]
+        self._empty()
         lo, hi = 0, len(left) - 1
         pending: list[tuple] = []
+        rest: list[tuple] = []
         while lo <= hi:
             level, window = left[lo]
             lo += 1
@@ -165,9 +186,17 @@ class SumOfSquares:
                 level += min(len(ids), room) // 4
                 if len(ids) > room:
                     pending.append((row, start + room // 4, ids[room:], total))
-            yield window
-        if pending:
-            yield pending
+            if level < self.window:
+                rest = window
+            else:
+                yield window
+        rest = rest or pending
+        if rest and last:
+            yield rest
+        elif rest:
+            size = sum(len(ids) for _, _, ids, _ in rest) // 4
+            self.held = size + PIECE_TOKENS * len(rest)
+            self._open(rest, size)
 
 
 PIECE = T.StructType(
@@ -183,7 +212,7 @@ PIECE = T.StructType(
 )
 
 
-def pack_rows(rows: Iterator[tuple[int | None, str | None]], window: int, encode) -> Iterator[list[tuple]]:
+def pack_rows(rows: Iterator[tuple[int | None, str | None]], window: int, encode, open_tokens: int = OPEN_TOKENS) -> Iterator[list[tuple]]:
     """Windows of (doc_id, start, ids, document tokens) for a stream of rows."""
     packer, closing, step = SumOfSquares(window), np.array([CLOSING_ID], "<u4").tobytes(), 4 * window
     for doc, text in rows:
@@ -196,6 +225,8 @@ def pack_rows(rows: Iterator[tuple[int | None, str | None]], window: int, encode
             full = packer.place((doc, whole // 4, ids[whole:], total), (len(ids) - whole) // 4)
             if full is not None:
                 yield full
+            elif packer.held > open_tokens:
+                yield from packer.drain(last=False)
     yield from packer.drain()
 
 
@@ -207,7 +238,8 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
         base = TaskContext.get().partitionId() << 40
         rows = (pair for b in batches for pair in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
         out: list[tuple] = []
-        for number, pieces in enumerate(pack_rows(rows, window, encoder(folder).encode_added)):
+        coder = encoder(folder)
+        for number, pieces in enumerate(pack_rows(rows, window, coder.encode_added)):
             offset = 0
             for doc, start, ids, total in pieces:
                 n = len(ids) // 4
@@ -218,6 +250,7 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
                 out = []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+        release(coder.forget)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(pack, PIECE)
 

@@ -4,14 +4,14 @@ Two zstandard dictionaries are trained, one on texts labelled good and one on te
 labelled bad.  A text is cut into blocks of 512 bytes, all of them, and each block
 is compressed under either dictionary on its own, so that the dictionary and not
 the text's own past decides.  Per byte, the difference of the two sizes says which
-class a text resembles, and the sizes themselves how far it is from ordinary text
-(one word repeated compresses well under both).  A logistic calibration of these,
-fitted on labelled texts that the dictionaries have not seen, gives the score.
+class a text resembles.  A logistic calibration of it, which also knows how long the
+text is and how well it compresses (one word repeated does so under both), fitted on
+labelled texts that the dictionaries have not seen, gives the score.
 
-The model is fitted on at most ``PER_CLASS`` texts a class, each cut at
-``FIT_CHARS`` characters; scoring covers every byte of every text and is a map
-without a shuffle.  The broadcast model is the two dictionaries, ``DICT_BYTES``
-each at most.
+The model is fitted on at most ``PER_CLASS`` texts a class and about ``FIT_BYTES``
+of text in all, every block of which takes part; scoring covers every byte of every
+text and is a map without a shuffle.  The broadcast model is the two dictionaries,
+``DICT_BYTES`` each at most.
 
 A null text scores as the empty text, which has all sizes 0.  Without labels of
 both classes every text scores the share of class 1 (1.0 if there are none).
@@ -29,10 +29,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fit_logistic, in_fold, labelled_sample, logistic, table
+from .common import fit_logistic, in_fold, labelled_sample, logistic, release, table
 
 PER_CLASS = 1600
-FIT_CHARS = 20_000
+FIT_BYTES = 16 << 20
 DICT_BYTES = 64 << 10
 BLOCK = 512
 LEVEL = 3
@@ -45,7 +45,7 @@ def blocks(raw: bytes) -> list[bytes]:
 
 def build_dictionary(texts: list[bytes], size: int = DICT_BYTES) -> bytes:
     """A trained dictionary, or plain content where there is too little to train on."""
-    samples = [b for t in texts for b in blocks(t)[:12]]
+    samples = [b for t in texts for b in blocks(t)]
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:
@@ -67,8 +67,8 @@ class Compressors:
         raw = (text or "").encode("utf-8", "surrogatepass")
         parts, n = blocks(raw), max(64, len(raw))  # a few bytes say little
         good, bad = (sum(len(c.compress(p)) for p in parts) / n for c in self.pair)
-        d, g, l = bad - good, good, float(np.log1p(len(raw)))
-        return [d, g, l, d * d, g * g, d * g, d * l, g * l]
+        d = bad - good
+        return [d, d * d, d * float(np.log1p(len(raw))), d * good, good]
 
 
 def fit(sample: list[tuple[int, str]], prior: dict[int, int]) -> dict:
@@ -93,7 +93,7 @@ def score_texts(texts, model: dict, compressors: Compressors | None = None) -> n
     if "constant" in model:
         return np.full(len(texts), model["constant"])
     compressors = compressors or Compressors(model["good"], model["bad"])
-    x = np.array([compressors.features(t) for t in texts]).reshape(len(texts), 8)
+    x = np.array([compressors.features(t) for t in texts]).reshape(len(texts), 5)
     return logistic(x, model["calibration"])
 
 
@@ -104,13 +104,15 @@ def score_column(model: dict, text_col: str = "text") -> Column:
         compressors = None if "constant" in model else Compressors(model["good"], model["bad"])
         for s in series:
             yield pd.Series(score_texts([t if isinstance(t, str) else None for t in s], model, compressors), dtype="float64")
+        del compressors
+        release()
 
     score.__annotations__ = {"series": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(score, "double")(F.col(text_col))
 
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = PER_CLASS) -> dict:
-    return fit(*labelled_sample(docs, labels, "quality", usable, per_class, FIT_CHARS))
+    return fit(*labelled_sample(docs, labels, "quality", usable, per_class, FIT_BYTES))
 
 
 def op4_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,12 +10,12 @@ loss of a text is that of the noisy-or over its windows, which lets labels of wh
 texts teach windows.  A logistic calibration of the largest rate, the sum of rates
 and the length, fitted on texts that the network has not seen, gives the score.
 
-The model is fitted on the driver on at most ``PER_CLASS`` texts a class, each cut
-at ``FIT_CHARS`` characters and seen through at most ``FIT_WINDOWS`` of its windows;
-scoring covers all windows of every text and is a map without a shuffle.  The
+The model is fitted on the driver on at most ``PER_CLASS`` texts a class and about
+``FIT_BYTES`` of text in all, seen whole and through the same windows as in scoring,
+which covers all windows of every text and is a map without a shuffle.  The
 broadcast model has a fixed size (two embedding tables of ``BUCKETS`` rows).  At
 scoring, all that depends on a word alone is computed once for each distinct word
-and kept in a bounded table of the worker.
+and kept in a bounded table of the task.
 
 A null text scores as the empty text, which has one empty window.  Without labels
 of both classes every text scores the share of class 1 (0.0 if there are none).
@@ -33,17 +33,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fit_logistic, in_fold, labelled_sample, logistic, table
+from .common import fit_logistic, in_fold, labelled_sample, logistic, release, table
 
 WINDOW, STRIDE = 16, 8
 HIDDEN, WORD_DIM, CHAR_DIM, BUCKETS, GRAM = 8, 6, 10, 1 << 16, 5
-PER_CLASS, FIT_CHARS, FIT_WINDOWS, STEPS, BATCH_DOCS = 1200, 16_000, 20, 240, 48
+PER_CLASS, FIT_BYTES, STEPS, BATCH_DOCS = 1200, 16 << 20, 100, 48
 RATE, EMBEDDING_RATE = 0.02, 0.003
 #: Standard errors beyond which a bucket's odds count, and texts below which a bucket is not learnt.
-SURE, SEEN = 3.0, 3
+SURE, SEEN = 2.0, 2
 THRESHOLD = 0.3
 #: Words whose input gates a worker keeps, and windows run at a time.
-CACHE_WORDS, RUN_WINDOWS = 300_000, 4096
+CACHE_WORDS, RUN_WINDOWS = 120_000, 4096
 _TRIM = ".,;:!?\"'()[]{}<>|*#$%&"
 
 
@@ -76,6 +76,12 @@ def window_starts(n: int, stride: int = STRIDE) -> range:
     return range(0, max(1, n - WINDOW + stride), stride)
 
 
+def windows_of(coded: np.ndarray) -> np.ndarray:
+    """The windows of a text's word numbers, -1 past its end."""
+    at = np.array(window_starts(len(coded)))[:, None] + np.arange(WINDOW)
+    return np.where(at < len(coded), np.append(coded, -1)[np.minimum(at, len(coded))], -1)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
@@ -106,7 +112,7 @@ class Network:
         states = np.zeros((WINDOW, n, 2 * h), table_.dtype)
         kept = []
         for way, base, steps in (("f", 0, range(WINDOW)), ("b", 3 * h, range(WINDOW - 1, -1, -1))):
-            U, inputs, state, trace = p[f"U{way}"], np.ascontiguousarray(table_[:, base : base + 3 * h]), np.zeros((n, h), table_.dtype), []
+            U, inputs, state, trace = p[f"U{way}"], table_[:, base : base + 3 * h], np.zeros((n, h), table_.dtype), []
             for t in steps:
                 x, u = inputs[at[:, t]], state @ U
                 rz = _sigmoid(x[:, : 2 * h] + u[:, : 2 * h])
@@ -210,39 +216,49 @@ def train(texts: list[str], y: np.ndarray, steps: int = STEPS, seed: int = 7) ->
         net.p[name] *= live[name]
         net.p[name][:, 0] = odds
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
+
+    def prepare(at: np.ndarray) -> tuple:
+        """The distinct words of windows, their inputs and gates, and the windows in terms of these."""
+        used, at = np.unique(at, return_inverse=True)
+        at = at.reshape(-1, WINDOW)
+        if used[0] == -1:
+            used, at = used[1:], at - 1
+        flat = spread(used)
+        return used, flat, *net.gates(buckets[used], flat, sizes[used]), at
+
+    def add_gradients(g: dict, at: np.ndarray, d_logits: np.ndarray, run: tuple | None = None) -> None:
+        used, flat, x, gates, at = prepare(at) if run is None else run[0]
+        saved = net.run(gates, at, keep=True)[1] if run is None else run[1]
+        own, (dense, d_gates) = sizes[used], net.backward(gates, at, saved, d_logits)
+        d_x = np.zeros_like(x)
+        for way, base in (("f", 0), ("b", 3 * HIDDEN)):
+            d = d_gates[:, base : base + 3 * HIDDEN]
+            dense[f"W{way}"], dense[f"b{way}"] = x.T @ d, d.sum(0)
+            d_x += d @ net.p[f"W{way}"].T
+        d_char = np.repeat(d_x[:, WORD_DIM:] / own[:, None].astype(d_x.dtype), own, axis=0)
+        dense["words"] = np.column_stack([np.bincount(buckets[used], d_x[:, k], BUCKETS) for k in range(WORD_DIM)]).astype(np.float32) * live["words"]
+        dense["chars"] = np.column_stack([np.bincount(flat, d_char[:, k], BUCKETS) for k in range(CHAR_DIM)]).astype(np.float32) * live["chars"]
+        for name, grad in dense.items():
+            g[name] = g[name] + grad if name in g else grad
+
     step = 0
     batches = max(1, -(-len(texts) // BATCH_DOCS))
     for _ in range(max(1, round(steps / batches))):
         for part in np.array_split(rng.permutation(len(texts)), batches):
-            rows, first = [], []
-            for k in part:
-                starts = np.array(window_starts(len(coded[k]), WINDOW))
-                if len(starts) > FIT_WINDOWS:
-                    starts = np.sort(rng.choice(starts, FIT_WINDOWS, replace=False))
-                first.append(len(rows))
-                for s in starts:
-                    w = coded[k][s : s + WINDOW]
-                    rows.append(np.pad(w, (0, WINDOW - len(w)), constant_values=-1))
-            used, at = np.unique(np.array(rows), return_inverse=True)
-            at = at.reshape(-1, WINDOW)
-            if used[0] == -1:
-                used, at = used[1:], at - 1
-            if not len(used):
+            windows = [windows_of(coded[k]) for k in part]
+            at, first = np.concatenate(windows), np.cumsum([0, *map(len, windows[:-1])])
+            if (at < 0).all():
                 continue
-            own, flat = sizes[used], spread(used)
-            x, gates = net.gates(buckets[used], flat, own)
-            logits, saved = net.run(gates, at, keep=True)
-            _, d_logits = text_loss(logits, np.array(first), y[part])
-            d_logits /= len(part)
-            g, d_gates = net.backward(gates, at, saved, d_logits)
-            d_x = np.zeros_like(x)
-            for way, base in (("f", 0), ("b", 3 * HIDDEN)):
-                d = d_gates[:, base : base + 3 * HIDDEN]
-                g[f"W{way}"], g[f"b{way}"] = x.T @ d, d.sum(0)
-                d_x += d @ net.p[f"W{way}"].T
-            d_char = np.repeat(d_x[:, WORD_DIM:] / own[:, None].astype(d_x.dtype), own, axis=0)
-            g["words"] = np.column_stack([np.bincount(buckets[used], d_x[:, k], BUCKETS) for k in range(WORD_DIM)]).astype(np.float32) * live["words"]
-            g["chars"] = np.column_stack([np.bincount(flat, d_char[:, k], BUCKETS) for k in range(CHAR_DIM)]).astype(np.float32) * live["chars"]
+            cuts, g = range(0, len(at), RUN_WINDOWS), {}
+            if len(cuts) == 1:
+                ready = prepare(at)
+                logits, saved = net.run(ready[3], ready[4], keep=True)
+                add_gradients(g, at, text_loss(logits, first, y[part])[1] / len(part), (ready, saved))
+            else:  # the loss of a text needs all its windows before the gradients of any
+                logits = np.concatenate([net.run(*prepare(at[c : c + RUN_WINDOWS])[3:]) for c in cuts])
+                d_logits = text_loss(logits, first, y[part])[1] / len(part)
+                for c in cuts:
+                    add_gradients(g, at[c : c + RUN_WINDOWS], d_logits[c : c + RUN_WINDOWS])
             step += 1
             for name, grad in g.items():
                 m, v = moments[name]
@@ -269,7 +285,7 @@ class Scorer:
         if fresh:
             n = len(self.index)
             if n + len(fresh) > len(self.table):
-                grown = np.zeros((2 * (n + len(fresh)), self.table.shape[1]), np.float32)
+                grown = np.zeros((max(n + len(fresh), min(2 * (n + len(fresh)), CACHE_WORDS)), self.table.shape[1]), np.float32)
                 grown[:n] = self.table[:n]
                 self.table = grown
             for k in range(0, len(fresh), 20_000):
@@ -350,13 +366,15 @@ def score_column(model: dict, text_col: str = "text") -> Column:
         scorer = make_scorer(model)
         for s in series:
             yield pd.Series(score_texts([t if isinstance(t, str) else None for t in s], model, scorer), dtype="float64")
+        del scorer
+        release()
 
     score.__annotations__ = {"series": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(score, "double")(F.col(text_col))
 
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = PER_CLASS) -> dict:
-    return fit(*labelled_sample(docs, labels, "toxic", usable, per_class, FIT_CHARS))
+    return fit(*labelled_sample(docs, labels, "toxic", usable, per_class, FIT_BYTES))
 
 
 def op1_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
