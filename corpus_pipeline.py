@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeatlas.llm import exact_dedup, jaccard, packing, quality, toxicity
-from codeatlas.llm.common import in_fold, table, written
+from codeatlas.llm.common import discard, in_fold, scratch, table, written
 from codeatlas.runtime import ship
 
 
@@ -63,8 +63,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packed sequences of ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """The packed sequences of ``documents``.
+
+    What a stage wrote on its way, and the table that it read, go once its own table is written.
+    """
+    docs, before = table(spark, sf_dir, "documents"), []
     for k, (_, stage) in enumerate(STAGES):
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{k}")
+        with scratch() as made:
+            docs = written(stage(spark, docs, sf_dir), f"pipeline-{k}")
+        discard(spark, [*before, *made[:-1]])
+        before = made[-1:]
     return docs
