@@ -4,83 +4,13 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..runtime import ship
-
-_LOCAL_BASE: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where the setting is missing and the master is local (tests) a folder of this
-    process is used, since driver and executors are then the same machine.
-    """
-    global _LOCAL_BASE
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        if _LOCAL_BASE is None:
-            _LOCAL_BASE = tempfile.mkdtemp(prefix="codeatlas-")
-        base = "file://" + _LOCAL_BASE
-    return base.rstrip("/")
-
-
-#: The folders that each open ``scratch`` has seen made.
-_MADE: list[list[str]] = []
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that no other run uses."""
-    folder = f"{shared_dir(spark)}/codeatlas-{uuid.uuid4().hex}"
-    for made in _MADE:
-        made.append(folder)
-    return f"{folder}/{name}"
-
-
-def discard(spark: SparkSession, folders: list[str]) -> None:
-    """Delete folders of intermediate tables, by the file system they are on."""
-    for folder in folders:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-@contextmanager
-def scratch():
-    """Collects the folders that are made inside; whoever has written what was read from them can ``discard`` them."""
-    made: list[str] = []
-    _MADE.append(made)
-    try:
-        yield made
-    finally:
-        _MADE.remove(made)
-
-
-def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    This cuts the lineage at a table that survives lost executors, and gives
-    later joins plain scans below their exchanges, so that AQE may split skewed
-    partitions of either side.
-    """
-    spark = df.sparkSession
-    ship(spark)
-    path = new_folder(spark, name)
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from ..runtime import discard, new_folder, scratch, shared_dir, ship, written  # noqa: F401
 
 def release(*forget) -> None:
     """At the end of a task: drop what its worker keeps and hand free memory back to the system.

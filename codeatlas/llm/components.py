@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, scratch, written
 
 
 def _star(edges: DataFrame) -> DataFrame:
@@ -30,21 +30,24 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
 
     Nulls and loops are ignored.  Nodes without an edge to another have no row.
     """
-    pair = edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    pair = written(pair, "edges")
-    before = _print(pair)
-    for _ in range(rounds):
-        both = pair.unionByName(pair.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        star = _star(both)
-        ups = star.filter("v > u and m < v").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = written(ups.unionByName(star.filter("m < u").select("u", F.col("m").alias("v"))).distinct(), "edges-large")
-        small = _star(large)
-        moved = small.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        pair = written(moved.distinct(), "edges")
-        after = _print(pair)
-        if after == before:
-            return pair.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                pair.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            )
-        before = after
+    spark = edges.sparkSession
+    with scratch() as made:
+        pair = written(edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
+        before = _print(pair)
+        for _ in range(rounds):
+            both = pair.unionByName(pair.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            star = _star(both)
+            ups = star.filter("v > u and m < v").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            large = written(ups.unionByName(star.filter("m < u").select("u", F.col("m").alias("v"))).distinct(), "edges-large")
+            small = _star(large)
+            moved = small.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
+            pair = written(moved.distinct(), "edges")
+            after = _print(pair)
+            discard(spark, made[:-1])  # only the last table is read from here on
+            del made[:-1]
+            if after == before:
+                return pair.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+                    pair.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+                )
+            before = after
     raise RuntimeError("components did not settle")

@@ -3,9 +3,9 @@
 Two documents link when the Jaccard similarity of their sets of word n-grams
 reaches a threshold, given in hundredths and compared in integers.
 
-1. A pass over all texts counts their n-grams in a fixed number of hashed counters.
-   Any order of the n-grams gives the right pairs; ordering them by these counts,
-   the rare ones first, keeps common passages out of the prefixes below.
+1. A pass over all texts counts their n-grams in hashed counters, more of them for
+   larger inputs.  Any order of the n-grams gives the right pairs; ordering them by
+   these counts, the rare ones first, keeps common passages out of the prefixes below.
 2. Documents of equal sets collapse to one class.  A pair that links shares n-grams
    among the first ``n - ceil(t n) + 1`` of either set: of the prefix that ends first,
    all but the few that the pair's sizes let it miss.  Where up to ``PAIRED`` classes
@@ -19,22 +19,26 @@ reaches a threshold, given in hundredths and compared in integers.
    below, a subtree is cut when the sizes that remain cannot reach the threshold,
    and also when all of it already belongs to the set's own component, so a group of
    near copies costs one comparison for each and not one for every pair.
-4. A cluster of more than ``GROUP_TOKENS`` n-grams is dealt in blocks to pairs of
-   blocks, which together still compare everything, and their links are joined by
-   distributed connected components.
+4. A cluster of more than ``GROUP_TOKENS`` n-grams is cut into bands by set size, so
+   that only sets of one band or of neighbours can link, and bands into blocks.  The
+   first block of each band meets every other that can link with it; pairs of blocks
+   that are then known to be one component are done, and only the rest meet too.
+   Distributed connected components join the links.
 
-Every link found is exact up to 64-bit hashes of words and n-grams.
+Every link found is exact up to the 58 bits that are kept of an n-gram's hash.
 
 Words are maximal runs of bytes other than the ASCII white space, with A-Z
 lowered.  A text with fewer words than ``n`` has its whole sequence as its one
 n-gram; one without words, or null, has an empty set and links with nothing.
-Repeated rows and copies share a class.  A row with a null id gets the component of
-the others of its class, or null.  Empty tables give no rows.  Columns other than
-the two named are ignored.
+Repeated rows and copies share a class.  A document with a null id links as any other,
+but gives no component its name: one of such documents only has none (null).  Rows
+that share an id are documents of their own.  Empty tables give no rows.  Columns
+other than the two named are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -42,15 +46,17 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import shuffle_width, table, written
+from .common import release, shuffle_width, table, written
 from .components import components
 
-COUNTER_BITS = 22
+#: Counters: a power of two between these, about one for each ``BYTES_PER_COUNTER`` of the stored input.
+COUNTER_BITS, BYTES_PER_COUNTER = (18, 24), 64
 SLICE_BITS = 16
 #: Classes that may share an n-gram for their pairs to be counted; beyond it they are tied to the least of them.
 PAIRED = 16
@@ -87,7 +93,8 @@ def shingles(text: str | None, n: int) -> np.ndarray:
 
 def ordered(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Keys whose ascending order is the global one: count class first, then hash."""
-    return np.sort((classes[hashes >> np.uint64(64 - COUNTER_BITS)].astype(np.uint64) << np.uint64(58)) | (hashes >> np.uint64(6)))
+    bits = len(classes).bit_length() - 1
+    return np.sort((classes[hashes >> np.uint64(64 - bits)].astype(np.uint64) << np.uint64(58)) | (hashes >> np.uint64(6)))
 
 
 def prefix_length(size: int, percent: int) -> int:
@@ -100,7 +107,7 @@ COUNTS = T.StructType([T.StructField("part", T.LongType()), T.StructField("slice
 
 
 def _sum_counts(by: int | None):
-    """Adds up the arrays of a group; the groups of one step are bounded by ``by``."""
+    """Adds up the arrays of a group; the groups of one step are bounded by ``by``.  The last step gives classes."""
 
     def add(key, frame):
         import pandas as pd
@@ -108,42 +115,56 @@ def _sum_counts(by: int | None):
         total = np.zeros(1 << SLICE_BITS, np.int64)
         for raw in frame["counts"]:
             total += np.frombuffer(zlib.decompress(raw), np.int64)
+        if not by:  # four classes to a doubling of the count
+            total = np.minimum(np.log2(np.maximum(total, 1)) * 4, 63).astype(np.uint8)
         return pd.DataFrame({"part": [int(frame["part"].iloc[0]) % by if by else 0], "slice": [int(frame["slice"].iloc[0])], "counts": [zlib.compress(total.tobytes(), 1)]})
 
     return add
 
 
+def counter_bits(texts: DataFrame) -> int:
+    """By the size that Spark knows of the input; it decides how well n-grams are ordered, never what is found."""
+    size = int(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return min(max((size // BYTES_PER_COUNTER).bit_length(), COUNTER_BITS[0]), COUNTER_BITS[1])
+
+
 def count_classes(texts: DataFrame, n: int) -> np.ndarray:
     """The class of each counter: four to a doubling of its count, over all rows."""
+    bits = counter_bits(texts)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << COUNTER_BITS, np.int64)
+        total = np.zeros(1 << bits, np.int64)
+
+        def add(held: list[np.ndarray]) -> None:
+            at, k = np.unique(np.concatenate(held), return_counts=True)
+            total[at] += k
+
         held: list[np.ndarray] = []
         size = 0
         for b in batches:
             for text in b.column(0).to_pylist():
-                h = (shingles(text, n) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+                h = (shingles(text, n) >> np.uint64(64 - bits)).astype(np.int32)
                 held.append(h)
                 size += len(h)
                 if size > BLOCK_TOKENS:
-                    total += np.bincount(np.concatenate(held), minlength=len(total))
+                    add(held)
                     held, size = [], 0
         if held:
-            total += np.bincount(np.concatenate(held), minlength=len(total))
-        if total.any():
-            part, schema = TaskContext.get().partitionId(), to_arrow_schema(COUNTS)
-            slices = total.reshape(-1, 1 << SLICE_BITS)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([part] * len(slices), pa.int64()), pa.array(range(len(slices)), pa.int32()), pa.array([zlib.compress(s.tobytes(), 1) for s in slices], pa.binary())], schema=schema
-            )
+            add(held)
+        part, schema = TaskContext.get().partitionId(), to_arrow_schema(COUNTS)
+        for k, counts in enumerate(total.reshape(-1, 1 << SLICE_BITS)):
+            if counts.any():
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([k], pa.int32()), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], schema=schema)
+        del total
+        release(_WORDS.clear)
 
     counted = texts.select("text").mapInArrow(count, COUNTS)
     some = counted.groupBy("slice", F.pmod("part", F.lit(256))).applyInPandas(_sum_counts(256), COUNTS)
-    rows = some.groupBy("slice").applyInPandas(_sum_counts(None), COUNTS).collect()  # one fixed-size array in slices
-    total = np.zeros((1 << COUNTER_BITS >> SLICE_BITS, 1 << SLICE_BITS), np.int64)
+    rows = some.groupBy("slice").applyInPandas(_sum_counts(None), COUNTS).collect()  # an array of bounded size in slices
+    classes = np.zeros((1 << bits >> SLICE_BITS, 1 << SLICE_BITS), np.uint8)
     for r in rows:
-        total[r["slice"]] = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.int64)
-    return np.minimum(np.log2(np.maximum(total.ravel(), 1)) * 4, 63).astype(np.uint8)
+        classes[r["slice"]] = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.uint8)
+    return classes.ravel()
 
 
 # ---------------------------------------------------------------- candidates
@@ -154,28 +175,30 @@ SETS = T.StructType(
         T.StructField("n_shingles", T.LongType()),
         T.StructField("digest", T.BinaryType()),
         T.StructField("node", T.LongType()),
+        T.StructField("spot", T.LongType()),
         T.StructField("last", T.LongType()),
         T.StructField("prefix", T.BinaryType()),
     ]
 )
 
 
-def _sets(texts: DataFrame, n: int, percent: int, classes: np.ndarray) -> DataFrame:
+def _sets(texts: DataFrame, n: int, percent: int, classes: Broadcast) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = to_arrow_schema(SETS)
         for b in batches:
             out = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                keys = ordered(shingles(text, n), classes)
+            for doc, text, spot in zip(*(c.to_pylist() for c in b.columns)):
+                keys = ordered(shingles(text, n), classes.value)
                 digest = xxhash.xxh3_128_digest(keys.tobytes()) if len(keys) else None
                 node = int.from_bytes(digest[:8], "big", signed=True) if digest else None
                 prefix = keys[: prefix_length(len(keys), percent)]
                 last = int(prefix[-1]) - (1 << 63) if len(prefix) else None  # signed numbers in the order of the keys
-                out.append((doc, len(keys), digest, node, last, prefix.tobytes()))
+                out.append((doc, len(keys), digest, node, spot, last, prefix.tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+        release(_WORDS.clear)
 
-    return texts.mapInArrow(make, SETS)
+    return texts.select("doc_id", "text", "spot").mapInArrow(make, SETS)
 
 
 def _meetings(sets: DataFrame, ties: bool) -> DataFrame:
@@ -219,6 +242,8 @@ def _meetings(sets: DataFrame, ties: bool) -> DataFrame:
                     held, size = {}, 0
         if held:
             yield from block(list(held), list(held.values()))
+        del held
+        release()
 
     return sets.filter("n_shingles > 0").select("node", "prefix").mapInArrow(meet, out)
 
@@ -345,76 +370,107 @@ class TrieJoin:
             node = child
 
 
-LINK = T.StructType([T.StructField("doc", T.LongType()), T.StructField("root", T.LongType()), T.StructField("split", T.BooleanType())])
+LINK = T.StructType([T.StructField("node", T.LongType()), T.StructField("root", T.LongType())])
 
 
-def _links(members: DataFrame, n: int, percent: int, classes: np.ndarray) -> DataFrame:
-    """(doc, root) for each document that the trie of its group links with others; root is the group's least such id."""
+def _links(grouped: DataFrame, texts: DataFrame, n: int, percent: int, classes: Broadcast) -> DataFrame:
+    """(node, root) for each class that the trie of its group (grp, spot, digest, node) links with others; root is the group's least such node."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = to_arrow_schema(LINK)
 
-        def group(docs: dict[int, np.ndarray], split: bool) -> list[tuple]:
-            trie, ids = TrieJoin(percent), list(docs)
-            for d in ids:
-                trie.add(docs[d])
+        def group(sets: dict[int, np.ndarray]) -> list[tuple]:
+            trie, nodes = TrieJoin(percent), list(sets)
+            for d in nodes:
+                trie.add(sets[d])
             least: dict[int, int] = {}
-            roots = [trie.find(k) for k in range(len(ids))]
-            for d, r in zip(ids, roots):
+            roots = [trie.find(k) for k in range(len(nodes))]
+            for d, r in zip(nodes, roots):
                 least[r] = min(d, least.get(r, d))
-            return [(d, least[r], split) for d, r in zip(ids, roots) if d != least[r]]
+            return [(d, least[r]) for d, r in zip(nodes, roots) if d != least[r]]
 
-        now, held, split, out = None, {}, False, []
+        now, held, out = None, {}, []
         for b in batches:
-            for key, doc, digest, is_split, text in zip(*(c.to_pylist() for c in b.columns)):
+            for key, node, digest, text in zip(*(c.to_pylist() for c in b.columns)):
                 if key != now:
-                    out += group(held, split)
-                    now, held, split = key, {}, is_split
-                keys = ordered(shingles(text, n), classes)
-                if xxhash.xxh3_128_digest(keys.tobytes()) == digest:  # an id may stand for other texts too
-                    held[doc] = keys[::-1].copy()
+                    out += group(held)
+                    now, held = key, {}
+                if node not in held:
+                    keys = ordered(shingles(text, n), classes.value)
+                    if xxhash.xxh3_128_digest(keys.tobytes()) == digest:  # a spot may have other texts too
+                        held[node] = keys[::-1].copy()
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
                 out = []
-        out = group(held, split)
+        out = group(held)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
-
-    spark = members.sparkSession
-    dealt = members.repartition(shuffle_width(spark), "grp").sortWithinPartitions("grp")
-    return dealt.select("grp", "doc", "digest", "split", "text").mapInArrow(join, LINK)
+        del held
+        release(_WORDS.clear)
+
+    spark = texts.sparkSession
+    met = texts.select("spot", "text").join(grouped.hint("shuffle_hash"), "spot")
+    dealt = met.repartition(shuffle_width(spark), "grp").sortWithinPartitions("grp")
+    return dealt.select("grp", "node", "digest", "text").mapInArrow(join, LINK)
+
+
+def _stars(links: DataFrame) -> DataFrame:
+    """(node, component) of linked classes, the centres too."""
+    return components(links, "node", "root")
+
+
+def _large_links(members: DataFrame, texts: DataFrame, n: int, percent: int, classes: Broadcast, group_tokens: int) -> DataFrame:
+    """The links within large clusters (cluster, spot, digest, node, n) by pairs of blocks."""
+    # Sizes that can link differ by a factor of 100 / percent at most, so their bands by one.
+    band = F.floor(F.log("n") / (1.001 * math.log(100 / percent))).cast("long") if percent < 100 else F.col("n")
+    banded = members.withColumn("band", band)
+    blocks = F.ceil(F.sum("n") * 2 / group_tokens).cast("int")
+    bands = written(banded.groupBy("cluster", "band").agg(blocks.alias("blocks")), "jaccard-bands")
+    placed = written(banded.join(bands, ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")).drop("blocks"), "jaccard-blocks")
+    units = bands.select("cluster", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    one = units.select("cluster", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.struct("band", "block").alias("x"))
+    pairs = one.join(units.withColumn("y", F.struct("band", "block")).drop("block"), ["cluster", "band"]).filter("x <= y").select("cluster", "x", "y")
+    pairs = written(pairs.withColumn("grp", F.xxhash64("cluster", "x", "y")), "jaccard-pairs")
+
+    def meet(chosen: DataFrame) -> DataFrame:
+        both = chosen.select("cluster", "grp", F.explode(F.array_distinct(F.array("x", "y"))).alias("unit")).select("cluster", "grp", "unit.band", "unit.block")
+        return _links(placed.join(both, ["cluster", "band", "block"]).select("grp", "spot", "digest", "node"), texts, n, percent, classes)
+
+    first = written(meet(pairs.filter("x.block = 0")), "jaccard-links")
+    found = written(_stars(first), "jaccard-found")
+    one_of = F.coalesce("component", "node")
+    state = placed.join(found, "node", "left").groupBy("cluster", F.struct("band", "block").alias("u")).agg(F.min(one_of).alias("least"), F.max(one_of).alias("most"))
+    state = written(state, "jaccard-state")
+    of = lambda u: state.select("cluster", F.col("u").alias(u), F.col("least").alias(f"least{u}"), F.col("most").alias(f"most{u}"))
+    left = pairs.filter("x.block > 0").join(of("x"), ["cluster", "x"]).join(of("y"), ["cluster", "y"])
+    left = left.filter("not (leastx = mostx and leasty = mosty and leastx = leasty)")
+    return first.unionByName(written(meet(left.select("cluster", "x", "y", "grp")), "jaccard-links"))
 
 
 def join_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", group_tokens: int = GROUP_TOKENS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (its least linked id)."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    classes = count_classes(texts, n)
+    text = F.col(text_col)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    # Where a text can be found again: by its id, or without one by its hash.
+    texts = texts.withColumn("spot", F.coalesce("doc_id", F.xxhash64("text")))
+    classes = docs.sparkSession.sparkContext.broadcast(count_classes(texts, n))
     sets = written(_sets(texts, n, percent, classes), "jaccard-sets")
-    reps = written(
-        sets.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("node").alias("node")), "jaccard-classes"
-    )
-    clusters = _clusters(sets, percent)
-    members = written(reps.filter(F.col("rep").isNotNull()).join(clusters, "node").select("digest", "rep", "n", "cluster"), "jaccard-members")
-    # Groups of tries: a cluster, or the pairs of a large cluster's blocks.
+    least = [F.min("doc_id").alias("rep"), F.min_by("spot", F.struct(F.col("doc_id").isNull(), "spot")).alias("spot")]
+    reps = written(sets.filter("n_shingles > 0").groupBy("digest").agg(*least, F.first("n_shingles").alias("n"), F.first("node").alias("node")), "jaccard-classes")
+    members = written(reps.join(_clusters(sets, percent), "node").select("digest", "spot", "node", "n", "cluster"), "jaccard-members")
     sizes = members.groupBy("cluster").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("docs")).filter("docs > 1")
-    sizes = written(sizes.withColumn("blocks", F.ceil(F.col("tokens") / group_tokens).cast("int")), "jaccard-sizes")
-    placed = members.join(sizes.select("cluster", "blocks"), "cluster").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    grouped = placed.withColumn("other", other).select(
-        F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other")).alias("grp"),
-        F.col("rep").alias("doc"),
-        "digest",
-        (F.col("blocks") > 1).alias("split"),
-    )
-    met = texts.join(grouped.hint("shuffle_hash"), texts["doc_id"] == grouped["doc"]).drop("doc_id")
-    links = written(_links(met, n, percent, classes), "jaccard-links")
-    found = links.filter("not split").select(F.col("doc").alias("node"), F.col("root").alias("component"))
-    parts = links.filter("split")
-    if not parts.isEmpty():
-        found = found.unionByName(components(parts, "doc", "root").filter("node != component").select("node", "component"))
-    named = written(
-        reps.join(found, reps["rep"] == found["node"], "left").select("digest", F.coalesce("component", "rep").alias("component")), "jaccard-components"
-    )
+    sizes = written(sizes.select("cluster", (F.col("tokens") > group_tokens).alias("large")), "jaccard-sizes")
+    sized = members.join(sizes, "cluster")
+    whole = sized.filter("not large").select(F.col("cluster").alias("grp"), "spot", "digest", "node")
+    found = written(_links(whole, texts, n, percent, classes), "jaccard-links").select("node", F.col("root").alias("component"))
+    found = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
+    if not sizes.filter("large").isEmpty():
+        large = written(sized.filter("large").drop("large"), "jaccard-large")
+        found = found.unionByName(_stars(_large_links(large, texts, n, percent, classes, group_tokens)))
+    linked = written(found.join(reps.select("node", "rep"), "node"), "jaccard-linked")
+    names = linked.groupBy("component").agg(F.min("rep").alias("least"))
+    named = reps.join(linked.join(names, "component").select("node", "least"), "node", "left").select("digest", F.coalesce("least", "rep").alias("component"))
+    named = written(named, "jaccard-components")
     return sets.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", F.when(F.col("n_shingles") == 0, F.col("doc_id"))).alias("component_id")
     )

@@ -1,22 +1,24 @@
 """Removal of repeated passages of lines.
 
-``remove_passages``, which the query runs, needs no boundaries: a line goes if it lies
-in a run of two or more lines, or is a line of over ``LINE_WORDS`` words, that also
-stands earlier, in the order of (id, row, line), without overlapping.  Every such run
-is made of repeated pairs of lines, so pairs and long lines are the units.  A unit's
-key is the digests of its lines; Grace tables compare the complete bytes of all
-distinct lines first, and a digest that ever stood for two different lines takes part
-in no unit.  Every line removed has a copy that stays, but a run may stay in parts:
-where one of its lines goes with an earlier run, that line's copy is elsewhere.  Lines
-are compared without their line break, so a passage that ends a text is found too.
-
-``remove_repeated`` removes content-defined chunks only.  A rolling hash over the hashes of the last ``SPAN`` lines ends a chunk where its
-value is divisible by ``MEAN_LINES``, so that boundaries move with the content: an
-insertion shifts the chunks behind it but does not change them.  Chunks of at least
+A rolling hash over the hashes of the last ``SPAN`` lines ends a chunk where its value
+is divisible by ``MEAN_LINES``, so that boundaries move with the content: an insertion
+shifts the chunks behind it but does not change them.  Chunks of at least
 ``MIN_LINES`` lines that occur more than once anywhere are removed but for the first
-occurrence, in the order of (id, row, chunk).
-
-Within a task equal chunks are combined first, byte by byte, and one row per
+occurrence, in the order of (id, row, line).  That is all ``remove_repeated`` does.
+
+Boundaries do not fall on the ends of passages, so chunks alone leave the ends of most
+of them, and all of those too short to hold a whole chunk (138 of 153 measured ones).
+``remove_passages``, which the query runs, therefore adds to the chunks the pairs of
+neighbouring lines and the lines of over ``LINE_WORDS`` words, as units of the same
+kind: a line goes if it lies in a unit that also stands earlier without overlapping,
+which takes out every repeated run of two or more lines to its ends.  Lines are
+compared byte by byte first: Grace tables hold the complete bytes of all distinct
+lines, and a digest that ever stood for two different lines takes part in no unit.
+Every line removed has a copy that stays, but a run may stay in parts: where one of
+its lines goes with an earlier run, that line's copy is elsewhere.  There lines are
+compared without their line break, so a passage that ends a text is found too.
+
+In ``remove_repeated``, within a task equal chunks are combined first, byte by byte, and one row per
 distinct chunk and block goes on.  These are dealt by digest to Grace tables, which
 compare complete bytes and spill what does not fit; only repeated chunks come out.
 Occurrences meet them by digest, in a join of stored tables that AQE can split where
@@ -46,7 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import shuffle_width, table, written
+from .common import release, shuffle_width, table, written
 from .exact_dedup import GraceTable, OpenTable
 
 SPAN, MEAN_LINES, MIN_LINES = 3, 4, 2
@@ -57,24 +59,25 @@ BLOCK_BYTES, BLOCK_CHUNKS, BLOCK_LINES, LINE_TABLE_BYTES = 24 << 20, 50_000, 200
 _BASE, _MASK, _NULL_ID = 0x9E3779B97F4A7C15, (1 << 64) - 1, -(1 << 63)
 
 
+def cuts(hashes: list[int], span: int = SPAN, mean: int = MEAN_LINES) -> list[int]:
+    """Where chunks end, in lines: content-defined, and at the end of the text."""
+    drop = pow(_BASE, span, 1 << 64)
+    out, rolling = [], 0
+    for k, h in enumerate(hashes):
+        rolling = rolling * _BASE + h & _MASK
+        if k >= span:
+            rolling = rolling - hashes[k - span] * drop & _MASK
+        if (rolling >> 32) % mean == 0:
+            out.append(k + 1)
+    return out if not hashes or out and out[-1] == len(hashes) else [*out, len(hashes)]
+
+
 def chunks(text: str | None, span: int = SPAN, mean: int = MEAN_LINES) -> list[tuple[bytes, int]]:
     """(bytes, lines) of the chunks of a text, which in a row give the text."""
     lines = (text or "").encode("utf-8", "surrogatepass").split(b"\n")
     lines = [x + b"\n" for x in lines[:-1]] + ([lines[-1]] if lines[-1] else [])
-    drop = pow(_BASE, span, 1 << 64)
-    out, held, rolling, hashes = [], [], 0, []
-    for k, line in enumerate(lines):
-        hashes.append(xxhash.xxh3_64_intdigest(line))
-        rolling = (rolling * _BASE + hashes[-1]) & _MASK
-        if k >= span:
-            rolling = (rolling - hashes[k - span] * drop) & _MASK
-        held.append(line)
-        if (rolling >> 32) % mean == 0:
-            out.append((b"".join(held), len(held)))
-            held = []
-    if held:
-        out.append((b"".join(held), len(held)))
-    return out
+    ends = cuts([xxhash.xxh3_64_intdigest(line) for line in lines], span, mean)
+    return [(b"".join(lines[a:b]), b - a) for a, b in zip([0, *ends], ends)]
 
 
 MEMBER = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("chunk", T.IntegerType()), T.StructField("digest", T.BinaryType())])
@@ -197,7 +200,7 @@ def _digest(line: bytes) -> bytes:
 
 
 LINE = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("content", T.BinaryType())])
-UNIT = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("line", T.LongType()), T.StructField("key", T.BinaryType())])
+UNIT = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("line", T.LongType()), T.StructField("lines", T.IntegerType()), T.StructField("key", T.BinaryType())])
 CLEAN = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("removed_chunks", T.LongType()), T.StructField("removed_lines", T.LongType()), T.StructField("clean_text", T.StringType())]
 )
@@ -248,42 +251,47 @@ def _clashes(batches: Iterator[pa.RecordBatch], table_bytes: int = LINE_TABLE_BY
         yield _batch(out, to_arrow_schema(T.StructType([LINE["digest"]])))
 
 
+def _key(digests: list[bytes]) -> bytes:
+    return xxhash.xxh3_128_digest(b"".join(digests))
+
+
 def _units(batches: Iterator[pa.RecordBatch], clashes: frozenset[bytes], words: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of lines, and long lines, by the number of their first line; the key's size tells them apart."""
+    """Chunks, pairs of lines, and long lines, by the number of their first line and of their lines."""
     schema = to_arrow_schema(UNIT)
 
     def batch() -> pa.RecordBatch:
         columns = [np.repeat(np.array(c, "i8"), sizes) for c in (rows, docs)]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((*columns, at, keys), schema)], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((*columns, at, long, keys), schema)], schema=schema)
 
-    rows, docs, sizes, at, keys = [], [], [], [], []
+    rows, docs, sizes, at, long, keys = [], [], [], [], [], []
     for b in batches:
         for row, doc, text in zip(*(c.to_pylist() for c in b.columns)):
             lines, before = text_lines(text), len(keys)
             digests = list(map(_digest, lines))
-            pairs = list(map(bytes.__add__, digests, digests[1:]))
-            keys += pairs
-            at += range(len(pairs))
-            long = [k for k, line in enumerate(lines) if len(line) > 2 * words and len(line.split(None, words)) > words]
-            keys += [digests[k] for k in long]
-            at += long
+            ends = cuts([int.from_bytes(d[:8], "little") for d in digests])
+            units = [(a, e - a) for a, e in zip([0, *ends], ends) if e - a >= max(MIN_LINES, 3)]  # a chunk of two lines is a pair
+            units += [(k, 2) for k in range(len(lines) - 1)]
+            units += [(k, 1) for k, line in enumerate(lines) if len(line) > 2 * words and len(line.split(None, words)) > words]
             if clashes and not clashes.isdisjoint(digests):
-                sound = [(k, key) for k, key in zip(at[before:], keys[before:]) if key[:DIGEST_BYTES] not in clashes and key[-DIGEST_BYTES:] not in clashes]
-                at[before:], keys[before:] = [k for k, _ in sound], [key for _, key in sound]
+                units = [(k, n) for k, n in units if clashes.isdisjoint(digests[k : k + n])]
+            keys += [digests[k] if n == 1 else _key(digests[k : k + n]) for k, n in units]
+            at += [k for k, _ in units]
+            long += [n for _, n in units]
             rows.append(row)
             docs.append(_NULL_ID if doc is None else doc)
             sizes.append(len(keys) - before)
             if len(keys) >= 20_000:
                 yield batch()
-                rows, docs, sizes, at, keys = [], [], [], [], []
+                rows, docs, sizes, at, long, keys = [], [], [], [], [], []
     if keys:
         yield batch()
+    release()
 
 
-def _without(text: str | None, pairs: list[int] | None, longs: list[int] | None) -> tuple[int, int, int, str | None]:
-    """(lines, runs removed, lines removed, what stays) of a text whose units at these lines are repeated."""
+def _without(text: str | None, units: list[tuple[int, int]] | None) -> tuple[int, int, int, str | None]:
+    """(lines, runs removed, lines removed, what stays) of a text whose units (first line, lines) are repeated."""
     lines = text_lines(text)
-    gone = {*(pairs or ()), *(k + 1 for k in pairs or ()), *(longs or ())}
+    gone = {k for line, n in units or () for k in range(line, line + n)}
     if not gone:
         return len(lines), 0, 0, text
     ends = [b"\n"] * (len(lines) - 1) + [b"\n" if text.endswith("\n") else b""]
@@ -292,7 +300,7 @@ def _without(text: str | None, pairs: list[int] | None, longs: list[int] | None)
 
 
 def remove_passages(docs: DataFrame, words: int = LINE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As ``remove_repeated``, with repeated runs of lines and long lines in place of chunks; a chunk removed is a run."""
+    """As ``remove_repeated``, with pairs of lines and long lines beside the chunks; ``removed_chunks`` counts the runs removed."""
     spark = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     distinct = rows.select("text").mapInArrow(_distinct_lines, LINE).repartition(shuffle_width(spark), "digest")
@@ -300,23 +308,22 @@ def remove_passages(docs: DataFrame, words: int = LINE_WORDS, id_col: str = "doc
     clashes = frozenset(bytes(r["digest"]) for r in distinct.mapInArrow(_clashes, T.StructType([LINE["digest"]])).collect())
 
     units = written(rows.mapInArrow(lambda batches: _units(batches, clashes, words), UNIT), "line-units")
-    first = units.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "row", "line")).alias("first"))
-    first = written(first.filter("n > 1").select("key", F.col("first.row").alias("first_row"), F.col("first.line").alias("first_line")), "line-repeated")
-    pair = F.octet_length("key") == 2 * DIGEST_BYTES
-    met = units.select("row", "line", "key").join(first, "key")
-    later = met.filter((F.col("row") != F.col("first_row")) | (F.col("line") > F.col("first_line") + F.when(pair, 1).otherwise(0)))
-    lists = [F.collect_list(F.when(c, F.col("line"))).alias(name) for name, c in (("pairs", pair), ("longs", ~pair))]
-    removals = written(later.groupBy("row").agg(*lists), "line-removals")
+    first = units.groupBy("key", "lines").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "row", "line")).alias("first"))
+    first = written(first.filter("n > 1").select("key", "lines", F.col("first.row").alias("first_row"), F.col("first.line").alias("first_line")), "line-repeated")
+    met = units.select("row", "line", "lines", "key").join(first, ["key", "lines"])
+    later = met.filter((F.col("row") != F.col("first_row")) | (F.col("line") >= F.col("first_line") + F.col("lines")))
+    removals = written(later.groupBy("row").agg(F.collect_list(F.struct("line", "lines")).alias("units")), "line-removals")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = to_arrow_schema(CLEAN)
         for b in batches:
-            out = [(doc, text, *_without(text, pairs, longs)) for doc, text, pairs, longs in zip(*(c.to_pylist() for c in b.columns))]
+            out = [(doc, text, *_without(text, units and [(u["line"], u["lines"]) for u in units])) for doc, text, units in zip(*(c.to_pylist() for c in b.columns))]
             if out:
                 yield _batch(out, schema)
+        release()
 
     # The same join at every size: removals grow with the documents.
-    return rows.join(removals.hint("merge"), "row", "left").select("doc_id", "text", "pairs", "longs").mapInArrow(clean, CLEAN)
+    return rows.join(removals.hint("merge"), "row", "left").select("doc_id", "text", "units").mapInArrow(clean, CLEAN)
 
 
 def op10_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

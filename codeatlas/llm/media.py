@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import table, written
+from .common import release, table, written
 
 ROW_BYTES = 192
 WIDTH = ROW_BYTES // 3
@@ -203,6 +203,7 @@ def store_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     out, size = [], 0
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+        release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(store, STORED)
 

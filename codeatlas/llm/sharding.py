@@ -6,15 +6,16 @@ fraction interleaves the sources in proportion to their sizes, and cutting the
 sequence into equal runs gives shards whose mixtures all match the whole.
 
 The ranks are global, but no window holds a source or a shard: rows are first
-dealt into buckets of the seeded hash, whose counts give each bucket's first
-rank, and the final order is dealt into buckets of the fraction, whose counts
-follow from the source sizes by integer arithmetic.  Both shuffles move only
-ids and sizes, never texts.
+dealt into buckets of the seeded hash, and the final order into buckets of the
+fraction; the counts of buckets, added up block by block, give each bucket's first
+rank.  Texts are read once, and what is shuffled are ids and sizes.  The hash takes
+in size and checksum too, so rows without an id, and different rows of one id, spread
+over the buckets; fully equal rows are spread by their number in the stored table.
 
 Nulls and ties: a null source is a source of its own; a null text has no bytes
-(size 1, crc32 0); a null id takes part like any other.  Rows that share id and
-source are ordered by size, then checksum; fully equal rows are interchangeable.
-An empty table gives no rows.  Columns other than the named ones are ignored.
+(size 1, crc32 0); a null id takes part like any other.  Fully equal rows are
+interchangeable.  An empty table gives no rows.  Columns other than the named ones
+are ignored.
 """
 
 from __future__ import annotations
@@ -22,12 +23,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, tagged
+from .common import table, tagged, written
 
 SEED = "atlas-1"
 SHARDS = 8
-#: Rows a window task sorts at a time.
-BUCKET_ROWS = 8_000
+#: Rows of a bucket, which one window task sorts; buckets of a block, and parts of a bucket of equal hashes.
+BUCKET_ROWS, BLOCK_BUCKETS, PARTS = 2_000, 1_024, 64
+
+
+def _starts(counts: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """(keys, at, before): how many of ``k`` come before each bucket, added up in blocks of buckets."""
+    cut = counts.withColumn("block", F.floor(F.col(at) / BLOCK_BUCKETS))
+    blocks = cut.groupBy(*keys, "block").agg(F.sum("k").alias("all"))
+    earlier = lambda by, order, what: F.coalesce(F.sum(what).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.withColumn("far", earlier(keys, "block", "all"))
+    near = cut.withColumn("near", earlier([*keys, "block"], at, "k"))
+    return near.join(blocks.select(*keys, "block", "far"), [*keys, "block"]).select(*keys, at, (F.col("near") + F.col("far")).alias("before"))
 
 
 def stratified_shards(
@@ -40,46 +51,32 @@ def stratified_shards(
     source_col: str = "source",
 ) -> DataFrame:
     """Rows of ``docs`` as (id, size, text_crc32, stratum, shard, slot); see the module."""
-    total = docs.count()
+    size = (F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1).alias("size")
+    crc = F.coalesce(F.crc32(F.col(text_col).cast("binary")), F.lit(0)).alias("text_crc32")
+    keyed = docs.select(F.col(id_col).alias("doc_id"), tagged(source_col).alias("stratum"), size, crc)
+    hashed = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string"), F.col("text_crc32").cast("string"))
+    keyed = written(keyed.withColumn("h", F.md5(hashed.cast("binary"))).withColumn("spread", F.monotonically_increasing_id()), "shards-keyed")
+    total = keyed.count()
     buckets = max(1, -(-total // bucket_rows))
-    keyed = docs.select(
-        F.col(id_col).alias("doc_id"),
-        tagged(source_col).alias("stratum"),
-        F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary")).alias("h"),
-        (F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1).alias("size"),
-        F.coalesce(F.crc32(F.col(text_col).cast("binary")), F.lit(0)).alias("text_crc32"),
-    ).withColumn("b", F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * buckets / F.lit(1 << 32))
-    keyed = keyed.withColumn("b", F.floor("b").cast("long"))
-
-    by_stratum = Window.partitionBy("stratum")
-    firsts = (
-        keyed.groupBy("stratum", "b")
-        .agg(F.count(F.lit(1)).alias("k"))
-        .select(
-            "stratum",
-            "b",
-            (F.sum("k").over(by_stratum.orderBy("b")) - F.col("k")).alias("before"),
-            F.sum("k").over(by_stratum).alias("n"),
-        )
-    )
+    part = F.pmod(F.xxhash64("spread"), F.lit(PARTS))
+    at = F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * buckets / F.lit(1 << 32)).cast("long")
+    dealt = keyed.withColumn("b", at)
+
+    # Of a hash that alone fills a bucket, the rows are equal, so the parts of that bucket may come in any order.
+    counts = dealt.groupBy("stratum", "b").agg(F.count(F.lit(1)).alias("k"), (F.min("h") == F.max("h")).alias("equal"))
+    n = counts.groupBy("stratum").agg(F.sum("k").alias("n"))
+    split = F.when(F.col("equal") & (F.col("k") > bucket_rows), part).otherwise(F.lit(0))
+    dealt = dealt.join(counts.select("stratum", "b", "k", "equal"), ["stratum", "b"]).withColumn("b", F.col("b") * PARTS + split).drop("k", "equal")
+    firsts = _starts(dealt.groupBy("stratum", "b").agg(F.count(F.lit(1)).alias("k")), ["stratum"], "b").join(n, "stratum")
     in_bucket = Window.partitionBy("stratum", "b").orderBy("h", "doc_id", "size", "text_crc32")
     ranked = (
-        keyed.join(firsts, ["stratum", "b"])
+        dealt.join(firsts, ["stratum", "b"])
         .withColumn("r", F.row_number().over(in_bucket) + F.col("before"))
         .withColumn("fraction", (F.col("r") - 0.5) / F.col("n"))
         .withColumn("g", F.expr(f"((2 * r - 1) * {buckets}) div (2 * n)"))
     )
-    # Rows of a stratum below bucket g, by the same integers as g itself.
-    below = F.expr(f"(((2 * n * g - 1) div {buckets}) + 1) div 2")
-    starts = (
-        firsts.groupBy("stratum")
-        .agg(F.max("n").alias("n"))
-        .select("n", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("g"))
-        .withColumn("g", F.col("g").cast("long"))
-        .withColumn("below", F.when(F.col("g") == 0, F.lit(0)).otherwise(below).cast("long"))
-        .groupBy("g")
-        .agg(F.sum("below").alias("start"))
-    )
+    ranked = written(ranked.select("doc_id", "stratum", "size", "text_crc32", "h", "fraction", "g"), "shards-ranked")
+    starts = _starts(ranked.groupBy("g").agg(F.count(F.lit(1)).alias("k")), [], "g").withColumnRenamed("before", "start")
     in_order = Window.partitionBy("g").orderBy("fraction", "stratum", "h", "doc_id", "size", "text_crc32")
     return (
         ranked.join(starts, "g")
@@ -111,19 +108,20 @@ CRC_TABLE = """crc_table as materialized (
 
 
 def crc_sql(blob: str) -> str:
-    steps = f"list_transform(range(octet_length({blob})), lambda i: ('0x' || substr(hex({blob}), 2 * i + 1, 2))::bigint)"
+    steps = f"list_transform(regexp_extract_all(hex({blob}), '..'), lambda x: ('0x' || x)::bigint)"
     return f"xor(list_reduce([4294967295] || {steps}, lambda a, x: xor(a // 256, tab[1 + xor(a % 256, x)])), 4294967295)"
 
 
 SQL = {
     "op6_stratified_shards": f"""
 with {CRC_TABLE},
-base as (
-  select doc_id, coalesce('=' || source, '-') as stratum,
-         md5('{SEED}:' || coalesce(cast(doc_id as varchar), '')) as h,
-         cast(coalesce(strlen(text), 0) + 1 as bigint) as size,
+sized as materialized (
+  select doc_id, coalesce('=' || source, '-') as stratum, cast(coalesce(strlen(text), 0) + 1 as bigint) as size,
          cast({crc_sql("encode(coalesce(text, ''))")} as bigint) as text_crc32
   from documents, crc_table),
+base as (
+  select *, md5('{SEED}:' || coalesce(cast(doc_id as varchar), '') || ':' || size || ':' || text_crc32) as h
+  from sized),
 ranked as (
   select *, (row_number() over (partition by stratum order by h, doc_id nulls first, size, text_crc32) - 0.5::double)
             / count(*) over (partition by stratum) as fraction

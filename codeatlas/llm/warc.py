@@ -14,7 +14,8 @@ what the writer puts after each line.
 The shuffle by digest carries a few dozen bytes a row and its largest ids are
 combined before it.  Groups of one payload that hold many rows meet their winner
 in a join of two stored tables, so AQE can split them.  Payloads move once, by
-row number, evenly.
+row number, evenly, into as many files as their bytes ask for; a file is compressed
+as one member, so records are read from its beginning.
 
 Captures: row (unique long), page_id long, uri string, record_type string
 ('response', or 'revisit' for a capture that carries a digest but no payload),
@@ -42,11 +43,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import new_folder, table, written
+from .common import new_folder, release, shuffle_width, table, written
 
 MIN_PAYLOAD_BYTES = 0
-#: Records of one archive file; a file is read as a whole.
-RECORDS_PER_FILE = 5_000
+#: Payload bytes of one archive file, about; a file is read as a whole.
+ARCHIVE_BYTES = 128 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END = "\r\n"
 
@@ -59,9 +60,9 @@ def base32_sha1(payload: Column) -> Column:
 
 
 def captures(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """Pages as captured responses; row numbers follow the stored table's scan order."""
+    """Pages as captured responses, stored with the numbers of their rows, which thus are the same whenever they are read."""
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
-    return pages.select(
+    rows = pages.select(
         F.monotonically_increasing_id().alias("row"),
         F.col(id_col).cast("long").alias("page_id"),
         F.col(uri_col).cast("string").alias("uri"),
@@ -70,6 +71,7 @@ def captures(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", pa
         base32_sha1(payload).alias("digest"),
         F.octet_length(payload).cast("long").alias("payload_bytes"),
     )
+    return written(rows, "warc-captures")
 
 
 def resolve(headers: DataFrame, min_bytes: int = MIN_PAYLOAD_BYTES) -> DataFrame:
@@ -88,6 +90,7 @@ def resolve(headers: DataFrame, min_bytes: int = MIN_PAYLOAD_BYTES) -> DataFrame
     repeats = (F.col("origin_row") != F.col("row")) & F.col("origin_row").isNotNull()
     return joined.select(
         "row",
+        "payload_bytes",
         F.when(repeats, F.col("origin_page")).alias("refers_page"),
         F.when(repeats, F.col("origin_row")).alias("refers_row"),
         F.when(repeats | (F.col("record_type") == "revisit"), "revisit").otherwise("response").alias("resolved_type"),
@@ -99,11 +102,14 @@ def _header(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(_END)), F.lit(""))
 
 
-def write_deduplicated(caps: DataFrame, path: str, min_bytes: int = MIN_PAYLOAD_BYTES, date: str | None = None) -> str:
+def write_deduplicated(caps: DataFrame, path: str, min_bytes: int = MIN_PAYLOAD_BYTES, date: str | None = None, archive_bytes: int = ARCHIVE_BYTES) -> str:
     """Write the archives of ``caps`` to the folder ``path``; returns it."""
     date = date or datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
-    resolved = resolve(caps.select("row", "page_id", "record_type", "digest", "payload_bytes"), min_bytes)
-    rows = caps.drop("record_type").join(resolved, "row")
+    resolved = written(resolve(caps.select("row", "page_id", "record_type", "digest", "payload_bytes"), min_bytes), "warc-resolved")
+    size = resolved.filter("resolved_type = 'response'").agg(F.coalesce(F.sum("payload_bytes"), F.lit(0))).first()[0]
+    # Numbers of rows deal evenly, so files differ in size by little more than their largest record.
+    dealt = caps.drop("record_type", "payload_bytes").repartition(max(shuffle_width(caps.sparkSession), -(-size // archive_bytes)), "row")
+    rows = dealt.join(resolved, "row")
     kept = F.col("resolved_type") == "response"
     urn = lambda c: F.concat(F.lit("<urn:x-row:"), c.cast("string"), F.lit(">"))
     uri = F.coalesce(F.regexp_replace("uri", r"[\x00-\x20\x7f]", "%20"), F.concat(F.lit("urn:x-row:"), F.col("row").cast("string")))
@@ -135,7 +141,7 @@ def write_deduplicated(caps: DataFrame, path: str, min_bytes: int = MIN_PAYLOAD_
         http,
         body,
     )
-    rows.select(record.alias("value")).write.option("compression", "gzip").option("lineSep", _END * 2).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    rows.select(record.alias("value")).write.option("compression", "gzip").option("lineSep", _END * 2).text(path)
     return path
 
 
@@ -203,6 +209,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                             out, held = [], 0
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+        release()
 
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(parse, RECORD)
 

@@ -144,4 +144,4 @@ def test_lines_of_one_digest():
     for limit in (1, 1 << 20):
         assert [b.column(0).to_pylist() for b in L._clashes([lines], limit)] == [[same]]
     texts = pa.RecordBatch.from_pydict({"row": [0], "doc_id": [None], "text": ["c\na\nc\nd\n"]}, schema=pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string())]))
-    assert [b.column(2).to_pylist() for b in L._units([texts], frozenset([same]), 50)] == [[2]]
+    assert [[b.column(2).to_pylist(), b.column(3).to_pylist()] for b in L._units([texts], frozenset([same]), 50)] == [[[2], [2]]]
