@@ -6,46 +6,17 @@ name does is told by the operator it calls.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import ids, kinds, text
 from .functions.folding import fold, fold_sql
 from .operators import graph, hierarchy, numbering, references as refs_, search, selection, spans, stats
-from .runtime import ship
+from .registered import oracle_sql, queries, query  # noqa: F401
 from .sources import testdata as td
 from .streaming import builds
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ship(spark)
-            return f(spark, sf_dir)
-
-        run.__doc__ = f.__doc__
-        _QUERIES[name] = run
-        if sql:
-            _SQL[name] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
 # ---------------------------------------------------------------- search
 
 
@@ -66,19 +37,22 @@ def _search(name: str, text_: str, *branches: tuple[str, str]) -> None:
         found = search.search_symbols(td.symbols(spark, sf_dir), text_)
         return found.select("name", "kind", "assembly_name", "symbol_id", "match_level", "weight")
 
+    return sql
+
 
 _word = lambda w: f"(contains(name_fold, '{w}') or contains(assembly_fold, '{w}') or contains(project_fold, '{w}'))"
 _search("search_prefix", "col", ("starts_with(name_fold, 'COL')", "col"))
 _search("search_verbatim", '"cold widget"', ("name_fold = 'COLD WIDGET'", "cold widget"))
 _search("search_words_and", "cold widget", (f"starts_with(name_fold, 'COLD') and {_word('WIDGET')}", "cold"), (f"starts_with(name_fold, 'WIDGET') and {_word('COLD')}", "widget"))
-_search("search_union_all_interpretations", "cold hot", (f"starts_with(name_fold, 'COLD') and {_word('HOT')}", "cold"), (f"starts_with(name_fold, 'HOT') and {_word('COLD')}", "hot"))
-_search("search_dotted_namespace", "Brand#1.ECONOMY.hot", ("starts_with(name_fold, 'HOT') and contains(desc_fold, 'BRAND#1.ECONOMY.HOT')", "hot"))
+_search("search_union_all_interpretations", "lar large", (f"starts_with(name_fold, 'LAR') and {_word('LARGE')}", "lar"), (f"starts_with(name_fold, 'LARGE') and {_word('LAR')}", "large"))
+_search("search_short_word", "red ri", (f"starts_with(name_fold, 'RED') and {_word('RI')}", "red"))
+_search("search_dotted_namespace", "ECONOMY.small", ("starts_with(name_fold, 'SMALL') and contains(desc_fold, 'ECONOMY.SMALL')", "small"))
 _search("search_dotted_filter", "cold Brand#2.", (f"starts_with(name_fold, 'COLD') and (contains(assembly_fold, 'BRAND#2.') or contains(desc_fold, 'BRAND#2.'))", "cold"), ("starts_with(name_fold, 'BRAND#2.')", "Brand#2."))
 _search("search_kind_type", "cold type", ("starts_with(name_fold, 'COLD') and kind in ('class','struct','interface','enum','delegate')", "cold"))
 _search("search_kind_any", "cold method property", ("starts_with(name_fold, 'COLD') and kind in ('method','property')", "cold"))
-_search("search_path_filter", "cold src/Brand#1\\ ", ("starts_with(name_fold, 'COLD') and contains(project_fold, 'SRC/BRAND#1\\')", "cold"))
+_search("search_path_filter", "small src\\Brand#1", ("starts_with(name_fold, 'SMALL') and contains(project_fold, 'SRC\\BRAND#1')", "small"))
 _search("search_accessor", "get_cold", ("starts_with(name_fold, 'GET_COLD')", "get_cold"), ("starts_with(name_fold, 'COLD')", "cold"))
-_search("search_file_name", "cold.cs", ("starts_with(name_fold, 'COLD.CS')", "cold.cs"))
+_search("search_file_name", "small.cs", ("starts_with(name_fold, 'SMALL.CS')", "small.cs"))
 
 
 @query("potential_results", f"with {td.SYMBOLS_SQL} select 0 as interpretation, count(*) as n from symbols where starts_with(name_fold, 'COLD') union all select 1, count(*) from symbols where starts_with(name_fold, 'WIDGET')")
@@ -88,23 +62,20 @@ def _(spark, sf_dir):
 
 @query(
     "results_grouped_by_assembly",
-    f"with {td.SYMBOLS_SQL} select assembly_name, min(weight) as best, count(*) as n, cast(0 as bigint) as referencing from ({_FOUND} {_branch("starts_with(name_fold, 'COLD')", 'cold')} b) f group by assembly_name",
+    f"""with {td.SYMBOLS_SQL}, {td.REFS_SQL},
+r as (select assembly_name, count(distinct from_assembly) as n from refs join symbols on symbol_id = to_symbol_id group by 1),
+g as (select assembly_name, min(weight) as best, count(*) as n from ({_FOUND} {_branch("starts_with(name_fold, 'COLD')", 'cold')} b) f group by assembly_name),
+c as (select g.*, coalesce(r.n, 0) as referencing from g left join r using (assembly_name))
+select *, row_number() over (order by best, referencing desc, {fold_sql("assembly_name")}) as rank from c""",
 )
 def _(spark, sf_dir):
-    none = td.assembly_edges(spark, sf_dir).select(F.col("to_assembly").alias("assembly")).groupBy("assembly").agg(F.count(F.lit(1)).alias("n"))
-    return search.group_by_assembly(search.search_symbols(td.symbols(spark, sf_dir), "cold"), none)
-
+    s = td.symbols(spark, sf_dir)
+    used = td.references(spark, sf_dir).select(F.col("to_symbol_id").alias("symbol_id"), "from_assembly").join(s.select("symbol_id", "assembly_name"), "symbol_id")
+    referencing = used.groupBy(F.col("assembly_name").alias("assembly")).agg(F.countDistinct("from_assembly").alias("n"))
+    return search.group_by_assembly(search.search_symbols(s, "cold"), referencing)
 
-_ASSEMBLIES = """assemblies as (
-  select p_brand as assembly_name, case when p_brand <> 'Brand#7' then 'src/' || p_brand || '.csproj' end as project_path,
-         cast(row_number() over (order by p_brand) - 1 as int) as assembly_number from (select distinct p_brand from part) d),
-projects as (select project_path, cast(row_number() over (order by project_path) - 1 as int) as project_key from assemblies where project_path is not null),
-keyed as (select a.assembly_name, a.assembly_number, a.project_path, coalesce(p.project_key, -1) as project_key from assemblies a left join projects p using (project_path))"""
 
-
-def _keyed(spark, sf_dir):
-    a = td.assemblies(spark, sf_dir)
-    return numbering.project_keys(a).join(a.select("assembly_name", "assembly_number"), "assembly_name")
+_ASSEMBLIES, _keyed = td.ASSEMBLIES_SQL, td.keyed
 
 
 @query("project_keys", f"with {_ASSEMBLIES} select assembly_name, project_path, project_key from keyed")
@@ -142,13 +113,13 @@ def _(spark, sf_dir):
     return search.find_first(td.assemblies(spark, sf_dir).select("assembly_name"), "assembly_name", "brand#1")
 
 
-_TERMS = "select 'T:' || p_partkey as term, substr(md5('T:' || p_partkey), 1, 16) as symbol_id from part where p_partkey <= 20 union all select substr(md5('T:' || (p_partkey)), 1, 16), substr(md5('T:' || p_partkey), 1, 16) from part where p_partkey between 21 and 40 union all select 'T:none', substr(md5('T:none'), 1, 16)"
+_TERMS = "select case when p_partkey % 2 = 0 then 'T:' || p_partkey else substr(md5('T:' || p_partkey), 1, 16) end as term, substr(md5('T:' || p_partkey), 1, 16) as symbol_id from part union all select 'T:none', substr(md5('T:none'), 1, 16)"
 
 
 @query("symbol_by_id", f"with {td.SYMBOLS_SQL}, terms as ({_TERMS}) select term, t.symbol_id, '/' || s.assembly_name || '/A.html#' || t.symbol_id as url from terms t left join symbols s on s.symbol_id = t.symbol_id")
 def _(spark, sf_dir):
-    part = td.read(spark, sf_dir, "part").select(F.concat(F.lit("T:"), F.col("p_partkey").cast("string")).alias("term"), "p_partkey")
-    terms = part.filter("p_partkey <= 20").select("term").unionByName(part.filter("p_partkey between 21 and 40").select(ids.symbol_id(F.col("term")).alias("term")))
+    named = F.concat(F.lit("T:"), F.col("p_partkey").cast("string"))
+    terms = td.read(spark, sf_dir, "part").select(F.when(F.col("p_partkey") % 2 == 0, named).otherwise(ids.symbol_id(named)).alias("term"))
     return search.symbol_urls(td.symbols(spark, sf_dir), terms.unionByName(spark.createDataFrame([("T:none",)], "term string")))
 
 
@@ -166,9 +137,18 @@ def _(spark, sf_dir):
     return search.redirects(td.references(spark, sf_dir).select(F.col("to_symbol_id").alias("symbol_id"), F.col("from_path").alias("file")))
 
 
-@query("symbol_materialize", f"with {td.SYMBOLS_SQL}, {_ASSEMBLIES} select s.symbol_id, k.assembly_name, k.project_path, 'class' as kind, 1 as kind_rank from symbols s join keyed k on k.assembly_number = s.assembly_number")
+_GLYPH_KIND = "case " + " ".join(f"when glyph between {a} and {b} then '{kind}'" for kind, ranges in kinds.GLYPH_RANGES.items() for a, b in ranges) + " else 'symbol' end"
+
+
+@query(
+    "symbol_materialize",
+    f"""with {td.SYMBOLS_SQL}, {_ASSEMBLIES}, packed as (select symbol_id, assembly_number, cast(('0x' || substr(symbol_id, 1, 4))::bigint % 230 as int) as glyph from symbols),
+m as (select p.symbol_id, k.assembly_name, k.project_path, {_GLYPH_KIND} as kind from packed p join keyed k on k.assembly_number = p.assembly_number)
+select *, case when kind in ('class','struct','interface','enum','delegate') then 1 when kind = 'field' then 3 when kind = 'file' then 4 else 2 end as kind_rank from m""",
+)
 def _(spark, sf_dir):
-    packed = td.symbols(spark, sf_dir).select("assembly_number", F.lit(3).alias("glyph"), "name", "symbol_id", "description")
+    glyph = (F.conv(F.substring("symbol_id", 1, 4), 16, 10).cast("int") % 230).alias("glyph")
+    packed = td.symbols(spark, sf_dir).select("assembly_number", glyph, "name", "symbol_id", "description")
     k = _keyed(spark, sf_dir)
     return search.materialize(packed, k, k.select("project_key", "project_path")).select("symbol_id", "assembly_name", "project_path", "kind", "kind_rank")
 
@@ -195,7 +175,11 @@ def _(spark, sf_dir):
     return refs_.display_names(td.references(spark, sf_dir))
 
 
-@query("refs_headers", f"with {td.REFS_SQL} select to_symbol_id, kind, count(*) as n, count(*) || ' ' || case kind when 0 then 'derived type' when 6 then 'write' else 'reference' end || case when count(*) = 1 then '' else 's' end as header from refs group by to_symbol_id, kind")
+# Reference kinds in words.
+_WORDS = "['derived type', 'interface inheritance', 'interface implementation', 'override', 'interface member implementation', 'instantiation', 'write', 'read', 'reference', 'guid usage', 'empty array allocation', 'MSBuild property assignment', 'MSBuild property usage', 'MSBuild item assignment', 'MSBuild item usage', 'MSBuild target declaration', 'MSBuild target usage', 'MSBuild task declaration', 'MSBuild task usage']"
+
+
+@query("refs_headers", f"with {td.REFS_SQL} select to_symbol_id, kind, count(*) as n, count(*) || ' ' || ({_WORDS})[kind + 1] || case when count(*) = 1 then '' else 's' end as header from refs group by to_symbol_id, kind")
 def _(spark, sf_dir):
     return refs_.headers(td.references(spark, sf_dir))
 
@@ -226,10 +210,10 @@ def _(spark, sf_dir):
     return refs_.local_ids(td.read(spark, sf_dir, "events").select("user_id", "event_type", "event_id"), "user_id", "event_type", "event_id")
 
 
-@query("highlight_links", f"with {td.REFS_SQL} select line, col_start, col_end from refs where from_path = 'f1.cs' and to_symbol_id = substr(md5('T:7'), 1, 16)")
+@query("highlight_links", f"with {td.REFS_SQL} select line, col_start, col_end from refs where from_path = 'f1.cs' and to_symbol_id = substr(md5('T:' || (select min(l_partkey) from lineitem where l_orderkey % 50 = 1)), 1, 16)")
 def _(spark, sf_dir):
-    symbol = spark.range(1).select(ids.symbol_id(F.lit("T:7"))).first()[0]
-    return refs_.highlight(td.references(spark, sf_dir), "f1.cs", symbol)
+    part = td.read(spark, sf_dir, "lineitem").filter("l_orderkey % 50 = 1").agg(F.min("l_partkey")).first()[0]
+    return refs_.highlight(td.references(spark, sf_dir), "f1.cs", hashlib.md5(f"T:{part}".encode()).hexdigest()[:16])
 
 
 # ---------------------------------------------------------------- graph
@@ -288,10 +272,11 @@ def _(spark, sf_dir):
     return graph.forward_closure(n.select(F.col("n_nationkey").alias("assembly"), F.lit("t").alias("type_id"), F.floor(F.col("n_nationkey") / 2).cast("int").alias("to_assembly")))
 
 
-@query("type_forward_cycle", "select k as assembly, 't' as type_id, (k + 4) % 5 as terminal, 4 as depth from range(5) r(k)")
+@query("type_forward_cycle", "select n_nationkey as assembly, 't' as type_id, n_nationkey // 5 * 5 + (n_nationkey + 4) % 5 as terminal, 4 as depth from nation")
 def _(spark, sf_dir):
-    r = spark.range(5).select(F.col("id").alias("assembly"), F.lit("t").alias("type_id"), ((F.col("id") + 1) % 5).alias("to_assembly"))
-    return graph.forward_closure(r)
+    """Nations forward in rings of five."""
+    k = F.col("n_nationkey")
+    return graph.forward_closure(td.read(spark, sf_dir, "nation").select(k.alias("assembly"), F.lit("t").alias("type_id"), (F.expr("n_nationkey div 5") * 5 + (k + 1) % 5).alias("to_assembly")))
 
 
 @query(
@@ -320,13 +305,24 @@ def _(spark, sf_dir):
     return graph.first_server_path(td.read(spark, sf_dir, "pages").select(F.col("url").alias("path")).distinct(), maps)
 
 
-@query("explorer_references", f"with {td.EDGES_SQL} select from_assembly, to_assembly, true as used, case when k < 10 then 'link' when k < 20 then 'federated' else 'plain' end as shown from edges join (select n_name, n_nationkey as k from nation) n on n_name = to_assembly")
+@query(
+    "explorer_references",
+    f"""with {td.EDGES_SQL}, n as (select n_name, n_nationkey as k from nation),
+declared as (select a.n_name as from_assembly, b.n_name as to_assembly, b.k from n a join n b on a.k % 5 = b.k % 5 and a.k <> b.k union select from_assembly, to_assembly, k from edges join n on n_name = to_assembly where k % 3 = 0)
+select from_assembly, to_assembly, exists (select 1 from edges e where e.from_assembly = d.from_assembly and e.to_assembly = d.to_assembly and d.k % 2 = 0) as used,
+       case when k < 10 then 'link' when k < 20 then 'federated' else 'plain' end as shown from declared d""",
+)
 def _(spark, sf_dir):
     e = td.assembly_edges(spark, sf_dir)
     n = td.read(spark, sf_dir, "nation")
+    numbered = n.select(F.col("n_name").alias("to_assembly"), F.col("n_nationkey").alias("k"))
+    own = n.select(F.col("n_name").alias("from_assembly"), F.col("n_nationkey").alias("j")).join(numbered, (F.col("j") % 5 == F.col("k") % 5) & (F.col("j") != F.col("k")))
+    third = e.join(numbered.filter("k % 3 = 0"), "to_assembly")
+    declared = own.select("from_assembly", "to_assembly").unionByName(third.select("from_assembly", "to_assembly")).distinct()
+    used = e.join(numbered.filter("k % 2 = 0"), "to_assembly", "left_semi")
     indexed = n.filter("n_nationkey < 10").select(F.col("n_name").alias("assembly"))
     servers = n.filter("n_nationkey < 20").select(F.col("n_name").alias("assembly_name"), F.lit(0).alias("server_index"))
-    return graph.explorer_references(e, e, indexed, servers)
+    return graph.explorer_references(declared, used, indexed, servers)
 
 
 @query("external_references", "select n_name as assembly, 'p' || n_nationkey as path from nation where n_nationkey >= 15")
@@ -337,10 +333,10 @@ def _(spark, sf_dir):
     return graph.collapse_external(row(0).unionByName(row(100)), part(0, 4), part(5, 9), part(10, 14))
 
 
-@query("custom_order", "select n_name as assembly, case when n_nationkey < 5 then n_nationkey end as position from nation")
+@query("custom_order", "select *, row_number() over (order by coalesce(position, 2147483647), assembly) as rank from (select n_name as assembly, case when n_nationkey < 5 then 4 - n_nationkey end as position from nation) t")
 def _(spark, sf_dir):
     n = td.read(spark, sf_dir, "nation")
-    return graph.custom_order(n.select(F.col("n_name").alias("assembly")), n.filter("n_nationkey < 5").select(F.col("n_name").alias("assembly"), F.col("n_nationkey").alias("position")))
+    return graph.custom_order(n.select(F.col("n_name").alias("assembly")), n.filter("n_nationkey < 5").select(F.col("n_name").alias("assembly"), (4 - F.col("n_nationkey")).alias("position")))
 
 
 # ---------------------------------------------------------------- statistics and choice
@@ -422,9 +418,9 @@ def _(spark, sf_dir):
     return selection.duplicates(td.read(spark, sf_dir, "part"), ["p_brand", "p_name"])
 
 
-@query("stale_containers", "select s_suppkey as container, greatest(s_nationkey - 1, 0) as ttl, s_nationkey <= 1 as \"delete\" from supplier where s_suppkey not in (select l_suppkey from lineitem where l_quantity > 49 and l_linenumber = 1)")
+@query("stale_containers", "select s_suppkey as container, greatest(s_nationkey - 1, 0) as ttl, s_nationkey <= 1 as \"delete\" from supplier where s_suppkey not in (select l_suppkey from lineitem where l_quantity >= 50 and l_linenumber = 1 and l_returnflag = 'R')")
 def _(spark, sf_dir):
-    used = td.read(spark, sf_dir, "lineitem").filter("l_quantity > 49 and l_linenumber = 1").select(F.col("l_suppkey").alias("container"))
+    used = td.read(spark, sf_dir, "lineitem").filter("l_quantity >= 50 and l_linenumber = 1 and l_returnflag = 'R'").select(F.col("l_suppkey").alias("container"))
     return selection.containers(td.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("container"), F.col("s_nationkey").alias("ttl")), used)
 
 
@@ -463,10 +459,11 @@ def _(spark, sf_dir):
 # ---------------------------------------------------------------- texts and spans
 
 
-@query("line_stats", "select doc_id, cast(len(l) as int) as lines, cast(list_max(l) as int) as longest, cast(list_sum(l) as bigint) as chars from (select doc_id, list_transform(string_split(text, chr(10)), lambda x, i: length(x) + case when i < len(string_split(text, chr(10))) then 1 else 0 end) as l from documents where text <> '') t")
+@query("line_stats", "select doc_id, cast(coalesce(len(l), 0) as int) as lines, cast(coalesce(list_max(l), 0) as int) as longest, cast(coalesce(list_sum(l), 0) as bigint) as chars from (select doc_id, case when text <> '' then list_transform(string_split(text, chr(10)), lambda x, i: length(x) + case when i < len(string_split(text, chr(10))) then 1 else 0 end) end as l from documents) t")
 def _(spark, sf_dir):
-    d = td.read(spark, sf_dir, "documents").filter("text <> ''").select("doc_id", text.lf_line_lengths(F.col("text")).alias("l"))
-    return d.select("doc_id", F.size("l").alias("lines"), F.array_max("l").alias("longest"), F.aggregate("l", F.lit(0).cast("long"), lambda a, x: a + x).alias("chars"))
+    """Lines of every text; null and empty ones have none."""
+    d = td.read(spark, sf_dir, "documents").select("doc_id", F.coalesce(text.lf_line_lengths(F.col("text")), F.array().cast("array<int>")).alias("l"))
+    return d.select("doc_id", F.size("l").alias("lines"), F.coalesce(F.array_max("l"), F.lit(0)).alias("longest"), F.aggregate("l", F.lit(0).cast("long"), lambda a, x: a + x).alias("chars"))
 
 
 @query("line_starts", "with l as (select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line from documents where doc_id is not null and text is not null) select doc_id, cast(line as int) as line, md5(t) as line_md5, cast(coalesce(sum(length(t) + 1) over (partition by doc_id order by line rows between unbounded preceding and 1 preceding), 0) as bigint) as start from l")
@@ -559,29 +556,42 @@ def _(spark, sf_dir):
     return td.symbols(spark, sf_dir).select("symbol_id", text.namespace_of(F.col("description")).alias("namespace"))
 
 
-@query("html_escape_offsets")
+_ESC = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
+
+
+@query(
+    "html_escape_offsets",
+    f"""with s as (select page_id, trim(html, ' ') as t, cast(instr(html, '<title>') + 6 - (length(html) - length(ltrim(html, ' '))) as int) as a, cast(instr(html, '</body>') - 1 - (length(html) - length(ltrim(html, ' '))) as int) as b from pages where html is not null)
+select page_id, md5({_ESC.format("t")}) as escaped, cast(case when a > 0 then length({_ESC.format("substr(t, 1, a)")}) else a end as int) as start, cast(case when b > 0 then length({_ESC.format("substr(t, 1, b)")}) else b end as int) as "end" from s""",
+)
 def _(spark, sf_dir):
-    """Spans of page titles, moved along with their escaping."""
-    move = text.arrow(lambda t, a, b: list(text.escape_with_offsets(t, int(a), int(b))[1:]), "array<int>")
-    pages = td.read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "(<title>.*?</title>)", 1).alias("t"))
-    moved = pages.select("page_id", "t", move(F.col("t"), F.lit(7), F.length("t") - 8).alias("m"))
-    return moved.select("page_id", text.html_escape(F.trim("t")).alias("text"), F.col("m")[0].alias("start"), F.col("m")[1].alias("end"))
+    """Whole pages escaped, and a span of each, from its title to the end of its body, moved along."""
+    a, b = F.instr("html", "<title>") + 6, F.instr("html", "</body>") - 1
+    html, start, end = text.escape_span(F.col("html"), a, b)
+    moved = td.read(spark, sf_dir, "pages").filter("html is not null").select("page_id", F.md5(html.cast("binary")).alias("escaped"), start.cast("int").alias("start"), end.cast("int").alias("end"))
+    return moved
 
 
-@query("msbuild_split")
+@query("msbuild_split", "select p_partkey, '$(' || p_brand || '|$(' || p_type || ')|)|@(' || p_name || '-|>x)' as parts from part")
 def _(spark, sf_dir):
     """Part descriptions with expressions in them, cut at these."""
     split = text.arrow(text.split_expressions, "array<string>")
     t = F.concat(F.lit("$("), "p_brand", F.lit("$("), "p_type", F.lit("))@("), "p_name", F.lit("->x)"))
-    return td.read(spark, sf_dir, "part").select("p_partkey", split(t).alias("parts"))
+    return td.read(spark, sf_dir, "part").select("p_partkey", F.array_join(split(t), "|").alias("parts"))
 
 
-@query("relative_path")
+@query(
+    "relative_path",
+    r"""with p as (select page_id, translate(regexp_replace(url, '^[a-z]+://', ''), '/', '\') as t from pages)
+select page_id, '..\' || t as far, '..\' || substr(t, instr(t, '\') + 1) as near from p""",
+)
 def _(spark, sf_dir):
-    """Pages as seen from the first folder of their site."""
+    """Pages as seen from a folder of another site, and of their own."""
     rel = text.arrow(text.relative_to_file, "string")
-    p = F.concat(F.lit("c:\\"), F.translate(F.regexp_replace("url", "^[a-z]+://", ""), "/", "\\"))
-    return td.read(spark, sf_dir, "pages").select("page_id", rel(p, F.lit("c:\\site0.example\\index.html")).alias("relative"))
+    t = F.translate(F.regexp_replace("url", "^[a-z]+://", ""), "/", "\\")
+    p = F.concat(F.lit("c:\\"), t)
+    near = F.concat(F.lit("c:\\"), F.substring_index(t, "\\", 1), F.lit("\\index\\a.html"))
+    return td.read(spark, sf_dir, "pages").select("page_id", rel(p, F.lit("c:\\other.site\\index.html")).alias("far"), rel(p, near).alias("near"))
 
 
 # ---------------------------------------------------------------- build events
@@ -602,3 +612,6 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     counted = builds.windowed_counts(td.read(spark, sf_dir, "events").select("ts", "event_type"))
     return counted.select(F.col("window.start").alias("start"), "event_type", "n")
+
+
+from . import catalogs  # noqa: E402, F401

@@ -70,6 +70,16 @@ def escape_with_offsets(text: str, start: int, end: int) -> tuple[str, int, int]
     return "".join(written), start, end
 
 
+def escape_span(c: Column, start: Column, end: Column) -> tuple[Column, Column, Column]:
+    """``escape_with_offsets`` as columns: each bound moves by what escaping adds to the text before it."""
+    cut = F.length(c) - F.length(F.ltrim(c))
+    body = F.trim(c)
+    inner = lambda p: F.when(p > -1, p - cut).otherwise(p)
+    first, last = inner(start), F.least(inner(end), F.length(body))
+    moved = lambda p: F.when(p > 0, F.length(html_escape(F.substring(body, F.lit(1), p)))).otherwise(p)
+    return html_escape(body), moved(first), moved(last)
+
+
 def url_encode(text: str) -> str:
     """Letters, digits and ``-_.!*()`` stay, a space is ``+``, code units above 127 are ``%uXXXX``."""
     out = []
@@ -223,7 +233,7 @@ def canonical_guid(x: Column) -> Column:
 
 def trim_compiler(c: Column) -> Column:
     """A command line without the compiler, quoted or not, and what starts it."""
-    return F.regexp_replace(c, r'(?i)^\s*(?:"[^"]*?(?:csc|vbc|tsc)(?:\.exe|\.dll)?"|.*?(?:csc|vbc|tsc)(?:\.exe|\.dll))\s+', "")
+    return F.regexp_replace(c, r'(?i)^\s*(?:"[^"]*?(?:csc|vbc|tsc)(?:\.exe|\.dll)?"|.*?(?:csc|vbc|tsc)(?:\.exe|\.dll)|(?:csc|vbc|tsc))\s+', "")
 
 
 def server_path(argument: str) -> tuple[str, str] | None:
@@ -267,9 +277,37 @@ def symbol_url(assembly: Column, symbol: Column) -> Column:
 
 
 def assembly_name(project: Column, path: Column) -> Column:
-    """The name in a project file, its root namespace where the name points there, or the file's stem."""
-    named = F.regexp_extract(project, r"<AssemblyName>([^<]*)</AssemblyName>", 1)
-    root = F.regexp_extract(project, r"<RootNamespace>([^<]*)</RootNamespace>", 1)
+    """The name in a project file, its root namespace where the name points there, else the last plain name element, else the file's stem.
+
+    A binary's name is its stem.
+    """
+    named = F.regexp_extract(project, r"<(?:Module)?AssemblyName>((?:\w|\.|\$|\(|\)|-)+)</(?:Module)?AssemblyName>", 1)
+    root = F.regexp_extract(project, r"<RootNamespace>((?:\w|\.)+)</RootNamespace>", 1)
     stem = F.regexp_extract(path, r"([^\\/]*?)(?:\.[^.\\/]*)?$", 1)
-    pick = F.when(named == "$(RootNamespace)", root).otherwise(named)
-    return F.when((pick != "") & ~pick.contains("$("), pick).otherwise(stem)
+    elements = F.regexp_extract_all(project, F.lit(r"<AssemblyName[^>]*>([^<$]*)</AssemblyName>"), F.lit(1))
+    plain = F.try_element_at(elements, F.lit(-1))
+    pick = F.when(named == "$(RootNamespace)", F.when(root != "", root).otherwise(named)).when(named != "", named).when(plain != "", plain).otherwise(stem)
+    return F.when(F.lower(path).rlike(r"\.(dll|exe)$"), stem).otherwise(pick)
+
+
+def in_cone(folder: str, path: str) -> str:
+    """``path`` as a full path inside ``folder``: one from elsewhere keeps what follows the folders they share.
+
+    Paths use ``\\``; one without a root is taken from the folder.
+    """
+    folder = folder.rstrip("\\")
+    if not re.match(r"[A-Za-z]:\\|\\", path):
+        path = f"{folder}\\{path}"
+    parts: list[str] = []
+    for part in path.split("\\"):
+        if part == ".." and len(parts) > 1:
+            parts.pop()
+        elif part != ".":
+            parts.append(part)
+    path = "\\".join(parts)
+    if path.lower().startswith(folder.lower()):
+        return path
+    ours, k = folder.lower().split("\\"), 0
+    while k < min(len(ours), len(parts)) and ours[k] == parts[k].lower():
+        k += 1
+    return folder + "\\" + "\\".join(parts[k:]).replace(":", "")

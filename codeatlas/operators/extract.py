@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import escape_with_offsets, arrow, html_escape
+from ..functions.text import escape_span, html_escape
 
 # Token classes that are not marked up, and the style of each that is, by style.
 PLAIN_CLASSES = ("operator", "operator - overloaded", "number", "punctuation", "preprocessor text", "xml literal - text")
@@ -104,9 +104,8 @@ def reference_rows(spans: DataFrame, lines: DataFrame, doc: str) -> DataFrame:
     """Tokens (start, len) with line number, escaped line text and the columns of the token in it."""
     rows = lines_of_spans(spans, lines, doc)
     at = F.col("start") - F.col("line_start")
-    moved = arrow(lambda t, a, b: list(escape_with_offsets(t, int(a), int(b))[1:]), "array<int>")
-    out = rows.withColumn("m", moved(F.col("line_text"), at, at + F.col("len")))
-    return out.select(*spans.columns, (F.col("line") + 1).alias("line"), html_escape(F.trim("line_text")).alias("line_html"), F.col("m")[0].alias("col_start"), F.col("m")[1].alias("col_end"))
+    html, start, end = escape_span(F.col("line_text"), at, at + F.col("len"))
+    return rows.select(*spans.columns, (F.col("line") + 1).alias("line"), html.alias("line_html"), start.cast("int").alias("col_start"), end.cast("int").alias("col_end"))
 
 
 def document_html(spans: DataFrame, doc: str) -> DataFrame:

@@ -59,38 +59,57 @@ def explorer_references(references: DataFrame, used: DataFrame, indexed: DataFra
     return out.select("from_assembly", "to_assembly", F.coalesce("used", F.lit(False)).alias("used"), F.when(F.col("here"), "link").when(F.col("server_index").isNotNull(), "federated").otherwise("plain").alias("shown"))
 
 
-def forward_closure(forwards: DataFrame, rounds: int = 64) -> DataFrame:
+def _recursive(df: DataFrame, text: str, **tables: DataFrame) -> DataFrame:
+    """A recursive query over DataFrames, without the limit of rows that guards typing errors (that of steps stays)."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    return spark.sql(text, **tables)
+
+
+def forward_closure(forwards: DataFrame) -> DataFrame:
     """Where each (assembly, type_id) ends up; a chain that would repeat an assembly stops before it.
 
-    Joins a hop a round; chains that have ended leave the rounds, whose number is the
-    longest chain's.
+    One recursive plan: each step joins the ends of the chains with the forwards.
     """
-    keep = forwards.select("assembly", "type_id", "to_assembly")
-    step = keep.select(F.col("assembly").alias("at"), F.col("type_id").alias("of_type"), F.col("to_assembly").alias("next"))
-    rows = keep.select("assembly", "type_id", F.col("to_assembly").alias("terminal"), F.array("assembly", "to_assembly").alias("seen"), F.lit(1).alias("depth"))
-    done: DataFrame | None = None
-    for _ in range(rounds):
-        hop = rows.join(step, (F.col("terminal") == F.col("at")) & (F.col("type_id") == F.col("of_type")), "left")
-        more = F.col("next").isNotNull() & ~F.array_contains("seen", F.col("next"))
-        ended = hop.filter(~F.coalesce(more, F.lit(False))).select("assembly", "type_id", "terminal", "depth")
-        done = ended if done is None else done.unionByName(ended)
-        rows = hop.filter(F.coalesce(more, F.lit(False))).select("assembly", "type_id", F.col("next").alias("terminal"), F.concat("seen", F.array("next")).alias("seen"), (F.col("depth") + 1).alias("depth"))
-        if rows.isEmpty():
-            return done
-    raise RuntimeError("forwards go on beyond the limit")
-
-
-def ancestors(nodes: DataFrame, rounds: int = 32) -> DataFrame:
+    step = forwards.select("assembly", "type_id", "to_assembly")
+    walk = """
+    with recursive chain(assembly, type_id, terminal, seen, depth) as (
+      select assembly, type_id, to_assembly, array(assembly, to_assembly), 1 from {step}
+      union all
+      select c.assembly, c.type_id, s.to_assembly, concat(c.seen, array(s.to_assembly)), c.depth + 1
+      from chain c join {step} s on c.terminal = s.assembly and c.type_id = s.type_id
+      where not array_contains(c.seen, s.to_assembly))
+    select assembly, type_id, max_by(terminal, depth) as terminal, max(depth) as depth from chain group by assembly, type_id"""
+    return _recursive(forwards, walk, step=step)
+
+
+def ancestors(nodes: DataFrame) -> DataFrame:
     """(node, ancestor, distance) over a parent column; roots have a null parent."""
-    up = nodes.filter(F.col("parent").isNotNull()).select(F.col("node").alias("n"), F.col("parent").alias("p"))
-    rows = up.select(F.col("n").alias("node"), F.col("p").alias("ancestor"), F.lit(1).alias("distance"))
-    out = rows
-    for _ in range(rounds):
-        rows = rows.join(up, F.col("ancestor") == F.col("n")).select("node", F.col("p").alias("ancestor"), (F.col("distance") + 1).alias("distance"))
-        if rows.isEmpty():
-            return out
-        out = out.unionByName(rows)
-    raise RuntimeError("parents go on beyond the limit")
+    up = nodes.filter(F.col("parent").isNotNull()).select("node", "parent")
+    walk = """
+    with recursive line(node, ancestor, distance) as (
+      select node, parent, 1 from {up}
+      union all
+      select l.node, u.parent, l.distance + 1 from line l join {up} u on l.ancestor = u.node)
+    select node, ancestor, distance from line"""
+    return _recursive(nodes, walk, up=up)
+
+
+def indexed_only(edges: DataFrame, indexed: DataFrame | None) -> DataFrame:
+    """Edges to assemblies of the list; without a list all of them."""
+    return edges if indexed is None else edges.join(indexed.select(F.col("assembly").alias("to_assembly")), "to_assembly", "left_semi")
+
+
+def used_by(edges: DataFrame, most: int = 100) -> DataFrame:
+    """(assembly, position, referencing) of assemblies with 1 to ``most`` others that refer to them, by name."""
+    few = edges.groupBy("to_assembly").agg(F.countDistinct("from_assembly").alias("n")).filter(F.col("n") <= most)
+    lists = edges.join(few, "to_assembly").groupBy("to_assembly").agg(F.sort_array(F.collect_set(F.struct(fold("from_assembly").alias("f"), "from_assembly"))).alias("l"))
+    return lists.select(F.col("to_assembly").alias("assembly"), F.posexplode("l").alias("position", "r")).select("assembly", "position", F.col("r.from_assembly").alias("referencing"))
+
+
+def processed_order(assemblies: DataFrame) -> DataFrame:
+    """Names of processed assemblies with their line in the sorted list: a dimension, ordered without case."""
+    return assemblies.withColumn("line", F.row_number().over(Window.orderBy(fold("assembly"), "assembly")) - 1)
 
 
 def first_server_path(files: DataFrame, mappings: DataFrame) -> DataFrame:
@@ -111,8 +130,10 @@ def first_server_path(files: DataFrame, mappings: DataFrame) -> DataFrame:
 
 
 def custom_order(assemblies: DataFrame, order: DataFrame) -> DataFrame:
-    """Listed assemblies in the list's order, the others by name after them."""
-    return assemblies.join(order.select("assembly", "position"), "assembly", "left").orderBy(F.coalesce("position", F.lit(2**31 - 1)), "assembly")
+    """Listed assemblies in the list's order, the others by name after them; ``rank`` counts them (a dimension)."""
+    listed = assemblies.join(order.select("assembly", "position"), "assembly", "left")
+    by = [F.coalesce("position", F.lit(2**31 - 1)), F.col("assembly")]
+    return listed.withColumn("rank", F.row_number().over(Window.orderBy(*by))).orderBy(*by)
 
 
 def collapse_external(candidates: DataFrame, processed: DataFrame, solution: DataFrame, federated: DataFrame) -> DataFrame:

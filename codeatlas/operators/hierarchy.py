@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.folding import fold
@@ -28,6 +28,24 @@ def tree(names: DataFrame, path: Column, separator: str) -> DataFrame:
     )
 
 
+def namespace_outline(types: DataFrame, namespace: str, name: str) -> DataFrame:
+    """Namespaces and types as nodes of one tree, each title once: ``sort_title`` puts types behind the namespaces beside them.
+
+    A type and a namespace of the same path share a node.
+    """
+    spaces = tree(types, F.split(namespace, r"\."), ".").select("path", "parent", "title", "depth", F.lit(False).alias("is_type"))
+    parent = F.when(F.col(namespace) != "", F.col(namespace))
+    own = types.select(F.concat_ws(".", parent, F.col(name)).alias("path"), parent.alias("parent"), F.col(name).alias("title"), F.lit(True).alias("is_type")).distinct()
+    own = own.withColumn("depth", F.size(F.split("path", r"\.")))
+    both = spaces.unionByName(own).groupBy("path", "parent", "title", "depth").agg(F.max("is_type").alias("is_type"), F.min("is_type").alias("all_type"))
+    return both.withColumn("sort_title", F.when(F.col("all_type"), F.concat(F.lit("{"), "title")).otherwise(F.col("title"))).drop("all_type")
+
+
+def placed(nodes: DataFrame) -> DataFrame:
+    """Nodes with their position among those of one parent: the properties folder first, then by name."""
+    return nodes.withColumn("position", F.row_number().over(Window.partitionBy("parent").orderBy(*folder_order(F.col("title")), "title")))
+
+
 def namespace_tree(types: DataFrame, namespace: str) -> DataFrame:
     return tree(types, F.split(namespace, r"\."), ".")
 
@@ -45,8 +63,7 @@ def folder_order(title: Column) -> list[Column]:
 
 def nesting_depth(qualified: Column, namespace: Column) -> Column:
     """How many types a declaration stands in."""
-    inner = F.when(namespace == "", qualified).otherwise(F.expr("1"))
-    rest = F.when(namespace != "", F.substring(qualified, F.length(namespace) + 2, F.length(qualified))).otherwise(inner)
+    rest = F.when(namespace == "", qualified).otherwise(F.substring(qualified, F.length(namespace) + 2, F.length(qualified)))
     return F.size(F.split(rest, r"\.")) - 1
 
 
@@ -58,3 +75,10 @@ def locations(declared: DataFrame) -> DataFrame:
 def partial_symbols(declared: DataFrame, key: str, file: Column) -> DataFrame:
     """Symbols declared in several files."""
     return declared.groupBy(key).agg(F.countDistinct(file).alias("files")).filter("files > 1")
+
+
+def partial_pages(declared: DataFrame, key: str, file: Column) -> DataFrame:
+    """Symbols declared in several files, with these in the order of their paths without extension."""
+    stem = F.regexp_replace(file, r"\.[^.\\/]*$", "")
+    files = declared.groupBy(key).agg(F.sort_array(F.collect_set(F.struct(fold(stem).alias("f"), file.alias("file")))).alias("l")).filter(F.size("l") > 1)
+    return files.select(key, F.transform("l", lambda x: x["file"]).alias("files"))

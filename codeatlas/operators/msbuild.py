@@ -12,14 +12,17 @@ from pyspark.sql import DataFrame
 from ..functions.text import split_expressions
 
 SCHEMA = "path string, kind string, name string"
+#: The kind of the row that a file gives which cannot be read.
+UNREADABLE = "Unreadable"
 _STRUCTURE = {"Project", "PropertyGroup", "ItemGroup", "Target", "Import", "ImportGroup", "UsingTask", "Choose", "When", "Otherwise", "OnError", "Output", "ItemDefinitionGroup", "ParameterGroup"}
 
 
 def references_in(xml: str) -> Iterator[tuple[str, str]]:
-    """(kind, name) of what a build file declares and uses, in document order."""
+    """(kind, name) of what a build file declares and uses, in document order; a file that is not XML gives its error."""
     try:
         root = ElementTree.fromstring(xml)
-    except ElementTree.ParseError:
+    except ElementTree.ParseError as e:
+        yield UNREADABLE, str(e)
         return
 
     def expressions(text: str | None) -> Iterator[tuple[str, str]]:

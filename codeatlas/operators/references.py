@@ -16,8 +16,10 @@ def lines(refs: DataFrame) -> DataFrame:
 
 
 def counts(refs: DataFrame, *by: str) -> DataFrame:
-    """Occurrences at each level of kind, assembly and file in one pass."""
-    return refs.rollup(*by, "kind", "from_assembly", "from_path").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("level"))
+    """Occurrences at each level of kind, assembly and file: counted by file first, so that only these counts are rolled up."""
+    keys = [*by, "kind", "from_assembly", "from_path"]
+    files = refs.groupBy(*keys).agg(F.count(F.lit(1)).alias("k"))
+    return files.rollup(*keys).agg(F.sum("k").alias("n"), F.grouping_id().alias("level"))
 
 
 def headers(refs: DataFrame) -> DataFrame:
@@ -59,10 +61,15 @@ def code_only(refs: DataFrame) -> DataFrame:
 
 
 def page(refs: DataFrame) -> DataFrame:
-    """A symbol's references as nested rows: kinds, in each its assemblies, in each its files with lines."""
+    """A symbol's references, one row per file with its lines, and the counts that head the blocks it stands in.
+
+    A row is bounded by its file, whatever the number of references of a symbol.
+    """
     files = lines(refs).groupBy("to_symbol_id", "kind", "from_assembly", "from_path").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("line", "occurrences"))).alias("lines"))
-    assemblies = files.groupBy("to_symbol_id", "kind", "from_assembly").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("from_path", "n", "lines"))).alias("files"))
-    return assemblies.groupBy("to_symbol_id").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("kind", "from_assembly", "n", "files"))).alias("blocks"))
+    assemblies = refs.groupBy("to_symbol_id", "kind", "from_assembly").agg(F.count(F.lit(1)).alias("assembly_n"))
+    kinds = assemblies.groupBy("to_symbol_id", "kind").agg(F.sum("assembly_n").alias("kind_n"))
+    heads = assemblies.join(kinds, ["to_symbol_id", "kind"])
+    return files.join(heads, ["to_symbol_id", "kind", "from_assembly"])
 
 
 def highlight(refs: DataFrame, path: str, symbol: str) -> DataFrame:
@@ -80,3 +87,8 @@ def constructor_references(refs: DataFrame, constructors: DataFrame) -> DataFram
     """References to implicit constructors count as instantiations of their type too."""
     extra = refs.join(constructors.select(F.col("symbol_id").alias("to_symbol_id"), "type_id"), "to_symbol_id")
     return refs.unionByName(extra.withColumn("to_symbol_id", F.col("type_id")).withColumn("kind", F.lit(5)).drop("type_id"))
+
+
+def interface_members(edges: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Members with each interface member they implement; those whose assembly is not there are left out, one by one."""
+    return base_members(edges, symbols)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.folding import fold, fold_text
@@ -19,6 +19,13 @@ from ..functions.text import symbol_url
 from ..plans import search as plan
 
 TOP = 100
+
+
+def _folded(df: DataFrame, column: str, stored: str) -> DataFrame:
+    """With the folded ``column``: the stored one, which filters reach in the scan, or else computed."""
+    return df if stored in df.columns else df.withColumn(stored, fold(column))
+
+
 INDEX_ORDER = ("name_fold", "kind_rank", "name", "assembly_number", "symbol_id")
 RANK_ORDER = ("match_level", "kind_rank", "name", "assembly_number", "description", "symbol_id")
 
@@ -54,15 +61,16 @@ def potential_results(symbols: DataFrame, text: str) -> DataFrame:
 
 
 def group_by_assembly(results: DataFrame, referencing: DataFrame) -> DataFrame:
-    """Results by assembly, best weight first, then the most referenced."""
+    """Results (a few hundred) by assembly, best weight first, then the most referenced; ``rank`` counts them."""
     grouped = results.groupBy("assembly_name").agg(F.min("weight").alias("best"), F.count(F.lit(1)).alias("n"))
     counted = grouped.join(referencing.select(F.col("assembly").alias("assembly_name"), F.col("n").alias("referencing")), "assembly_name", "left")
-    return counted.withColumn("referencing", F.coalesce("referencing", F.lit(0))).orderBy("best", F.desc("referencing"), fold("assembly_name"))
+    by = [F.col("best"), F.desc("referencing"), fold("assembly_name")]
+    return counted.withColumn("referencing", F.coalesce("referencing", F.lit(0))).withColumn("rank", F.row_number().over(Window.orderBy(*by))).orderBy(*by)
 
 
 def search_assemblies(assemblies: DataFrame, text: str | None, verbatim: bool = False, top: int | None = TOP) -> DataFrame:
     """Assemblies with a project, all of them or by prefix."""
-    rows = assemblies.filter(F.col("project_key") != -1).withColumn("name_fold", fold("assembly_name"))
+    rows = _folded(assemblies, "assembly_name", "name_fold").filter(F.col("project_key") != -1)
     if text:
         term = fold_text(text)
         rows = rows.filter(F.col("name_fold") == term if verbatim else F.col("name_fold").startswith(term))
@@ -73,14 +81,15 @@ def search_assemblies(assemblies: DataFrame, text: str | None, verbatim: bool =
 def search_projects(projects: DataFrame, assemblies: DataFrame, prefix: str, top: int = TOP) -> DataFrame:
     """Projects whose path begins so, with their assembly (the last of those that share one)."""
     owners = assemblies.groupBy("project_key").agg(F.max_by("assembly_name", "assembly_number").alias("assembly_name"))
-    rows = projects.withColumn("path_fold", fold("project_path")).filter(F.col("path_fold").startswith(fold_text(prefix)))
+    rows = _folded(projects, "project_path", "path_fold").filter(F.col("path_fold").startswith(fold_text(prefix)))
     return rows.join(owners, "project_key").orderBy("path_fold", "project_path").limit(top)
 
 
 def search_names(names: DataFrame, column: str, prefix: str, top: int | None = TOP) -> DataFrame:
     """Names of a list that begin so; without a prefix all of them."""
-    rows = names.select(F.col(column).alias("name")).distinct().withColumn("name_fold", fold("name"))
+    rows = _folded(names.withColumnRenamed(column, "name"), "name", "name_fold")
     rows = rows.filter(F.col("name_fold").startswith(fold_text(prefix))) if prefix else rows
+    rows = rows.select("name", "name_fold").distinct()
     rows = rows.orderBy("name_fold", "name").select("name")
     return rows.limit(top) if top and prefix else rows
 
@@ -91,13 +100,15 @@ def guid_prefix(text: str) -> str:
 
 def find_first(symbols: DataFrame, column: str, text: str) -> DataFrame:
     """The first row in order whose name begins so."""
-    return symbols.withColumn("_f", fold(column)).filter(F.col("_f").startswith(fold_text(text))).orderBy("_f", column).limit(1).drop("_f")
+    stored = "name_fold" if column == "name" else f"{column}_fold"
+    return _folded(symbols, column, stored).filter(F.col(stored).startswith(fold_text(text))).orderBy(stored, column).limit(1).select(*symbols.columns)
 
 
 def symbol_urls(symbols: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, symbol_id, url) for ids or documentation ids; the last in index order where several share an id, null where none has it."""
     wanted = terms.withColumn("symbol_id", lookup_id(F.col("term")))
-    last = symbols.groupBy("symbol_id").agg(F.max_by("assembly_name", F.struct(*INDEX_ORDER[:-1])).alias("assembly_name"))
+    asked = symbols.join(wanted.select("symbol_id").distinct(), "symbol_id", "left_semi")
+    last = asked.groupBy("symbol_id").agg(F.max_by("assembly_name", F.struct(*INDEX_ORDER[:-1])).alias("assembly_name"))
     return wanted.join(last, "symbol_id", "left").select("term", "symbol_id", F.when(F.col("assembly_name").isNotNull(), symbol_url(F.col("assembly_name"), F.col("symbol_id"))).alias("url"))
 
 
@@ -107,6 +118,22 @@ def redirects(locations: DataFrame) -> DataFrame:
     return files.select(F.substring("symbol_id", 1, 1).alias("bucket"), short_key(F.col("symbol_id")).alias("key"), "symbol_id", "files", F.when(F.col("files") == 1, F.col("file")).alias("file"))
 
 
+#: The groups of a result page in their order, and the column that stands for a row.
+GROUPS = {"symbols": "name", "assemblies": "assembly_name", "projects": "project_path", "guids": "name", "properties": "name", "items": "name", "targets": "name", "tasks": "name"}
+
+
+def ranked(results: DataFrame) -> DataFrame:
+    """Results (of a search, so a few hundred at most) with their place in the order of relevance."""
+    return results.withColumn("rank", F.row_number().over(Window.orderBy(*RANK_ORDER)))
+
+
+def result_count(shown: int, potential: int, top: int = TOP) -> str:
+    """What heads a list of results."""
+    if shown >= top:
+        return f"Displaying top {top} results out of {max(shown, potential)}:"
+    return f"{shown} result{'' if shown == 1 else 's'} found:" if shown else "No results found."
+
+
 class Index:
     """A loaded index: the relations of one build, and the router over them."""
 
@@ -137,3 +164,18 @@ class Index:
             elif name in self.lists and (first or len(plan.route(q)) == 1):
                 out[name] = search_names(self.lists[name], "name", first or "")
         return out
+
+    def page(self, text: str) -> DataFrame:
+        """(section, title, n, header) of the groups of a result page that have results; n is at most ``TOP`` but for whole lists."""
+        found = self.search(text)
+        if isinstance(found, str):
+            return self.symbols.limit(1).select(F.lit("note").alias("section"), F.lit(found).alias("title"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("string").alias("header"))
+        parts = []
+        for section, title in GROUPS.items():
+            if section in found:
+                rows = found[section].select(F.lit(section).alias("section"), F.col(title).alias("title"))
+                parts.append(rows.groupBy("section", "title").agg(F.count(F.lit(1)).alias("k")))
+        rows = reduce(DataFrame.unionByName, parts)
+        counts = rows.groupBy("section").agg(F.sum("k").alias("shown"))
+        header = F.when(F.col("shown") == TOP, f"showing first {TOP}").otherwise(F.col("shown").cast("string"))
+        return rows.join(counts.withColumn("header", header).drop("shown"), "section").select("section", "title", F.col("k").alias("n"), "header")

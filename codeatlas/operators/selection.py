@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .numbering import pick
@@ -56,8 +56,6 @@ def newest(rows: DataFrame, keys: list[str], order: list[Column], keep: int = 10
 
 def retention(rows: DataFrame, key: str, order: list[Column], keep: int = 10) -> DataFrame:
     """All rows with ``expired``: beyond the newest ``keep`` of their key."""
-    from pyspark.sql import Window
-
     return rows.withColumn("expired", F.row_number().over(Window.partitionBy(key).orderBy(*order)) > keep)
 
 
@@ -90,3 +88,35 @@ def is_test_project(references: Column) -> Column:
     """References or packages of a test framework."""
     known = "xunit|nunit|mstest|unittestframework|testplatform"
     return F.exists(references, lambda r: F.lower(r).rlike(known))
+
+
+def project_files(sources: DataFrame) -> DataFrame:
+    """Source files (project, directory, root, file) as items of a normalized project: include, link.
+
+    Paths use ``/``.  A file of the repository outside the project's directory is linked by its path
+    in the repository; one outside the repository comes as a numbered external file of its project.
+    """
+    below = lambda folder: F.col("file").startswith(F.concat(F.rtrim(folder, F.lit("/")), F.lit("/")))
+    rest = lambda folder: F.expr(f"substring(file, length(rtrim('/', {folder})) + 2)")
+    up = F.repeat(F.lit("../"), F.size(F.split(rest_of("directory", "root"), "/")))
+    inside = sources.filter(below(F.col("root")))
+    own = F.when(below(F.col("directory")), rest("directory")).otherwise(F.concat(up, rest("root")))
+    link = F.when(~below(F.col("directory")), rest("root"))
+    outside = sources.filter(~below(F.col("root")))
+    number = F.row_number().over(Window.partitionBy("project").orderBy("file"))
+    name = F.element_at(F.split("file", "/"), -1)
+    external = F.concat(up, F.lit("../_external/"), number.cast("string"), F.lit("/"), name)
+    return inside.select("project", own.alias("include"), link.alias("link")).unionByName(outside.select("project", external.alias("include"), F.lit(None).cast("string").alias("link")))
+
+
+def rest_of(path: str, root: str) -> Column:
+    return F.expr(f"substring({path}, length(rtrim('/', {root})) + 2)")
+
+
+def first_by_path_and_stem(rows: DataFrame, path: str, seq: str) -> DataFrame:
+    """Projects in order, each only where neither its path nor its name without extension has come before.
+
+    Equal paths have equal names, so the names alone decide.
+    """
+    stem = F.regexp_extract(path, r"([^\\/]*?)(?:\.[^.\\/]*)?$", 1)
+    return pick(rows.withColumn("stem", stem), ["stem"], [F.asc(seq)]).drop("stem")

@@ -67,6 +67,21 @@ def prepare_ranges(text_length: int, syntactic: list[tuple], semantic: list[tupl
     return out
 
 
+def prepared(docs: DataFrame, ranges: DataFrame, doc: str, length: str) -> DataFrame:
+    """``prepare_ranges`` of every document: ranges are (start, len, class, semantic).  A group is one document's ranges."""
+
+    def prepare(key: tuple, texts, found):
+        import pandas as pd
+
+        of = lambda want: [(int(a), int(n), c) for a, n, c, s in zip(found["start"], found["len"], found["class"], found["semantic"]) if bool(s) == want]
+        rows = [(key[0], *r) for n in texts[length][:1] for r in prepare_ranges(int(n), of(False), of(True))]
+        return pd.DataFrame(rows, columns=[doc, "start", "len", "class"])
+
+    kind = dict(docs.dtypes)[doc]
+    wanted = ranges.select(doc, "start", "len", "class", "semantic")
+    return docs.select(doc, length).groupBy(doc).cogroup(wanted.groupBy(doc)).applyInPandas(prepare, f"{doc} {kind}, start long, len long, class string")
+
+
 def line_starts(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """Lines with number (from 0), start offset, and text; breaks are LF."""
     rows = docs.select(doc, F.posexplode(F.split(text, "\n")).alias("line", "line_text"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.folding import fold
@@ -47,25 +47,21 @@ def bigrams(texts: DataFrame, text: str) -> DataFrame:
 
 
 def unique_prefix_length(names: DataFrame, column: str) -> DataFrame:
-    """The least k for which first-k-characters keep all distinct values apart.
+    """The least k for which first-k-characters keep all distinct values apart: one more than the longest prefix that two share.
 
-    In sorted order only neighbours can share the longest prefix.  Values are sorted
-    within groups of their first character, which is all that two with a common
-    prefix must have in common.
+    Prefixes are counted within a task before they move, so a common one is no hot key.
     """
     values = names.select(F.col(column).alias("v")).filter(F.col(column).isNotNull()).distinct()
-    before = F.lag("v").over(Window.partitionBy(F.substring("v", 1, 1)).orderBy("v"))
-    shared = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.length("v"), F.lit(1))), F.lit(0), lambda n, i: F.when((n == i - 1) & (F.substring(F.col("v"), 1, i) == F.substring(F.col("p"), 1, i)), i).otherwise(n)
-    )
-    return values.withColumn("p", before).agg((F.coalesce(F.max(F.when(F.col("p").isNotNull(), F.least(shared, F.length("p")))), F.lit(0)) + 1).alias("k"))
+    prefixes = values.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("v"), F.lit(1))), lambda k: F.substring("v", F.lit(1), k))).alias("p"))
+    shared = prefixes.groupBy("p").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return shared.agg((F.coalesce(F.max(F.length("p")), F.lit(0)) + 1).alias("k"))
 
 
-def settings(lines: DataFrame) -> DataFrame:
-    """``plugin:key=value`` lines as a map of each plugin."""
+def settings(lines: DataFrame, order: str | None = None) -> DataFrame:
+    """``plugin:key=value`` lines as a map of each plugin; of a repeated key the last by ``order`` (the largest value without one)."""
     name, value = F.substring_index("line", "=", 1), F.expr("substring(line, instr(line, '=') + 1)")
-    parts = lines.filter(F.col("line").rlike("^[^:=]+:[^=]+=")).select(F.substring_index(name, ":", 1).alias("plugin"), F.expr("substring(substring_index(line, '=', 1), instr(line, ':') + 1)").alias("k"), value.alias("v"))
-    last = parts.groupBy("plugin", "k").agg(F.max("v").alias("v"))
+    parts = lines.filter(F.col("line").rlike("^[^:=]+:[^=]+=")).select(F.substring_index(name, ":", 1).alias("plugin"), F.expr("substring(substring_index(line, '=', 1), instr(line, ':') + 1)").alias("k"), value.alias("v"), (F.col(order) if order else value).alias("o"))
+    last = parts.groupBy("plugin", "k").agg(F.max_by("v", "o").alias("v"))
     return last.groupBy("plugin").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias("settings"))
 
 

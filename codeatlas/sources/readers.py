@@ -1,20 +1,22 @@
 """Readers of the text and binary layouts that an index comes in.
 
-Line order within a file is taken from the file as a whole, never from partitions:
-files whose rows depend on their neighbours are read one to a row.
+Line order within a file comes from where its lines stand: lines are numbered within
+each part of a file that a task reads, and the counts of the parts are added up, so a
+file of any size is read by many tasks.
 """
 
 from __future__ import annotations
 
-import re
 import struct
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.codec import Codec
 from ..functions.ids import varint_decode, varint_encode
 
 STEM = r"([^/\\]*?)(?:\.[^./\\]*)?$"
@@ -22,9 +24,15 @@ STEM = r"([^/\\]*?)(?:\.[^./\\]*)?$"
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, n, value) with the line's number in its file, from 0."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value")
-    lines = F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")
-    return whole.filter("value <> ''").select("file", F.posexplode(lines).alias("n", "value"))
+    part = ["file", "part"]
+    # Row numbers of a scan are consecutive within a part of a file, whose first one turns them into line numbers.
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r$", "").alias("value")
+    )
+    parts = lines.groupBy(*part).agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("k"))
+    before = F.coalesce(F.sum("k").over(Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = lines.join(parts.select(*part, (before - F.col("first")).alias("shift")), part)
+    return numbered.select("file", (F.col("at") + F.col("shift")).cast("int").alias("n"), "value")
 
 
 def assembly_map(spark: SparkSession, path: str) -> DataFrame:
@@ -121,11 +129,11 @@ def analyzed_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def documentation(spark: SparkSession, path: str) -> DataFrame:
-    """(member_id, xml) of documentation files; the last of a member stays."""
-    whole = spark.read.option("wholetext", True).text(path)
+    """(member_id, xml) of documentation files, each read as a whole; the last of a member stays."""
+    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
     members = F.regexp_extract_all("value", F.lit(r"(?s)(<member\s+name=\"[^\"]*\"\s*(?:/>|>.*?</member>))"), F.lit(1))
-    rows = whole.select(F.posexplode(members).alias("n", "xml")).withColumn("member_id", F.regexp_extract("xml", r'name="([^"]*)"', 1))
-    return rows.groupBy("member_id").agg(F.max_by("xml", "n").alias("xml"))
+    rows = whole.select("file", F.posexplode(members).alias("n", "xml")).withColumn("member_id", F.regexp_extract("xml", r'name="([^"]*)"', 1))
+    return rows.groupBy("member_id").agg(F.max_by("xml", F.struct("file", "n")).alias("xml"))
 
 
 def discover(spark: SparkSession, root: str) -> list[str]:
@@ -137,7 +145,7 @@ def discover(spark: SparkSession, root: str) -> list[str]:
     return sorted(p.getName() for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "R")))
 
 
-def parse_packed(data: bytes) -> Iterator[tuple[int, int, str, str, str]]:
+def parse_packed(data: bytes, codec: Codec | None = None) -> Iterator[tuple[int, int, str, str, str]]:
     """(assembly number, glyph, name, id, description) of the packed layout: a count, then rows with lengths as varints."""
     (count,), at = struct.unpack_from("<i", data), 4
     for _ in range(count):
@@ -146,28 +154,69 @@ def parse_packed(data: bytes) -> Iterator[tuple[int, int, str, str, str]]:
         name, at = data[at : at + size].decode(), at + size
         symbol, at = data[at : at + 8].hex(), at + 8
         size, at = varint_decode(data, at)
-        description, at = data[at : at + size].decode(), at + size
+        description, at = data[at : at + size], at + size
         glyph, at = varint_decode(data, at)
-        yield assembly, glyph, name, symbol, description
+        yield assembly, glyph, name, symbol, codec.expand(description) if codec else description.decode()
 
 
-def write_packed(rows) -> bytes:
-    """The packed layout of (assembly number, glyph, name, id, description) rows; descriptions stay plain UTF-8."""
+def write_packed(rows, codec: Codec | None = None) -> bytes:
+    """The packed layout of (assembly number, glyph, name, id, description) rows; descriptions are coded, or plain UTF-8."""
     body = [struct.pack("<i", len(rows))]
     for assembly, glyph, name, symbol, description in rows:
-        n, d = name.encode(), description.encode()
+        n, d = name.encode(), codec.compress(description) if codec else description.encode()
         body += [varint_encode(assembly), varint_encode(len(n)), n, bytes.fromhex(symbol), varint_encode(len(d)), d, varint_encode(glyph)]
     return b"".join(body)
 
 
-def packed_symbols(spark: SparkSession, path: str) -> DataFrame:
+PACKED = "assembly_number int, glyph int, name string, symbol_id string, description string"
+
+
+def unpacked(packed: DataFrame, content: str = "content", counts: dict[str, int] | None = None, batch: int = 10_000) -> DataFrame:
+    """The symbols of packed files, some thousand at a time; ``counts`` is the table their descriptions are coded with."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codec = Codec(counts) if counts else None
         for b in batches:
-            for content in b["content"]:
-                yield pd.DataFrame(list(parse_packed(bytes(content))), columns=["assembly_number", "glyph", "name", "symbol_id", "description"])
+            for data in b[content]:
+                rows = parse_packed(bytes(data), codec)
+                while some := list(islice(rows, batch)):
+                    yield pd.DataFrame(some, columns=["assembly_number", "glyph", "name", "symbol_id", "description"])
+
+    return packed.select(content).mapInPandas(run, PACKED)
+
+
+def packed_symbols(spark: SparkSession, path: str, counts: dict[str, int] | None = None) -> DataFrame:
+    """Files of the packed layout; one is a task's work, since rows have no fixed size."""
+    return unpacked(spark.read.format("binaryFile").load(path), counts=counts)
+
+
+def project_documents(own: DataFrame, generated: DataFrame | None, attributes_name: str) -> DataFrame:
+    """Documents of projects and those generated for them, without the file of assembly attributes (``name``)."""
+    both = own if generated is None else own.unionByName(generated)
+    return both.filter(F.regexp_replace("name", r"\.[^.]*$", "") != attributes_name)
+
 
-    schema = "assembly_number int, glyph int, name string, symbol_id string, description string"
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
+# Build items that are shown as documents, by how they are read.
+ITEM_READERS = {"Resource": "xml", "Page": "xml", "EmbeddedResource": "xml", "TypeScriptCompile": "script"}
+
+
+def item_documents(items: DataFrame) -> DataFrame:
+    """Build items (project, item_type, include) that are documents, once each, with their reader."""
+    reader = F.coalesce(*(F.when(F.col("item_type") == k, r) for k, r in ITEM_READERS.items()))
+    return items.withColumn("reader", reader).filter("reader is not null").select("project", "include", "reader").distinct()
+
+
+def referenced_assemblies(references: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct references of assemblies that are known, and those to log as unresolved."""
+    asked = references.select("assembly", "reference").distinct()
+    names = known.select(F.col("assembly").alias("reference")).distinct()
+    return asked.join(names, "reference", "left_semi"), asked.join(names, "reference", "left_anti")
+
+
+def current(spark: SparkSession, root: str) -> DataFrame:
+    """The index that was published last at ``root``."""
+    version = spark.read.text(f"{root}/versions").agg(F.max(F.col("value").cast("long"))).first()[0]
+    return spark.read.parquet(f"{root}/v{version}")
 
 
 def is_managed(content: bytes) -> bool:
@@ -181,7 +230,3 @@ def is_managed(content: bytes) -> bool:
         return struct.unpack_from("<I", content, directory)[0] != 0
     except struct.error:
         return False
-
-
-def supported_input(path: str) -> bool:
-    return re.search(r"\.(sln|binlog|buildlog|csproj|vbproj|dll|exe)$", path, re.IGNORECASE) is not None

@@ -15,6 +15,7 @@ from ..functions.kinds import kind_rank
 
 # Part types as symbol kinds.
 KIND_OF_TYPE = {"ECONOMY": "class", "LARGE": "struct", "MEDIUM": "interface", "PROMO": "method", "SMALL": "property"}
+REFERENCE_KINDS = 19
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,17 +36,19 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.lit("field")
     for p_type, k in KIND_OF_TYPE.items():
         kind = F.when(F.col("p_type") == p_type, k).otherwise(kind)
+    is_file = (F.col("p_type") == "STANDARD") & (F.col("p_size") % 2 == 1)
+    name = F.when(is_file, F.concat(F.substring_index("p_name", " ", 1), F.lit(".cs"))).otherwise(F.col("p_name"))
     described = F.concat("p_brand", F.lit("."), "p_type", F.lit("."), "p_name", F.lit("("), F.col("p_size").cast("string"), F.lit(")"))
     rows = part.select(
         F.col("p_brand").alias("assembly_name"),
-        F.col("p_name").alias("name"),
-        kind.alias("kind"),
+        name.alias("name"),
+        F.when(is_file, "file").otherwise(kind).alias("kind"),
         described.alias("description"),
         symbol_id(F.concat(F.lit("T:"), F.col("p_partkey").cast("string"))).alias("symbol_id"),
     )
     # A brand's project is its own, also that of the brand without one in ``assemblies``.
     numbered = rows.join(assemblies(spark, sf_dir).select("assembly_name", "assembly_number"), "assembly_name")
-    return searchable(numbered.withColumn("project_path", F.concat(F.lit("src/"), "assembly_name", F.lit(".csproj"))))
+    return searchable(numbered.withColumn("project_path", F.concat(F.lit("src\\"), "assembly_name", F.lit("\\"), "assembly_name", F.lit(".csproj"))))
 
 
 def searchable(df: DataFrame) -> DataFrame:
@@ -64,8 +67,9 @@ SYMBOLS_SQL = f"""symbols as (
          {fold_sql("split_part(description, '(', 1)")} as desc_fold,
          case when kind in ('class','struct','interface','enum','delegate') then 1 when kind = 'field' then 3 when kind = 'file' then 4 else 2 end as kind_rank
   from (select cast(dense_rank() over (order by p_brand) - 1 as int) as assembly_number, p_brand as assembly_name,
-               concat('src/', p_brand, '.csproj') as project_path, p_name as name,
-               case p_type when 'ECONOMY' then 'class' when 'LARGE' then 'struct' when 'MEDIUM' then 'interface' when 'PROMO' then 'method' when 'SMALL' then 'property' else 'field' end as kind,
+               concat('src\\', p_brand, '\\', p_brand, '.csproj') as project_path,
+               case when p_type = 'STANDARD' and p_size % 2 = 1 then split_part(p_name, ' ', 1) || '.cs' else p_name end as name,
+               case when p_type = 'STANDARD' and p_size % 2 = 1 then 'file' else case p_type when 'ECONOMY' then 'class' when 'LARGE' then 'struct' when 'MEDIUM' then 'interface' when 'PROMO' then 'method' when 'SMALL' then 'property' else 'field' end end as kind,
                concat(p_brand, '.', p_type, '.', p_name, '(', cast(p_size as varchar), ')') as description,
                substr(md5(concat('T:', cast(p_partkey as varchar))), 1, 16) as symbol_id
         from part) t)"""
@@ -79,7 +83,7 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = nation.select(F.col("n_nationkey").alias("sn"), F.col("n_name").alias("to_assembly"))
     callers = orders.select("o_orderkey", "o_custkey").join(customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     joined = (
-        line.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag")
+        line.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
         .join(callers, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(source, F.col("c_nationkey") == F.col("cn"))
@@ -93,17 +97,17 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linenumber").alias("line"),
         start.alias("col_start"),
         (start + 8).alias("col_end"),
-        F.when(F.col("l_returnflag") == "R", 0).when(F.col("l_returnflag") == "A", 6).otherwise(8).alias("kind"),
+        ((F.col("l_partkey") + F.col("l_linenumber")) % REFERENCE_KINDS).cast("int").alias("kind"),
         (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("seq"),
         F.when(F.col("l_linenumber") == 1, "base").otherwise(F.concat(F.lit("S"), F.col("l_partkey").cast("string"))).alias("to_name"),
     )
 
 
-REFS_SQL = """refs as (
+REFS_SQL = f"""refs as (
   select sn.n_name as to_assembly, substr(md5(concat('T:', cast(l.l_partkey as varchar))), 1, 16) as to_symbol_id, cn.n_name as from_assembly,
          concat('f', cast(o.o_orderkey % 50 as varchar), '.cs') as from_path, l.l_linenumber as line,
          cast(trunc(l.l_quantity) as int) as col_start, cast(trunc(l.l_quantity) as int) + 8 as col_end,
-         case when l.l_returnflag = 'R' then 0 when l.l_returnflag = 'A' then 6 else 8 end as kind,
+         cast((l.l_partkey + l.l_linenumber) % {REFERENCE_KINDS} as int) as kind,
          l.l_orderkey * 100 + l.l_linenumber as seq,
          case when l.l_linenumber = 1 then 'base' else concat('S', cast(l.l_partkey as varchar)) end as to_name
   from lineitem l join orders o on l.l_orderkey = o.o_orderkey join customer c on o.o_custkey = c.c_custkey
@@ -124,3 +128,18 @@ def build_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(
         F.col("event_id").alias("seq"), "ts", F.col("user_id").alias("key"), kind.alias("event_type"), F.get_json_object("props", "$.k").alias("value")
     )
+
+
+ASSEMBLIES_SQL = """assemblies as (
+  select p_brand as assembly_name, case when p_brand <> 'Brand#7' then 'src/' || p_brand || '.csproj' end as project_path,
+         cast(row_number() over (order by p_brand) - 1 as int) as assembly_number from (select distinct p_brand from part) d),
+projects as (select project_path, cast(row_number() over (order by project_path) - 1 as int) as project_key from assemblies where project_path is not null),
+keyed as (select a.assembly_name, a.assembly_number, a.project_path, coalesce(p.project_key, -1) as project_key from assemblies a left join projects p using (project_path))"""
+
+
+def keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assemblies with number and project key."""
+    from ..operators.numbering import project_keys
+
+    a = assemblies(spark, sf_dir)
+    return project_keys(a).join(a.select("assembly_name", "assembly_number"), "assembly_name")

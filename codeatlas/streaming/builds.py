@@ -23,36 +23,38 @@ def pair_events(events: DataFrame, order: tuple[str, ...] = ("ts", "seq")) -> Da
     return seen.filter((F.col("event_type") == COMMAND) & (F.col("before") == START)).select("key", "seq", "start_seq")
 
 
-def pair_stream(events: DataFrame, timeout_ms: int = 3_600_000, order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
-    """The same over a stream; a start without a command line is forgotten after ``timeout_ms``.
+def pair_stream(events: DataFrame, timeout: str = "1 hour", late: str = "10 minutes", order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
+    """The same over a stream with event times ``ts``; a start whose command line has not come ``timeout`` later is forgotten.
 
-    Within a trigger events are put in order; between triggers they must come in order.
+    Within a trigger events are put in order; between triggers they must come in order, or at most ``late``.
+    Time is that of the events, so a stream without news does not run on.
     """
+    wait = pd.Timedelta(timeout)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        waiting = state.get[0] if state.exists else None
+        waiting = state.get if state.exists else None
         pairs = []
         frame = pd.concat(list(batches)).sort_values(list(order))
-        for kind, seq in zip(frame["event_type"], frame["seq"]):
+        for kind, seq, ts in zip(frame["event_type"], frame["seq"], frame["ts"]):
             if kind == START:
-                waiting = int(seq)
+                waiting = (int(seq), int(pd.Timestamp(ts).timestamp() * 1000))
             elif waiting is not None:
-                pairs.append((key[0], int(seq), waiting))
+                pairs.append((key[0], int(seq), waiting[0]))
                 waiting = None
         if waiting is None:
             if state.exists:
                 state.remove()
         else:
-            state.update((waiting,))
-            state.setTimeoutDuration(timeout_ms)
+            state.update(waiting)
+            state.setTimeoutTimestamp(max(waiting[1] + int(wait.total_seconds() * 1000), state.getCurrentWatermarkMs() + 1))
         if pairs:
             yield pd.DataFrame(pairs, columns=["key", "seq", "start_seq"])
 
-    relevant = events.filter(F.col("event_type").isin(START, COMMAND))
-    return relevant.groupBy("key").applyInPandasWithState(step, PAIR, "waiting long", "append", "ProcessingTimeTimeout")
+    relevant = events.filter(F.col("event_type").isin(START, COMMAND)).withWatermark("ts", late)
+    return relevant.groupBy("key").applyInPandasWithState(step, PAIR, "waiting long, since long", "append", "EventTimeTimeout")
 
 
 def property_overlay(changes: DataFrame, keys: list[str], value: str = "value", order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:

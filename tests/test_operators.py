@@ -6,8 +6,10 @@ import struct
 
 from pyspark.sql import functions as F
 
+from codeatlas.functions import codec
 from codeatlas.functions.kinds import reference_header
 from codeatlas.operators import graph, hierarchy, numbering, references, selection, stats
+from codeatlas.plans import options
 from codeatlas.sources import readers, sinks
 from codeatlas.streaming import builds
 
@@ -52,9 +54,10 @@ def test_headers(spark):
 
 
 def test_reference_page(spark):
-    refs = spark.createDataFrame([("s", 8, "a", "f", 1, 3, 4), ("s", 8, "a", "f", 1, 0, 1), ("s", 0, "b", "g", 2, 0, 1)], "to_symbol_id string, kind int, from_assembly string, from_path string, line int, col_start int, col_end int")
-    blocks = references.page(refs).first()["blocks"]
-    assert [(b["kind"], b["n"]) for b in blocks] == [(0, 1), (8, 2)] and [o["col_start"] for o in blocks[1]["files"][0]["lines"][0]["occurrences"]] == [0, 3]
+    refs = spark.createDataFrame([("s", 8, "a", "f", 1, 3, 4), ("s", 8, "a", "f", 1, 0, 1), ("s", 8, "a", "h", 4, 0, 1), ("s", 8, "c", "f", 4, 0, 1), ("s", 0, "b", "g", 2, 0, 1)], "to_symbol_id string, kind int, from_assembly string, from_path string, line int, col_start int, col_end int")
+    rows = references.page(refs).orderBy("kind", "from_assembly", "from_path").collect()
+    assert [(r["kind"], r["from_assembly"], r["from_path"], r["kind_n"], r["assembly_n"], r["n"]) for r in rows] == [(0, "b", "g", 1, 1, 1), (8, "a", "f", 4, 3, 2), (8, "a", "h", 4, 3, 1), (8, "c", "f", 4, 1, 1)]
+    assert [o["col_start"] for o in rows[1]["lines"][0]["occurrences"]] == [0, 3]
 
 
 def test_closure_cycle(spark):
@@ -107,6 +110,61 @@ def test_readers(spark, tmp_path):
     assert readers.analyzed_files(spark, js).first()["syntacticClassifications"][0]["length"] == 1
 
 
+def test_line_numbers(spark, tmp_path):
+    """Of several files, in one task or cut into many parts; an empty line counts, and a last break makes none."""
+    for name, lines in (("a", ["one", "", "three"]), ("b", [f"line {k} " + "x" * (k % 50) for k in range(3000)]), ("c", ["only"])):
+        write(str(tmp_path / f"t/{name}.txt"), "\r\n".join(lines) + ("\n" if name != "c" else ""))
+    want = {("a", 0, "one"), ("a", 1, ""), ("a", 2, "three"), ("c", 0, "only")} | {("b", k, f"line {k} " + "x" * (k % 50)) for k in range(3000)}
+    for size in ("128m", "3k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            rows = readers.numbered_lines(spark, str(tmp_path / "t")).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert len(rows) == len(want) and {(os.path.basename(r["file"])[0], r["n"], r["value"]) for r in rows} == want
+
+
+def test_readers_of_several_files(spark, tmp_path):
+    """What depends on neighbouring lines stays within its file."""
+    for name, text in (("a", "=i\nf.cs;0\ng.cs;1\n"), ("b", "h.cs;2\n=j\nk.cs;3\n")):
+        write(str(tmp_path / f"m/{name}.txt"), text)
+    d = readers.declaration_map(spark, str(tmp_path / "m")).collect()
+    assert {(r["symbol_id"], r["file"]) for r in d} == {("i", "f.cs"), ("i", "g.cs"), (None, "h.cs"), ("j", "k.cs")}
+    for name, n in (("a", 3), ("b", 4)):
+        write(str(tmp_path / f"v/{name}.txt"), "".join(f"{name}p{k}\n{name}o{k}\n{name}c{k}\n" for k in range(n)) + "rest\n")
+    got = {tuple(r) for r in readers.invocations(spark, str(tmp_path / "v")).collect()}
+    assert got == {(f"{x}p{k}", f"{x}o{k}", f"{x}c{k}") for x, n in (("a", 3), ("b", 4)) for k in range(n)}
+    for name, v in (("a", 1), ("b", 2)):
+        write(str(tmp_path / f"i/{name}.txt"), f"Lines={v}\nLines=9\n")
+    assert sorted(r["Lines"] for r in readers.project_info(spark, str(tmp_path / "i"), ["Lines"]).collect()) == [1, 2]
+
+
+def test_codec(spark):
+    texts = ["System.Console", "System.Con", "a", "", "ab", "naïve", "System.Console.Write(int, string)"]
+    code = codec.Codec(codec.frequencies(texts))
+    assert all(code.expand(code.compress(t)) == t for t in [*texts, "unseen ~~", "ü"]) and len(code.compress("System.Console")) < 14
+    assert codec.Codec({"a\0": 3}).expand(codec.Codec({"a\0": 3}).compress("a")) == "a"
+    assert codec.Codec(dict(reversed(codec.frequencies(texts).items()))).bits == code.bits
+    rows = [(1, 3, "n", "00ff00ff00ff00ff", t) for t in texts]
+    assert [r[4] for r in readers.parse_packed(readers.write_packed(rows, code), code)] == texts
+
+
+def test_options():
+    o = options.parse(['/out:"c:\\o p"', "/p:A=b=c", "/force", "/NOPLUGINS", "/useplugins", "x.CSPROJ", "y.txt", "/in:list", "/federation:s", "/offlinefederation:t=f", '/serverPath:"a=1"="b=2"', "/noplugin:git", "/root:c:\\r"], lines=lambda p: ["c:\\r\\z.sln"])
+    assert (o.out, o.properties, o.flags) == ("c:\\o p", {"A": "b=c"}, {"/force", "/noplugins"})
+    assert o.projects == [] and set(o.rejected) == {"y.txt", "x.CSPROJ", "c:\\r\\z.sln"}  # one input lies outside the root
+    assert (o.federations, o.offline, o.server_paths, o.blacklist) == (["s"], {"t": "f"}, {"a=1": "b=2"}, ["git"])
+    assert options.parse(["/root:c:\\r", "c:\\R\\a.dll"]).projects == ["c:\\R\\a.dll"] and not options.parse(["a.sln"], exists=lambda p: False).projects
+
+
+def test_published(spark, tmp_path):
+    root = str(tmp_path / "p")
+    sinks.publish(spark.range(3), root, 1)
+    first = readers.current(spark, root)
+    sinks.publish(spark.range(5), root, 2)
+    assert (first.count(), readers.current(spark, root).count()) == (3, 5)
+
+
 def test_managed():
     pe = bytearray(400)
     pe[:2], pe[0x3C:0x40], pe[0x80:0x84], pe[0x80 + 24 : 0x80 + 26] = b"MZ", struct.pack("<I", 0x80), b"PE\0\0", struct.pack("<H", 0x10B)
@@ -139,9 +197,11 @@ def test_stream_pairs_as_batch(spark, tmp_path):
     for part in range(3):
         spark.createDataFrame(rows[part * 40 : part * 40 + 40], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 10).parquet(str(tmp_path / "in"))
-    q = builds.pair_stream(stream).writeStream.format("memory").queryName("pairs").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
+    q = builds.pair_stream(stream).writeStream.format("memory").queryName("pairs").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        assert q.awaitTermination(120)
+    finally:
+        q.stop()
     assert sorted(map(tuple, spark.sql("select * from pairs").collect())) == sorted(map(tuple, builds.pair_events(whole).collect()))
 
 

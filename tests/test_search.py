@@ -7,7 +7,9 @@ from codeatlas.operators import search
 from codeatlas.plans import search as plan
 from codeatlas.sources.testdata import searchable
 
+# Cases that must come out so.
 SPLITS = [
+    ("  a", ["a"]), ("a ", ["a"]), ("a b", ["a", "b"]), ('a b ', ["a", "b"]), ('"a" b', ['"a"', "b"]),
     ("", []), (" ", []), ("  ", []), ('"', ['"']), ('""', ['""']), ('"""', ['""', '"']), ('" "', ['" "']), ('" " ', ['" "']),
     (' " "', ['" "']), ("a", ["a"]), ('a"', ["a", '"']), ('"a', ['"a']), (" a", ["a"]), ("a  ", ["a"]), ("a b c", ["a", "b", "c"]),
     ('a b "c"', ["a", "b", '"c"']), ('a b c"', ["a", "b", "c", '"']), ('a b "c', ["a", "b", '"c']), (" a b ", ["a", "b"]),
@@ -20,6 +22,7 @@ def test_tokens(text, parts):
     assert plan.tokenize(text) == parts
 
 
+# Two symbols, and queries that must find the first, must not, or must find the second.
 COLOR = dict(assembly_name="mscorlib", project_path="ndp\\clr\\src\\mscorlib\\mscorlib.csproj", name="ConsoleColor", description="System.ConsoleColor", kind="class")
 WHERE = dict(assembly_name="System.Core", project_path="ndp\\clr\\src\\bcl\\System.Core\\System.Core.csproj", name="Where", description="System.Linq.Enumerable.Where<T>(bla bla bla)", kind="method")
 YES = [

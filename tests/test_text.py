@@ -8,7 +8,11 @@ from codeatlas.functions.plugins import Registry
 from codeatlas.operators import spans
 from codeatlas.operators.msbuild import references_in
 
+# Cases that must come out so.
 SPLIT = {
+    "$(a()) ": ["$(a())", " "], " $(a())": [" ", "$(a())"], "@a)": ["@a)"], "@(a())": ["@(a())"], "@(a()) ": ["@(a())", " "], " @(a())": [" ", "@(a())"], " @(a()) ": [" ", "@(a())", " "],
+    "a@(b)c": ["a", "@(b)", "c"], "a@()c": ["a", "@()", "c"], "a@(b)c@(d)e": ["a", "@(b)", "c", "@(d)", "e"], "a@(b)c$(d)e": ["a", "@(b)", "c", "$(d)", "e"], "a$(b)c@(d)e": ["a", "$(b)", "c", "@(d)", "e"],
+    "@(a)@(b)c": ["@(a)", "@(b)", "c"], "$(a)@(b)c": ["$(a)", "@(b)", "c"],
     "": [], "a": ["a"], "$(a)": ["$(a)"], "$(a": ["$(a"], "$a)": ["$a)"], "(a)": ["(a)"], "$(a())": ["$(a())"], " $(a()) ": [" ", "$(a())", " "],
     "a$(b)c": ["a", "$(b)", "c"], "a$()c": ["a", "$()", "c"], "a$(b)c$(d)e": ["a", "$(b)", "c", "$(d)", "e"], "a$(b$(c))": ["a", "$(b", "$(c)", ")"],
     "$(a)$(b)c": ["$(a)", "$(b)", "c"], "@(a)": ["@(a)"], "@(a": ["@(a"], "a@(b@(c))": ["a", "@(b", "@(c)", ")"], "@(a)$(b)c": ["@(a)", "$(b)", "c"],
@@ -21,6 +25,7 @@ def test_split_expressions(whole, parts):
     assert text.split_expressions(whole) == parts
 
 
+# Cases that must come out so.
 OFFSETS = [
     ("asbe", 1, 3, "asbe", 1, 3), ("a'be", 1, 3, "a&#39;be", 1, 7), ("'be", 0, 2, "&#39;be", 0, 6), ("'b'", 0, 3, "&#39;b&#39;", 0, 11),
     ("a'b'c", 1, 4, "a&#39;b&#39;c", 1, 12), ("a'b'c", 0, 4, "a&#39;b&#39;c", 0, 12), ("<b>a", 3, 4, "&lt;b&gt;a", 9, 10), ("a<b>", 1, 4, "a&lt;b&gt;", 1, 10),
@@ -35,6 +40,21 @@ def test_escape_with_offsets(line, start, end, escaped, a, b):
     assert text.escape_with_offsets(line, start, end) == (escaped, a, b)
 
 
+def test_escape_span_as_columns(spark):
+    """The column form gives what the plain one does, also for spans beyond the text and lines with outer spaces."""
+    cases = [(t, a, b) for t, a, b, *_ in OFFSETS] + [("  a<b> ", 2, 5), ("  <b>", -1, 9), ("a&b  ", 0, 5), ("", 0, 0)]
+    df = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, t string, a int, b int")
+    html, start, end = text.escape_span(F.col("t"), F.col("a"), F.col("b"))
+    rows = df.select("k", html, start, end).orderBy("k").collect()
+    assert [tuple(r)[1:] for r in rows] == [text.escape_with_offsets(*c) for c in cases]
+
+
+def test_in_cone():
+    cone = lambda p: text.in_cone("c:\\src\\p", p)
+    assert cone("c:\\SRC\\p\\a.cs") == "c:\\SRC\\p\\a.cs" and cone("a.cs") == "c:\\src\\p\\a.cs" and cone("..\\q\\a.cs") == "c:\\src\\p\\q\\a.cs"
+    assert cone("d:\\x\\a.cs") == "c:\\src\\p\\d\\x\\a.cs" and cone(".\\b\\..\\a.cs") == "c:\\src\\p\\a.cs"
+
+
 LINES = {"": [], "a": [1], "\r": [1, 0], "\r\r": [1, 1, 0], "\n": [1, 0], "\n\n": [1, 1, 0], "\n\r": [1, 1, 0], "\r\n": [2, 0], "\r\n\r": [2, 1, 0], "a\r\nb\r\nc": [3, 3, 1]}
 
 
@@ -55,6 +75,7 @@ def test_semicolons(spark):
     assert {r["t"]: r["p"] for r in rows} == SEMICOLONS
 
 
+# Cases that must come out so.
 RELATIVE = [
     (r"c:\root\abcd\e\f\g.txt", r"c:\root\abc\h\i.txt", r"..\..\abcd\e\f\g.txt"), (r"c:\root\1.txt", r"c:\root\2.txt", "1.txt"),
     (r"c:\root\a\1.txt", r"c:\root\2.txt", r"a\1.txt"), (r"c:\1.txt", r"c:\root\2.txt", r"..\1.txt"), (r"c:\solution\project\R\1.html", r"c:\solution\project\document.txt", r"R\1.html"),
@@ -131,7 +152,7 @@ def test_build_references():
         ("MSBuildPropertyAssignment", "A"), ("MSBuildPropertyUsage", "B"), ("MSBuildItemAssignment", "C"), ("MSBuildItemUsage", "D"), ("MSBuildTargetDeclaration", "T"),
         ("MSBuildTargetUsage", "U"), ("MSBuildTargetUsage", "V"), ("MSBuildTaskUsage", "Copy"), ("MSBuildTaskDeclaration", "W"),
     }
-    assert list(references_in("<broken")) == []
+    assert [k for k, _ in references_in("<broken")] == ["Unreadable"]
 
 
 def test_plugins(spark):
