@@ -175,7 +175,7 @@ SETS = T.StructType(
         T.StructField("n_shingles", T.LongType()),
         T.StructField("digest", T.BinaryType()),
         T.StructField("node", T.LongType()),
-        T.StructField("spot", T.LongType()),
+        T.StructField("key", T.LongType()),
         T.StructField("last", T.LongType()),
         T.StructField("prefix", T.BinaryType()),
     ]
@@ -187,18 +187,18 @@ def _sets(texts: DataFrame, n: int, percent: int, classes: Broadcast) -> DataFra
         schema = to_arrow_schema(SETS)
         for b in batches:
             out = []
-            for doc, text, spot in zip(*(c.to_pylist() for c in b.columns)):
+            for doc, text, key in zip(*(c.to_pylist() for c in b.columns)):
                 keys = ordered(shingles(text, n), classes.value)
                 digest = xxhash.xxh3_128_digest(keys.tobytes()) if len(keys) else None
                 node = int.from_bytes(digest[:8], "big", signed=True) if digest else None
                 prefix = keys[: prefix_length(len(keys), percent)]
                 last = int(prefix[-1]) - (1 << 63) if len(prefix) else None  # signed numbers in the order of the keys
-                out.append((doc, len(keys), digest, node, spot, last, prefix.tobytes()))
+                out.append((doc, len(keys), digest, node, key, last, prefix.tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
         release(_WORDS.clear)
 
-    return texts.select("doc_id", "text", "spot").mapInArrow(make, SETS)
+    return texts.select("doc_id", "text", "key").mapInArrow(make, SETS)
 
 
 def _meetings(sets: DataFrame, ties: bool) -> DataFrame:
@@ -447,15 +447,21 @@ def _large_links(members: DataFrame, texts: DataFrame, n: int, percent: int, cla
     return first.unionByName(written(meet(left.select("cluster", "x", "y", "grp")), "jaccard-links"))
 
 
-def join_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", group_tokens: int = GROUP_TOKENS) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (its least linked id)."""
-    text = F.col(text_col)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    # Where a text can be found again: by its id, or without one by its hash.
-    texts = texts.withColumn("spot", F.coalesce("doc_id", F.xxhash64("text")))
+def join_components(
+    docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", group_tokens: int = GROUP_TOKENS, groups: bool = False
+) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (its least linked id).
+
+    With ``groups`` also ``key``, the xxhash64 of its text, which with the id tells documents apart, and ``grp``, which
+    names its component whatever the ids (null for an empty set).
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
     classes = docs.sparkSession.sparkContext.broadcast(count_classes(texts, n))
     sets = written(_sets(texts, n, percent, classes), "jaccard-sets")
-    least = [F.min("doc_id").alias("rep"), F.min_by("spot", F.struct(F.col("doc_id").isNull(), "spot")).alias("spot")]
+    # Where a text can be found again: by its id, or without one by its hash.
+    spot = F.coalesce("doc_id", "key")
+    texts = texts.withColumn("spot", spot)
+    least = [F.min("doc_id").alias("rep"), F.min_by(spot, F.struct(F.col("doc_id").isNull(), spot)).alias("spot")]
     reps = written(sets.filter("n_shingles > 0").groupBy("digest").agg(*least, F.first("n_shingles").alias("n"), F.first("node").alias("node")), "jaccard-classes")
     members = written(reps.join(_clusters(sets, percent), "node").select("digest", "spot", "node", "n", "cluster"), "jaccard-members")
     sizes = members.groupBy("cluster").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("docs")).filter("docs > 1")
@@ -469,11 +475,10 @@ def join_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         found = found.unionByName(_stars(_large_links(large, texts, n, percent, classes, group_tokens)))
     linked = written(found.join(reps.select("node", "rep"), "node"), "jaccard-linked")
     names = linked.groupBy("component").agg(F.min("rep").alias("least"))
-    named = reps.join(linked.join(names, "component").select("node", "least"), "node", "left").select("digest", F.coalesce("least", "rep").alias("component"))
-    named = written(named, "jaccard-components")
-    return sets.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", F.when(F.col("n_shingles") == 0, F.col("doc_id"))).alias("component_id")
-    )
+    named = reps.join(linked.join(names, "component").select("node", "least", "component"), "node", "left")
+    named = written(named.select("digest", F.coalesce("least", "rep").alias("component_id"), F.coalesce("component", "node").alias("grp")), "jaccard-components")
+    alone = F.coalesce("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id"))).alias("component_id")
+    return sets.select("doc_id", "key", "n_shingles", "digest").join(named, "digest", "left").select("doc_id", "n_shingles", alone, *(["key", "grp"] if groups else []))
 
 
 def op7_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:

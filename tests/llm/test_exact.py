@@ -38,6 +38,26 @@ def test_rows(docs, pairs):
     assert len({r["row"] for r in rows}) == len(rows)
 
 
+def test_rows_with_clashing_columns(spark):
+    rows = [(1, "A", b"1", "x"), (2, "a", b"2", "y"), (3, None, None, None), (None, "", b"4", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest binary, record string")
+    kept = E.dedup_rows(docs)
+    assert kept.schema == docs.schema and {tuple(r)[:2] for r in kept.collect()} == {(2, "a"), (3, None)}
+
+
+def test_records_count_too():
+    """Records alone make a table spill, and folded records grow in place."""
+    grace = E.GraceTable(lambda a, b: a + b, 20_000)
+    for k in range(200):
+        grace.add(hashlib.sha256(b"%d" % k).digest(), b"%d" % k, b"r" * 300)
+    assert grace.files is not None and len(list(grace.groups())) == 200
+    one = E.struct.pack(E._FORM, 5, 1, 0, 0) + E.struct.pack(E._REP_FORM, 0, 0)
+    folded = one
+    for k in range(1, 50):
+        folded = E._fold_listing(folded, E.struct.pack(E._FORM, k, 1, k, 0) + E.struct.pack(E._REP_FORM, k, 0))
+    assert E.struct.unpack_from(E._FORM, folded) == (49, 50, 49, 0) and len(folded) == E._FORM_BYTES + 50 * 16
+
+
 def test_no_rows(empty):
     assert E.classes(empty).count() == 0 and E.dedup_rows(empty).count() == 0 and L.remove_repeated(empty).count() == 0
 
