@@ -2,7 +2,8 @@
 
 Each stage works on all that its predecessor kept, takes effect on it, and is
 written and read again before the next.  All but the last return the columns of
-``documents``.
+``documents``, whatever others there are; rows may lack any value, and an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -16,13 +17,19 @@ from codeatlas.runtime import ship
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the recurrent network scores below its threshold."""
+    """Documents that the recurrent network scores below its threshold.
+
+    A null text is scored as the empty one; without labels of both classes all texts get the share of class 1.
+    """
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~in_fold("doc_id", 4, 2))
     return docs.filter(toxicity.score_column(model) < toxicity.THRESHOLD)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier scores at its threshold or above."""
+    """Documents that the compression classifier scores at its threshold or above.
+
+    A null text is scored as the empty one; without labels of both classes all texts get the share of class 1.
+    """
     model = quality.learn(docs, table(spark, sf_dir, "labels"), ~in_fold("doc_id", 5, 0))
     return docs.filter(quality.score_column(model) >= quality.THRESHOLD)
 
@@ -34,18 +41,21 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest id, of each group linked by 5-word shingles at 0.8 or more.
+    """One document of each group linked by 5-word shingles at 0.8 or more: that of the smallest id, those without one last.
 
-    Rows with a null id stay; rows that share an id share its fate.
+    Documents without words are in no group and stay.
     """
     ship(spark)
-    linked = jaccard.join_components(docs, 5, 80)
-    gone = written(linked.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "near-copies")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    linked = written(jaccard.join_components(docs, 5, 80, groups=True), "near-linked").filter("grp is not null")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    first = linked.groupBy("grp").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    gone = written(linked.join(first, "grp").filter(order != F.col("first")).select("doc_id", "key"), "near-copies")
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["key"])
+    return docs.join(gone, same, "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 1024 tokens, with their token ids."""
+    """Pieces of sequences of 1024 tokens, with their token ids; a null text is the closing id alone."""
     ship(spark)
     return packing.pack_documents(docs)
 
