@@ -46,8 +46,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import new_folder, release, shuffle_width, table, written
 
 MIN_PAYLOAD_BYTES = 0
-#: Payload bytes of one archive file, about; a file is read as a whole.
-ARCHIVE_BYTES = 128 << 20
+#: Bytes of one archive file before compression, and of the headers of a record, about; a file is read as a whole.
+ARCHIVE_BYTES, HEADER_BYTES = 128 << 20, 600
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END = "\r\n"
 
@@ -106,7 +106,8 @@ def write_deduplicated(caps: DataFrame, path: str, min_bytes: int = MIN_PAYLOAD_
     """Write the archives of ``caps`` to the folder ``path``; returns it."""
     date = date or datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     resolved = written(resolve(caps.select("row", "page_id", "record_type", "digest", "payload_bytes"), min_bytes), "warc-resolved")
-    size = resolved.filter("resolved_type = 'response'").agg(F.coalesce(F.sum("payload_bytes"), F.lit(0))).first()[0]
+    stored = F.when(F.col("resolved_type") == "response", F.col("payload_bytes")).otherwise(0) + HEADER_BYTES
+    size = resolved.agg(F.coalesce(F.sum(stored), F.lit(0))).first()[0]
     # Numbers of rows deal evenly, so files differ in size by little more than their largest record.
     dealt = caps.drop("record_type", "payload_bytes").repartition(max(shuffle_width(caps.sparkSession), -(-size // archive_bytes)), "row")
     rows = dealt.join(resolved, "row")
