@@ -189,6 +189,14 @@ def _(spark, sf_dir):
     return search.search_symbols(spark.read.parquet(path), "small").select("name", "kind", "assembly_name", "symbol_id", "weight")
 
 
+@query("stored_name_search", "select name from (select distinct p_name as name from part) t where starts_with(name, 'red') order by name limit 100")
+def _(spark, sf_dir):
+    """A list search over stored names, whose scan gets the prefix."""
+    path = new_folder(spark, "name-list")
+    sinks.write_names(td.read(spark, sf_dir, "part"), "p_name", path)
+    return search.search_names(spark.read.parquet(path), "name", "Red")
+
+
 @query("stored_references", f"with {td.REFS_SQL} select to_symbol_id, kind, count(*) as n from refs where to_assembly = 'NATION_3' group by 1, 2")
 def _(spark, sf_dir):
     """One assembly's references out of the stored ones."""

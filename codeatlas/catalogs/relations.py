@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.folding import fold, fold_sql
 from ..functions.kinds import PSEUDO_ASSEMBLIES
-from ..operators import extract, graph, hierarchy, references as refs_, selection, spans, stats
+from ..operators import extract, graph, hierarchy, references as refs_, search, selection, spans, stats
 from ..registered import query
 from ..sources import testdata as td
 
@@ -222,3 +222,30 @@ def _(spark, sf_dir):
 
     brands = td.read(spark, sf_dir, "part").select(F.col("p_brand").alias("assembly_name")).distinct()
     return brands.withColumn("position", F.row_number().over(Window.orderBy(fold("assembly_name"), "assembly_name")))
+
+
+_TREE = "t as (select p_partkey as node, case when p_partkey % 4 > 0 then p_partkey - 1 end as parent, split_part(p_name, ' ', 1) as name from part)"
+
+
+@query("qualified_names", f"with recursive {_TREE}, c(node, up, q, depth) as (select node, parent, name, 0 from t union all select c.node, t.parent, t.name || '.' || c.q, c.depth + 1 from c join t on c.up = t.node) select node, arg_max(q, depth) as qualified, cast(max(depth) as int) as depth from c group by node")
+def _(spark, sf_dir):
+    """Chains of up to four declarations."""
+    k = F.col("p_partkey")
+    nodes = td.read(spark, sf_dir, "part").select(k.alias("node"), F.when(k % 4 > 0, k - 1).alias("parent"), F.substring_index("p_name", " ", 1).alias("name"))
+    return hierarchy.qualified_names(nodes)
+
+
+@query("redirect_dictionary", f"with {td.REFS_SQL}, r as (select substr(to_symbol_id, 1, 1) as bucket, min(from_path) as file from refs where kind = 3 group by to_symbol_id having count(distinct upper(from_path)) = 1) select bucket, file, cast(row_number() over (partition by bucket order by file) - 1 as int) as number from (select distinct bucket, file from r) t")
+def _(spark, sf_dir):
+    places = td.references(spark, sf_dir).filter("kind = 3").select(F.col("to_symbol_id").alias("symbol_id"), F.col("from_path").alias("file"))
+    return search.redirect_dictionary(search.redirects(places))
+
+
+@query(
+    "followed_redirects",
+    f"with {td.REFS_SQL}, r as (select to_symbol_id as s, case when count(distinct upper(from_path)) = 1 then min(from_path) else 'partial/' || to_symbol_id end as page from refs where kind = 3 group by to_symbol_id) select substr(md5('T:' || p_partkey), 1, 16) as symbol_id, page from part left join r on s = substr(md5('T:' || p_partkey), 1, 16)",
+)
+def _(spark, sf_dir):
+    """The page of every symbol: that of its file, one for several files, or none."""
+    places = td.references(spark, sf_dir).filter("kind = 3").select(F.col("to_symbol_id").alias("symbol_id"), F.col("from_path").alias("file"))
+    return search.follow_redirects(td.read(spark, sf_dir, "part").select(_key(F.col("p_partkey")).alias("symbol_id")), search.redirects(places))

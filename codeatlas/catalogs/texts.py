@@ -114,6 +114,15 @@ def _(spark, sf_dir):
     return _part(spark, sf_dir).select("p_partkey", text.assembly_name(project, path).alias("name"))
 
 
+@query("descriptions", "select p_partkey, case when p_partkey % 4 < 3 then p_brand || '.' else '' end || p_name || case when p_size % 2 = 0 then '<T, U>' else '' end || case p_partkey % 3 when 0 then '' when 1 then '()' else '(int, ' || p_type || ')' end as description from part")
+def _(spark, sf_dir):
+    k = F.col("p_partkey")
+    container = F.when(k % 4 < 3, F.col("p_brand")).otherwise("")
+    generic = F.when(F.col("p_size") % 2 == 0, F.array(F.lit("T"), F.lit("U"))).otherwise(F.array().cast("array<string>"))
+    parameters = F.when(k % 3 == 1, F.array().cast("array<string>")).when(k % 3 == 2, F.array(F.lit("int"), F.col("p_type")))
+    return _part(spark, sf_dir).select("p_partkey", text.describe(container, F.col("p_name"), parameters, generic).alias("description"))
+
+
 @query("hex_bytes", "select p_partkey, lower(hex(encode(p_name))) as hexed, p_name as back from part")
 def _(spark, sf_dir):
     h = F.lower(F.hex(F.col("p_name").cast("binary")))

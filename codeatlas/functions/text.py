@@ -272,6 +272,13 @@ def namespace_of(description: Column) -> Column:
     return F.regexp_extract(F.substring_index(description, "(", 1), r"^(.*)\.", 1)
 
 
+def describe(container: Column, name: Column, parameters: Column, generic: Column) -> Column:
+    """A symbol's description: its container, its name with type parameters, and its parameters in brackets where it has such."""
+    typed = F.when(F.size(generic) > 0, F.concat(name, F.lit("<"), F.array_join(generic, ", "), F.lit(">"))).otherwise(name)
+    called = F.when(parameters.isNotNull(), F.concat(typed, F.lit("("), F.array_join(parameters, ", "), F.lit(")"))).otherwise(typed)
+    return F.when(container != "", F.concat(container, F.lit("."), called)).otherwise(called)
+
+
 def symbol_url(assembly: Column, symbol: Column) -> Column:
     return F.concat(F.lit("/"), assembly, F.lit("/A.html#"), symbol)
 

@@ -59,7 +59,7 @@ def explorer_references(references: DataFrame, used: DataFrame, indexed: DataFra
     return out.select("from_assembly", "to_assembly", F.coalesce("used", F.lit(False)).alias("used"), F.when(F.col("here"), "link").when(F.col("server_index").isNotNull(), "federated").otherwise("plain").alias("shown"))
 
 
-def _recursive(df: DataFrame, text: str, **tables: DataFrame) -> DataFrame:
+def recursive(df: DataFrame, text: str, **tables: DataFrame) -> DataFrame:
     """A recursive query over DataFrames, without the limit of rows that guards typing errors (that of steps stays)."""
     spark = df.sparkSession
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
@@ -80,7 +80,7 @@ def forward_closure(forwards: DataFrame) -> DataFrame:
       from chain c join {step} s on c.terminal = s.assembly and c.type_id = s.type_id
       where not array_contains(c.seen, s.to_assembly))
     select assembly, type_id, max_by(terminal, depth) as terminal, max(depth) as depth from chain group by assembly, type_id"""
-    return _recursive(forwards, walk, step=step)
+    return recursive(forwards, walk, step=step)
 
 
 def ancestors(nodes: DataFrame) -> DataFrame:
@@ -92,7 +92,7 @@ def ancestors(nodes: DataFrame) -> DataFrame:
       union all
       select l.node, u.parent, l.distance + 1 from line l join {up} u on l.ancestor = u.node)
     select node, ancestor, distance from line"""
-    return _recursive(nodes, walk, up=up)
+    return recursive(nodes, walk, up=up)
 
 
 def indexed_only(edges: DataFrame, indexed: DataFrame | None) -> DataFrame:

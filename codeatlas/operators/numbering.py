@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import written
+
 
 def ordinal_keys(dimension: DataFrame, by: str, name: str) -> DataFrame:
     """0, 1, ... in the order of ``by``: for dimensions, whose rows one task can order."""
@@ -24,10 +26,25 @@ def pick(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> Dat
 
 
 def collision_suffix(df: DataFrame, name: str, order: list[Column]) -> DataFrame:
-    """``file_name``: the n-th of one name gets its number before the extension, from the second on."""
-    nth = F.row_number().over(Window.partitionBy(name).orderBy(*order))
+    """``file_name``: the n-th of one name gets its number before the extension, from the second on.
+
+    Rows are sorted in ranges of name and order and stored so; the counts of the ranges are added up, so a name that
+    many rows share is numbered by many tasks.
+    """
+    spark, own = df.sparkSession, []
+    for x in ("part", "nth", "before"):
+        while x in df.columns or x in own:
+            x += "_"
+        own.append(x)
+    part, nth, before = own
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(df.repartitionByRange(width, F.col(name), *order).withColumn(part, F.spark_partition_id()), "ranged-names")
+    counts = ranged.groupBy(name, part).agg(F.count(F.lit(1)).alias(nth))
+    earlier = F.coalesce(F.sum(nth).over(Window.partitionBy(name).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = ranged.join(counts.select(name, part, earlier.alias(before)), [name, part])
+    numbered = rows.withColumn(nth, F.row_number().over(Window.partitionBy(name, part).orderBy(*order)) + F.col(before))
     stem, ext = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"(\.[^.]*)?$", 0)
-    return df.withColumn("_n", nth).withColumn("file_name", F.when(F.col("_n") > 1, F.concat(stem, F.col("_n").cast("string"), ext)).otherwise(F.col(name))).drop("_n")
+    return numbered.withColumn("file_name", F.when(F.col(nth) > 1, F.concat(stem, F.col(nth).cast("string"), ext)).otherwise(F.col(name))).drop(*own)
 
 
 def fill_down(df: DataFrame, header: Column, order: str, partition: str, name: str) -> DataFrame:

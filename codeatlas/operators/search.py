@@ -118,6 +118,20 @@ def redirects(locations: DataFrame) -> DataFrame:
     return files.select(F.substring("symbol_id", 1, 1).alias("bucket"), short_key(F.col("symbol_id")).alias("key"), "symbol_id", "files", F.when(F.col("files") == 1, F.col("file")).alias("file"))
 
 
+def redirect_dictionary(redirected: DataFrame) -> DataFrame:
+    """(bucket, number, file): the files that each of the 16 buckets names, so that its entries can name them by number."""
+    files = redirected.filter(F.col("file").isNotNull()).select("bucket", "file").distinct()
+    return files.withColumn("number", F.row_number().over(Window.partitionBy("bucket").orderBy("file")) - 1)
+
+
+def follow_redirects(wanted: DataFrame, redirected: DataFrame) -> DataFrame:
+    """(symbol_id, page) for ids: their file, the page that lists several, or null."""
+    page = F.coalesce("file", F.concat(F.lit("partial/"), "symbol_id"))
+    pages = redirected.select("bucket", "key", "symbol_id", page.alias("page"))
+    asked = wanted.select("symbol_id", F.substring("symbol_id", 1, 1).alias("bucket"), short_key(F.col("symbol_id")).alias("key"))
+    return asked.join(pages, ["bucket", "key", "symbol_id"], "left").select("symbol_id", "page")
+
+
 #: The groups of a result page in their order, and the column that stands for a row.
 GROUPS = {"symbols": "name", "assemblies": "assembly_name", "projects": "project_path", "guids": "name", "properties": "name", "items": "name", "targets": "name", "tasks": "name"}
 

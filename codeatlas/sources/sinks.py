@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.folding import fold
 from ..operators.search import INDEX_ORDER
 
 
@@ -14,6 +15,12 @@ def write_symbols(symbols: DataFrame, path: str, partitions: int | None = None)
     symbols.repartitionByRange(n, "name_fold").sortWithinPartitions(*INDEX_ORDER).write.mode("overwrite").parquet(path)
 
 
+def write_names(names: DataFrame, column: str, path: str, partitions: int = 1) -> None:
+    """A name list with its folded names, sorted by them, so that a prefix prunes row groups."""
+    rows = names.select(F.col(column).alias("name")).distinct().withColumn("name_fold", fold("name"))
+    rows.repartitionByRange(partitions, "name_fold").sortWithinPartitions("name_fold", "name").write.mode("overwrite").parquet(path)
+
+
 def write_references(refs: DataFrame, path: str) -> None:
     """By target assembly, sorted by symbol; never a file for each symbol.
 

@@ -105,3 +105,22 @@ def test_router_results(spark):
     assert got["symbols"].count() == 1 and got["assemblies"].count() == 0
     assert [r["assembly_name"] for r in search.Index(s, a, p).search("assembly")["assemblies"].collect()] == ["System.Core"]
     assert search.Index(s, a, p).search("src\\co")["projects"].select(F.col("assembly_name")).first()[0] == "System.Core"
+
+
+def test_stored_lists_reach_the_scan(spark, tmp_path):
+    from codeatlas.sources import sinks
+
+    sinks.write_names(spark.createDataFrame([("Copy",), ("copy",), ("Csc",)], "n string"), "n", str(tmp_path / "n"))
+    found = search.search_names(spark.read.parquet(str(tmp_path / "n")), "name", "cop")
+    assert [r["name"] for r in found.collect()] == ["Copy", "copy"] and "StringStartsWith(name_fold,COP)" in found._jdf.queryExecution().toString()
+
+
+def test_lookup_reads_only_what_it_asks_for(spark):
+    """Ids are met before anything is grouped."""
+    from codeatlas.functions.ids import symbol_id
+
+    s = index(spark, [("Console", "x"), ("zeta", "y")]).withColumn("symbol_id", symbol_id(F.concat(F.lit("T:"), "name")))
+    terms = spark.createDataFrame([("T:Console",), ("T:none",)], "term string")
+    urls = search.symbol_urls(s, terms)
+    plan_text = urls._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan_text and {r["term"]: r["url"] is not None for r in urls.collect()} == {"T:Console": True, "T:none": False}
