@@ -63,7 +63,7 @@ def stratified_shards(
     dealt = keyed.withColumn("b", at)
 
     # Of a hash that alone fills a bucket, the rows are equal, so the parts of that bucket may come in any order.
-    counts = dealt.groupBy("stratum", "b").agg(F.count(F.lit(1)).alias("k"), (F.min("h") == F.max("h")).alias("equal"))
+    counts = dealt.groupBy("stratum", "b").agg(F.count(F.lit(1)).alias("k"), (F.min(F.xxhash64("h")) == F.max(F.xxhash64("h"))).alias("equal"))
     n = counts.groupBy("stratum").agg(F.sum("k").alias("n"))
     split = F.when(F.col("equal") & (F.col("k") > bucket_rows), part).otherwise(F.lit(0))
     dealt = dealt.join(counts.select("stratum", "b", "k", "equal"), ["stratum", "b"]).withColumn("b", F.col("b") * PARTS + split).drop("k", "equal")
