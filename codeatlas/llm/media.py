@@ -9,10 +9,10 @@ of 192 bytes, is the sample data of a binary pixmap of 64 RGB pixels a row with
 8-bit samples, a lossless image format whose stored form is the payload behind a
 short header.
 
-Digests are SHA-256 of the stored form.  References meet media in a join of two
-stored tables by digest: equal media are stored once per block of a task and
-combined before the join, media bytes never take part in a shuffle, and a digest
-that a third of all documents share is split by AQE.
+Digests are SHA-256 of the stored form.  Equal media are stored once per block of a
+task, compressed for transport.  A digest first finds the row that keeps its medium, in
+a join of small rows; the payloads then move once, dealt evenly by those rows, and meet
+the references to them, which AQE splits where a third of all documents refer to one.
 
 A null text or page is empty.  A page without content gives an empty sequence, a
 reference that is not a digest or is unknown stays unresolved.  A null id is
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -125,24 +126,39 @@ def parse_sequence(html: str | None) -> list[dict]:
     return [{"position": k, **item} for k, item in enumerate(parser.items)]
 
 
-def sequences(pages: DataFrame, row_col: str, html_col: str) -> DataFrame:
-    """(row, items) for each page."""
-    out = T.StructType([T.StructField("row", T.LongType()), T.StructField("items", T.ArrayType(ITEM))])
+def sequences(pages: DataFrame, row_col: str, html_col: str, *carry: str) -> DataFrame:
+    """(row, items) for each page, and the columns that it carries."""
+    out = T.StructType([T.StructField("row", T.LongType()), T.StructField("items", T.ArrayType(ITEM)), *(pages.schema[c] for c in carry)])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = to_arrow_schema(out)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([parse_sequence(h) for h in b.column(1).to_pylist()], schema.field(1).type)], schema=schema)
+            items = pa.array([parse_sequence(h) for h in b.column(1).to_pylist()], schema.field(1).type)
+            yield pa.RecordBatch.from_arrays([b.column(0), items, *b.columns[2:]], schema=schema)
+        release()
 
-    return pages.select(F.col(row_col).cast("long").alias("row"), F.col(html_col).alias("html")).mapInArrow(parse, out)
+    return pages.select(F.col(row_col).cast("long").alias("row"), F.col(html_col).alias("html"), *carry).mapInArrow(parse, out)
 
 
-def resolve(seqs: DataFrame, media: DataFrame) -> DataFrame:
-    """One row per item: (row, item, and the columns of ``media`` by ``digest``), unresolved ones with nulls."""
-    items = seqs.select("row", F.explode_outer("items").alias("item"))
+def _items(seqs: DataFrame, *carry: str) -> DataFrame:
+    """One row per item with the digest it refers to, if it does."""
     ref = F.col("item.media_ref")
     digest = F.when(ref.startswith(SCHEME), F.substring(ref, len(SCHEME) + 1, 64))
-    return items.withColumn("digest", digest).join(media, "digest", "left")
+    return seqs.select("row", *carry, F.explode_outer("items").alias("item")).withColumn("digest", digest)
+
+
+def resolve(seqs: DataFrame, media: DataFrame) -> DataFrame:
+    """One row per item: (row, item, and the columns of ``media`` by ``digest``), unresolved ones with nulls."""
+    return _items(seqs).join(media, "digest", "left")
+
+
+def resolve_payloads(seqs: DataFrame, store: DataFrame, *carry: str) -> DataFrame:
+    """One row per item: (row, item, media) and what is carried; ``media`` is the stored payload of ``store`` (row, digest, media), or null."""
+    kept = store.filter(F.col("media").isNotNull())
+    keepers = kept.groupBy("digest").agg(F.min("row").alias("keeper"))
+    # Items without a medium get keys of their own, which match nothing and spread.
+    placed = _items(seqs, *carry).join(keepers, "digest", "left").withColumn("keeper", F.coalesce("keeper", -1 - F.col("row")))
+    return placed.join(kept.select(F.col("row").alias("keeper"), "media"), "keeper", "left").select("row", "item", "media", *carry)
 
 
 def interleave(resolved: DataFrame, value: str) -> DataFrame:
@@ -178,11 +194,11 @@ STORED = T.StructType(
 
 
 def store_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents as pages that refer to their stored media; media is null where an earlier row of the block has it."""
+    """Documents as pages that refer to their stored media (compressed); media is null where an earlier row of the block has it."""
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = to_arrow_schema(STORED)
-        row, held, known = TaskContext.get().partitionId() << 40, 0, set()
+        row, held, known, packer = TaskContext.get().partitionId() << 40, 0, set(), zstandard.ZstdCompressor(level=3)
         for b in batches:
             out, size = [], 0
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -190,6 +206,7 @@ def store_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 rows = max(1, -(-len(raw) // ROW_BYTES))
                 stored = encode_pixmap(raw.ljust(rows * ROW_BYTES, b" "))
                 digest = hashlib.sha256(stored).hexdigest()
+                stored = stored if digest in known else packer.compress(stored)
                 page = f'<article><figure><img src="{SCHEME}{digest}"><figcaption>{len(raw)} bytes</figcaption></figure><p>{rows} rows</p></article>'
                 out.append((row, doc, len(raw), page, digest, None if digest in known else stored))
                 if digest not in known:
@@ -210,49 +227,46 @@ def store_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 FEATURES = T.StructType(
     [
-        T.StructField("digest", T.StringType()),
+        T.StructField("doc_id", T.LongType()),
+        T.StructField("n_bytes", T.LongType()),
         T.StructField("payload_bytes", T.LongType()),
         T.StructField("payload_sha256", T.StringType()),
         T.StructField("tail_crc32", T.LongType()),
         T.StructField("media_bytes", T.LongType()),
         T.StructField("media_sha256", T.StringType()),
-        T.StructField("shape", T.StringType()),
+        T.StructField("feature", T.StringType()),
     ]
 )
 
 
-def media_features(media: DataFrame) -> DataFrame:
-    """One row per distinct digest of ``media`` (digest, media), from the bytes read back."""
+def payload_features(resolved: DataFrame) -> DataFrame:
+    """One row per media item (doc_id, n_bytes, item, media), from the payload that its reference was resolved to."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = to_arrow_schema(FEATURES)
+        schema, unpacker = to_arrow_schema(FEATURES), zstandard.ZstdDecompressor()
         for b in batches:
             out = []
-            for digest, stored in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for doc, n, position, ref, caption, media in zip(*(c.to_pylist() for c in b.columns)):
+                stored = unpacker.decompress(media)
                 width, height, samples = decode_pixmap(stored)
                 found = hashlib.sha256(stored).hexdigest()
-                if found != digest:
-                    raise ValueError(f"stored media {digest} reads back as {found}")
-                shape = f"{width}x{height};blank={samples.count(32)}"
-                out.append((digest, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(stored), found, shape))
+                if SCHEME + found != ref:
+                    raise ValueError(f"stored media {ref} reads back as {found}")
+                feature = f"pos={position};caption={caption};{width}x{height};blank={samples.count(32)}"
+                out.append((doc, n, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(stored), found, feature))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+        release()
 
-    found = media.select("digest", "media").mapInArrow(read, FEATURES)
-    return found.groupBy("digest").agg(*(F.first(f.name).alias(f.name) for f in FEATURES.fields[1:]))
+    media = resolved.filter(F.col("item.kind") == "media")
+    return media.select("doc_id", "n_bytes", "item.position", "item.media_ref", "item.caption", "media").mapInArrow(read, FEATURES)
 
 
 def op8_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents stored as media and read back through their interleaved sequences: one row per document."""
     stored = written(store_documents(table(spark, sf_dir, "documents")), "media-store")
-    features = written(media_features(stored.filter(F.col("media").isNotNull())), "media-features")
-    items = resolve(sequences(stored, "row", "html"), features)
-    named = stored.select("row", "doc_id", "n_bytes")
-    media = items.filter(F.col("item.kind") == "media")
-    text = F.concat(F.lit("pos="), F.col("item.position").cast("string"), F.lit(";caption="), F.col("item.caption"), F.lit(";"), F.col("shape"))
-    return media.join(named, "row").select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", text.alias("feature")
-    )
+    seqs = sequences(stored, "row", "html", "doc_id", "n_bytes")
+    return payload_features(resolve_payloads(seqs, stored.select("row", "digest", "media"), "doc_id", "n_bytes"))
 
 
 def _sql() -> str:
