@@ -64,7 +64,7 @@ def _(spark, sf_dir):
 
 @query("test_projects", "select p_partkey, p_partkey % 3 <> 2 as is_test from part")
 def _(spark, sf_dir):
-    last = _pick(F.col("p_partkey") % 3, F.lit("xUnit.core"), F.lit("Microsoft.VisualStudio.QualityTools.UnitTestFramework"), F.lit("Newtonsoft.Json"))
+    last = _pick(F.col("p_partkey") % 3, F.lit("xUnit.core"), F.lit("Quality.UnitTestFramework"), F.lit("Newtonsoft.Json"))
     return _part(spark, sf_dir).select("p_partkey", selection.is_test_project(F.array(F.col("p_name"), last)).alias("is_test"))
 
 
