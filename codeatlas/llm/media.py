@@ -152,13 +152,19 @@ def resolve(seqs: DataFrame, media: DataFrame) -> DataFrame:
     return _items(seqs).join(media, "digest", "left")
 
 
-def resolve_payloads(seqs: DataFrame, store: DataFrame, *carry: str) -> DataFrame:
-    """One row per item: (row, item, media) and what is carried; ``media`` is the stored payload of ``store`` (row, digest, media), or null."""
+def references(seqs: DataFrame, *carry: str) -> DataFrame:
+    """The media items of sequences that refer to a digest (binary): row, position, caption, digest, and what is carried."""
+    refs = _items(seqs, *carry).filter(F.col("digest").isNotNull())
+    return refs.select("row", "item.position", "item.caption", F.unhex("digest").alias("digest"), *carry)
+
+
+def resolve_payloads(refs: DataFrame, store: DataFrame) -> DataFrame:
+    """``refs`` with ``media``, the payload that ``store`` (row, digest, media) keeps for their digest, or null."""
     kept = store.filter(F.col("media").isNotNull())
     keepers = kept.groupBy("digest").agg(F.min("row").alias("keeper"))
-    # Items without a medium get keys of their own, which match nothing and spread.
-    placed = _items(seqs, *carry).join(keepers, "digest", "left").withColumn("keeper", F.coalesce("keeper", -1 - F.col("row")))
-    return placed.join(kept.select(F.col("row").alias("keeper"), "media"), "keeper", "left").select("row", "item", "media", *carry)
+    # Unknown digests get keys of their own, which match nothing and spread.
+    placed = refs.join(keepers, "digest", "left").withColumn("keeper", F.coalesce("keeper", -1 - F.col("row")))
+    return placed.join(kept.select(F.col("row").alias("keeper"), "media"), "keeper", "left").drop("keeper")
 
 
 def interleave(resolved: DataFrame, value: str) -> DataFrame:
@@ -187,7 +193,7 @@ STORED = T.StructType(
         T.StructField("doc_id", T.LongType()),
         T.StructField("n_bytes", T.LongType()),
         T.StructField("html", T.StringType()),
-        T.StructField("digest", T.StringType()),
+        T.StructField("digest", T.BinaryType()),
         T.StructField("media", T.BinaryType()),
     ]
 )
@@ -208,7 +214,7 @@ def store_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 digest = hashlib.sha256(stored).hexdigest()
                 stored = stored if digest in known else packer.compress(stored)
                 page = f'<article><figure><img src="{SCHEME}{digest}"><figcaption>{len(raw)} bytes</figcaption></figure><p>{rows} rows</p></article>'
-                out.append((row, doc, len(raw), page, digest, None if digest in known else stored))
+                out.append((row, doc, len(raw), page, bytes.fromhex(digest), None if digest in known else stored))
                 if digest not in known:
                     known.add(digest)
                     held, size = held + len(stored), size + len(stored)
@@ -240,33 +246,32 @@ FEATURES = T.StructType(
 
 
 def payload_features(resolved: DataFrame) -> DataFrame:
-    """One row per media item (doc_id, n_bytes, item, media), from the payload that its reference was resolved to."""
+    """One row per reference (doc_id, n_bytes, position, caption, digest, media), from the payload that it was resolved to."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema, unpacker = to_arrow_schema(FEATURES), zstandard.ZstdDecompressor()
         for b in batches:
             out = []
-            for doc, n, position, ref, caption, media in zip(*(c.to_pylist() for c in b.columns)):
+            for doc, n, position, caption, digest, media in zip(*(c.to_pylist() for c in b.columns)):
                 stored = unpacker.decompress(media)
                 width, height, samples = decode_pixmap(stored)
                 found = hashlib.sha256(stored).hexdigest()
-                if SCHEME + found != ref:
-                    raise ValueError(f"stored media {ref} reads back as {found}")
+                if found != digest.hex():
+                    raise ValueError(f"stored media {digest.hex()} reads back as {found}")
                 feature = f"pos={position};caption={caption};{width}x{height};blank={samples.count(32)}"
                 out.append((doc, n, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(stored), found, feature))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
         release()
 
-    media = resolved.filter(F.col("item.kind") == "media")
-    return media.select("doc_id", "n_bytes", "item.position", "item.media_ref", "item.caption", "media").mapInArrow(read, FEATURES)
+    return resolved.select("doc_id", "n_bytes", "position", "caption", "digest", "media").mapInArrow(read, FEATURES)
 
 
 def op8_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents stored as media and read back through their interleaved sequences: one row per document."""
     stored = written(store_documents(table(spark, sf_dir, "documents")), "media-store")
     seqs = sequences(stored, "row", "html", "doc_id", "n_bytes")
-    return payload_features(resolve_payloads(seqs, stored.select("row", "digest", "media"), "doc_id", "n_bytes"))
+    return payload_features(resolve_payloads(references(seqs, "doc_id", "n_bytes"), stored.select("row", "digest", "media")))
 
 
 def _sql() -> str:

@@ -276,13 +276,13 @@ def test_common_digest_in_many_sequences(spark):
 
 
 def test_payloads_of_a_common_medium(spark):
-    """References of many pages meet the one payload that is kept; unknown ones and texts have none."""
+    """References of many pages meet the one payload that is kept, at their places; unknown ones have none."""
     digest = lambda c: c * 64
-    pages = spark.createDataFrame([(k, f'<p>{k}</p><img src="sha256:{digest("a" if k % 3 else "b")}"><img src="sha256:{digest("z")}">', f"d{k}") for k in range(30)], "row long, html string, name string")
-    store = spark.createDataFrame([(1, digest("a"), b"A"), (2, digest("a"), None), (3, digest("b"), b"B"), (4, digest("a"), b"A")], "row long, digest string, media binary")
-    rows = M.resolve_payloads(M.sequences(pages, "row", "html", "name"), store, "name").collect()
-    got = {(r["row"], r["item"]["position"]): (r["name"], r["media"] and bytes(r["media"])) for r in rows}
-    assert len(rows) == len(got) == 90 and all(got[k, 0] == got[k, 2] == (f"d{k}", None) and got[k, 1] == (f"d{k}", b"A" if k % 3 else b"B") for k in range(30))
+    pages = spark.createDataFrame([(k, f'<p>{k}</p><img src="sha256:{digest("a" if k % 3 else "b")}" alt="c{k}"><img src="sha256:{digest("e")}"><img src="x.png">', f"d{k}") for k in range(30)], "row long, html string, name string")
+    store = spark.createDataFrame([(r, bytes.fromhex(digest(c)), m) for r, c, m in ((1, "a", b"A"), (2, "a", None), (3, "b", b"B"), (4, "a", b"A"))], "row long, digest binary, media binary")
+    rows = M.resolve_payloads(M.references(M.sequences(pages, "row", "html", "name"), "name"), store).collect()
+    got = {(r["row"], r["position"]): (r["name"], r["caption"], r["media"] and bytes(r["media"])) for r in rows}
+    assert len(rows) == len(got) == 60 and all(got[k, 1] == (f"d{k}", f"c{k}", b"A" if k % 3 else b"B") and got[k, 2] == (f"d{k}", None, None) for k in range(30))
 
 
 def test_media_of_no_documents(spark, empty, tmp_path):
