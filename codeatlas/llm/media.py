@@ -22,13 +22,13 @@ resolved each.  Empty tables give no rows.  Other columns are ignored.
 
 from __future__ import annotations
 
+import bz2
 import hashlib
 import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -204,7 +204,7 @@ def store_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = to_arrow_schema(STORED)
-        row, held, known, packer = TaskContext.get().partitionId() << 40, 0, set(), zstandard.ZstdCompressor(level=3)
+        row, held, known = TaskContext.get().partitionId() << 40, 0, set()
         for b in batches:
             out, size = [], 0
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -212,7 +212,7 @@ def store_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 rows = max(1, -(-len(raw) // ROW_BYTES))
                 stored = encode_pixmap(raw.ljust(rows * ROW_BYTES, b" "))
                 digest = hashlib.sha256(stored).hexdigest()
-                stored = stored if digest in known else packer.compress(stored)
+                stored = stored if digest in known else bz2.compress(stored)
                 page = f'<article><figure><img src="{SCHEME}{digest}"><figcaption>{len(raw)} bytes</figcaption></figure><p>{rows} rows</p></article>'
                 out.append((row, doc, len(raw), page, bytes.fromhex(digest), None if digest in known else stored))
                 if digest not in known:
@@ -249,11 +249,11 @@ def payload_features(resolved: DataFrame) -> DataFrame:
     """One row per reference (doc_id, n_bytes, position, caption, digest, media), from the payload that it was resolved to."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, unpacker = to_arrow_schema(FEATURES), zstandard.ZstdDecompressor()
+        schema = to_arrow_schema(FEATURES)
         for b in batches:
             out = []
             for doc, n, position, caption, digest, media in zip(*(c.to_pylist() for c in b.columns)):
-                stored = unpacker.decompress(media)
+                stored = bz2.decompress(media)
                 width, height, samples = decode_pixmap(stored)
                 found = hashlib.sha256(stored).hexdigest()
                 if found != digest.hex():
