@@ -61,7 +61,7 @@ from .sharding import CRC_TABLE, crc_sql
 #: Chosen on a fold of the training texts.
 MU2, MU3 = 5000.0, 4.0
 #: Text of a shard and of a block; distinct words of a block, tokens of a piece.
-SHARD_BYTES, BLOCK_BYTES, BLOCK_WORDS, PIECE_TOKENS = 16 << 20, 8 << 20, 1 << 20, 1 << 19
+SHARD_BYTES, BLOCK_BYTES, BLOCK_WORDS, PIECE_TOKENS = 6 << 20, 4 << 20, 1 << 20, 1 << 19
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
