@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import ids, kinds, text
 from .functions.folding import fold, fold_sql
-from .operators import graph, hierarchy, numbering, references as refs_, search, selection, spans, stats
+from .operators import closure, graph, hierarchy, numbering, references as refs_, search, selection, spans, stats
 from .registered import oracle_sql, queries, query  # noqa: F401
 from .sources import testdata as td
 from .streaming import builds
@@ -269,14 +269,14 @@ select a as assembly, 't' as type_id, cur as terminal, depth from (select a, cur
 )
 def _(spark, sf_dir):
     n = td.read(spark, sf_dir, "nation").filter("n_nationkey > 0")
-    return graph.forward_closure(n.select(F.col("n_nationkey").alias("assembly"), F.lit("t").alias("type_id"), F.floor(F.col("n_nationkey") / 2).cast("int").alias("to_assembly")))
+    return closure.forward_closure(n.select(F.col("n_nationkey").alias("assembly"), F.lit("t").alias("type_id"), F.floor(F.col("n_nationkey") / 2).cast("int").alias("to_assembly")))
 
 
 @query("type_forward_cycle", "select n_nationkey as assembly, 't' as type_id, n_nationkey // 5 * 5 + (n_nationkey + 4) % 5 as terminal, 4 as depth from nation")
 def _(spark, sf_dir):
     """Nations forward in rings of five."""
     k = F.col("n_nationkey")
-    return graph.forward_closure(td.read(spark, sf_dir, "nation").select(k.alias("assembly"), F.lit("t").alias("type_id"), (F.expr("n_nationkey div 5") * 5 + (k + 1) % 5).alias("to_assembly")))
+    return closure.forward_closure(td.read(spark, sf_dir, "nation").select(k.alias("assembly"), F.lit("t").alias("type_id"), (F.expr("n_nationkey div 5") * 5 + (k + 1) % 5).alias("to_assembly")))
 
 
 @query(
@@ -288,7 +288,7 @@ select node, ancestor, distance from c""",
 )
 def _(spark, sf_dir):
     n = td.read(spark, sf_dir, "nation")
-    return graph.ancestors(n.select(F.col("n_nationkey").alias("node"), F.when(F.col("n_nationkey") > 0, F.floor(F.col("n_nationkey") / 2).cast("int")).alias("parent")))
+    return closure.ancestors(n.select(F.col("n_nationkey").alias("node"), F.when(F.col("n_nationkey") > 0, F.floor(F.col("n_nationkey") / 2).cast("int")).alias("parent")))
 
 
 _MAPS = [(0, "https://site0.example/a", "s0/"), (1, "https://site1.example", "s1/"), (2, "https://site0.example", "s2/"), (3, "http:", "s3/")]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.folding import fold, fold_sql
 from ..functions.kinds import PSEUDO_ASSEMBLIES
-from ..operators import extract, graph, hierarchy, references as refs_, search, selection, spans, stats
+from ..operators import closure, extract, graph, hierarchy, ranges, references as refs_, search, selection, spans, stats
 from ..registered import query
 from ..sources import testdata as td
 
@@ -177,21 +177,45 @@ def _(spark, sf_dir):
     return td.read(spark, sf_dir, "part").select("p_partkey", hierarchy.nesting_depth(F.concat_ws(".", "p_brand", inner), F.col("p_brand")).alias("depth"))
 
 
+#: Lines of an order as ranges of one text: overlapping, nested, equal and empty ones of both analyses, some with links.
+_RANGES = """r as (select l_orderkey as doc, cast(l_linenumber * 3 % 11 as bigint) as start, cast(l_partkey % 6 as bigint) as len,
+  (['keyword', 'text', 'comment', 'type', 'string'])[l_suppkey % 5 + 1] as class, l_linestatus = 'F' and l_partkey % 2 = 0 as semantic, case when l_partkey % 3 = 0 then 'u' || l_partkey end as link, cast(l_linenumber as bigint) as seq from lineitem),
+ f as (select *, start + len as stop from r where len > 0),
+ cut as (select doc, b as start, lead(b) over (partition by doc order by b) as stop from (select distinct doc, unnest([start, stop]) as b from f) t),
+ piece as (select c.doc, c.start, c.stop, f.class, f.link, f.seq, f.semantic and f.start = c.start and f.stop = c.stop as sem, f.start as from_, f.semantic as whole, f.stop as till from cut c join f on f.doc = c.doc and f.start <= c.start and f.stop >= c.stop)"""
+
+
+def _range_rows(spark, sf_dir):
+    k, p = F.col("l_linenumber"), F.col("l_partkey")
+    cls = F.element_at(F.array(*map(F.lit, ("keyword", "text", "comment", "type", "string"))), (F.col("l_suppkey") % 5 + 1).cast("int"))
+    semantic = (F.col("l_linestatus") == "F") & (p % 2 == 0)
+    return td.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), (k * 3 % 11).cast("long").alias("start"), (p % 6).alias("len"), cls.alias("class"), semantic.alias("semantic"), F.when(p % 3 == 0, F.concat(F.lit("u"), p.cast("string"))).alias("link"), k.cast("long").alias("seq"))
+
+
+@query("origin_pieces", f"with {_RANGES} select doc, start, stop - start as len, class, link, seq from piece")
+def _(spark, sf_dir):
+    """Every piece with the range it comes from."""
+    return ranges.origin_pieces(_range_rows(spark, sf_dir), "doc")
+
+
 @query(
     "prepared_ranges",
-    """with d as (select p_partkey as doc, cast(20 as bigint) as total, cast(p_size % 5 as bigint) as s from part),
-r as (select doc, s as start, cast(6 as bigint) as len, 'keyword' as class, 1 as rank from d union all select doc, s + 4, 5, 'type', 0 from d union all select doc, s + 12, 2, 'comment', 1 from d),
-c as (select distinct doc, unnest([start, start + len]) as b from r union select doc, 0 from d union select doc, total from d),
-p as (select doc, b as start, lead(b) over (partition by doc order by b) - b as len from c)
-select doc, start, len, (select class from r where r.doc = p.doc and r.start <= p.start and r.start + r.len >= p.start + p.len order by class = 'comment', rank, class limit 1) as class from p where len is not null""",
+    f"""with {_RANGES},
+listed as (select doc, start, stop, list({{'s': sem, 'c': class, 'h': link}} order by from_, whole, seq, till, class, link) as l from piece group by doc, start, stop),
+best as (select doc, start, stop, list_reduce(l, lambda a, b: case
+  when a.s <> b.s then {{'s': false, 'c': case when a.s then a.c else b.c end, 'h': case when a.s then b.h else a.h end}}
+  when b.c = 'comment' then {{'s': a.s, 'c': case when a.c = 'text' then b.c else a.c end, 'h': coalesce(a.h, b.h)}}
+  else {{'s': b.s, 'c': case when b.c = 'text' then a.c else b.c end, 'h': coalesce(b.h, a.h)}} end) as x from listed),
+shown as (select doc, start, stop, x.c as class, x.h as link from best),
+docs as (select o_orderkey as doc, cast(20 as bigint) as total from orders),
+gap as (select doc, coalesce(lag(stop) over (partition by doc order by start), 0) as start, start as stop from shown
+  union all select d.doc, coalesce(m, 0), total from docs d left join (select doc, max(stop) as m from shown group by doc) t using (doc))
+select doc, start, stop - start as len, class, link from shown union all select doc, start, stop - start, null, null from gap where stop > start""",
 )
 def _(spark, sf_dir):
-    """Ranges of both analyses cut and chosen from, and the gaps between them."""
-    p = td.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc"), (F.col("p_size") % 5).cast("long").alias("s"))
-    of = lambda start, n, cls, semantic: F.struct(start.alias("start"), F.lit(n).cast("long").alias("len"), F.lit(cls).alias("class"), F.lit(semantic).alias("semantic"))
-    s = F.col("s")
-    ranges = p.select("doc", F.explode(F.array(of(s, 6, "keyword", False), of(s + 4, 5, "type", True), of(s + 12, 2, "comment", False))).alias("r")).select("doc", "r.*")
-    return spans.prepared(p.select("doc", F.lit(20).alias("length")), ranges, "doc", "length")
+    """Ranges of both analyses cut and chosen from with their links, and the gaps between them."""
+    docs = td.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), F.lit(20).alias("total"))
+    return ranges.prepared(docs, _range_rows(spark, sf_dir), "doc", "total")
 
 
 _PIPE = "s as (select user_id, event_id * 10 as start, cast(event_id % 7 + 1 as bigint) as len, event_type in ('click', 'view') as kw from events)"
@@ -232,7 +256,7 @@ def _(spark, sf_dir):
     """Chains of up to four declarations."""
     k = F.col("p_partkey")
     nodes = td.read(spark, sf_dir, "part").select(k.alias("node"), F.when(k % 4 > 0, k - 1).alias("parent"), F.substring_index("p_name", " ", 1).alias("name"))
-    return hierarchy.qualified_names(nodes)
+    return closure.qualified_names(nodes)
 
 
 @query("redirect_dictionary", f"with {td.REFS_SQL}, r as (select substr(to_symbol_id, 1, 1) as bucket, min(from_path) as file from refs where kind = 3 group by to_symbol_id having count(distinct upper(from_path)) = 1) select bucket, file, cast(row_number() over (partition by bucket order by file) - 1 as int) as number from (select distinct bucket, file from r) t")

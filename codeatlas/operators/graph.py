@@ -10,9 +10,9 @@ from ..functions.kinds import PSEUDO_ASSEMBLIES
 
 
 def referencing_counts(edges: DataFrame, indexed: DataFrame) -> DataFrame:
-    """Of each indexed assembly, how many others refer to it."""
+    """Of each indexed assembly, how many others refer to it; ``edges`` are distinct."""
     hits = edges.join(indexed.select(F.col("assembly").alias("to_assembly")), "to_assembly", "left_semi")
-    per = hits.groupBy(F.col("to_assembly").alias("assembly")).agg(F.countDistinct("from_assembly").alias("n"))
+    per = hits.groupBy(F.col("to_assembly").alias("assembly")).agg(F.count(F.lit(1)).alias("n"))
     return indexed.select("assembly").join(per, "assembly", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
@@ -59,42 +59,6 @@ def explorer_references(references: DataFrame, used: DataFrame, indexed: DataFra
     return out.select("from_assembly", "to_assembly", F.coalesce("used", F.lit(False)).alias("used"), F.when(F.col("here"), "link").when(F.col("server_index").isNotNull(), "federated").otherwise("plain").alias("shown"))
 
 
-def recursive(df: DataFrame, text: str, **tables: DataFrame) -> DataFrame:
-    """A recursive query over DataFrames, without the limit of rows that guards typing errors (that of steps stays)."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    return spark.sql(text, **tables)
-
-
-def forward_closure(forwards: DataFrame) -> DataFrame:
-    """Where each (assembly, type_id) ends up; a chain that would repeat an assembly stops before it.
-
-    One recursive plan: each step joins the ends of the chains with the forwards.
-    """
-    step = forwards.select("assembly", "type_id", "to_assembly")
-    walk = """
-    with recursive chain(assembly, type_id, terminal, seen, depth) as (
-      select assembly, type_id, to_assembly, array(assembly, to_assembly), 1 from {step}
-      union all
-      select c.assembly, c.type_id, s.to_assembly, concat(c.seen, array(s.to_assembly)), c.depth + 1
-      from chain c join {step} s on c.terminal = s.assembly and c.type_id = s.type_id
-      where not array_contains(c.seen, s.to_assembly))
-    select assembly, type_id, max_by(terminal, depth) as terminal, max(depth) as depth from chain group by assembly, type_id"""
-    return recursive(forwards, walk, step=step)
-
-
-def ancestors(nodes: DataFrame) -> DataFrame:
-    """(node, ancestor, distance) over a parent column; roots have a null parent."""
-    up = nodes.filter(F.col("parent").isNotNull()).select("node", "parent")
-    walk = """
-    with recursive line(node, ancestor, distance) as (
-      select node, parent, 1 from {up}
-      union all
-      select l.node, u.parent, l.distance + 1 from line l join {up} u on l.ancestor = u.node)
-    select node, ancestor, distance from line"""
-    return recursive(nodes, walk, up=up)
-
-
 def indexed_only(edges: DataFrame, indexed: DataFrame | None) -> DataFrame:
     """Edges to assemblies of the list; without a list all of them."""
     return edges if indexed is None else edges.join(indexed.select(F.col("assembly").alias("to_assembly")), "to_assembly", "left_semi")

@@ -82,16 +82,3 @@ def partial_pages(declared: DataFrame, key: str, file: Column) -> DataFrame:
     stem = F.regexp_replace(file, r"\.[^.\\/]*$", "")
     files = declared.groupBy(key).agg(F.sort_array(F.collect_set(F.struct(fold(stem).alias("f"), file.alias("file")))).alias("l")).filter(F.size("l") > 1)
     return files.select(key, F.transform("l", lambda x: x["file"]).alias("files"))
-
-
-def qualified_names(nodes: DataFrame) -> DataFrame:
-    """(node, qualified, depth): names of the node's ancestors and its own, joined by dots, from a parent column."""
-    from .graph import recursive
-
-    walk = """
-    with recursive line(node, at, qualified, depth) as (
-      select node, parent, name, 0 from {nodes}
-      union all
-      select l.node, n.parent, concat(n.name, '.', l.qualified), l.depth + 1 from line l join {nodes} n on l.at = n.node)
-    select node, max_by(qualified, depth) as qualified, max(depth) as depth from line group by node"""
-    return recursive(nodes, walk, nodes=nodes.select("node", "parent", "name"))

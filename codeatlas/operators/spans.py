@@ -50,38 +50,6 @@ def elementary(spans: DataFrame, doc: str) -> DataFrame:
     return pieces.join(balance, [doc, "at"]).filter("depth > 0").select(doc, F.col("at").alias("start"), (F.col("next") - F.col("at")).alias("len"))
 
 
-def prepare_ranges(text_length: int, syntactic: list[tuple], semantic: list[tuple]) -> list[tuple[int, int, str | None]]:
-    """Elementary ranges of one text with the better class: semantic over syntactic, a comment last; gaps have none.
-
-    Ranges are (start, length) or (start, length, class).
-    """
-    full = [(r[0], r[0] + r[1], r[2] if len(r) > 2 else "", rank) for rank, rs in enumerate((semantic, syntactic)) for r in rs if r[1] > 0]
-    cuts = sorted({0, text_length, *(b for a, e, _, _ in full for b in (a, e))})
-    out: list[tuple[int, int, str | None]] = []
-    for a, b in zip(cuts, cuts[1:]):
-        over = [(cls == "comment", rank, cls) for s, e, cls, rank in full if s <= a and b <= e]
-        cls = min(over)[2] if over else None
-        if cls is None and out and out[-1][2] is None and out[-1][0] + out[-1][1] == a:
-            a, _ = out.pop()[:2]
-        out.append((a, b - a, cls))
-    return out
-
-
-def prepared(docs: DataFrame, ranges: DataFrame, doc: str, length: str) -> DataFrame:
-    """``prepare_ranges`` of every document: ranges are (start, len, class, semantic).  A group is one document's ranges."""
-
-    def prepare(key: tuple, texts, found):
-        import pandas as pd
-
-        of = lambda want: [(int(a), int(n), c) for a, n, c, s in zip(found["start"], found["len"], found["class"], found["semantic"]) if bool(s) == want]
-        rows = [(key[0], *r) for n in texts[length][:1] for r in prepare_ranges(int(n), of(False), of(True))]
-        return pd.DataFrame(rows, columns=[doc, "start", "len", "class"])
-
-    kind = dict(docs.dtypes)[doc]
-    wanted = ranges.select(doc, "start", "len", "class", "semantic")
-    return docs.select(doc, length).groupBy(doc).cogroup(wanted.groupBy(doc)).applyInPandas(prepare, f"{doc} {kind}, start long, len long, class string")
-
-
 def line_starts(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """Lines with number (from 0), start offset, and text; breaks are LF."""
     rows = docs.select(doc, F.posexplode(F.split(text, "\n")).alias("line", "line_text"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from codeatlas.functions import codec
 from codeatlas.functions.kinds import reference_header
-from codeatlas.operators import graph, hierarchy, numbering, references, selection, stats
+from codeatlas.operators import closure, hierarchy, numbering, references, selection, stats
 from codeatlas.plans import options
 from codeatlas.sources import readers, sinks
 from codeatlas.streaming import builds
@@ -61,7 +61,7 @@ def test_reference_page(spark):
 
 
 def test_closure_cycle(spark):
-    rows = graph.forward_closure(spark.createDataFrame([("a", "t", "b"), ("b", "t", "c"), ("c", "t", "a"), ("x", "u", "y")], "assembly string, type_id string, to_assembly string")).collect()
+    rows = closure.forward_closure(spark.createDataFrame([("a", "t", "b"), ("b", "t", "c"), ("c", "t", "a"), ("x", "u", "y")], "assembly string, type_id string, to_assembly string")).collect()
     assert {(r["assembly"], r["terminal"]) for r in rows} == {("a", "c"), ("b", "a"), ("c", "b"), ("x", "y")}
 
 

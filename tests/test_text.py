@@ -141,11 +141,6 @@ def test_columns(spark):
     assert text.url_encode("a b{ü}") == "a+b%7b%u00fc%7d"
 
 
-def test_spans():
-    assert [r[:2] for r in spans.prepare_ranges(12, [(2, 3)], [(6, 2)])] == [(0, 2), (2, 3), (5, 1), (6, 2), (8, 4)]
-    assert spans.prepare_ranges(4, [(0, 4, "comment")], [(1, 2, "type")]) == [(0, 1, "comment"), (1, 2, "type"), (3, 1, "comment")]
-
-
 def test_build_references():
     xml = '<Project><PropertyGroup><A>$(B)</A></PropertyGroup><ItemGroup><C Include="@(D)"/></ItemGroup><Target Name="T" DependsOnTargets="U;V"><Copy/></Target><UsingTask TaskName="x.W"/></Project>'
     assert set(references_in(xml)) == {
