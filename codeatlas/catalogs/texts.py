@@ -51,7 +51,7 @@ def _(spark, sf_dir):
 @query("command_lines", "select p_partkey, '/out:' || p_name || ' ' || p_brand as arguments from part")
 def _(spark, sf_dir):
     rest = F.concat(F.lit("/out:"), "p_name", F.lit(" "), "p_brand")
-    start = _pick(F.col("p_partkey") % 3, F.lit('"C:\\x y\\csc.exe" '), F.lit("/usr/bin/dotnet exec /sdk/vbc.dll "), F.lit("csc "))
+    start = _pick(F.col("p_partkey") % 3, F.lit('"C:\\x y\\csc.exe" '), F.lit("/opt/tools/run --quiet /sdk/vbc.dll "), F.lit("csc "))
     return _part(spark, sf_dir).select("p_partkey", text.trim_compiler(F.concat(start, rest)).alias("arguments"))
 
 
@@ -208,18 +208,54 @@ def _(spark, sf_dir):
     return _part(spark, sf_dir).select("p_partkey", extract.reference_url(F.col("p_brand"), to, F.lit("p.html"), F.col("p_size")).alias("url"))
 
 
-_BUILD = ("MSBuildPropertyAssignment", "MSBuildPropertyUsage", "MSBuildItemAssignment", "MSBuildItemUsage", "MSBuildTargetDeclaration", "MSBuildTargetUsage", "MSBuildTaskUsage")
+#: Build files with lines of their own; each tenth breaks off after its target's tag.
+_BUILD = """f as (select p_partkey as path, split_part(p_name, ' ', 1) as a, split_part(p_name, ' ', 2) as b, p_brand as c, length(split_part(p_name, ' ', 1)) as na, length(split_part(p_name, ' ', 2)) as nb, length(p_brand) as nc, p_partkey % 10 = 0 as cut from part),
+ r as (
+  select path, 'MSBuildPropertyAssignment' as kind, a || 'DependsOn' as name, 'MSBuildProperties' as to_assembly, 3 as line, 5 as col_start, na + 9 as n from f
+  union all select path, 'MSBuildPropertyUsage', b, 'MSBuildProperties', 3, na + 17, nb from f
+  union all select path, 'MSBuildTargetUsage', c, 'MSBuildTargets', 3, na + nb + 26, nc from f
+  union all select path, 'MSBuildTargetUsage', 'x', 'MSBuildTargets', 3, na + nb + nc + 28, 1 from f
+  union all select path, 'MSBuildItemAssignment', b, 'MSBuildItems', 6, 5, nb from f
+  union all select path, 'MSBuildItemUsage', a, 'MSBuildItems', 6, nb + 17, na from f
+  union all select path, 'Import', 'b/' || c || '.props', null, 8, 10, 7 from f
+  union all select path, 'MSBuildTaskDeclaration', a, 'MSBuildTasks', 9, 3, 9 from f
+  union all select path, 'Instantiation', 'N.' || a, 'lib', 9, 23, na + 2 from f
+  union all select path, 'MSBuildTargetDeclaration', a, 'MSBuildTargets', 10, 16, na from f
+  union all select path, 'MSBuildTargetUsage', b, 'MSBuildTargets', 10, na + 36, nb from f
+  union all select path, 'MSBuildTaskUsage', 'CallTarget', 'MSBuildTasks', 11, 5, 10 from f where not cut
+  union all select path, 'MSBuildTargetUsage', c, 'MSBuildTargets', 11, 25, nc from f where not cut
+  union all select path, 'MSBuildItemAssignment', a, 'MSBuildItems', 12, 28, na from f where not cut
+  union all select path, 'Unreadable', '', null, 10, 3, 0 from f where cut)"""
+
+
+def _build_files(spark, sf_dir):
+    a, b, c = F.substring_index("p_name", " ", 1), F.substring_index("p_name", " ", -1), F.col("p_brand")
+    head = "<Project>\n  <PropertyGroup>\n    <%aDependsOn>$(%b.Length);%c; x</%aDependsOn>\n  </PropertyGroup>\n  <ItemGroup>\n    <%b Include=\"@(%a->'%(Name)')\"><Link>%(Name)</Link></%b>\n  </ItemGroup>\n"
+    head += "  <Import Project=\"b/%c.props\"/>\n  <UsingTask TaskName=\"N.%a\" AssemblyFile=\"c:\\t\\lib.dll\"/>\n  <Target Name=\"%a\" DependsOnTargets=\"%b\">\n"
+    rest = "    <CallTarget Targets=\"%c\"/>\n    <Copy><Output ItemName=\"%a\"/></Copy>\n  </Target>\n</Project>"
+    filled = lambda t: F.replace(F.replace(F.replace(F.lit(t), F.lit("%a"), a), F.lit("%b"), b), F.lit("%c"), c)
+    whole = F.when(F.col("p_partkey") % 10 == 0, filled(head)).otherwise(F.concat(filled(head), filled(rest)))
+    return _part(spark, sf_dir).select(F.col("p_partkey").alias("path"), whole.alias("text"))
+
+
+@query("build_references", f"with {_BUILD} select path, kind, name, to_assembly, line, col_start, col_start + n as col_end from r union all select path, 'MSBuildTaskUsage', 'Copy', 'MSBuildTasks', 12, 5, 9 from f where not cut")
+def _(spark, sf_dir):
+    """A build file for each part with the places of its names; a broken one gives what it has, and a row that says so."""
+    found = msbuild.build_references(_build_files(spark, sf_dir))
+    name = F.when(F.col("kind") == msbuild.UNREADABLE, "").otherwise(F.col("name"))
+    return found.select(F.col("path").cast("long").alias("path"), "kind", name.alias("name"), "to_assembly", "line", "col_start", "col_end")
 
 
-@query("build_references", "select p_partkey, r.kind, replace(case r.name when 'n' then split_part(p_name, ' ', 1) else split_part(p_name, ' ', 2) end, ' ', '') || r.ending as name from part, (values ('MSBuildPropertyAssignment', 'n', ''), ('MSBuildPropertyUsage', 's', ''), ('MSBuildItemAssignment', 's', ''), ('MSBuildItemUsage', 'n', ''), ('MSBuildTargetDeclaration', 'n', ''), ('MSBuildTargetUsage', 's', ''), ('MSBuildTaskUsage', 'n', 'Task')) r(kind, name, ending) where p_partkey % 10 <> 0 union all select p_partkey, 'Unreadable', '' from part where p_partkey % 10 = 0")
+@query(
+    "build_reference_rows",
+    f"""with {_BUILD}, l as (select path, 3 as line, '<' || a || 'DependsOn>$(' || b || '.Length);' || c || '; x</' || a || 'DependsOn>' as t from f
+  union all select path, 9, '<UsingTask TaskName="N.' || a || '" AssemblyFile="c:\\t\\lib.dll"/>' from f)
+select path, kind, name, line, md5(replace(replace(replace(t, '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) as html_md5 from r join l using (path, line) where to_assembly is not null""",
+)
 def _(spark, sf_dir):
-    """A build file for each part; each tenth one is no XML and gives a row that says so."""
-    first, second = F.substring_index("p_name", " ", 1), F.substring_index("p_name", " ", -1)
-    xml = F.concat(F.lit("<Project><PropertyGroup><"), first, F.lit(">$("), second, F.lit(")</"), first, F.lit("></PropertyGroup><ItemGroup><"), second, F.lit(' Include="@('), first, F.lit(')"/></ItemGroup><Target Name="'), first, F.lit('" DependsOnTargets="'), second, F.lit('"><'), first, F.lit("Task/></Target></Project>"))
-    files = _part(spark, sf_dir).select(F.col("p_partkey").cast("string").alias("path"), F.when(F.col("p_partkey") % 10 == 0, "<broken").otherwise(xml).alias("text"))
-    found = msbuild.build_references(files)
-    name = F.when(F.col("kind") == msbuild.UNREADABLE, "").otherwise(F.col("name"))
-    return found.select(F.col("path").cast("long").alias("p_partkey"), "kind", name.alias("name"))
+    """References of build files with the escaped text of their lines, of the lines with a list and with a task."""
+    rows = msbuild.reference_rows(_build_files(spark, sf_dir)).filter("line in (3, 9)")
+    return rows.select(F.col("path").cast("long").alias("path"), "kind", "name", "line", F.md5(F.col("line_html").cast("binary")).alias("html_md5"))
 
 
 @query("large_documents", "select doc_id, length(text) > 2000 as large from documents where text is not null")

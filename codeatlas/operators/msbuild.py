@@ -1,66 +1,133 @@
-"""References in build files: properties, items, targets and tasks, declared or used."""
+"""References in build files: properties, items, targets and tasks, declared or used, with their places.
+
+Each file is scanned once, by a scanner that keeps places and survives broken files, and every
+name that counts gives a row: its kind, the list it belongs to, where it starts in the file,
+its line (from 1) and its columns there.  ``reference_rows`` puts the escaped text of the line
+beside it, as for the references of code.
+"""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
-from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.text import split_expressions
+from ..functions.xmltext import Element, Fault, Text, scan
+from . import extract, spans
+
+SCHEMA = "path string, kind string, name string, to_assembly string, start long, len long, line int, col_start int, col_end int"
+#: The kind of the row that says a file is not well-formed, at the first fault; the link of an import; a task's class.
+UNREADABLE, IMPORT, INSTANTIATION = "Unreadable", "Import", "Instantiation"
+# The lists in place of code that names belong to, by what they name.
+LISTS = {"Property": "MSBuildProperties", "Item": "MSBuildItems", "Target": "MSBuildTargets", "Task": "MSBuildTasks"}
+# Characters that make a name an expression, and those that no property name has.
+_COMPLEX = re.compile(r"[$:\[\]]")
+_NO_FILE = re.compile(r'[\x00-\x1f"<>|*?/\\:]')
 
-SCHEMA = "path string, kind string, name string"
-#: The kind of the row that a file gives which cannot be read.
-UNREADABLE = "Unreadable"
-_STRUCTURE = {"Project", "PropertyGroup", "ItemGroup", "Target", "Import", "ImportGroup", "UsingTask", "Choose", "When", "Otherwise", "OnError", "Output", "ItemDefinitionGroup", "ParameterGroup"}
+#: kind, name, assembly, start, length
+Found = tuple[str, str, "str | None", int, int]
 
 
-def references_in(xml: str) -> Iterator[tuple[str, str]]:
-    """(kind, name) of what a build file declares and uses, in document order; a file that is not XML gives its error."""
-    try:
-        root = ElementTree.fromstring(xml)
-    except ElementTree.ParseError as e:
-        yield UNREADABLE, str(e)
+def _named(what: str, use: str, text: str, start: int, name: str | None = None) -> Iterator[Found]:
+    """A name in a text around which there may be space."""
+    body = text.strip()
+    if not body or what in ("Property", "Item") and _COMPLEX.search(body) or what == "Property" and _NO_FILE.search(body):
         return
+    yield f"MSBuild{what}{use}", name or body, LISTS[what], start + len(text) - len(text.lstrip()), len(body)
+
+
+def _targets(text: str, start: int) -> Iterator[Found]:
+    for part in re.finditer(r"[^;]+", text):
+        for word in re.finditer(r"\S+", part[0]):
+            yield from _named("Target", "Usage", word[0], start + part.start() + word.start())
+
+
+def _expressions(text: str, start: int, targets: bool = False) -> Iterator[Found]:
+    """Properties and items that a text uses; what is between them is a list of targets or nothing."""
+    for part in split_expressions(text):
+        if part.startswith("$(") and part.endswith(")") and len(part) > 3:
+            yield from _named("Property", "Usage", part[2:-1].partition(".")[0], start + 2)
+        elif part.startswith("@(") and part[-1] in ")-," and "%" not in part and len(part) > 3:
+            yield from _named("Item", "Usage", part[2:-1], start + 2)
+        elif targets:
+            yield from _targets(part, start)
+        start += len(part)
+
 
-    def expressions(text: str | None) -> Iterator[tuple[str, str]]:
-        for part in split_expressions(text or ""):
-            if found := re.match(r"([$@])\(([^)]*?)(?:[.,)\->]|$)", part):
-                name = found[2].strip()
-                if name and not re.search(r"[$:\[\]()]", name):
-                    yield ("MSBuildPropertyUsage" if found[1] == "$" else "MSBuildItemUsage"), name
-
-    def walk(node: ElementTree.Element, parent: str) -> Iterator[tuple[str, str]]:
-        tag = node.tag.rpartition("}")[2]
-        if parent == "PropertyGroup":
-            yield "MSBuildPropertyAssignment", tag
-        elif parent == "ItemGroup":
-            yield "MSBuildItemAssignment", tag
-        elif tag == "Target" and node.get("Name"):
-            yield "MSBuildTargetDeclaration", node.get("Name")
-        elif tag == "UsingTask" and node.get("TaskName"):
-            yield "MSBuildTaskDeclaration", node.get("TaskName").rpartition(".")[2]
-        elif parent == "Target" and tag not in _STRUCTURE:
-            yield "MSBuildTaskUsage", tag
-        for key, value in node.attrib.items():
-            if key in ("DependsOnTargets", "BeforeTargets", "AfterTargets", "Targets"):
-                for name in re.split(r"[;\s]+", value):
-                    if name and not re.search(r"[$@(]", name):
-                        yield "MSBuildTargetUsage", name
-            yield from expressions(value)
-        yield from expressions(node.text)
-        for child in node:
-            yield from walk(child, tag)
-            yield from expressions(child.tail)
-
-    yield from walk(root, "")
+def _element(e: Element) -> Iterator[Found]:
+    task = e.attribute("TaskName") if e.name == "UsingTask" else None
+    if task is not None:
+        yield from _named("Task", "Declaration", e.name, e.start, task.rpartition(".")[2])
+    elif e.within("PropertyGroup"):
+        yield from _named("Property", "Assignment", e.name, e.start)
+    elif e.within("ItemGroup") and e.name not in ("Compile", "Reference"):
+        yield from _named("Item", "Assignment", e.name, e.start)
+    elif e.within("Target") and e.name not in ("ItemGroup", "PropertyGroup"):
+        yield from _named("Task", "Usage", e.name, e.start)
+    for name, name_start, value, start in e.attributes:
+        if e.name == "Import" and name == "Project":
+            yield IMPORT, value, None, name_start, len(name)
+        if e.name == "Output" and name in ("ItemName", "PropertyName") and "%" not in value:
+            yield from _named(name.removesuffix("Name"), "Assignment", value, start)
+        elif e.name == "Target" and name == "Name":
+            yield from _named("Target", "Declaration", value, start)
+        elif e.name == "Target" and name in ("DependsOnTargets", "BeforeTargets", "AfterTargets") or e.name == "CallTarget" and name == "Targets":
+            yield from _expressions(value, start, targets=True)
+        elif e.name == "UsingTask" and name == "TaskName" and (assembly := _task_assembly(e)):
+            yield INSTANTIATION, value, assembly, start, len(value)
+        else:
+            yield from _expressions(value, start)
+
+
+def _task_assembly(e: Element) -> str | None:
+    """The assembly of a task: the name of its file, or its name without version.  Names that need an evaluation have none."""
+    file, name = e.attribute("AssemblyFile") or "", e.attribute("AssemblyName") or ""
+    found = re.split(r"[\\/]", file)[-1].rpartition(".")[0] or re.split(r"[\\/]", file)[-1] if file.strip() else name.partition(",")[0].strip()
+    return found if found and "$(" not in found else None
+
+
+def references_in(xml: str) -> Iterator[Found]:
+    """What a build file declares and uses, in the order of the file; the first fault of a broken one where it is found."""
+    broken = False
+    for part in scan(xml):
+        if isinstance(part, Fault):
+            if not broken:
+                yield UNREADABLE, part.message, None, part.start, 0
+            broken = True
+        elif isinstance(part, Text):
+            e = part.parent
+            yield from _expressions(part.text, part.start, e is not None and e.name.endswith("DependsOn") and e.within("PropertyGroup"))
+        else:
+            yield from _element(part)
 
 
 def build_references(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(path, kind, name, to_assembly, start, len, line, col_start, col_end) of every reference; a null text has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.string()] * 4 + [pa.int64()] * 2 + [pa.int32()] * 3
+        names = [c.split()[0] for c in SCHEMA.split(", ")]
         for b in batches:
-            yield pd.DataFrame([(p, k, n) for p, t in zip(b[path], b[text]) for k, n in references_in(t or "")], columns=["path", "kind", "name"])
+            out = []
+            for p, t in zip(*(c.to_pylist() for c in b.columns)):
+                starts = [0, *(m.end() for m in re.finditer("\n", t or ""))]
+                for kind, name, assembly, start, n in references_in(t or ""):
+                    line = bisect_right(starts, start)
+                    column = start - starts[line - 1]
+                    out.append((p, kind, name, assembly, start, n, line, column, column + n))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+
+    return files.select(F.col(path).cast("string"), F.col(text).cast("string")).mapInArrow(run, SCHEMA)
+
 
-    return files.select(path, text).mapInPandas(run, SCHEMA)
+def reference_rows(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """The references that belong to a list or an assembly, with the escaped text of their line and their columns in that."""
+    found = build_references(files, path, text).filter("to_assembly is not null").drop("line", "col_start", "col_end")
+    lines = spans.line_starts(files.select(F.col(path).cast("string").alias("path"), F.regexp_replace(text, "\r\n", " \n").alias("text")), "path", "text")
+    return extract.reference_rows(found, lines, "path")

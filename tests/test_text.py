@@ -142,12 +142,27 @@ def test_columns(spark):
 
 
 def test_build_references():
-    xml = '<Project><PropertyGroup><A>$(B)</A></PropertyGroup><ItemGroup><C Include="@(D)"/></ItemGroup><Target Name="T" DependsOnTargets="U;V"><Copy/></Target><UsingTask TaskName="x.W"/></Project>'
-    assert set(references_in(xml)) == {
-        ("MSBuildPropertyAssignment", "A"), ("MSBuildPropertyUsage", "B"), ("MSBuildItemAssignment", "C"), ("MSBuildItemUsage", "D"), ("MSBuildTargetDeclaration", "T"),
-        ("MSBuildTargetUsage", "U"), ("MSBuildTargetUsage", "V"), ("MSBuildTaskUsage", "Copy"), ("MSBuildTaskDeclaration", "W"),
-    }
-    assert [k for k, _ in references_in("<broken")] == ["Unreadable"]
+    xml = """<Project>
+<PropertyGroup><A>$(B)</A><XDependsOn> U ;V$(W)</XDependsOn></PropertyGroup><ItemGroup><C Include="@(D)"/><Compile/><Reference Include="$( E )"/></ItemGroup>
+<!-- <Target Name="no"/> --><Target Name="T" DependsOnTargets="U;V"><Copy><Output ItemName="I" PropertyName="%(x)"/></Copy><ItemGroup/></Target>
+<UsingTask TaskName="x.W" AssemblyName="L, Version=1"/><CallTarget Targets="Q"/><Import Project="p.props"/></Project>"""
+    found = list(references_in(xml))
+    assert all(xml[s : s + n] == name or kind in ("MSBuildTaskDeclaration", "Import") for kind, name, _, s, n in found)
+    assert [(k.removeprefix("MSBuild"), n) for k, n, *_ in found] == [
+        ("PropertyAssignment", "A"), ("PropertyUsage", "B"), ("PropertyAssignment", "XDependsOn"), ("TargetUsage", "U"), ("TargetUsage", "V"), ("PropertyUsage", "W"),
+        ("ItemAssignment", "C"), ("ItemUsage", "D"), ("PropertyUsage", "E"), ("TargetDeclaration", "T"), ("TargetUsage", "U"), ("TargetUsage", "V"), ("TaskUsage", "Copy"),
+        ("ItemAssignment", "I"), ("TaskDeclaration", "W"), ("Instantiation", "x.W"), ("TargetUsage", "Q"), ("Import", "p.props"),
+    ]
+
+
+def test_broken_build_files():
+    kinds = lambda xml: [(k, n if k != "Unreadable" else "") for k, n, *_ in references_in(xml)]
+    assert kinds("<broken") == [("Unreadable", "")] and kinds("") == [] and kinds("a < b") == [("Unreadable", "")]
+    assert kinds('<PropertyGroup><A x="$(B)<C>$(D)</A>') == [("Unreadable", ""), ("MSBuildPropertyAssignment", "A"), ("MSBuildPropertyUsage", "B"), ("MSBuildPropertyUsage", "D")]
+    assert kinds("<P></Q><PropertyGroup><A/></PropertyGroup></P>") == [("Unreadable", ""), ("MSBuildPropertyAssignment", "A")]
+    deep = "<a>" * 5_000 + "<PropertyGroup><Z/></PropertyGroup>" + "</a>" * 5_000
+    assert kinds(deep) == [("MSBuildPropertyAssignment", "Z")]
+    assert kinds("<![CDATA[<PropertyGroup><A/>]]><?x <PropertyGroup><A/> ?>") == []
 
 
 def test_plugins(spark):
