@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import ids, kinds, text
 from .functions.folding import fold, fold_sql
-from .operators import closure, graph, hierarchy, numbering, references as refs_, search, selection, spans, stats
+from .operators import batch_search, closure, graph, hierarchy, numbering, references as refs_, search, selection, spans, stats
 from .registered import oracle_sql, queries, query  # noqa: F401
 from .sources import testdata as td
 from .streaming import builds
@@ -55,6 +55,26 @@ _search("search_accessor", "get_cold", ("starts_with(name_fold, 'GET_COLD')", "g
 _search("search_file_name", "small.cs", ("starts_with(name_fold, 'SMALL.CS')", "small.cs"))
 
 
+@query(
+    "search_batch",
+    f"""with {td.SYMBOLS_SQL}, q as (select distinct p_name as query, split_part(p_name, ' ', 1) as a, split_part(p_name, ' ', 2) as b from part),
+r as (select query, 0 as reading, a as term, case when a <> b then b end as word, null as ns from q union all select query, 1, b, a, null from q where a <> b
+  union all select query, 0, query, null, null from (select distinct '"' || p_name || '"' as query from part) t
+  union all select distinct p_type || '.' || split_part(p_name, ' ', 1), 0, split_part(p_name, ' ', 1), null, p_type || '.' || split_part(p_name, ' ', 1) from part),
+t as (select query, reading, case when starts_with(term, '"') then substr(term, 2, length(term) - 2) else term end as term, starts_with(term, '"') as whole, word, ns from r),
+m as (select t.*, s.*, row_number() over (partition by query, reading order by name_fold, kind_rank, name, assembly_number, symbol_id) as rn from t join symbols s
+  on case when whole then name_fold = {fold_sql('term')} else starts_with(name_fold, {fold_sql('term')}) end
+  and (word is null or contains(name_fold, {fold_sql('word')}) or contains(assembly_fold, {fold_sql('word')}) or contains(project_fold, {fold_sql('word')})) and (ns is null or contains(desc_fold, {fold_sql('ns')})))
+select query, reading, symbol_id, case when name = term then 1 when name_fold = {fold_sql('term')} then 2 when starts_with(name, term) then 3 else 4 end as match_level from m where rn <= 100""",
+)
+def _(spark, sf_dir):
+    """Every part's name as a query, plain and quoted, and its type with the first word as a dotted one."""
+    p = td.read(spark, sf_dir, "part")
+    texts = p.select(F.explode(F.array("p_name", F.concat(F.lit('"'), "p_name", F.lit('"')), F.concat("p_type", F.lit("."), F.substring_index("p_name", " ", 1)))).alias("query")).distinct()
+    found = batch_search.search_many(td.symbols(spark, sf_dir), texts.withColumn("text", F.col("query")))
+    return found.select("query", "reading", "symbol_id", "match_level")
+
+
 @query("potential_results", f"with {td.SYMBOLS_SQL} select 0 as interpretation, count(*) as n from symbols where starts_with(name_fold, 'COLD') union all select 1, count(*) from symbols where starts_with(name_fold, 'WIDGET')")
 def _(spark, sf_dir):
     return search.potential_results(td.symbols(spark, sf_dir), "cold widget")

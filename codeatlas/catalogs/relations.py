@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.folding import fold, fold_sql
+from ..functions.folding import fold_sql
 from ..functions.kinds import PSEUDO_ASSEMBLIES
-from ..operators import closure, extract, graph, hierarchy, ranges, references as refs_, search, selection, spans, stats
+from ..operators import closure, extract, graph, hierarchy, numbering, ranges, references as refs_, search, selection, spans, stats
 from ..registered import query
 from ..sources import testdata as td
 
@@ -50,7 +50,7 @@ def _(spark, sf_dir):
     return graph.used_by(td.assembly_edges(spark, sf_dir))
 
 
-@query("processed_order", f"select a as assembly, cast(row_number() over (order by {fold_sql('a')}, a) - 1 as int) as line from (select case when n_nationkey % 2 = 0 then lower(n_name) else n_name end as a from nation) t")
+@query("processed_order", f"select a as assembly, row_number() over (order by {fold_sql('a')}, a) - 1 as line from (select case when n_nationkey % 2 = 0 then lower(n_name) else n_name end as a from nation) t")
 def _(spark, sf_dir):
     n = td.read(spark, sf_dir, "nation")
     return graph.processed_order(n.select(F.when(F.col("n_nationkey") % 2 == 0, F.lower("n_name")).otherwise(F.col("n_name")).alias("assembly")))
@@ -242,10 +242,23 @@ def _(spark, sf_dir):
 
 @query("folded_order", f"select assembly_name, row_number() over (order by {fold_sql('assembly_name')}, assembly_name) as position from (select distinct p_brand as assembly_name from part) t")
 def _(spark, sf_dir):
-    from pyspark.sql import Window
-
     brands = td.read(spark, sf_dir, "part").select(F.col("p_brand").alias("assembly_name")).distinct()
-    return brands.withColumn("position", F.row_number().over(Window.orderBy(fold("assembly_name"), "assembly_name")))
+    return numbering.folded_order(brands, "assembly_name", "position").withColumn("position", F.col("position") + 1)
+
+
+@query(
+    "explorer_order",
+    """with t as (select distinct p_brand as b, p_type as t, split_part(p_name, ' ', 1) as n from part),
+u as (select b as path, 1 as depth, [upper(b)] as k from t union select b || '.' || t, 2, [upper(b), upper(t)] from t union select b || '.' || t || '.' || n, 3, [upper(b), upper(t), '{' || upper(n)] from t),
+s as (select path, depth, k, count(*) over () as total from u)
+select path, cast(depth - 1 as int) as depth, cast(row_number() over (order by k) - 1 as bigint) as enter,
+       row_number() over (order by k) - 1 + (select count(*) from u d where d.path = s.path or starts_with(d.path, s.path || '.')) as leave from s""",
+)
+def _(spark, sf_dir):
+    """Namespaces and types in the order of the explorer's page, each with where its nodes begin and end."""
+    types = td.read(spark, sf_dir, "part").select(F.concat_ws(".", "p_brand", "p_type").alias("ns"), F.substring_index("p_name", " ", 1).alias("name"))
+    nodes = hierarchy.namespace_outline(types, "ns", "name").select(F.col("path").alias("node"), "parent", F.col("sort_title").alias("title"))
+    return hierarchy.nested_order(nodes).select(F.col("node").alias("path"), F.col("depth").cast("int").alias("depth"), "enter", "leave")
 
 
 _TREE = "t as (select p_partkey as node, case when p_partkey % 4 > 0 then p_partkey - 1 end as parent, split_part(p_name, ' ', 1) as name from part)"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.folding import fold
 from ..functions.kinds import PSEUDO_ASSEMBLIES
+from .numbering import folded_order, ranked
 
 
 def referencing_counts(edges: DataFrame, indexed: DataFrame) -> DataFrame:
@@ -72,8 +73,8 @@ def used_by(edges: DataFrame, most: int = 100) -> DataFrame:
 
 
 def processed_order(assemblies: DataFrame) -> DataFrame:
-    """Names of processed assemblies with their line in the sorted list: a dimension, ordered without case."""
-    return assemblies.withColumn("line", F.row_number().over(Window.orderBy(fold("assembly"), "assembly")) - 1)
+    """Names of processed assemblies with their line in the list, which is sorted without case."""
+    return folded_order(assemblies, "assembly", "line")
 
 
 def first_server_path(files: DataFrame, mappings: DataFrame) -> DataFrame:
@@ -94,10 +95,10 @@ def first_server_path(files: DataFrame, mappings: DataFrame) -> DataFrame:
 
 
 def custom_order(assemblies: DataFrame, order: DataFrame) -> DataFrame:
-    """Listed assemblies in the list's order, the others by name after them; ``rank`` counts them (a dimension)."""
+    """Listed assemblies in the list's order, the others by name after them; ``rank`` counts them."""
     listed = assemblies.join(order.select("assembly", "position"), "assembly", "left")
-    by = [F.coalesce("position", F.lit(2**31 - 1)), F.col("assembly")]
-    return listed.withColumn("rank", F.row_number().over(Window.orderBy(*by))).orderBy(*by)
+    found = ranked(listed, [F.coalesce("position", F.lit(2**31 - 1)), F.col("assembly")], "rank")
+    return found.withColumn("rank", F.col("rank") + 1)
 
 
 def collapse_external(candidates: DataFrame, processed: DataFrame, solution: DataFrame, federated: DataFrame) -> DataFrame:

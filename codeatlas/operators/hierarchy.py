@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.folding import fold
+from ..runtime import written
+from .closure import ancestors
+from .numbering import running_total
 
 
 def prefixes(parts: Column) -> Column:
@@ -82,3 +85,28 @@ def partial_pages(declared: DataFrame, key: str, file: Column) -> DataFrame:
     stem = F.regexp_replace(file, r"\.[^.\\/]*$", "")
     files = declared.groupBy(key).agg(F.sort_array(F.collect_set(F.struct(fold(stem).alias("f"), file.alias("file")))).alias("l")).filter(F.size("l") > 1)
     return files.select(key, F.transform("l", lambda x: x["file"]).alias("files"))
+
+
+def nested_order(nodes: DataFrame) -> DataFrame:
+    """(node, parent, title, depth, enter, leave): nested-set numbers of a forest whose siblings are in ``folder_order`` of their titles.
+
+    ``enter`` numbers nodes in the order of a page that shows each with all below it, and ``leave`` is where its own end, so
+    a page is a sort and a part of it a range.  Sizes of subtrees come from below (how many have a node as ancestor); what
+    earlier siblings hold is a running total in sorted ranges; the sum of that along the way down is the number.  A node with
+    very many children is shared by ranges like any other.  Nodes are distinct; a parent that is no node makes a root.
+    """
+    known = nodes.select(F.col("node").alias("parent"), F.lit(True).alias("_there"))
+    rows = nodes.select("node", "parent", "title").join(known, "parent", "left").withColumn("parent", F.when(F.col("_there"), F.col("parent"))).drop("_there")
+    rows = written(rows, "nested-nodes")
+    up = ancestors(rows)
+    sizes = up.groupBy(F.col("ancestor").alias("node")).agg(F.count(F.lit(1)).alias("below"))
+    sized = rows.join(sizes, "node", "left").withColumn("size", F.coalesce("below", F.lit(0)) + 1).drop("below")
+    order = [F.col("parent"), *folder_order(F.col("title")), F.col("title"), F.col("node")]
+    total = written(running_total(sized, order, "size", "total"), "nested-totals")
+    first = total.groupBy(F.col("parent").alias("_parent")).agg(F.min("total").alias("first"))
+    step = F.col("total") - F.col("first") + F.when(F.col("parent").isNull(), 0).otherwise(1)
+    own = total.join(first, F.col("parent").eqNullSafe(F.col("_parent"))).select(*total.columns, step.alias("step"))
+    own = written(own.drop("total"), "nested-steps")
+    above = up.join(own.select(F.col("node").alias("ancestor"), "step"), "ancestor").groupBy("node").agg(F.sum("step").alias("above"), F.count(F.lit(1)).alias("depth"))
+    enter = F.col("step") + F.coalesce("above", F.lit(0))
+    return own.join(above, "node", "left").select("node", "parent", "title", F.coalesce("depth", F.lit(0)).alias("depth"), enter.alias("enter"), (enter + F.col("size")).alias("leave"))

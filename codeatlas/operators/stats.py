@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.folding import fold
 from ..functions.kinds import is_type
 from ..functions.text import thousands
+from ..runtime import ship
 
 
 def project_stats(documents: DataFrame, symbols: DataFrame, key: str) -> DataFrame:
@@ -46,15 +51,45 @@ def bigrams(texts: DataFrame, text: str) -> DataFrame:
     return texts.select(F.explode(pairs).alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _common(a: str, b: str) -> int:
+    """How many characters two texts begin with alike."""
+    return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
 def unique_prefix_length(names: DataFrame, column: str) -> DataFrame:
     """The least k for which first-k-characters keep all distinct values apart: one more than the longest prefix that two share.
 
-    Prefixes are counted within a task before they move, so a common one is no hot key.
+    Two values that share most are neighbours when sorted, so each task compares the neighbours of its range and hands on its
+    borders, one row a range, whose neighbours are compared in turn.
     """
+    width = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ship(names.sparkSession)
     values = names.select(F.col(column).alias("v")).filter(F.col(column).isNotNull()).distinct()
-    prefixes = values.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("v"), F.lit(1))), lambda k: F.substring("v", F.lit(1), k))).alias("p"))
-    shared = prefixes.groupBy("p").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return shared.agg((F.coalesce(F.max(F.length("p")), F.lit(0)) + 1).alias("k"))
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = last = None
+        most = 0
+        for b in batches:
+            for v in b.column(0).to_pylist():
+                if last is None:
+                    first = v
+                else:
+                    most = max(most, _common(last, v))
+                last = v
+        if first is not None:
+            part = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([first]), pa.array([last]), pa.array([most], pa.int32())], ["part", "first", "last", "most"])
+
+    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, most = None, 0
+        for b in batches:
+            for first, last, inner in zip(*(b.column(c).to_pylist() for c in ("first", "last", "most"))):
+                most = max(most, inner, 0 if before is None else _common(before, first))
+                before = last
+        yield pa.RecordBatch.from_arrays([pa.array([most + 1], pa.int32())], ["k"])
+
+    borders = values.repartitionByRange(width, "v").sortWithinPartitions("v").mapInArrow(inside, "part int, first string, last string, most int")
+    return borders.repartition(1).sortWithinPartitions("part").mapInArrow(between, "k int")
 
 
 def settings(lines: DataFrame, order: str | None = None) -> DataFrame:

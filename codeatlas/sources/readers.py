@@ -23,7 +23,7 @@ STEM = r"([^/\\]*?)(?:\.[^./\\]*)?$"
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, n, value) with the line's number in its file, from 0."""
+    """(file, part, n, value) with the line's number in its file, from 0, and the part of the file that it was read with."""
     part = ["file", "part"]
     # Row numbers of a scan are consecutive within a part of a file, whose first one turns them into line numbers.
     lines = spark.read.option("lineSep", "\n").text(path).select(
@@ -32,7 +32,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     parts = lines.groupBy(*part).agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("k"))
     before = F.coalesce(F.sum("k").over(Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     numbered = lines.join(parts.select(*part, (before - F.col("first")).alias("shift")), part)
-    return numbered.select("file", (F.col("at") + F.col("shift")).cast("int").alias("n"), "value")
+    return numbered.select("file", "part", (F.col("at") + F.col("shift")).cast("int").alias("n"), "value")
 
 
 def assembly_map(spark: SparkSession, path: str) -> DataFrame:
@@ -61,12 +61,12 @@ def symbol_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def declaration_map(spark: SparkSession, path: str) -> DataFrame:
     """``=id`` lines, each over its ``file;offset`` lines."""
-    from ..operators.numbering import fill_down
+    from ..operators.numbering import carry_down
 
     lines = numbered_lines(spark, path).withColumnRenamed("file", "source")
     header = F.when(F.col("value").startswith("="), F.expr("substring(value, 2)"))
     p = F.split("value", ";")
-    return fill_down(lines, header, "n", "source", "symbol_id").filter(~F.col("value").startswith("=")).select("symbol_id", p[0].alias("file"), p[1].try_cast("long").alias("offset"))
+    return carry_down(lines, header, "symbol_id", "source").filter(~F.col("value").startswith("=")).select("symbol_id", p[0].alias("file"), p[1].try_cast("long").alias("offset"))
 
 
 def edges(spark: SparkSession, path: str) -> DataFrame:

@@ -23,38 +23,49 @@ def pair_events(events: DataFrame, order: tuple[str, ...] = ("ts", "seq")) -> Da
     return seen.filter((F.col("event_type") == COMMAND) & (F.col("before") == START)).select("key", "seq", "start_seq")
 
 
-def pair_stream(events: DataFrame, timeout: str = "1 hour", late: str = "10 minutes", order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
-    """The same over a stream with event times ``ts``; a start whose command line has not come ``timeout`` later is forgotten.
+def pair_stream(events: DataFrame, order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
+    """The same over a stream: the state of a key is the one start that waits, for as long as it takes.
 
-    Within a trigger events are put in order; between triggers they must come in order, or at most ``late``.
-    Time is that of the events, so a stream without news does not run on.
+    Within a trigger events are put in order; between triggers they must come in order.  Nothing is dropped for its time:
+    a command that comes after any number of triggers meets its start.
     """
-    wait = pd.Timedelta(timeout)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        waiting = state.get if state.exists else None
+        waiting = state.get[0] if state.exists else None
         pairs = []
         frame = pd.concat(list(batches)).sort_values(list(order))
-        for kind, seq, ts in zip(frame["event_type"], frame["seq"], frame["ts"]):
+        for kind, seq in zip(frame["event_type"], frame["seq"]):
             if kind == START:
-                waiting = (int(seq), int(pd.Timestamp(ts).timestamp() * 1000))
+                waiting = int(seq)
             elif waiting is not None:
-                pairs.append((key[0], int(seq), waiting[0]))
+                pairs.append((key[0], int(seq), waiting))
                 waiting = None
-        if waiting is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update(waiting)
-            state.setTimeoutTimestamp(max(waiting[1] + int(wait.total_seconds() * 1000), state.getCurrentWatermarkMs() + 1))
+        if waiting is not None:
+            state.update((waiting,))
+        elif state.exists:
+            state.remove()
         if pairs:
             yield pd.DataFrame(pairs, columns=["key", "seq", "start_seq"])
 
-    relevant = events.filter(F.col("event_type").isin(START, COMMAND)).withWatermark("ts", late)
-    return relevant.groupBy("key").applyInPandasWithState(step, PAIR, "waiting long, since long", "append", "EventTimeTimeout")
+    relevant = events.filter(F.col("event_type").isin(START, COMMAND))
+    return relevant.groupBy("key").applyInPandasWithState(step, PAIR, "waiting long", "append", "NoTimeout")
+
+
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """Runs of a key's events with less than ``gap`` between neighbours: (key, start, end, n); a stream forgets a run once ``late`` has passed its end."""
+    run = events.withWatermark("ts", late).groupBy("key", F.session_window("ts", gap).alias("run")).agg(F.count(F.lit(1)).alias("n"))
+    return run.select("key", F.col("run.start").alias("start"), F.col("run.end").alias("end"), "n")
+
+
+def commands_of_targets(events: DataFrame, within: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """(key, start_seq, seq): every command line after a start of its key and ``within`` that time, as a join of two streams.
+
+    The bounds on time let a stream forget what can meet nothing any more.
+    """
+    starts = events.filter(F.col("event_type") == START).select(F.col("key"), F.col("seq").alias("start_seq"), F.col("ts").alias("start_ts")).withWatermark("start_ts", late)
+    lines = events.filter(F.col("event_type") == COMMAND).select(F.col("key").alias("line_key"), "seq", "ts").withWatermark("ts", late)
+    met = (F.col("key") == F.col("line_key")) & (F.col("ts") > F.col("start_ts")) & (F.col("ts") <= F.col("start_ts") + F.expr(f"interval {within}"))
+    return starts.join(lines, met).select("key", "start_seq", "seq")
 
 
 def property_overlay(changes: DataFrame, keys: list[str], value: str = "value", order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
