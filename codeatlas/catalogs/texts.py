@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, text
 from ..functions.plugins import Registry
-from ..operators import extract, msbuild, references as refs_, selection, spans
+from ..operators import extract, lexing, msbuild, references as refs_, selection, spans
 from ..registered import query
 from ..sources import testdata as td
 
@@ -171,6 +171,50 @@ def _(spark, sf_dir):
     return _part(spark, sf_dir).select("p_partkey", extract.script_glyph(kind).alias("glyph"), extract.script_style(cls).alias("style"), extract.xml_style(xml).alias("xml"))
 
 
+_BARE = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
+
+
+def _shown(spans, doc: str):
+    """Pages of the spans, without the marks around them, which must be the whole text."""
+    page = extract.document_html(spans.select(doc, "start", F.col("token").alias("text"), "style", F.lit(None).cast("string").alias("href")), doc)
+    bare = F.regexp_replace("html", "</?span[^>]*>", "")
+    return page.select(doc, F.md5(bare.cast("binary")).alias("html_md5"), (F.length("html") > F.length(bare)).alias("marked"))
+
+
+@query("markup_pages", f"select page_id, md5({_BARE.format('html')}) as html_md5, true as marked from pages where html is not null and html <> ''")
+def _(spark, sf_dir):
+    """Pages as documents of classified spans, which cover each page once."""
+    return _shown(lexing.markup_spans(td.read(spark, sf_dir, "pages"), "page_id", "html"), "page_id")
+
+
+@query("markup_classes", "with a as (select unnest(regexp_extract_all(html, '<!--.*?-->')) as c from pages) select 'comment' as class, count(*) as n, cast(sum(length(c)) as bigint) as chars from a")
+def _(spark, sf_dir):
+    """Comments of all pages by the lexer."""
+    spans = lexing.markup_spans(td.read(spark, sf_dir, "pages"), "page_id", "html").filter(F.col("class") == "comment")
+    return spans.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("chars"))
+
+
+#: The first script of a page, whose text may hold end tags of other elements.
+_SCRIPT = "(?s)<script>(.*?)</script>"
+
+
+def _scripts(spark, sf_dir):
+    return td.read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", _SCRIPT, 1).alias("script"))
+
+
+@query("script_pages", f"select page_id, md5({_BARE.format('s')}) as html_md5, true as marked from (select page_id, regexp_extract(html, '{_SCRIPT}', 1) as s from pages) t where s <> ''")
+def _(spark, sf_dir):
+    """The scripts of pages as documents of classified spans."""
+    return _shown(lexing.script_spans(_scripts(spark, sf_dir), "page_id", "script"), "page_id")
+
+
+@query("script_words", f"with w as (select unnest(regexp_extract_all(regexp_replace(regexp_extract(html, '{_SCRIPT}', 1), '\"[^\"]*\"', '', 'g'), '[A-Za-z_$][A-Za-z_$0-9]*')) as token from pages) select token, count(*) as n from w group by 1")
+def _(spark, sf_dir):
+    """Words of the pages' scripts outside of strings."""
+    words = lexing.script_spans(_scripts(spark, sf_dir), "page_id", "script").filter(F.col("class").isin("keyword", "identifier"))
+    return words.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("reference_kinds", "select p_partkey, ([0, 1, 2, 8, 6, 8])[p_partkey % 6 + 1] as kind from part")
 def _(spark, sf_dir):
     """A base class, an interface of an interface, one of a class, one outside of a base list, a write, and a read."""

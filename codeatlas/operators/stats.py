@@ -89,7 +89,8 @@ def unique_prefix_length(names: DataFrame, column: str) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([most + 1], pa.int32())], ["k"])
 
     borders = values.repartitionByRange(width, "v").sortWithinPartitions("v").mapInArrow(inside, "part int, first string, last string, most int")
-    return borders.repartition(1).sortWithinPartitions("part").mapInArrow(between, "k int")
+    found = borders.repartition(1).sortWithinPartitions("part").mapInArrow(between, "k int")
+    return found.agg(F.coalesce(F.max("k"), F.lit(1)).alias("k"))
 
 
 def settings(lines: DataFrame, order: str | None = None) -> DataFrame:
