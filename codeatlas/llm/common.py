@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import ctypes
 import gc
+from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import discard, new_folder, scratch, shared_dir, ship, written  # noqa: F401
@@ -61,22 +62,34 @@ def labelled_sample(
     """(label, whole text) of at most ``per_class`` labelled documents a class, and the labelled documents by class.
 
     ``usable`` is a condition on ``doc_id`` that says which labels may be learnt
-    from.  The sample is that of the least md5 of the id, so it is the same for
-    every layout of the tables; it ends with the row that takes it beyond
-    ``fit_bytes`` bytes of text.  An id with both labels counts for neither.
-    The join's broadcast side is this sample of ids: 2 * per_class rows at most.
+    from.  An id with both labels counts for neither, and an id gives one text, its
+    shortest, however many rows it has.  Of each class those of the least md5 of
+    the id are taken, class by class in turn, so the sample is the same for every layout
+    of the tables; the one that takes it beyond ``fit_bytes`` bytes of text is the last.
+    It comes in the order of that md5.  All is decided by ids and sizes, before any text moves; the join's broadcast side is
+    the sample, 2 * per_class rows at most.
     """
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label).alias("y")).filter(F.col("y").isin(0, 1) & usable)
     known = known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("most")).filter("y = most").drop("most")
     counts = {int(r["y"]): int(r["n"]) for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    order = F.md5(F.col("doc_id").cast("string").cast("binary"))
-    chosen = [known.filter(F.col("y") == y).orderBy(order, "doc_id").limit(per_class) for y in (0, 1)]
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
-    rows = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").orderBy(order, "doc_id", F.length("text"), F.md5(F.col("text").cast("binary"))).limit(2 * per_class)
-    size = F.octet_length("text").cast("long")
-    before = F.sum(size).over(Window.orderBy(order, "doc_id", F.length("text"), F.md5(F.col("text").cast("binary")))) - size
-    kept = rows.withColumn("before", before).filter(F.col("before") < fit_bytes).collect()
-    return [(int(r["y"]), r["text"]) for r in kept], counts
+    place = F.struct(F.octet_length("text").cast("long").alias("size"), F.xxhash64("text").alias("hash"))
+    sized = texts.select("doc_id", place.alias("place")).groupBy("doc_id").agg(F.min("place").alias("place")).join(known, "doc_id").select("doc_id", "y", "place.size", "place.hash")
+    order = F.md5(F.col("doc_id").cast("string").cast("binary"))
+    sized = written(sized.withColumn("order", order), "labelled-sizes")
+    listed = [sized.filter(F.col("y") == y).orderBy("order", "doc_id").limit(per_class).collect() for y in (0, 1)]
+    chosen, held = [], 0
+    for r in (r for pair in zip_longest(*listed) for r in pair if r is not None):
+        if held >= fit_bytes:
+            break
+        chosen.append(r)
+        held += r["size"]
+    if not chosen:
+        return [], counts
+    wanted = docs.sparkSession.createDataFrame([(r["doc_id"], r["hash"]) for r in chosen], "doc_id long, hash long")
+    met = texts.join(F.broadcast(wanted), (texts["doc_id"] == wanted["doc_id"]) & (F.xxhash64("text") == F.col("hash"))).select(texts["doc_id"], "text")
+    whole = {r["doc_id"]: r["text"] for r in met.groupBy("doc_id").agg(F.min("text").alias("text")).collect()}
+    return [(int(r["y"]), whole[r["doc_id"]]) for r in sorted(chosen, key=lambda r: (r["order"], r["doc_id"]))], counts
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, prior: dict[int, int], ridge: float = 1.0, steps: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

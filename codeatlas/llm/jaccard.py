@@ -47,7 +47,7 @@ import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.core.broadcast import Broadcast
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -250,9 +250,10 @@ def _meetings(sets: DataFrame, ties: bool) -> DataFrame:
 
 def _clusters(sets: DataFrame, percent: int) -> DataFrame:
     """(node, cluster): classes that may link, directly or through others."""
-    by_key = Window.partitionBy("key")
-    keyed = _meetings(sets, False).withColumn("total", F.sum("n").over(by_key)).withColumn("lead", F.min("a").over(by_key)).filter("total > 1")
-    keyed = written(keyed, "jaccard-shared")
+    # Blocks report a common key each, so its rows are summed in part before they meet, and meet their sum in a join that AQE can split.
+    met = written(_meetings(sets, False), "jaccard-met")
+    sums = written(met.groupBy("key").agg(F.sum("n").alias("total"), F.min("a").alias("lead")).filter("total > 1"), "jaccard-sums")
+    keyed = written(met.join(sums, "key"), "jaccard-shared")
     inside = written(_meetings(sets, True), "jaccard-crowded")
     crowded = keyed.filter(F.col("total") > PAIRED)
     ties = inside.unionByName(crowded.select(F.col("lead").alias("a"), F.col("a").alias("b")))

@@ -13,8 +13,9 @@ of text in all, every block of which takes part; scoring covers every byte of ev
 text and is a map without a shuffle.  The broadcast model is the two dictionaries,
 ``DICT_BYTES`` each at most.
 
-A null text scores as the empty text, which has all sizes 0.  Without labels of
-both classes every text scores the share of class 1 (1.0 if there are none).
+A null text scores as the empty text, which has all sizes 0.  One labelled text of
+either class is enough to fit with, and then serves for dictionary and calibration; without
+one of each every text scores the share of class 1 (1.0 if there are none).
 ``score_column`` adds a column to any DataFrame, so rows, ids and other columns,
 null or repeated, pass through.
 """
@@ -44,12 +45,13 @@ def blocks(raw: bytes) -> list[bytes]:
 
 
 def build_dictionary(texts: list[bytes], size: int = DICT_BYTES) -> bytes:
-    """A trained dictionary, or plain content where there is too little to train on."""
+    """A trained dictionary, or plain content, blocks at even distances over all texts, where there is too little to train on."""
     samples = [b for t in texts for b in blocks(t)]
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(samples)[:size]
+        fit = max(1, size // BLOCK)
+        return b"".join(samples if len(samples) <= fit else [samples[k * len(samples) // fit] for k in range(fit)])[:size]
 
 
 class Compressors:
@@ -79,12 +81,12 @@ def fit(sample: list[tuple[int, str]], prior: dict[int, int]) -> dict:
             seen.add(t)
             rows.append((y, t.encode("utf-8", "surrogatepass")))
     by = {y: [t for c, t in rows if c == y] for y in (0, 1)}
-    if min(len(by[0]), len(by[1])) < 4:
+    if not by[0] or not by[1]:
         total = sum(prior.values())
         return {"constant": prior.get(1, 0) / total if total else 1.0}
     good, bad = build_dictionary(by[1][::2]), build_dictionary(by[0][::2])
     compressors = Compressors(good, bad)
-    held = [(1, t) for t in by[1][1::2]] + [(0, t) for t in by[0][1::2]]
+    held = [(y, t) for y in (1, 0) for t in by[y][1::2] or by[y]]  # a single text of a class serves for both
     x = np.array([compressors.features(t.decode("utf-8", "surrogatepass")) for _, t in held])
     return {"good": good, "bad": bad, "calibration": fit_logistic(x, np.array([y for y, _ in held]), prior)}
 

@@ -27,18 +27,40 @@ from .common import table, tagged, written
 
 SEED = "atlas-1"
 SHARDS = 8
-#: Rows of a bucket, which one window task sorts; buckets of a block, and parts of a bucket of equal hashes.
-BUCKET_ROWS, BLOCK_BUCKETS, PARTS = 2_000, 1_024, 64
+#: Rows of a bucket, which one window task sorts, and buckets of a block.
+BUCKET_ROWS, BLOCK_BUCKETS = 2_000, 1_024
 
 
-def _starts(counts: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """(keys, at, before): how many of ``k`` come before each bucket, added up in blocks of buckets."""
+def _starts(counts: DataFrame, keys: list[str], at: str, inside: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, at, inside, before): how many of ``k`` come before each bucket, added up in blocks of buckets."""
     cut = counts.withColumn("block", F.floor(F.col(at) / BLOCK_BUCKETS))
     blocks = cut.groupBy(*keys, "block").agg(F.sum("k").alias("all"))
-    earlier = lambda by, order, what: F.coalesce(F.sum(what).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = blocks.withColumn("far", earlier(keys, "block", "all"))
-    near = cut.withColumn("near", earlier([*keys, "block"], at, "k"))
-    return near.join(blocks.select(*keys, "block", "far"), [*keys, "block"]).select(*keys, at, (F.col("near") + F.col("far")).alias("before"))
+    earlier = lambda by, order, what: F.coalesce(F.sum(what).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.withColumn("far", earlier(keys, ["block"], "all"))
+    near = cut.withColumn("near", earlier([*keys, "block"], [at, *inside], "k"))
+    return near.join(blocks.select(*keys, "block", "far"), [*keys, "block"]).select(*keys, at, *inside, (F.col("near") + F.col("far")).alias("before"))
+
+
+def _split(dealt: DataFrame, bucket_rows: int) -> DataFrame:
+    """``dealt`` with ``part``, the place of a row's share within its bucket.
+
+    Rows of one hash are equal but for their number in the stored table.  Of a hash that alone has more than
+    ``bucket_rows`` they are spread by that number over as many parts as its count asks for, between the rows of smaller
+    and those of larger hashes.  Such hashes are looked for in buckets above twice the mean; there are at most as many
+    in a bucket as it holds multiples of ``bucket_rows``.
+    """
+    full = dealt.groupBy("stratum", "b").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > 2 * bucket_rows).select("stratum", "b")
+    hot = dealt.join(full, ["stratum", "b"], "left_semi").groupBy("stratum", "b", "h").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > bucket_rows)
+    # Parts are numbered through: those of the hashes before, one for what lies between two of them.
+    w = Window.partitionBy("stratum", "b").orderBy("h")
+    parts = F.expr(f"(k + {bucket_rows - 1}) div {bucket_rows}")
+    listed = hot.withColumn("parts", parts).withColumn("first", F.sum(F.col("parts") + 1).over(w) - F.col("parts"))
+    listed = written(listed.groupBy("stratum", "b").agg(F.sort_array(F.collect_list(F.struct("h", "first", "parts"))).alias("hot")), "shards-hot")
+    rows = dealt.join(listed, ["stratum", "b"], "left")
+    before = F.element_at(F.filter("hot", lambda x: x["h"] <= F.col("h")), -1)
+    mine = F.when(before["h"] == F.col("h"), before["first"] + F.pmod(F.xxhash64("spread"), before["parts"])).otherwise(before["first"] + before["parts"])
+    some = F.exists("hot", lambda x: x["h"] <= F.col("h"))
+    return rows.withColumn("part", F.when(F.col("hot").isNotNull() & some, mine).otherwise(F.lit(0)).cast("long")).drop("hot")
 
 
 def stratified_shards(
@@ -58,19 +80,14 @@ def stratified_shards(
     keyed = written(keyed.withColumn("h", F.md5(hashed.cast("binary"))).withColumn("spread", F.monotonically_increasing_id()), "shards-keyed")
     total = keyed.count()
     buckets = max(1, -(-total // bucket_rows))
-    part = F.pmod(F.xxhash64("spread"), F.lit(PARTS))
     at = F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * buckets / F.lit(1 << 32)).cast("long")
-    dealt = keyed.withColumn("b", at)
-
-    # Of a hash that alone fills a bucket, the rows are equal, so the parts of that bucket may come in any order.
-    counts = dealt.groupBy("stratum", "b").agg(F.count(F.lit(1)).alias("k"), (F.min(F.xxhash64("h")) == F.max(F.xxhash64("h"))).alias("equal"))
+    dealt = _split(keyed.withColumn("b", at), bucket_rows)
+    counts = dealt.groupBy("stratum", "b", "part").agg(F.count(F.lit(1)).alias("k"))
     n = counts.groupBy("stratum").agg(F.sum("k").alias("n"))
-    split = F.when(F.col("equal") & (F.col("k") > bucket_rows), part).otherwise(F.lit(0))
-    dealt = dealt.join(counts.select("stratum", "b", "k", "equal"), ["stratum", "b"]).withColumn("b", F.col("b") * PARTS + split).drop("k", "equal")
-    firsts = _starts(dealt.groupBy("stratum", "b").agg(F.count(F.lit(1)).alias("k")), ["stratum"], "b").join(n, "stratum")
-    in_bucket = Window.partitionBy("stratum", "b").orderBy("h", "doc_id", "size", "text_crc32")
+    firsts = _starts(counts, ["stratum"], "b", ("part",)).join(n, "stratum")
+    in_bucket = Window.partitionBy("stratum", "b", "part").orderBy("h", "doc_id", "size", "text_crc32")
     ranked = (
-        dealt.join(firsts, ["stratum", "b"])
+        dealt.join(firsts, ["stratum", "b", "part"])
         .withColumn("r", F.row_number().over(in_bucket) + F.col("before"))
         .withColumn("fraction", (F.col("r") - 0.5) / F.col("n"))
         .withColumn("g", F.expr(f"((2 * r - 1) * {buckets}) div (2 * n)"))

@@ -17,8 +17,9 @@ broadcast model has a fixed size (two embedding tables of ``BUCKETS`` rows).  At
 scoring, all that depends on a word alone is computed once for each distinct word
 and kept in a bounded table of the task.
 
-A null text scores as the empty text, which has one empty window.  Without labels
-of both classes every text scores the share of class 1 (0.0 if there are none).
+A null text scores as the empty text, which has one empty window.  One labelled text
+of either class is enough to fit with; without one of each every text scores the share of
+class 1 (0.0 if there are none).
 ``score_column`` adds a column to any DataFrame, so rows, ids and other columns,
 null or repeated, pass through.
 """
@@ -334,10 +335,12 @@ def fit(sample: list[tuple[int, str]], prior: dict[int, int]) -> dict:
     """The model: the network's parameters and calibration, or a constant."""
     rows = list(dict.fromkeys((t, y) for y, t in sample))
     y = np.array([c for _, c in rows])
-    if len(rows) == 0 or min((y == 0).sum(), (y == 1).sum()) < 4:
+    if len(set(y.tolist())) < 2:
         total = sum(prior.values())
         return {"constant": prior.get(1, 0) / total if total else 0.0}
     held = np.arange(len(rows)) % 4 == 3
+    if len(set(y[~held].tolist())) < 2:  # too few texts to calibrate with others than are trained on
+        held[:] = False
     net = train([t for (t, _), h in zip(rows, held) if not h], y[~held])
     x = Scorer(net).features([t for (t, _), h in zip(rows, held) if h])
     if len(set(y[held])) < 2:

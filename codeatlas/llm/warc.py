@@ -229,11 +229,12 @@ d as (
   select *, array_to_string(list_transform(range(32), lambda i:
            substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
                   1 + ((('0x' || substr(h, 1 + 10 * (i // 8), 10))::bigint >> (35 - 5 * (i % 8))) & 31)::int, 1)), '') as payload_digest,
-         max(page_id) over (partition by h) as top
+         row_number() over (partition by h order by page_id desc nulls last) as place,
+         first_value(page_id) over (partition by h order by page_id desc nulls last) as top
   from t)
 select page_id, payload_bytes, payload_digest,
-       case when page_id = top then 'response' else 'revisit' end as record_type,
-       case when page_id <> top then top end as refers_to
+       case when place = 1 then 'response' else 'revisit' end as record_type,
+       case when place > 1 then top end as refers_to
 from d""",
 }
 QUERIES = {"op2_warc_revisits": op2_warc_revisits}
