@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -63,11 +62,11 @@ def labelled_sample(
 
     ``usable`` is a condition on ``doc_id`` that says which labels may be learnt
     from.  An id with both labels counts for neither, and an id gives one text, its
-    shortest, however many rows it has.  Of each class those of the least md5 of
-    the id are taken, class by class in turn, so the sample is the same for every layout
-    of the tables; the one that takes it beyond ``fit_bytes`` bytes of text is the last.
-    It comes in the order of that md5.  All is decided by ids and sizes, before any text moves; the join's broadcast side is
-    the sample, 2 * per_class rows at most.
+    shortest, however many rows it has.  The sample is that of the least md5 of the
+    id in each class, so it is the same for every layout of the tables; in that order
+    it ends with the text that takes it beyond ``fit_bytes`` bytes.  All is decided by
+    ids and sizes, before any text moves; the join's broadcast side is the sample,
+    2 * per_class rows at most.
     """
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label).alias("y")).filter(F.col("y").isin(0, 1) & usable)
     known = known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("most")).filter("y = most").drop("most")
@@ -77,9 +76,9 @@ def labelled_sample(
     sized = texts.select("doc_id", place.alias("place")).groupBy("doc_id").agg(F.min("place").alias("place")).join(known, "doc_id").select("doc_id", "y", "place.size", "place.hash")
     order = F.md5(F.col("doc_id").cast("string").cast("binary"))
     sized = written(sized.withColumn("order", order), "labelled-sizes")
-    listed = [sized.filter(F.col("y") == y).orderBy("order", "doc_id").limit(per_class).collect() for y in (0, 1)]
+    listed = [r for y in (0, 1) for r in sized.filter(F.col("y") == y).orderBy("order", "doc_id").limit(per_class).collect()]
     chosen, held = [], 0
-    for r in (r for pair in zip_longest(*listed) for r in pair if r is not None):
+    for r in sorted(listed, key=lambda r: (r["order"], r["doc_id"])):
         if held >= fit_bytes:
             break
         chosen.append(r)
@@ -89,7 +88,7 @@ def labelled_sample(
     wanted = docs.sparkSession.createDataFrame([(r["doc_id"], r["hash"]) for r in chosen], "doc_id long, hash long")
     met = texts.join(F.broadcast(wanted), (texts["doc_id"] == wanted["doc_id"]) & (F.xxhash64("text") == F.col("hash"))).select(texts["doc_id"], "text")
     whole = {r["doc_id"]: r["text"] for r in met.groupBy("doc_id").agg(F.min("text").alias("text")).collect()}
-    return [(int(r["y"]), whole[r["doc_id"]]) for r in sorted(chosen, key=lambda r: (r["order"], r["doc_id"]))], counts
+    return [(int(r["y"]), whole[r["doc_id"]]) for r in chosen], counts
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, prior: dict[int, int], ridge: float = 1.0, steps: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

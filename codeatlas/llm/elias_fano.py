@@ -29,7 +29,6 @@ import os
 import numpy as np
 
 STEPS = 2048
-_TOP = np.uint64(57)
 
 
 def encoded(p: np.ndarray) -> np.ndarray:
@@ -50,17 +49,20 @@ def _packed(values: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate([flat, np.zeros(8, np.uint8)])
 
 
+#: Where the set bit of each rank is in each byte.
+_IN_BYTE = np.array([[([k for k in range(8) if byte >> k & 1] + [0] * 8)[rank] for rank in range(8)] for byte in range(256)], np.uint8).ravel()
+_ONES, _HIGHS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+
+
 def _select(word: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Where the set bit of that rank (from 0) is in each 64-bit word."""
-    word, rank, at = word.copy(), rank.astype(np.uint64), np.zeros(len(word), np.uint64)
-    for width in (32, 16, 8, 4, 2, 1):
-        ones = np.bitwise_count(word & np.uint64((1 << width) - 1)).astype(np.uint64)
-        over = rank >= ones
-        rank = rank - np.where(over, ones, np.uint64(0))
-        step = np.where(over, np.uint64(width), np.uint64(0))
-        word >>= step
-        at += step
-    return at.astype(np.int64)
+    """Where the set bit of that rank (from 0) is in each 64-bit word: by sums over bytes, then within the byte."""
+    word, rank = np.ascontiguousarray(word), rank.astype(np.uint64)
+    sums = np.bitwise_count(word.view(np.uint8)).view(np.uint64) * _ONES  # byte k holds the set bits up to byte k
+    full = ((rank * _ONES | _HIGHS) - sums) & _HIGHS  # bytes whose sum the rank reaches
+    shift = np.bitwise_count(full).astype(np.uint64) << np.uint64(3)
+    rank = rank - (((sums << np.uint64(8)) >> shift) & np.uint64(255))
+    byte = (word >> shift) & np.uint64(255)
+    return shift.astype(np.int64) + _IN_BYTE[(byte << np.uint64(3)) | rank]
 
 
 class Sequence:
@@ -108,8 +110,8 @@ class Sequence:
         out[some] = np.minimum(self.n, 64 * k + _select(~self.high[k], rank - self._zeros[k]) - rank)
         return out
 
-    def find(self, value: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The first position in [begin, end) of an element not below ``value``; end if there is none.
+    def find(self, value: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first position in [begin, end) of an element not below ``value`` (end if there is none), and whether it is ``value``.
 
         The elements of the range rise strictly.
         """
@@ -117,14 +119,17 @@ class Sequence:
         low, high = np.maximum(self._below(h), begin), np.minimum(self._below(h + 1), end)
         high = np.maximum(np.minimum(low, end), high)
         low = np.minimum(low, end)
-        open_ = np.flatnonzero(low < high)
+        last, open_ = high.copy(), np.flatnonzero(low < high)
         while len(open_):
             mid = (low[open_] + high[open_]) >> 1
             less = self._low(mid) < rest[open_]
             low[open_[less]] = mid[less] + 1
             high[open_[~less]] = mid[~less]
             open_ = open_[low[open_] < high[open_]]
-        return low
+        hit = low < last  # so it has the high part
+        some = np.flatnonzero(hit)
+        hit[some] = self._low(low[some]) == rest[some]
+        return low, hit
 
     def parts(self) -> list[np.ndarray]:
         return [self.low, self.high, self.ones]
@@ -150,14 +155,11 @@ class Level:
         out = np.full(len(parent), -1)
         if not self.children.n or not len(parent):
             return out
-        known, which = np.unique(parent, return_inverse=True)
+        known, which = _distinct(parent)
         begin, end = self.starts.get(known), self.starts.get(known + 1)
         base = np.where(begin > 0, self.children.get(np.maximum(begin - 1, 0)), 0)
         first, begin, end = base[which], begin[which], end[which]
-        target = value + first
-        at = self.children.find(target, begin, end)
-        inside = np.flatnonzero(at < end)
-        hit = inside[self.children.get(at[inside]) == target[inside]]
+        at, hit = self.children.find(value + first, begin, end)
         out[hit] = at[hit]
         return out
 
@@ -175,6 +177,14 @@ def _group_starts(*columns: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(new), n)
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and which of them each is; what is in order already is not sorted."""
+    if len(x) and (x[1:] >= x[:-1]).all():
+        starts = _group_starts(x)
+        return x[starts[:-1]], np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    return np.unique(x, return_inverse=True)
+
+
 class Trie:
     """The levels of a shard of trigrams, built by ``build`` or mapped by ``open``."""
 
@@ -187,7 +197,7 @@ class Trie:
 
     @classmethod
     def build(cls, pairs: tuple, contexts: tuple, triples: tuple) -> Trie:
-        """``pairs`` (v, w, code) by (v, w); ``contexts`` (v, u, code) by (v, u); ``triples`` (v, u, w, code) by (v, u, w).
+        """``pairs`` (v, w, code) by (v, w); ``contexts`` (v, u, code) by (v, u); ``triples`` (v, u, number of their pair, code) by (v, u, w).
 
         Every v, (v, w) and (v, u) of the triples is in the others, and none else.
         """
@@ -195,11 +205,9 @@ class Trie:
         starts = _group_starts(v)
         middle = v[starts[:-1]]
         cv, cu, weight = contexts
-        tv, tu, tw, code = triples
-        follow = Level.of(starts, w)
-        group = np.searchsorted(middle, tv)
-        place = np.zeros(0, np.int64) if not len(tv) else follow.search(group, tw) - starts[group]
-        levels = {"follow": follow, "context": Level.of(_group_starts(cv), cu), "third": Level.of(_group_starts(tv, tu), place)}
+        tv, tu, pair_of, code = triples
+        place = pair_of - np.repeat(starts[:-1], np.diff(starts))[pair_of] if len(tv) else np.zeros(0, np.int64)
+        levels = {"follow": Level.of(starts, w), "context": Level.of(_group_starts(cv), cu), "third": Level.of(_group_starts(tv, tu), place)}
         sequences = {"middle": Sequence.of(middle)} | {f"{k}.{part}": getattr(x, part) for k, x in levels.items() for part in ("starts", "children")}
         return cls(sequences, {"follow": pair_code.astype(np.uint16), "context": weight.astype(np.uint16), "third": code.astype(np.uint16)})
 
@@ -240,10 +248,8 @@ class Trie:
         found = [np.full(len(u), -1) for _ in range(3)]
         if not self.middle.n or not len(u):
             return tuple(found)
-        known, which = np.unique(v, return_inverse=True)
-        at = self.middle.find(known, np.zeros(len(known), np.int64), np.full(len(known), self.middle.n))
-        hit = np.flatnonzero(at < self.middle.n)
-        hit = hit[self.middle.get(at[hit]) == known[hit]]
+        known, which = _distinct(v)
+        at, hit = self.middle.find(known, np.zeros(len(known), np.int64), np.full(len(known), self.middle.n))
         number = np.full(len(known), -1)
         number[hit] = at[hit]
         parent = number[which]
@@ -255,7 +261,7 @@ class Trie:
         found[0][has_pair] = self.codes["follow"][pair[has_pair]]
         found[1][has_context] = self.codes["context"][context[has_context]]
         both = np.flatnonzero(has_pair & has_context)
-        groups, at = np.unique(parent[both], return_inverse=True)
+        groups, at = _distinct(parent[both])
         place = pair[both] - (self.follow.first(groups)[at] if len(groups) else 0)
         third = self.third.search(context[both], place)
         seen = third >= 0

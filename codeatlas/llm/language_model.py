@@ -44,6 +44,7 @@ import os
 import struct
 import tempfile
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -251,13 +252,24 @@ def _sorted_parts(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 # What tasks do.
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    """Words with a hot share of a block, and (without a word) the tokens of each block."""
-    for _, block in blocks(batches, 0):
-        _, _, w, _ = _trigrams(block)
-        counts = np.bincount(w, minlength=len(block.words))
-        rows = [(block.words[k], int(counts[k])) for k in np.flatnonzero(counts * 2 * shards >= len(w))]
-        yield _message([(None, len(w)), *rows], ["word", "n"], [pa.binary(), pa.int64()])
+def _candidates(batches: Iterator[pa.RecordBatch], shards: int, block: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Words with a hot share of a run of texts of about ``block`` tokens, and (without a word) the tokens of each run."""
+
+    def hot(counts: Counter) -> pa.RecordBatch:
+        n = counts.total()
+        return _message([(None, n), *((w, c) for w, c in counts.items() if c * 2 * shards >= n)], ["word", "n"], [pa.binary(), pa.int64()])
+
+    counts, held = Counter(), 0
+    for b in batches:
+        for text in b.column(2).to_pylist():
+            found = tokens(text)
+            counts.update(found)
+            held += len(found)
+            if held >= block:
+                yield hot(counts)
+                counts, held = Counter(), 0
+    if held:
+        yield hot(counts)
     release()
 
 
@@ -358,7 +370,7 @@ def _send(batches: Iterator[pa.RecordBatch], shards: int, n: int, types: int) ->
         rest = ~both
         u, v, w, piece = u[rest], v[rest], w[rest], piece[rest]
         key = (v * n_words + u) * n_words + w  # below 2^62, as a block has at most 1.5 * BLOCK_WORDS words
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # equal trigrams of one text that do not meet are just sent twice
         key, piece = key[order], piece[order]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (piece[1:] != piece[:-1])
@@ -443,7 +455,7 @@ def build_trie(s: Shard) -> Trie:
     starts, context_of = np.flatnonzero(new), np.cumsum(new) - 1
     context = np.add.reduceat(c, starts)
     code = joined_code(c, context[context_of], pair_code[pair_of], MU3)
-    return Trie.build((v[one], w[one], pair_code), (v[starts], u[starts], weight_code(context, MU3)), (v, u, w, code))
+    return Trie.build((v[one], w[one], pair_code), (v[starts], u[starts], weight_code(context, MU3)), (v, u, pair_of, code))
 
 
 def codes(trie: Trie, s: Shard) -> np.ndarray:

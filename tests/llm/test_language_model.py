@@ -25,8 +25,9 @@ def test_sequence(values):
     s, n = Sequence.of(np.array(distinct, np.int64)), len(distinct)
     asks = [(rng.choice(distinct) + rng.choice((-1, 0, 0, 1)), *sorted((rng.randint(0, n), rng.randint(0, n)))) for _ in range(500)] if n else [(0, 0, 0)]
     asks = [(max(0, v), a, b) for v, a, b in asks] + [(1 << 50, 0, n), (0, 0, n)]
-    got = s.find(*(np.array(c, np.int64) for c in zip(*asks))).tolist()
-    assert got == [next((i for i in range(a, b) if distinct[i] >= v), b) for v, a, b in asks]
+    got, hit = s.find(*(np.array(c, np.int64) for c in zip(*asks)))
+    want = [next((i for i in range(a, b) if distinct[i] >= v), max(a, b)) for v, a, b in asks]
+    assert got.tolist() == want and hit.tolist() == [i < b and distinct[i] == v for i, (v, a, b) in zip(want, asks)]
 
 
 def test_sequence_is_small():
@@ -41,7 +42,9 @@ def test_trie(tmp_path):
     pair = {(v, w): (v + w) % 997 for v, _, w in grams}
     context = {(v, u): v + u for v, u, _ in grams}
     columns = lambda d, last: (*(np.array(c) for c in zip(*sorted(d))), np.array([d[k] for k in sorted(d)]))
-    built = Trie.build(columns(pair, 1), columns(context, 1), columns(grams, 1))
+    number = {k: i for i, k in enumerate(sorted(pair))}
+    v, u, w, code = columns(grams, 1)
+    built = Trie.build(columns(pair, 1), columns(context, 1), (v, u, np.array([number[k] for k in zip(v.tolist(), w.tolist())]), code))
     path = str(tmp_path / "t.trie")
     built.save(path)
     asks = list(grams) + [(rng.randint(0, 70), rng.randint(0, 70), rng.randint(0, 10)) for _ in range(2000)]
