@@ -110,13 +110,27 @@ class Sequence:
         out[some] = np.minimum(self.n, 64 * k + _select(~self.high[k], rank - self._zeros[k]) - rank)
         return out
 
+    def _bucket(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the elements with high part ``h`` begin and end: behind a zero, and as long as set bits follow."""
+        low = self._below(h)
+        start = low + h
+        inside = start < 64 * len(self.high)
+        off = start & 63
+        word = self.high[np.where(inside, start >> 6, 0)] >> off.astype(np.uint64)
+        run = np.bitwise_count(word ^ (word + np.uint64(1))).astype(np.int64) - 1
+        high = low + np.where(inside, run, 0)
+        over = np.flatnonzero(inside & ((off + run >= 63) | (word == np.uint64((1 << 64) - 1))))  # the run may go on in the next word
+        high[over] = self._below(h[over] + 1)
+        return low, np.minimum(high, self.n)
+
     def find(self, value: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The first position in [begin, end) of an element not below ``value`` (end if there is none), and whether it is ``value``.
 
         The elements of the range rise strictly.
         """
         h, rest = value >> self.bits, (value & ((1 << self.bits) - 1)).astype(np.uint64)
-        low, high = np.maximum(self._below(h), begin), np.minimum(self._below(h + 1), end)
+        low, high = self._bucket(h)
+        low, high = np.maximum(low, begin), np.minimum(high, end)
         high = np.maximum(np.minimum(low, end), high)
         low = np.minimum(low, end)
         last, open_ = high.copy(), np.flatnonzero(low < high)

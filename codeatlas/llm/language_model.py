@@ -62,7 +62,7 @@ from .sharding import CRC_TABLE, crc_sql
 #: Chosen on a fold of the training texts.
 MU2, MU3 = 5000.0, 4.0
 #: Text of a shard and of a block; distinct words of a block, tokens of a piece.
-SHARD_BYTES, BLOCK_BYTES, BLOCK_WORDS, PIECE_TOKENS = 6 << 20, 4 << 20, 1 << 20, 1 << 19
+SHARD_BYTES, BLOCK_BYTES, BLOCK_WORDS, PIECE_TOKENS = 6 << 20, 5 << 20, 1 << 20, 1 << 19
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -231,8 +231,13 @@ def _trigrams(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return block.stream[at - 2], block.stream[at - 1], block.stream[at], piece
 
 
-def _shards_of(items: list[bytes], shards: int) -> np.ndarray:
-    return np.fromiter((zlib.crc32(x) for x in items), np.int64, len(items)) % shards
+def _shards_of(words: list[bytes], found: Hot, shards: int) -> np.ndarray:
+    """The shard of each item of a block: by the checksums of its words, which pairs and triples mix."""
+    h = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+    pair = (h[found.pairs[:, 0]] * _MIX) ^ h[found.pairs[:, 1]]
+    triple = (((h[found.triples[:, 0]] * _MIX) ^ h[found.triples[:, 1]]) * _MIX) ^ h[found.triples[:, 2]]
+    mixed = np.concatenate([h, (pair * _MIX) >> np.uint64(32), (triple * _MIX) >> np.uint64(32)])
+    return (mixed % np.uint64(shards)).astype(np.int64)
 
 
 def _items(block: Block, found: Hot) -> list[bytes]:
@@ -282,7 +287,7 @@ def _ask(batches: Iterator[pa.RecordBatch], shards: int, hot: frozenset[bytes])
         items = _items(block, found)
         counts = np.concatenate([np.bincount(w[learn], minlength=len(block.words)), found.pair_counts, found.triple_counts])
         rows = []
-        for shard, at in _sorted_parts(_shards_of(items, shards)):
+        for shard, at in _sorted_parts(_shards_of(block.words, found, shards)):
             rows.append((shard, number, zstandard.compress(b"\n".join([items[k] for k in at.tolist()]), 1), pack(counts[at])))
         yield _message(rows, ["shard", "block", "words", "counts"], [pa.int32(), pa.int64(), pa.binary(), pa.binary()])
     release()
@@ -291,21 +296,19 @@ def _ask(batches: Iterator[pa.RecordBatch], shards: int, hot: frozenset[bytes])
 def _answer(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
     """(block, shard, data, types, tokens): numbers and counts for each block in the order it asked, and the totals of each shard once."""
     for shard, rows in _groups(batches, 0):
-        total: dict[bytes, int] = {}
-        asked = []
-        for _, block, packed, counts in rows:
-            words = zstandard.decompress(packed).split(b"\n")
-            asked.append((block, words))
-            for word, c in zip(words, unpack(counts)[0].tolist()):
-                total[word] = total.get(word, 0) + c
-        singles = sorted((word for word in total if b" " not in word), key=lambda word: (-total[word], word))
-        numbers = {word: k * shards + shard for k, word in enumerate(singles)}
-        known = [total[word] for word in singles if total[word]]
-        out = [(-1, shard, None, len(known), sum(known))]
-        for block, words in asked:
-            n = len(words)
-            data = pack(np.fromiter((numbers.get(x, 0) for x in words), np.int64, n), np.fromiter(map(total.__getitem__, words), np.int64, n))
-            out.append((block, shard, data, None, None))
+        listed = [zstandard.decompress(packed).split(b"\n") for _, _, packed, _ in rows]
+        bounds = np.cumsum([0, *map(len, listed)])
+        found = pa.array([word for words in listed for word in words], pa.binary()).dictionary_encode()
+        del listed
+        which, words = found.indices.to_numpy(), found.dictionary.to_pylist()
+        total = np.bincount(which, np.concatenate([unpack(counts)[0] for _, _, _, counts in rows]), len(words)).astype(np.int64)
+        singles = sorted((k for k, word in enumerate(words) if b" " not in word), key=lambda k: (-total[k], words[k]))
+        numbers = np.zeros(len(words), np.int64)
+        numbers[singles] = np.arange(len(singles)) * shards + shard
+        known = total[singles]
+        out = [(-1, shard, None, int((known > 0).sum()), int(known.sum()))]
+        for (_, block, _, _), a, b in zip(rows, bounds, bounds[1:]):
+            out.append((block, shard, pack(numbers[which[a:b]], total[which[a:b]]), None, None))
         yield _message(out, ["block", "shard", "data", "types", "tokens"], [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()])
     release()
 
@@ -318,7 +321,7 @@ def _streams(batches: Iterator[pa.RecordBatch], shards: int, hot: frozenset[byte
         found = hot_items(u, v, w, block.train[piece], is_hot, len(block.words))
         null = np.array([i is None for i in block.ids])
         ids = np.array([0 if i is None else i for i in block.ids], np.int64).view(np.uint64)
-        data = pack(np.array([len(block.words)]), np.flatnonzero(is_hot), block.stream, block.sizes, np.array(block.rows), ids, null, block.train, _shards_of(_items(block, found), shards))
+        data = pack(np.array([len(block.words)]), np.flatnonzero(is_hot), block.stream, block.sizes, np.array(block.rows), ids, null, block.train, _shards_of(block.words, found, shards))
         yield _message([(number, -1, data)], ["block", "shard", "data"], [pa.int64(), pa.int32(), pa.binary()])
     release()
 
