@@ -29,6 +29,8 @@ import os
 import numpy as np
 
 STEPS = 2048
+#: Questions asked at once: what they need stays in a processor's cache.
+RUN = 1 << 15
 
 
 def encoded(p: np.ndarray) -> np.ndarray:
@@ -259,6 +261,14 @@ class Trie:
 
     def query(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Codes of p(w | v), of the weight of context (u, v) and of p(w | u, v); -1 for what the trie has not."""
+        found = tuple(np.full(len(u), -1) for _ in range(3))
+        for k in range(0, len(u), RUN):
+            part = slice(k, k + RUN)
+            for out, codes in zip(found, self._query(u[part], v[part], w[part])):
+                out[part] = codes
+        return found
+
+    def _query(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         found = [np.full(len(u), -1) for _ in range(3)]
         if not self.middle.n or not len(u):
             return tuple(found)

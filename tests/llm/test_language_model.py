@@ -151,3 +151,16 @@ def test_nothing(spark, empty):
 def test_nothing_to_learn_from(spark, docs, pairs):
     got = lm.score_texts(docs, F.lit(False)).collect()
     assert len(got) == len(pairs) and all(r["score"] == 0 and r["base_score"] == 0 and r["n_known"] == 0 for r in got)
+
+
+def test_words_of_arrays_are_those_of_single_texts():
+    """Six bytes are space, A-Z alone have lower case, and bytes that are no UTF-8 stay as they are."""
+    import pyarrow as pa
+
+    texts = [b" a  B\xff ", b"", b"x\x0b\x0cY\x1cz\xc2\xa0Q\n\n", None, b"   ", "ÄÖ É ß A B".encode(), b"\x00 \x85", b"one"]
+    arrays = pa.array(texts, pa.binary())
+    for a, t in ((arrays, texts), (arrays.slice(2, 4), texts[2:6]), (arrays.slice(1, 1), texts[1:2])):
+        words, sizes = lm._words(a)
+        want = [lm.tokens(x)[:-1] for x in t]
+        assert sizes.tolist() == list(map(len, want))
+        assert lm._listed(words) == [w for ws in want for w in ws] == words.to_pylist()
