@@ -9,7 +9,7 @@ from ..functions import codec, text
 from ..operators import extract, references as refs_, search, selection
 from ..registered import query
 from ..runtime import new_folder
-from ..sources import readers, sinks, testdata as td
+from ..sources import packed, readers, sinks, testdata as td
 
 
 def _write(df: DataFrame, name: str) -> str:
@@ -140,16 +140,31 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """Symbols through the packed layout of their assemblies, descriptions coded by the frequencies of their pairs."""
     s = td.symbols(spark, sf_dir).withColumn("glyph", (F.col("kind_rank") * 40).cast("int"))
-    return readers.unpacked(sinks.write_packed_symbols(s, _counts(s)), counts=_counts(s))
+    path = new_folder(spark, "packed")
+    packed.write_symbols(s, path, _counts(s))
+    return packed.read_symbols(spark, path)
+
+
+@query("packed_assembly_names", f"with {td.SYMBOLS_SQL} select name, symbol_id from symbols where assembly_number between 3 and 5")
+def _(spark, sf_dir):
+    """Names of a range of assemblies out of packed files: descriptions are never expanded."""
+    path = new_folder(spark, "packed")
+    packed.write_symbols(td.symbols(spark, sf_dir).withColumn("glyph", (F.col("kind_rank") * 40).cast("int")), path)
+    rows = packed.read_symbols(spark, path, ["assembly_number", "name", "symbol_id"])
+    return rows.filter("assembly_number between 3 and 5").select("name", "symbol_id")
 
 
 def _counts(symbols: DataFrame) -> dict[str, int]:
-    """How often each pair of characters occurs at an even place, with the pair that ends a text: 2^14 rows at most."""
+    """The table of pairs as what a code is built from: 2^14 rows at most."""
+    return {r["pair"]: r["n"] for r in _pairs(symbols).collect()}
+
+
+def _pairs(symbols: DataFrame) -> DataFrame:
+    """How often each pair of characters occurs at an even place, with the pair that ends a text."""
     d = F.col("description")
     places = F.sequence(F.lit(1), F.length(d) + 1, F.lit(2))
     pairs = F.transform(places, lambda k: F.rpad(F.substring(d, k, F.lit(2)), 2, codec.END))
-    rows = symbols.filter(d.rlike(r"^[\x00-\x7f]*$")).select(F.explode(pairs).alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
-    return {r["pair"]: r["n"] for r in rows.collect()}
+    return symbols.filter(d.rlike(r"^[\x00-\x7f]*$")).select(F.explode(pairs).alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("description_codec", f"with {td.SYMBOLS_SQL} select symbol_id, description, true as shorter from symbols")
@@ -174,8 +189,7 @@ _CODECS: list[codec.Codec] = []
 @query("codec_pairs", f"with {td.SYMBOLS_SQL} select pair, count(*) as n from (select unnest(list_transform(range(1, length(description) + 2, 2), lambda i: substr(description, cast(i as int), 2) || repeat('~', cast(2 - least(2, greatest(0, length(description) - i + 1)) as int)))) as pair from symbols) t group by pair")
 def _(spark, sf_dir):
     """The table that the code is built from; ends are shown as ``~``."""
-    counts = _counts(td.symbols(spark, sf_dir))
-    return spark.createDataFrame([(p.replace(codec.END, "~"), n) for p, n in counts.items()], "pair string, n long")
+    return _pairs(td.symbols(spark, sf_dir)).withColumn("pair", F.translate("pair", codec.END, "~"))
 
 
 @query(

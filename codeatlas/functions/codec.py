@@ -35,6 +35,8 @@ class Codec:
             (a, first, left), (b, _, right) = heapq.heappop(heap), heapq.heappop(heap)
             heapq.heappush(heap, (a + b, first, (left, right)))
         self.root = heap[0][2] if heap else None
+        #: Filled as bytes come; the nodes it knows by identity belong to ``root``.
+        self.steps: dict[tuple[int, int], tuple[str, object, bool]] = {}
         self.bits: dict[str, str] = {}
         stack = [(self.root, "")] if heap else []
         while stack:
@@ -51,15 +53,31 @@ class Codec:
         return int(bits[::-1], 2).to_bytes(-(-len(bits) // 8), "little")
 
     def expand(self, data: bytes) -> str:
+        """The text of coded bytes, a byte a step: a table tells what a node of the code and a byte give, and the node after it."""
         if data[0] & 1:
             return data[1:].decode()
-        out, node = [], self.root
-        for k in range(1, 8 * len(data)):
+        out, node, ended = [], None, False
+        for byte in data:
+            known = self.steps.get((id(node), byte))
+            if known is None:
+                known = self.steps[id(node), byte] = self._step(node, byte)
+            text, node, ended = known
+            out.append(text)
+            if ended:
+                return "".join(out)
+        raise ValueError("a text without an end")
+
+    def _step(self, node, byte: int) -> tuple[str, object, bool]:
+        """What ``byte`` gives from ``node`` on: text, the next node, and whether the text has ended; None is before the first bit, which is none of the code."""
+        text, first = [], 0
+        if node is None:
+            node, first = self.root, 1
+        for k in range(first, 8):
             if isinstance(node, tuple):
-                node = node[data[k >> 3] >> (k & 7) & 1]
+                node = node[byte >> k & 1]
             if not isinstance(node, tuple):
                 if END in node:
-                    return "".join(out) + node.rstrip(END)
-                out.append(node)
+                    return "".join(text) + node.rstrip(END), node, True
+                text.append(node)
                 node = self.root
-        raise ValueError("a text without an end")
+        return "".join(text), node, False

@@ -11,13 +11,12 @@ import struct
 from collections.abc import Iterator
 from itertools import islice
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.codec import Codec
-from ..functions.ids import varint_decode, varint_encode
+from . import packed
 
 STEM = r"([^/\\]*?)(?:\.[^./\\]*)?$"
 
@@ -147,47 +146,13 @@ def discover(spark: SparkSession, root: str) -> list[str]:
 
 def parse_packed(data: bytes, codec: Codec | None = None) -> Iterator[tuple[int, int, str, str, str]]:
     """(assembly number, glyph, name, id, description) of the packed layout: a count, then rows with lengths as varints."""
-    (count,), at = struct.unpack_from("<i", data), 4
-    for _ in range(count):
-        assembly, at = varint_decode(data, at)
-        size, at = varint_decode(data, at)
-        name, at = data[at : at + size].decode(), at + size
-        symbol, at = data[at : at + 8].hex(), at + 8
-        size, at = varint_decode(data, at)
-        description, at = data[at : at + size], at + size
-        glyph, at = varint_decode(data, at)
-        yield assembly, glyph, name, symbol, codec.expand(description) if codec else description.decode()
+    count = int.from_bytes(data[: packed.HEADER], "little")
+    return (row[:5] for row in islice(packed.decode_rows(data, packed.HEADER, codec), count))
 
 
 def write_packed(rows, codec: Codec | None = None) -> bytes:
     """The packed layout of (assembly number, glyph, name, id, description) rows; descriptions are coded, or plain UTF-8."""
-    body = [struct.pack("<i", len(rows))]
-    for assembly, glyph, name, symbol, description in rows:
-        n, d = name.encode(), codec.compress(description) if codec else description.encode()
-        body += [varint_encode(assembly), varint_encode(len(n)), n, bytes.fromhex(symbol), varint_encode(len(d)), d, varint_encode(glyph)]
-    return b"".join(body)
-
-
-PACKED = "assembly_number int, glyph int, name string, symbol_id string, description string"
-
-
-def unpacked(packed: DataFrame, content: str = "content", counts: dict[str, int] | None = None, batch: int = 10_000) -> DataFrame:
-    """The symbols of packed files, some thousand at a time; ``counts`` is the table their descriptions are coded with."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(counts) if counts else None
-        for b in batches:
-            for data in b[content]:
-                rows = parse_packed(bytes(data), codec)
-                while some := list(islice(rows, batch)):
-                    yield pd.DataFrame(some, columns=["assembly_number", "glyph", "name", "symbol_id", "description"])
-
-    return packed.select(content).mapInPandas(run, PACKED)
-
-
-def packed_symbols(spark: SparkSession, path: str, counts: dict[str, int] | None = None) -> DataFrame:
-    """Files of the packed layout; one is a task's work, since rows have no fixed size."""
-    return unpacked(spark.read.format("binaryFile").load(path), counts=counts)
+    return len(rows).to_bytes(packed.HEADER, "little") + b"".join([packed.encode_row(*row, codec) for row in rows])
 
 
 def project_documents(own: DataFrame, generated: DataFrame | None, attributes_name: str) -> DataFrame:

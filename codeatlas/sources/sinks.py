@@ -59,21 +59,6 @@ def with_rejects(rows: DataFrame, good) -> tuple[DataFrame, DataFrame]:
     return rows.filter(ok), rows.filter(~ok)
 
 
-def write_packed_symbols(symbols: DataFrame, counts: dict[str, int] | None = None) -> DataFrame:
-    """(assembly_number, content): the packed layout of each assembly's symbols, in index order."""
-    from ..functions.codec import Codec
-    from .readers import write_packed
-
-    def pack(frame):
-        import pandas as pd
-
-        frame = frame.sort_values(["name", "symbol_id"])
-        rows = list(frame[["assembly_number", "glyph", "name", "symbol_id", "description"]].itertuples(index=False, name=None))
-        return pd.DataFrame({"assembly_number": [int(frame["assembly_number"].iloc[0])], "content": [write_packed(rows, Codec(counts) if counts else None)]})
-
-    return symbols.groupBy("assembly_number").applyInPandas(pack, "assembly_number int, content binary")
-
-
 def write_diagnostics(diagnostics: DataFrame, path: str) -> None:
     """Compiler messages as lines, in a folder for each project that has any."""
     line = F.concat(F.col("severity"), F.lit(" "), F.col("code"), F.lit(": "), F.translate("message", "\r\n", "  "))

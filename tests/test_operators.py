@@ -102,8 +102,7 @@ def test_readers(spark, tmp_path):
     docs = readers.documentation(spark, p("x/x.xml", '<doc><members><member name="T:A"><summary>1</summary></member><member name="T:A">2</member></members></doc>')).collect()
     assert [r["xml"] for r in docs] == ['<member name="T:A">2</member>']
     rows = [(1, 3, "Näme", "00ff00ff00ff00ff", "desc"), (300, 196, "x", "f907d79481da6ba4", "")]
-    packed = readers.packed_symbols(spark, p("k/k.bin", readers.write_packed(rows))).collect()
-    assert [tuple(r) for r in packed] == rows
+    assert list(readers.parse_packed(readers.write_packed(rows))) == rows
     write(str(tmp_path / "roots/one/R/x.txt"), "x"), write(str(tmp_path / "roots/two/y.txt"), "y")
     assert readers.discover(spark, str(tmp_path / "roots")) == ["one"]
     js = p("j/j.json", '{"fileName": "a.ts", "syntacticClassifications": [{"text": "x", "start": 0, "length": 1}], "semanticClassifications": []}')
