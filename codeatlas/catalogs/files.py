@@ -124,14 +124,20 @@ def _(spark, sf_dir):
     return readers.federation(spark, [(f"s{k}", _write(n.filter(F.col("n_regionkey") % 2 == k).select(line), f"federation-{k}")) for k in (0, 1)])
 
 
-@query("analyzed_ranges", "select n_name as file, a.start, a.length, a.classification from nation, (values (0, 3, 'keyword', 0), (4, 2, 'class name', 1), (9, 1, 'identifier', 1)) a(start, length, classification, semantic) where n_nationkey % 2 >= semantic")
-def _(spark, sf_dir):
-    """An analyzer's output for each nation; the even ones have no semantic ranges."""
-    of = lambda *rs: F.array(*(F.struct(F.lit(a).alias("start"), F.lit(n).alias("length"), F.lit(c).alias("classification")) for a, n, c in rs))
-    semantic = F.when(F.col("n_nationkey") % 2 == 1, of((4, 2, "class name"), (9, 1, "identifier")))
-    one = F.to_json(F.struct(F.col("n_name").alias("fileName"), of((0, 3, "keyword")).alias("syntacticClassifications"), semantic.alias("semanticClassifications")))
-    files = td.read(spark, sf_dir, "nation").agg(F.concat(F.lit("["), F.array_join(F.collect_list(one), ","), F.lit("]")).alias("value"))
-    read = readers.analyzed_files(spark, _write(files, "analyzed"))
+@query(
+    "analyzed_ranges",
+    """with w as (select p_partkey, p_size, cast(length(split_part(p_name, ' ', 1)) as int) as a, cast(length(p_name) as int) as n from part),
+r as (select p_partkey, 0 as start, a as length, 'keyword' as classification from w union all select p_partkey, a + 1, n - a - 1, 'identifier' from w union all select p_partkey, 0, n, 'class name' from w where p_size % 2 = 1)
+select cast(p_partkey as varchar) as file, start, length, classification from r""",
+)
+def _(spark, sf_dir):
+    """An analyzer's output for each part: the words of its name, and the whole name as a semantic range where its size is odd."""
+    first, n = F.length(F.substring_index("p_name", " ", 1)), F.length("p_name")
+    of = lambda a, k, c: F.struct(a.alias("start"), k.alias("length"), F.lit(c).alias("classification"))
+    words = F.array(of(F.lit(0), first, "keyword"), of(first + 1, n - first - 1, "identifier"))
+    semantic = F.when(F.col("p_size") % 2 == 1, F.array(of(F.lit(0), n, "class name")))
+    one = F.struct(F.col("p_partkey").cast("string").alias("fileName"), words.alias("syntacticClassifications"), semantic.alias("semanticClassifications"))
+    read = readers.analyzed_files(spark, _write(td.read(spark, sf_dir, "part").select(F.to_json(one).alias("value")), "analyzed"), lines=True)
     both = F.concat("syntacticClassifications", F.coalesce("semanticClassifications", F.array().cast(read.schema["semanticClassifications"].dataType)))
     return read.select(F.col("fileName").alias("file"), F.explode(both).alias("r")).select("file", "r.start", "r.length", "r.classification")
 
@@ -296,23 +302,16 @@ def _(spark, sf_dir):
     return there.withColumn("resolved", F.lit(True)).unionByName(missing.withColumn("resolved", F.lit(False))).select("assembly", "reference", "resolved")
 
 
-@query("managed_files", "select n_nationkey, n_nationkey % 4 < 2 as managed from nation")
-def _(spark, sf_dir):
-    """Made-up binaries: those of key 0 and 1 of four have a runtime header, others none, or no header at all."""
-    hexed = lambda b: F.unhex(F.lit(b.hex()))
-    image = bytearray(600)
-    image[:2], image[0x3C], image[0x80:0x84] = b"MZ", 0x80, b"PE\0\0"
-    kinds = []
-    for magic, at in ((b"\x0b\x01", 96), (b"\x0b\x02", 112)):
-        one = bytearray(image)
-        one[0x80 + 24 : 0x80 + 26] = magic
-        one[0x80 + 24 + at + 112] = 1
-        kinds.append(bytes(one))
-    kinds += [bytes(image), b"MZ"]
-    k = F.col("n_nationkey") % 4
-    content = F.coalesce(*(F.when(k == j, hexed(b)) for j, b in enumerate(kinds)))
-    managed = text.arrow(lambda c: readers.is_managed(bytes(c)), "boolean")
-    return td.read(spark, sf_dir, "nation").select("n_nationkey", managed(content).alias("managed"))
+@query("managed_files", "select p_partkey, p_size % 3 <> 0 and p_type <> 'SMALL' as managed from part")
+def _(spark, sf_dir):
+    """Executables made of the parts: their headers lie as deep as the size says, a third has no runtime header, and small ones are cut off."""
+    zeros = lambda n: F.repeat(F.lit("00"), n)
+    number = lambda n: F.concat(F.lpad(F.hex(n), 2, "0"), F.lit("000000"))
+    size, wide = F.col("p_size"), F.col("p_partkey") % 2 == 1
+    head = F.concat(F.lit("4D5A"), zeros(F.lit(0x3A)), number(size + 0x40), zeros(size), F.lit("50450000"), zeros(F.lit(20)))
+    middle = F.concat(F.when(wide, "0B02").otherwise("0B01"), zeros(F.when(wide, 110).otherwise(94) + 14 * 8))
+    whole = F.concat(head, middle, F.when(F.col("p_type") == "SMALL", "").otherwise(number(size % 3)))
+    return td.read(spark, sf_dir, "part").select("p_partkey", readers.is_managed(F.unhex(whole)).alias("managed"))
 
 
 @query("stored_mart", f"with {td.EDGES_SQL} select to_assembly, count(*) as n from edges group by 1")

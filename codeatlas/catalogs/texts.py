@@ -55,17 +55,19 @@ def _(spark, sf_dir):
     return _part(spark, sf_dir).select("p_partkey", text.trim_compiler(F.concat(start, rest)).alias("arguments"))
 
 
-@query("excluded_projects", "select p_partkey, p_partkey % 6 < 4 as excluded from part")
+@query("excluded_projects", "select page_id, string_split(url, '/')[-2] in ('fr', 'de') or string_split(url, '/')[-3] = 'm.ththth.example.net' as excluded from pages")
 def _(spark, sf_dir):
-    n = F.col("p_name")
-    folder = _pick(F.col("p_partkey") % 6, F.lit(""), F.concat(F.lit("/a/"), n, F.lit("/ref")), F.concat(n, F.lit("/stubs")), F.concat(F.lit("/cycle-breakers/"), n), F.concat(F.lit("/ref/"), n), F.concat(n, F.lit("/reference")))
-    return _part(spark, sf_dir).select("p_partkey", selection.excluded(folder).alias("excluded"))
+    """Folders of the pages, of which two languages and one host stand for what an index leaves out."""
+    folder = F.regexp_replace("url", "/[^/]*$", "")
+    found = selection.excluded(folder, ("fr", "de"), ("m.ththth.example.net",))
+    return td.read(spark, sf_dir, "pages").select("page_id", found.alias("excluded"))
 
 
-@query("test_projects", "select p_partkey, p_partkey % 3 <> 2 as is_test from part")
+@query("test_projects", f"with {td.EDGES_SQL} select from_assembly, bool_or(regexp_matches(lower(to_assembly), 'nation_1$|nation_7')) as is_test from edges group by 1")
 def _(spark, sf_dir):
-    last = _pick(F.col("p_partkey") % 3, F.lit("xUnit.core"), F.lit("Quality.UnitTestFramework"), F.lit("Newtonsoft.Json"))
-    return _part(spark, sf_dir).select("p_partkey", selection.is_test_project(F.array(F.col("p_name"), last)).alias("is_test"))
+    """Assemblies by whether any that they refer to is one of two that stand for test frameworks."""
+    used = td.assembly_edges(spark, sf_dir).groupBy("from_assembly").agg(F.collect_set("to_assembly").alias("used"))
+    return used.select("from_assembly", selection.is_test_project(F.col("used"), "nation_1$|nation_7").alias("is_test"))
 
 
 @query("server_options", "select p_partkey, case p_partkey % 5 when 4 then null else p_name end as key, case p_partkey % 5 when 4 then null else p_brand end as value from part")
@@ -84,9 +86,11 @@ def _(spark, sf_dir):
     return _part(spark, sf_dir).select("p_partkey", text.resolve_link(link, ["https://s0.example/", "https://s1.example/"]).alias("url"))
 
 
-@query("empty_arrays", "select p_partkey, case p_partkey % 3 when 0 then 'new int[0]|new string[] { }' when 1 then 'new[] {}' else '' end as found from part")
+@query("empty_arrays", "with w as (select *, split_part(p_name, ' ', 1) as w from part) select p_partkey, concat_ws('|', case when p_size % 4 = 0 then 'new ' || w || '[0]' end, case when p_size % 3 = 0 then 'new ' || w || '[] {}' end) as found from w")
 def _(spark, sf_dir):
-    code = _pick(F.col("p_partkey") % 3, F.lit("a = new int[0]; b = new string[] { };"), F.lit("f(new[] {})"), F.lit("c = new int[1]; d = new[] { 1 };"))
+    """Code with an array of as many elements as the part's size says, and one with a list that may be empty."""
+    w, size = F.substring_index("p_name", " ", 1), F.col("p_size")
+    code = F.concat(F.lit("a = new "), w, F.lit("["), (size % 4).cast("string"), F.lit("]; b = new "), w, F.lit("[] {"), F.when(size % 3 == 0, "").otherwise(F.col("p_type")), F.lit("};"))
     return _part(spark, sf_dir).select("p_partkey", F.array_join(text.empty_array_allocations(code), "|").alias("found"))
 
 
@@ -96,10 +100,11 @@ def _(spark, sf_dir):
     return _part(spark, sf_dir).select("p_partkey", text.property_name(_pick(F.col("p_partkey") % 3, n, F.concat(n, F.lit(".Length")), F.concat(F.lit("$("), n))).alias("name"))
 
 
-@query("well_declared", "select p_partkey, p_partkey % 4 = 0 as good from part")
+@query("well_declared", "select good, count(*) as n from (select distinct word, length(word) > 2 and not regexp_matches(word, '[;\\r\\n]') as good from (select unnest(string_split(text, ' ')) as word from documents) t) u group by good")
 def _(spark, sf_dir):
-    n = F.col("p_name")
-    return _part(spark, sf_dir).select("p_partkey", text.declares_well(_pick(F.col("p_partkey") % 4, n, F.concat(n, F.lit(";")), F.concat(n, F.lit("\n")), F.substring(n, 1, 2))).alias("good"))
+    """All words of the documents, by whether they could be declared names."""
+    words = td.read(spark, sf_dir, "documents").select(F.explode(F.split("text", " ")).alias("word")).distinct()
+    return words.groupBy(text.declares_well(F.col("word")).alias("good")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("assembly_names", "select p_partkey, case p_partkey % 6 when 0 then p_type when 1 then 'Root.' || p_type when 2 then 'p' || p_partkey || '.x' when 3 then 'M-' || p_type when 4 then 'a b ' || p_type else 'p' || p_partkey || '.x' end as name from part")
@@ -156,19 +161,31 @@ def _(spark, sf_dir):
 # ---------------------------------------------------------------- extraction
 
 
-_CLASSES = ("keyword", "class name", "punctuation", "string - verbatim", "xml literal - name", "new thing")
+_TARGETS_SQL = f"{td.REFS_SQL}, {td.SYMBOLS_SQL}, t as (select r.*, s.kind as target_kind from refs r join symbols s on s.symbol_id = r.to_symbol_id)"
+
+
+def _targets(spark, sf_dir):
+    """References with the kind of the symbol that they refer to."""
+    kinds = td.symbols(spark, sf_dir).select(F.col("symbol_id").alias("to_symbol_id"), F.col("kind").alias("target_kind"))
+    return td.references(spark, sf_dir).join(kinds, "to_symbol_id")
+
+
+def _counted(rows, *by):
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("token_styles", "select p_partkey, (['k', 't', null, 's', 'xln', 'unknownClassification'])[p_partkey % 6 + 1] as style from part")
+@query("token_styles", f"with {_TARGETS_SQL} select target_kind, case when target_kind in ('class', 'struct', 'interface') then 't' when target_kind in ('method', 'property', 'field') then 'i' else 'unknownClassification' end as style, count(*) as n from t group by 1, 2")
 def _(spark, sf_dir):
-    return _part(spark, sf_dir).select("p_partkey", extract.style(_pick(F.col("p_partkey") % 6, *map(F.lit, _CLASSES))).alias("style"))
+    """Styles of the tokens that refer to symbols, whose class is named for the symbol's kind."""
+    t = _targets(spark, sf_dir)
+    return _counted(t, "target_kind", extract.style(F.concat("target_kind", F.lit(" name"))).alias("style"))
 
 
-@query("script_marks", "select p_partkey, ([18, 72, 195, 150])[p_partkey % 4 + 1] as glyph, (['k', 't', null, 'c'])[p_partkey % 4 + 1] as style, (['xan', 'xn', null, 'xd'])[p_partkey % 4 + 1] as xml from part")
+@query("script_marks", f"with {_TARGETS_SQL} select case target_kind when 'class' then 0 when 'interface' then 48 when 'method' then 72 when 'property' then 102 else 195 end as glyph, case when target_kind in ('class', 'interface') then 't' end as style, count(*) as n from t group by 1, 2")
 def _(spark, sf_dir):
-    k = F.col("p_partkey") % 4
-    kind, cls, xml = (_pick(k, *map(F.lit, v)) for v in (("enum", "method", "other", "module"), ("keyword", "interface name", "identifier", "comment"), ("attribute name", "name", "text", "delimiter")))
-    return _part(spark, sf_dir).select("p_partkey", extract.script_glyph(kind).alias("glyph"), extract.script_style(cls).alias("style"), extract.xml_style(xml).alias("xml"))
+    """The same tokens as declarations and classes of a script."""
+    kind = F.col("target_kind")
+    return _counted(_targets(spark, sf_dir), extract.script_glyph(kind).alias("glyph"), extract.script_style(F.concat(kind, F.lit(" name"))).alias("style"))
 
 
 _BARE = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
@@ -215,13 +232,19 @@ def _(spark, sf_dir):
     return words.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("reference_kinds", "select p_partkey, ([0, 1, 2, 8, 6, 8])[p_partkey % 6 + 1] as kind from part")
+@query(
+    "reference_kinds",
+    f"""with {_TARGETS_SQL}, d as (select seq // 100 as o, min(target_kind) as derived from t where line = 1 group by 1)
+select target_kind, derived, case when target_kind in ('field', 'property') and col_start % 2 = 0 then 6 when line = 2 and target_kind = 'class' then 0
+  when line = 2 and target_kind = 'interface' and derived = 'interface' then 1 when line = 2 and target_kind = 'interface' then 2 else 8 end as kind, count(*) as n
+from t join d on t.seq // 100 = d.o group by 1, 2, 3""",
+)
 def _(spark, sf_dir):
-    """A base class, an interface of an interface, one of a class, one outside of a base list, a write, and a read."""
-    k = F.col("p_partkey") % 6
-    base, derived = _pick(k, *map(F.lit, ("class", "interface", "interface", "class", "class", "class"))), _pick(k, *map(F.lit, ("class", "interface", "class", "class", "class", "class")))
-    target, inside = _pick(k, *map(F.lit, ("type", "type", "type", "type", "field", "property"))), k < 3
-    return _part(spark, sf_dir).select("p_partkey", extract.reference_kind(inside, base, derived, F.lit(True), target, k == 4).alias("kind"))
+    """An order's first line as a type, the second as what stands in its base list, and even columns as writes."""
+    t = _targets(spark, sf_dir).withColumn("o", F.floor(F.col("seq") / 100))
+    types = t.filter("line = 1").groupBy("o").agg(F.min("target_kind").alias("derived"))
+    kind = extract.reference_kind(F.col("line") == 2, F.col("target_kind"), F.col("derived"), F.lit(True), F.col("target_kind"), F.col("col_start") % 2 == 0)
+    return _counted(t.join(types, "o"), "target_kind", "derived", kind.alias("kind"))
 
 
 @query("named_references", "select p_partkey, case when p_partkey % 4 = 2 then p_type || ' .ctor' when p_partkey % 4 = 1 then 'this' else p_name end as to_name from part where p_partkey % 4 <> 0")
@@ -231,19 +254,30 @@ def _(spark, sf_dir):
     return extract.named_references(rows).select("p_partkey", "to_name")
 
 
-@query("eligible_symbols", "select p_partkey, p_partkey % 5 = 0 as eligible from part")
+@query("eligible_symbols", f"with {_TARGETS_SQL}, u as (select to_symbol_id, min(target_kind) as k, count(distinct from_assembly) as users, count(distinct kind) as kinds from t group by 1) select to_symbol_id, users >= 14 and not (k = 'method' and kinds = {td.REFERENCE_KINDS}) as eligible from u")
 def _(spark, sf_dir):
-    k = F.col("p_partkey") % 5
-    kind, name = _pick(k, *map(F.lit, ("method", "local", "typeparameter", "method", "method"))), _pick(k, F.col("p_name"), F.col("p_name"), F.col("p_name"), F.lit(".ctor"), F.lit(".cctor"))
-    return _part(spark, sf_dir).select("p_partkey", extract.eligible(kind, name).alias("eligible"))
+    """Symbols that few assemblies use are taken for locals, and methods that are used in every way for constructors."""
+    used = _targets(spark, sf_dir).groupBy("to_symbol_id").agg(F.min("target_kind").alias("k"), F.countDistinct("from_assembly").alias("users"), F.countDistinct("kind").alias("kinds"))
+    kind = F.when(F.col("users") < 14, "local").otherwise(F.col("k"))
+    name = F.when((F.col("k") == "method") & (F.col("kinds") == td.REFERENCE_KINDS), ".ctor").otherwise(F.col("to_symbol_id"))
+    return used.select("to_symbol_id", extract.eligible(kind, name).alias("eligible"))
 
 
-@query("token_links", "select p_partkey, (['partial', 'declaration', 'guid', 'empty_array', 'reference', 'federated', null])[p_partkey % 7 + 1] as link from part")
+@query(
+    "token_links",
+    f"""with {_TARGETS_SQL} select case when line = 1 and from_assembly = to_assembly then 'partial' when line = 1 then 'declaration' when starts_with(to_symbol_id, 'f') then 'guid'
+  when target_kind = 'field' and col_start % 5 = 0 then 'empty_array' when to_name is not null and n_nationkey < 12 then 'reference' when to_name is not null and n_nationkey < 20 then 'federated' end as link, count(*) as n
+from t join nation on n_name = to_assembly group by 1""",
+)
 def _(spark, sf_dir):
-    k = F.col("p_partkey") % 7
-    target = F.when(k >= 4, F.col("p_name"))
-    made = extract.link(k < 2, k == 0, target, k == 4, F.when(k == 5, 0), F.when(k == 2, F.col("p_name")), k == 3)
-    return _part(spark, sf_dir).select("p_partkey", made.alias("link"))
+    """Tokens of the references: assemblies up to one number are here, those up to another on some other server."""
+    nations = td.read(spark, sf_dir, "nation").select(F.col("n_name").alias("to_assembly"), "n_nationkey")
+    t = _targets(spark, sf_dir).join(nations, "to_assembly")
+    first, key = F.col("line") == 1, F.col("n_nationkey")
+    guid = F.when(F.col("to_symbol_id").startswith("f"), F.col("to_symbol_id"))
+    empty = (F.col("target_kind") == "field") & (F.col("col_start") % 5 == 0)
+    made = extract.link(first, F.col("from_assembly") == F.col("to_assembly"), F.col("to_name"), key < 12, F.when(key < 20, key), guid, empty)
+    return _counted(t, made.alias("link"))
 
 
 @query("reference_urls", "select p_partkey, case when p_partkey % 2 = 0 then '../p.html#' || p_size else '../../' || p_brand || '/p.html#' || p_size end as url from part")

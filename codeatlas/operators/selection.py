@@ -38,11 +38,11 @@ def invocation_score(properties: Column, source_files: Column) -> Column:
     return F.when(_flag(properties, "UseForSourceIndex"), CHOSEN).otherwise(score).cast("int")
 
 
-def excluded(directory: Column) -> Column:
-    """Reference and stub projects, and those that only break cycles."""
+def excluded(directory: Column, names: tuple[str, ...] = ("ref", "stubs"), parents: tuple[str, ...] = ("cycle-breakers",)) -> Column:
+    """Projects whose folder has one of ``names`` or lies in one of ``parents``: those of references and stubs, and those that only break cycles."""
     parts = F.split(directory, r"[\\/]")
     last, parent = F.try_element_at(parts, F.lit(-1)), F.try_element_at(parts, F.lit(-2))
-    return directory.isNull() | (directory == "") | F.coalesce(last.isin("ref", "stubs"), F.lit(False)) | F.coalesce(parent == "cycle-breakers", F.lit(False))
+    return directory.isNull() | (directory == "") | F.coalesce(last.isin(*names), F.lit(False)) | F.coalesce(parent.isin(*parents), F.lit(False))
 
 
 def best(candidates: DataFrame, keys: list[str], score: str, seq: str) -> DataFrame:
@@ -84,9 +84,12 @@ def containers(all_: DataFrame, in_use: DataFrame) -> DataFrame:
     return stale.select("container", left.alias("ttl"), (left == 0).alias("delete"))
 
 
-def is_test_project(references: Column) -> Column:
-    """References or packages of a test framework."""
-    known = "xunit|nunit|mstest|unittestframework|testplatform"
+#: Parts of the names of test frameworks.
+TEST_FRAMEWORKS = "xunit|nunit|mstest|unittestframework|testplatform"
+
+
+def is_test_project(references: Column, known: str = TEST_FRAMEWORKS) -> Column:
+    """References or packages of a test framework, by a pattern of lower-case names."""
     return F.exists(references, lambda r: F.lower(r).rlike(known))
 
 

@@ -7,11 +7,10 @@ file of any size is read by many tasks.
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 from itertools import islice
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -121,10 +120,10 @@ RANGE = T.StructType(
 )
 
 
-def analyzed_files(spark: SparkSession, path: str) -> DataFrame:
-    """An analyzer's JSON: per file its syntactic and semantic ranges."""
+def analyzed_files(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """An analyzer's JSON: per file its syntactic and semantic ranges; with ``lines`` a line is a file's, and tasks share the lines."""
     schema = T.StructType([T.StructField("fileName", T.StringType()), T.StructField("syntacticClassifications", T.ArrayType(RANGE)), T.StructField("semanticClassifications", T.ArrayType(RANGE))])
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    return spark.read.schema(schema).option("multiLine", not lines).json(path)
 
 
 def documentation(spark: SparkSession, path: str) -> DataFrame:
@@ -184,14 +183,16 @@ def current(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/v{version}")
 
 
-def is_managed(content: bytes) -> bool:
-    """Whether a portable executable has a runtime header."""
-    try:
-        (pe,) = struct.unpack_from("<I", content, 0x3C)
-        if content[:2] != b"MZ" or content[pe : pe + 4] != b"PE\0\0":
-            return False
-        (magic,) = struct.unpack_from("<H", content, pe + 24)
-        directory = pe + 24 + (112 if magic == 0x20B else 96) + 14 * 8
-        return struct.unpack_from("<I", content, directory)[0] != 0
-    except struct.error:
-        return False
+def is_managed(content: Column) -> Column:
+    """Whether a portable executable, as binary, has a runtime header; what is cut off or none at all has not."""
+
+    def number(at: Column, size: int) -> Column:
+        """The little-endian number of ``size`` bytes at ``at``; null behind the end."""
+        digits = F.hex(F.substring(content, at.cast("int") + 1, F.lit(size)))
+        turned = F.concat(*(F.substring(digits, 2 * k - 1, 2) for k in range(size, 0, -1)))
+        return F.when(F.length(digits) == 2 * size, F.conv(turned, 16, 10).cast("long"))
+
+    pe = F.least(number(F.lit(0x3C), 4), F.length(content))
+    signed = (F.hex(F.substring(content, 1, 2)) == "4D5A") & (F.hex(F.substring(content, pe.cast("int") + 1, F.lit(4))) == "50450000")
+    directory = pe + 24 + F.when(number(pe + 24, 2) == 0x20B, 112).otherwise(96) + 14 * 8
+    return F.coalesce(signed & (number(directory, 4) != 0), F.lit(False))

@@ -164,13 +164,15 @@ def test_published(spark, tmp_path):
     assert (first.count(), readers.current(spark, root).count()) == (3, 5)
 
 
-def test_managed():
+def test_managed(spark):
     pe = bytearray(400)
     pe[:2], pe[0x3C:0x40], pe[0x80:0x84], pe[0x80 + 24 : 0x80 + 26] = b"MZ", struct.pack("<I", 0x80), b"PE\0\0", struct.pack("<H", 0x10B)
-    assert not readers.is_managed(bytes(pe)) and not readers.is_managed(b"MZ")
-    at = 0x80 + 24 + 96 + 14 * 8
+    native, at = bytes(pe), 0x80 + 24 + 96 + 14 * 8
     pe[at : at + 4] = struct.pack("<I", 1)
-    assert readers.is_managed(bytes(pe))
+    far = bytes(pe[:0x3C]) + b"\xff" * 4 + bytes(pe[0x40:])
+    files = [bytes(pe), native, b"MZ", b"", None, bytes(pe[: at + 2]), far, b"XX" + bytes(pe[2:])]
+    rows = spark.createDataFrame(list(enumerate(files)), "k int, c binary").select("k", readers.is_managed(F.col("c")).alias("m"))
+    assert [r["m"] for r in rows.orderBy("k").collect()] == [True] + [False] * 7
 
 
 def test_sinks(spark, tmp_path):
