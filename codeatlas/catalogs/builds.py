@@ -11,9 +11,9 @@ from ..sources import testdata as td
 from ..streaming import builds
 
 
-def _stream(spark, sf_dir, columns: list[str], order: str = "ts") -> DataFrame:
+def _stream(spark, sf_dir, columns: list[str], order: str = "ts", of=td.build_events) -> DataFrame:
     """The events as a stream of a table stored in the order of their times, some files a trigger, read to its end."""
-    stored = td.build_events(spark, sf_dir).select(*{*columns, order})
+    stored = of(spark, sf_dir).select(*{*columns, order})
     if "ts" in stored.columns:  # event times are instants
         stored = stored.withColumn("ts", F.col("ts").cast("timestamp"))
     path = new_folder(spark, "events")
@@ -58,6 +58,22 @@ def _(spark, sf_dir):
     return drained(builds.pair_stream(_stream(spark, sf_dir, ["seq", "ts", "key", "event_type"])), "append", "pairs")
 
 
+def _arriving(spark, sf_dir) -> DataFrame:
+    """Events with the time they come at: up to five minutes after their own, by their number."""
+    return td.build_events(spark, sf_dir).withColumn("came", F.unix_micros(F.col("ts").cast("timestamp")) + F.col("seq") * 7919 % 300 * 1_000_000)
+
+
+@query(
+    "event_pairing_unordered",
+    "with e as (select user_id, event_id, event_type, ts, lag(event_type) over w as pt, lag(event_id) over w as prev_id from events where event_type in ('signup', 'click') window w as (partition by user_id order by ts, event_id)) select user_id as key, event_id as seq, prev_id as start_seq from e where event_type = 'click' and pt = 'signup' and date_trunc('millisecond', ts) <= (select date_trunc('millisecond', max(ts)) - interval '10 minutes' from events where event_type in ('signup', 'click'))",
+)
+def _(spark, sf_dir):
+    """Pairs out of a stream whose events come out of order; what the watermark has not passed waits."""
+    events = _stream(spark, sf_dir, ["seq", "ts", "key", "event_type"], "came", _arriving)
+    with builds.state_in_rocksdb(spark):
+        return drained(builds.pair_unordered_stream(events), "append", "pairs")
+
+
 @query(
     "target_commands_stream",
     "select s.user_id as key, s.event_id as start_seq, c.event_id as seq from events s join events c on c.user_id = s.user_id and c.ts > s.ts and c.ts <= s.ts + interval '1 hour' where s.event_type = 'signup' and c.event_type = 'click'",

@@ -7,10 +7,12 @@ each key, the start that waits for its command line.  Both give the same pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 START, COMMAND = "TargetStarted", "TaskCommandLine"
 PAIR = "key long, seq long, start_seq long"
@@ -51,6 +53,79 @@ def pair_stream(events: DataFrame, order: tuple[str, ...] = ("ts", "seq")) -> Da
     return relevant.groupBy("key").applyInPandasWithState(step, PAIR, "waiting long", "append", "NoTimeout")
 
 
+class PairInOrder(StatefulProcessor):
+    """Holds the events of a key until the watermark has passed them, and pairs them in the order of their times.
+
+    ``held`` are events (microseconds, number, whether a start), ``waiting`` the start that no command has used up.  A timer
+    stands at the first time held; when it fires, all that the watermark has passed is paired, and one is set for the rest.
+    """
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "at long, seq long, starts boolean")
+        self.waiting = handle.getValueState("waiting", "seq long")
+
+    def _wake(self, at: int) -> None:
+        self.handle.registerTimer(-(-at // 1000))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows))
+        self.held.appendList([(int(at), int(seq), kind == START) for at, seq, kind in zip(frame["at"], frame["seq"], frame["event_type"])])
+        self._wake(int(frame["at"].min()))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        held = sorted(tuple(r) for r in self.held.get())
+        rest = [r for r in held if r[0] > passed]
+        waiting = self.waiting.get()[0] if self.waiting.exists() else None
+        pairs = []
+        for _, seq, starts in held[: len(held) - len(rest)]:
+            if starts:
+                waiting = seq
+            elif waiting is not None:
+                pairs.append((key[0], seq, waiting))
+                waiting = None
+        if waiting is None:
+            self.waiting.clear()
+        else:
+            self.waiting.update((waiting,))
+        if rest:
+            self.held.put(rest)
+            self._wake(rest[0][0])
+        else:
+            self.held.clear()
+        if pairs:
+            yield pd.DataFrame(pairs, columns=["key", "seq", "start_seq"])
+
+    def close(self) -> None:
+        pass
+
+
+def pair_unordered_stream(events: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """The pairs of events that come in any order, up to ``late`` behind the latest one: those of ``pair_events`` by (ts, seq).
+
+    An event is paired once the watermark has passed it, so the last ``late`` of what has come waits for more.  Events that
+    come later than that are dropped by the watermark; those without a time
+    are left out, those without a key are a key's.  The state of a key are its events of that time and one start.  Needs ``state_in_rocksdb`` around the start of the query.
+    """
+    relevant = events.filter(F.col("event_type").isin(START, COMMAND) & F.col("ts").isNotNull())
+    timed = relevant.select("key", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "seq", "event_type").withWatermark("ts", late)
+    return timed.groupBy("key").transformWithStateInPandas(PairInOrder(), PAIR, "append", "EventTime")
+
+
+@contextmanager
+def state_in_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries that start inside keep their state in RocksDB, which processors with timers need; the session's own choice is put back."""
+    option = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(option)
+    spark.conf.set(option, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(option, before)
+
+
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """Runs of a key's events with less than ``gap`` between neighbours: (key, start, end, n); a stream forgets a run once ``late`` has passed its end."""
     run = events.withWatermark("ts", late).groupBy("key", F.session_window("ts", gap).alias("run")).agg(F.count(F.lit(1)).alias("n"))
