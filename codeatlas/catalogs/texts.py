@@ -74,8 +74,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     n, b, q = F.col("p_name"), F.col("p_brand"), F.lit('"')
     forms = _pick(F.col("p_partkey") % 5, F.concat(q, n, F.lit('"="'), b, q), F.concat(q, n, F.lit('"='), b), F.concat(n, F.lit('="'), b, q), F.concat(q, n, F.lit("="), b, q), n)
-    found = text.arrow(lambda t: list(text.server_path(t) or (None, None)), "array<string>")(forms)
-    return _part(spark, sf_dir).select("p_partkey", found.alias("f")).select("p_partkey", F.col("f")[0].alias("key"), F.col("f")[1].alias("value"))
+    return _part(spark, sf_dir).select("p_partkey", text.server_option(forms).alias("f")).select("p_partkey", "f.key", "f.value")
 
 
 @query("external_links", "select p_partkey, case p_partkey % 3 when 2 then p_brand || '/A.html#x' else 'https://s' || (p_partkey % 3) || '.example/' || p_brand || '/A.html#' || substr(md5('T:' || p_partkey), 1, 16) end as url from part")
@@ -148,14 +147,11 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """Lines that end with each kind of break, and the line of a position in the third."""
 
-    def measure(t: str) -> list[int]:
-        found = text.line_lengths(t)
-        return [*found[:3], len(found), text.line_of(found, found[0] + found[1])[0]]
-
     t = F.concat("p_name", F.lit("\r\n"), "p_brand", F.lit("\r"), "p_type", F.lit("\nend"))
-    m = text.arrow(measure, "array<int>")(t)
-    names = ("first", "second", "third", "n", "line")
-    return _part(spark, sf_dir).select("p_partkey", m.alias("m")).select("p_partkey", *(F.col("m")[k].alias(x) for k, x in enumerate(names)))
+    m = _part(spark, sf_dir).select("p_partkey", text.any_line_lengths(t).alias("m"))
+    lengths = F.col("m")
+    third = text.line_at(lengths, lengths[0] + lengths[1])
+    return m.select("p_partkey", *(lengths[k].alias(x) for k, x in enumerate(("first", "second", "third"))), F.size(lengths).alias("n"), third.alias("line"))
 
 
 # ---------------------------------------------------------------- extraction

@@ -116,6 +116,19 @@ def line_lengths(text: str) -> list[int]:
     return [len(p) for p in parts]
 
 
+def any_line_lengths(c: Column) -> Column:
+    """``line_lengths`` as a column."""
+    lengths = F.transform(F.split(c, r"(?<=\r\n)|(?<=\r)(?!\n)|(?<=\n)"), F.length)
+    return F.when(c != "", lengths).when(c == "", F.array().cast("array<int>"))
+
+
+def line_at(lengths: Column, position: Column) -> Column:
+    """The line number of ``line_of`` as a column: how many lines end at or before the position, 0 beyond the end."""
+    ends = F.transform(lengths, lambda _, k: F.aggregate(F.slice(lengths, 1, k + 1), F.lit(0), lambda a, b: a + b))
+    line = F.size(F.filter(ends, lambda e: e <= position))
+    return F.when(line < F.size(lengths), line).otherwise(0)
+
+
 def line_of(lengths: list[int], position: int) -> tuple[int, int]:
     """Line number (from 0) and start of the line that holds ``position``; line 0 beyond the end."""
     at = 0
@@ -246,6 +259,16 @@ def server_path(argument: str) -> tuple[str, str] | None:
     return None
 
 
+def server_option(argument: Column) -> Column:
+    """``server_path`` as a column: a struct of key and value, each null where empty, or null."""
+    side = r'(?:"([^"=]*(?:=[^"]*)?)"|([^"=]+))'
+    whole, sides = r'\A"([^"=]+)=([^"=]+)"\z', rf"\A{side}={side}\z"
+    group = lambda pattern, k: F.nullif(F.regexp_extract(argument, pattern, k), F.lit(""))
+    of = lambda key, value: F.struct(key.alias("key"), value.alias("value"))
+    either = lambda k: F.coalesce(group(sides, k), group(sides, k + 1))
+    return F.when(argument.rlike(whole), of(group(whole, 1), group(whole, 2))).when(argument.rlike(sides), of(either(1), either(3)))
+
+
 def external_link(index: Column, assembly: Column, symbol: Column) -> Column:
     return F.concat(F.lit("@"), index.cast("string"), F.lit("@"), assembly, F.lit("/A.html#"), symbol)
 

@@ -1,5 +1,7 @@
 """Rules of single values, each against the answers that are asked of it."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,3 +57,19 @@ def test_links(spark):
         return extract.link(k < 2, k == 0, F.when(k >= 4, F.lit("t")), k == 4, F.when(k == 5, 0), F.when(k == 2, F.lit("g")), k == 3)
 
     assert answers(spark, list(range(7)), rule) == ["partial", "declaration", "guid", "empty_array", "reference", "federated", None]
+
+
+def test_lines_as_columns(spark):
+    r = random.Random(1)
+    texts = ["", "\n", "a\r\n", "\r\r\n\n", *("".join(r.choice("ab\r\né") for _ in range(r.randrange(12))) for _ in range(200))]
+    cases = [(t, r.randrange(14)) for t in texts]
+    found = answers(spark, cases, lambda d: F.struct(text.any_line_lengths(d["a"]).alias("l"), text.line_at(text.any_line_lengths(d["a"]), d["b"]).alias("n")))
+    expected = [(text.line_lengths(t), text.line_of(text.line_lengths(t), at)[0]) for t, at in cases]
+    assert [(x["l"], x["n"]) for x in found] == expected
+
+
+def test_server_options_as_columns(spark):
+    r = random.Random(2)
+    values = ['"a=b"', '"a=1"="b=2"', 'a="b"', '""=b', "a", "=", "", *("".join(r.choice('ab="\n') for _ in range(r.randrange(10))) for _ in range(600))]
+    found = answers(spark, values, lambda d: text.server_option(d["a"]))
+    assert [tuple(x) if x else None for x in found] == [text.server_path(v) for v in values]
